@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fillwise.llm.op4_exact_dedup import OP4_SQL, op4_exact_dedup
+from fillwise.llm.op6_mixing import op6_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_mixing": op6_mixing,
     }
 
 
