@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fillwise.llm.op4_exact_dedup import OP4_SQL, op4_exact_dedup
 from fillwise.llm.op6_mixing import op6_mixing
+from fillwise.llm.op9_packing import op9_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
         "op6_mixing": op6_mixing,
+        "op9_packing": op9_packing,
     }
 
 
