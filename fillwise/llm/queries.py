@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fillwise.llm.op1_quality import OP1_SQL, op1_quality
+from fillwise.llm.op3_warc import OP3_SQL, op3_warc
 from fillwise.llm.op4_exact_dedup import OP4_SQL, op4_exact_dedup
 from fillwise.llm.op6_mixing import op6_mixing
 from fillwise.llm.op9_packing import op9_packing
@@ -13,6 +15,8 @@ from fillwise.llm.op9_packing import op9_packing
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_mixing": op6_mixing,
         "op9_packing": op9_packing,
@@ -21,5 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality": OP1_SQL,
+        "op3_warc": OP3_SQL,
         "op4_exact_dedup": OP4_SQL,
     }
