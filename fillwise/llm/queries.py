@@ -10,6 +10,7 @@ from fillwise.llm.op1_quality import OP1_SQL, op1_quality
 from fillwise.llm.op3_warc import OP3_SQL, op3_warc
 from fillwise.llm.op4_exact_dedup import OP4_SQL, op4_exact_dedup
 from fillwise.llm.op6_mixing import op6_mixing
+from fillwise.llm.op7_toxicity import op7_toxicity
 from fillwise.llm.op9_packing import op9_packing
 
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_mixing": op6_mixing,
+        "op7_toxicity": op7_toxicity,
         "op9_packing": op9_packing,
     }
 
