@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fillwise.llm.op1_quality import OP1_SQL, op1_quality
+from fillwise.llm.op10_licenses import op10_licenses
 from fillwise.llm.op3_warc import OP3_SQL, op3_warc
 from fillwise.llm.op4_exact_dedup import OP4_SQL, op4_exact_dedup
 from fillwise.llm.op6_mixing import op6_mixing
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_toxicity": op7_toxicity,
         "op9_packing": op9_packing,
+        "op10_licenses": op10_licenses,
     }
 
 
