@@ -10,6 +10,7 @@ from fillwise.llm.op1_quality import OP1_SQL, op1_quality
 from fillwise.llm.op10_licenses import op10_licenses
 from fillwise.llm.op3_warc import OP3_SQL, op3_warc
 from fillwise.llm.op4_exact_dedup import OP4_SQL, op4_exact_dedup
+from fillwise.llm.op5_html import op5_html
 from fillwise.llm.op6_mixing import op6_mixing
 from fillwise.llm.op7_toxicity import op7_toxicity
 from fillwise.llm.op9_packing import op9_packing
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_html": op5_html,
         "op6_mixing": op6_mixing,
         "op7_toxicity": op7_toxicity,
         "op9_packing": op9_packing,
