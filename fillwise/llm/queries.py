@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fillwise.llm.op1_quality import OP1_SQL, op1_quality
 from fillwise.llm.op10_licenses import op10_licenses
+from fillwise.llm.op2_jaccard import OP2_SQL, op2_jaccard
 from fillwise.llm.op3_warc import OP3_SQL, op3_warc
 from fillwise.llm.op4_exact_dedup import OP4_SQL, op4_exact_dedup
 from fillwise.llm.op5_html import op5_html
@@ -19,6 +20,7 @@ from fillwise.llm.op9_packing import op9_packing
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_jaccard": op2_jaccard,
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_html": op5_html,
@@ -32,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality": OP1_SQL,
+        "op2_jaccard": OP2_SQL,
         "op3_warc": OP3_SQL,
         "op4_exact_dedup": OP4_SQL,
     }
