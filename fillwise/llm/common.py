@@ -53,8 +53,9 @@ class KeyFilter:
     passes may still have no such key (bits collide), so an exact step has to follow; no row with a key is dropped.
     """
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = 23):
-        self.n_bits = 1 << bits
+    def __init__(self, keys: DataFrame, column: str, bits: int = 23, hashed: bool = False):
+        """``hashed``: the keys are hashes already and place themselves."""
+        self.n_bits, self.hashed = 1 << bits, hashed
         word, bit = self._place(F.col(column))
         rows = (
             keys.where(F.col(column).isNotNull())
@@ -64,7 +65,7 @@ class KeyFilter:
         self.words = written(rows, "keyfilter")
 
     def _place(self, key: Column) -> tuple[Column, Column]:
-        at = F.pmod(F.xxhash64(key), F.lit(self.n_bits))
+        at = F.pmod(key if self.hashed else F.xxhash64(key), F.lit(self.n_bits))
         return F.floor(at / 63).cast("int"), (at % 63).cast("int")
 
     def mark(self, df: DataFrame, column: str, flag: str) -> DataFrame:

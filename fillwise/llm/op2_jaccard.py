@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = _grouped(reps.select("id", "n", "probe"), roots).select("id", "n", "grp", F.posexplode("probe").alias("place", "token"))
     contested = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
     contested = written(contested, "contested")
-    tokens = KeyFilter(contested, "token", bits=25).mark(tokens, "token", "hit").where("hit").drop("hit")
+    tokens = KeyFilter(contested, "token", bits=25, hashed=True).mark(tokens, "token", "hit").where("hit").drop("hit")
     tokens = written(tokens.join(contested, "token", "left_semi"), "postings")
     index = tokens.where("place < n - ceil(6 * n / 7) + 1")
     matrix = index.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("id").alias("witness"))

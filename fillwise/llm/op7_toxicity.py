@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +37,7 @@ def features(token: str) -> list[str]:
 def copy_key(text: str) -> int:
     """The smallest hash of five tokens in a row: near copies mostly share it."""
     words = TOKEN.findall(text.lower())
-    rows = (" ".join(words[i : i + 5]).encode() for i in range(max(1, len(words) - 4)))
-    return min(zlib.crc32(r, zlib.crc32(r[::-1])) | zlib.adler32(r) << 32 for r in rows) >> 1
+    return min(xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))) >> 1
 
 
 def log_odds(y1: np.ndarray, y0: np.ndarray, n1: float, n0: float) -> tuple[np.ndarray, np.ndarray]:

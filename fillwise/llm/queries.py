@@ -14,6 +14,7 @@ from fillwise.llm.op4_exact_dedup import OP4_SQL, op4_exact_dedup
 from fillwise.llm.op5_html import op5_html
 from fillwise.llm.op6_mixing import op6_mixing
 from fillwise.llm.op7_toxicity import op7_toxicity
+from fillwise.llm.op8_substring import OP8_SQL, op8_substring
 from fillwise.llm.op9_packing import op9_packing
 
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html": op5_html,
         "op6_mixing": op6_mixing,
         "op7_toxicity": op7_toxicity,
+        "op8_substring": op8_substring,
         "op9_packing": op9_packing,
         "op10_licenses": op10_licenses,
     }
@@ -37,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_jaccard": OP2_SQL,
         "op3_warc": OP3_SQL,
         "op4_exact_dedup": OP4_SQL,
+        "op8_substring": OP8_SQL,
     }
