@@ -117,7 +117,7 @@ def balanced_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     max_repeats: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), chunk: int = CHUNK, seed: int = 7,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, repeats) for each row.
+    """(doc_id, source, size, source_size, target, taken, repeats) for each row.
 
     A null text has size 0. Null sources are one source, the last. Rows repeated with one id are separate documents
     (alike ones are interchangeable). Null ids are documents like others. Sources without words have target 0. An empty
@@ -152,9 +152,10 @@ def balanced_mix(
         out = out.unionByName(part)
     repeats = (F.col("base") + F.rint("p")).cast("int")
     return out.select(
-        "doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats")
+        "doc_id", "source", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats")
     )
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balanced_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    mix = balanced_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "repeats")

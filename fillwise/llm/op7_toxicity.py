@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -249,6 +249,16 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def toxicity_column(model: ToxicModel, text: Column) -> Column:
+    """The score of a text column in place, for filters."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.probability(*model.scan(t)) for t in texts], dtype=float)
+
+    return score(text)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score_documents(docs, fit(docs, labels))
