@@ -1,0 +1,3 @@
+"""Registered queries. Importing the package registers all of them."""
+
+from fillwise.plans import grids, series, station_days  # noqa: F401
