@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwise.llm.common import KeyFilter, components, written
@@ -84,7 +84,10 @@ def _frequent(texts: DataFrame) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, n, sig1, sig2, mh array, probe array): probe has the rarest tokens in order, as many as a probe needs."""
+    """(id, n, sig1, sig2, mh, probe, edge_n, edge): probe has the rarest tokens in order, as many as a probe needs.
+
+    The edge is the place of the last of them in the common order.
+    """
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,17 +99,21 @@ def _sets(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 s = shingles(text, hashes)
                 n = len(s)
                 if not n:
-                    rows.append((doc, 0, 0, 0, [], []))
+                    rows.append((doc, 0, 0, 0, [], [], 0, 0))
                     continue
                 sig = np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(s * _P))]).view(np.int64)
                 mh = np.array([_mix(s ^ np.uint64(k * 7919 + 1)).min() for k in range(MIN_HASHES)]).view(np.int64)
+                often = np.zeros(n, dtype=np.uint64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    s = s[np.argsort(np.where(tokens[at] == s, times[at], np.uint64(0)), kind="stable")]
-                rows.append((doc, n, sig[0], sig[1], mh, s[: probe_length(n)].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "n", "sig1", "sig2", "mh", "probe"])
-
-    schema = f"id {kind}, n int, sig1 long, sig2 long, mh array<long>, probe array<long>"
+                    often = np.where(tokens[at] == s, times[at], np.uint64(0))
+                    order = np.argsort(often, kind="stable")
+                    s, often = s[order], often[order]
+                last = probe_length(n) - 1
+                rows.append((doc, n, sig[0], sig[1], mh, s[: last + 1].view(np.int64), int(often[last]), int(s[last] >> np.uint64(1))))
+            yield pd.DataFrame(rows, columns=["id", "n", "sig1", "sig2", "mh", "probe", "edge_n", "edge"])
+
+    schema = f"id {kind}, n int, sig1 long, sig2 long, mh array<long>, probe array<long>, edge_n long, edge long"
     return written(texts.mapInPandas(run, schema), "sets")
 
 
@@ -150,6 +157,19 @@ def _grouped(reps: DataFrame, roots: DataFrame) -> DataFrame:
     return alone.unionByName(rest.withColumn("grp", F.coalesce("root", "id")).drop("node", "root"))
 
 
+def _may_link(n: str, lo: str, hi: str) -> Column:
+    """Whether a query of n tokens may link with a document of lo to hi tokens, no larger than itself, given their hits.
+
+    Shared tokens up to the smaller of the two edges are all hits; past its own edge a document has ceil(3 size / 4) - 1
+    tokens. So at most hits + ceil(3 hi / 4) - 1 are shared where the other's edge comes first, else hits +
+    ceil(3 n / 4) - 1; a link needs 3 / 7 of the sum of the sizes.
+    """
+    n, lo, hi = F.col(n), F.col(lo), F.col(hi)
+    past = F.when(F.col("edge") <= F.col("q_edge"), F.least(n, hi)).otherwise(n)
+    smallest = F.greatest(lo, F.ceil(3 * n / 4))
+    return 7 * (F.col("hits") + F.ceil(3 * past / 4) - 1) >= 3 * (n + smallest)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest id reachable by links.
 
@@ -168,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = members.where("id = rep").select("id")
     reps = marked.where(~F.col("hit")).drop("hit").unionByName(
         marked.where("hit").drop("hit").join(own, "id", "left_semi")
-    ).select("id", "n", "mh", "probe")
+    ).select("id", "n", "mh", "probe", F.struct("edge_n", "edge").alias("edge"))
 
     # groups of similar documents: each tried against the leader of its min-hash
     keys = reps.select("id", "n", F.posexplode("mh").alias("k", "mh"))
@@ -177,20 +197,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(star.select(F.col("leader.id").alias("a"), F.col("id").alias("b")), texts)
     roots = written(components(links), "roots")
 
-    # the token-group matrix: index tokens of each group with the sizes of their documents
-    tokens = _grouped(reps.select("id", "n", "probe"), roots).select("id", "n", "grp", F.posexplode("probe").alias("place", "token"))
+    # the token-group matrix: probe tokens of each group, with the sizes and edges of the documents that have them
+    tokens = _grouped(reps.select("id", "n", "edge", "probe"), roots).select(
+        "id", "n", "edge", "grp", F.posexplode("probe").alias("place", "token")
+    )
     contested = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
     contested = written(contested, "contested")
     tokens = KeyFilter(contested, "token", bits=25, hashed=True).mark(tokens, "token", "hit").where("hit").drop("hit")
-    tokens = written(tokens.join(contested, "token", "left_semi"), "postings")
-    index = tokens.where("place < n - ceil(6 * n / 7) + 1")
-    matrix = index.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("id").alias("witness"))
+    indexed = F.col("place") < F.col("n") - F.ceil(6 * F.col("n") / 7) + 1
+    tokens = written(tokens.join(contested, "token", "left_semi").withColumn("indexed", indexed).drop("place"), "postings")
+    matrix = tokens.groupBy("token", "grp").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("edge").alias("edge"), F.max("indexed").alias("indexed"),
+        F.min(F.when(F.col("indexed"), F.col("id"))).alias("witness"),
+    )
     t, m = tokens.alias("t"), matrix.alias("m")
     hits = t.join(m, F.col("t.token") == F.col("m.token")).where("t.grp <> m.grp AND m.lo <= t.n AND 4 * m.hi >= 3 * t.n")
     bounds = hits.groupBy(F.col("t.id").alias("q"), F.col("t.grp").alias("q_grp"), F.col("m.grp").alias("grp")).agg(
-        F.max("t.n").alias("n"), F.min("t.place").alias("place"), F.min("m.lo").alias("lo"), F.min("m.witness").alias("witness")
+        F.max("t.n").alias("n"), F.max("t.edge").alias("q_edge"), F.max("m.edge").alias("edge"), F.count("*").alias("hits"),
+        F.min("m.lo").alias("lo"), F.max("m.hi").alias("hi"), F.min("m.witness").alias("witness"),
     )
-    bounds = written(bounds.where("7 * (n - place) >= 3 * (n + lo)"), "qualifying")
+    bounds = written(bounds.where(F.col("witness").isNotNull() & _may_link("n", "lo", "hi")).select("q", "q_grp", "grp", "witness"), "qualifying")
     tried = bounds.select(F.col("q").alias("a"), F.col("witness").alias("b"))
     links = links.union(_verified(tried, texts))
     roots = written(components(links), "roots")
@@ -201,9 +227,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return df.join(r, F.col(column) == F.col(f"__{name}"), "left").withColumn(name, F.coalesce(name, column)).drop(f"__{name}")
 
     apart = at(at(bounds, "q", "q_root"), "grp", "grp_root").where("q_root <> grp_root").select("q", "grp", "witness")
-    probes = tokens.select(F.col("token"), F.col("id").alias("q"), F.col("n").alias("q_n")).join(apart, "q")
-    inner = index.select("token", "grp", F.col("id").alias("d"), F.col("n").alias("d_n"))
+    probes = tokens.select("token", F.col("id").alias("q"), F.col("n").alias("q_n"), F.col("edge").alias("q_edge")).join(apart, "q")
+    inner = tokens.select("token", "grp", F.col("id").alias("d"), F.col("n").alias("d_n"), "edge", "indexed")
     opened = probes.join(inner, ["token", "grp"]).where("d <> witness AND d_n <= q_n AND 4 * d_n >= 3 * q_n")
+    opened = opened.groupBy("q", "d").agg(
+        F.max("q_n").alias("n"), F.max("d_n").alias("d_n"), F.max("q_edge").alias("q_edge"), F.max("edge").alias("edge"),
+        F.count("*").alias("hits"), F.max("indexed").alias("indexed"),
+    )
+    opened = opened.where(F.col("indexed") & _may_link("n", "d_n", "d_n"))
     links = links.union(_verified(opened.select(F.col("q").alias("a"), F.col("d").alias("b")), texts))
     roots = written(components(links), "roots")
 
