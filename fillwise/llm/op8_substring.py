@@ -58,6 +58,11 @@ def anchors(words: list[bytes], hashes: _WordHashes, width: int = WIDTH) -> tupl
     return h[place].view(np.int64), place
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]])
+
+
 class FMIndex:
     """Backward search over a text of whole numbers; separators end every match."""
 
@@ -152,21 +157,24 @@ def _shared_anchors(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for pdf in batches:
-            found = [np.unique(anchors(words_of(t), hashes, width)[0]) for t in pdf["text"]]
+            found = []
+            for text in pdf["text"]:
+                keys, place = anchors(words_of(text), hashes, width)
+                found.append(keys[_changes(place)])
             keys = np.concatenate([np.zeros(0, np.int64), *found])
             docs = np.repeat(pdf["id"].to_numpy(np.int64), [len(x) for x in found])
-            order = np.lexsort((docs, keys))
+            order = np.argsort(keys)
             keys, docs = keys[order], docs[order]
-            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-            last = np.append(edge[1:], len(keys)) - 1 if len(keys) else edge
-            yield pd.DataFrame({"anchor": keys[edge], "lo": docs[edge], "hi": docs[last]})
+            edge = np.flatnonzero(_changes(keys))
+            low, high = (f.reduceat(docs, edge) if len(edge) else docs for f in (np.minimum, np.maximum))
+            yield pd.DataFrame({"anchor": keys[edge], "lo": low, "hi": high})
 
     rows = texts.mapInPandas(run, "anchor long, lo long, hi long")
     return rows.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("anchor")
 
 
 def _segments(texts: DataFrame, shared: np.ndarray, n_bits: int, width: int) -> DataFrame:
-    """Occurrences (anchor, seg, id, start) with text null, and each batch's distinct segments with their text, lo, hi."""
+    """Occurrences (anchor, seg, id, start) with text null, and each batch's distinct segments with text, lo and hi."""
     bits = texts.sparkSession.sparkContext.broadcast(shared)
     schema = "anchor long, seg long, id long, start int, text string, lo long, hi long"
 
@@ -177,24 +185,36 @@ def _segments(texts: DataFrame, shared: np.ndarray, n_bits: int, width: int) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for pdf in batches:
-            rows, known = [], {}
-            for doc, text in zip(pdf["id"], pdf["text"], strict=True):
+            parts, segs, known = [], [], {}
+            for doc, text in zip(pdf["id"].tolist(), pdf["text"], strict=True):
                 words = words_of(text)
                 keys, place = anchors(words, hashes, width)
-                if not len(keys):
-                    continue
-                begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                begin = np.flatnonzero(_changes(place))
                 end = np.append(begin[1:], len(place))
                 ok = hit(keys[begin])
-                for a, b in zip(begin[ok].tolist(), end[ok].tolist(), strict=True):
+                if not ok.any():
+                    continue
+                begin, end, keys = begin[ok], end[ok], keys[begin[ok]]
+                parts.append((keys, np.full(len(keys), doc), begin))
+                for anchor, a, b in zip(keys.tolist(), begin.tolist(), end.tolist(), strict=True):
                     part = b" ".join(words[a : b + width - 1])
-                    seg, anchor = xxhash.xxh3_64_intdigest(part) >> 1, int(keys[a])
-                    rows.append((anchor, seg, doc, a, None, None, None))
+                    seg = xxhash.xxh3_64_intdigest(part) >> 1
+                    segs.append(seg)
                     was = known.get((anchor, seg))
-                    known[anchor, seg] = (part, doc, doc) if was is None else (part, min(was[1], doc), max(was[2], doc))
-            rows += [(a, s, None, None, p.decode("utf-8", "surrogatepass"), lo, hi) for (a, s), (p, lo, hi) in known.items()]
-            out = pd.DataFrame(rows, columns=["anchor", "seg", "id", "start", "text", "lo", "hi"])
-            yield out.astype({"id": "Int64", "start": "Int32", "lo": "Int64", "hi": "Int64"})
+                    if was is None:
+                        known[anchor, seg] = [part, doc, doc]
+                    elif doc < was[1]:
+                        was[1] = doc
+                    elif doc > was[2]:
+                        was[2] = doc
+            if not parts:
+                continue
+            anchor, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
+            yield pd.DataFrame({"anchor": anchor, "seg": segs, "id": doc, "start": start, "text": None, "lo": 0, "hi": 0})
+            anchor, seg = (np.array(c, dtype=np.int64) for c in zip(*known, strict=True))
+            part, low, high = zip(*known.values(), strict=True)
+            text = [x.decode("utf-8", "surrogatepass") for x in part]
+            yield pd.DataFrame({"anchor": anchor, "seg": seg, "id": 0, "start": 0, "text": text, "lo": low, "hi": high})
 
     return written(texts.mapInPandas(run, schema), "segments")
 
@@ -215,12 +235,14 @@ def _matches(distinct: DataFrame, width: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf.groupby("text", sort=False)
-        number, low = same.ngroup().to_numpy(), same["lo"].min().to_numpy(np.int64)
+        number, low, high = same.ngroup().to_numpy(), same["lo"].min().to_numpy(np.int64), same["hi"].max().to_numpy(np.int64)
         first = ~pdf["text"].duplicated()
         lows = lowest_matches([t.encode("utf-8", "surrogatepass").split(b" ") for t in pdf.loc[first, "text"]], low, width)
-        out = pdf[["anchor", "seg", "at"]].assign(lows=[lows[k] for k in number])
-        top = pdf.groupby(["anchor", "seg"])["hi"].transform("max").to_numpy(np.int64)
-        return out[[bool(x.min() < t) for x, t in zip(out["lows"], top, strict=True)]].drop_duplicates(["anchor", "seg", "at"])
+        sizes = np.array([len(x) for x in lows])
+        least = np.minimum.reduceat(np.concatenate(lows), np.cumsum(sizes) - sizes)
+        useful = (least < high)[number]  # elsewhere no document stands after a match
+        out = pdf.loc[useful, ["anchor", "seg", "at"]].assign(number=number[useful]).drop_duplicates(["anchor", "seg", "at"])
+        return out.assign(lows=[lows[k] for k in out["number"]]).drop(columns="number")
 
     dealt = todo.withColumn("shard", F.pmod("deal", F.lit(shards)))
     found = dealt.groupBy("shard").applyInPandas(run, "anchor long, seg long, at int, lows array<long>")
@@ -234,7 +256,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     segments = _segments(texts, shared.array(), shared.n_bits, width)
     distinct = segments.where("text IS NOT NULL").select("anchor", "seg", "text", "lo", "hi")
     matches = _matches(distinct, width)
-    hits = segments.where("id IS NOT NULL").select("anchor", "seg", "id", "start").join(matches, ["anchor", "seg"])
+    hits = segments.where("text IS NULL").select("anchor", "seg", "id", "start").join(matches, ["anchor", "seg"])
     places = F.filter(F.sequence(F.lit(0), F.size("lows") - 1), lambda i: F.get("lows", i) < F.col("id"))
     spans = hits.select("id", F.explode(F.transform(places, lambda i: F.col("start") + F.col("at") + i)).alias("first"))
     return written(spans.groupBy("id").agg(F.sort_array(F.collect_set("first")).alias("firsts")), "spans")
