@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwise.llm.common import KeyFilter, written
@@ -174,9 +174,12 @@ def _shared_anchors(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _segments(texts: DataFrame, shared: np.ndarray, n_bits: int, width: int) -> DataFrame:
-    """Occurrences (anchor, seg, id, start) with text null, and each batch's distinct segments with text, lo and hi."""
+    """Occurrences (seg, id, key, start) with text null, and each batch's distinct segments with text, anchor, lo and hi.
+
+    ``key`` tells rows of one id with different texts apart; in a distinct segment it is the anchor.
+    """
     bits = texts.sparkSession.sparkContext.broadcast(shared)
-    schema = "anchor long, seg long, id long, start int, text string, lo long, hi long"
+    schema = "key long, seg long, id long, start int, text string, lo long, hi long"
 
     def hit(keys: np.ndarray) -> np.ndarray:
         at = keys % np.int64(n_bits)
@@ -186,7 +189,7 @@ def _segments(texts: DataFrame, shared: np.ndarray, n_bits: int, width: int) ->
         hashes = _WordHashes()
         for pdf in batches:
             parts, segs, known = [], [], {}
-            for doc, text in zip(pdf["id"].tolist(), pdf["text"], strict=True):
+            for doc, key, text in zip(pdf["id"].tolist(), pdf["key"].tolist(), pdf["text"], strict=True):
                 words = words_of(text)
                 keys, place = anchors(words, hashes, width)
                 begin = np.flatnonzero(_changes(place))
@@ -195,7 +198,7 @@ def _segments(texts: DataFrame, shared: np.ndarray, n_bits: int, width: int) ->
                 if not ok.any():
                     continue
                 begin, end, keys = begin[ok], end[ok], keys[begin[ok]]
-                parts.append((keys, np.full(len(keys), doc), begin))
+                parts.append((np.full(len(keys), key), np.full(len(keys), doc), begin))
                 for anchor, a, b in zip(keys.tolist(), begin.tolist(), end.tolist(), strict=True):
                     part = b" ".join(words[a : b + width - 1])
                     seg = xxhash.xxh3_64_intdigest(part) >> 1
@@ -209,27 +212,27 @@ def _segments(texts: DataFrame, shared: np.ndarray, n_bits: int, width: int) ->
                         was[2] = doc
             if not parts:
                 continue
-            anchor, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
-            yield pd.DataFrame({"anchor": anchor, "seg": segs, "id": doc, "start": start, "text": None, "lo": 0, "hi": 0})
+            row, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
+            yield pd.DataFrame({"key": row, "seg": segs, "id": doc, "start": start, "text": None, "lo": 0, "hi": 0})
             anchor, seg = (np.array(c, dtype=np.int64) for c in zip(*known, strict=True))
             part, low, high = zip(*known.values(), strict=True)
             text = [x.decode("utf-8", "surrogatepass") for x in part]
-            yield pd.DataFrame({"anchor": anchor, "seg": seg, "id": 0, "start": 0, "text": text, "lo": low, "hi": high})
+            yield pd.DataFrame({"key": anchor, "seg": seg, "id": 0, "start": 0, "text": text, "lo": low, "hi": high})
 
     return written(texts.mapInPandas(run, schema), "segments")
 
 
 def _matches(distinct: DataFrame, width: int) -> DataFrame:
-    """(anchor, seg, at, lows): for windows at, at + 1, ... of a segment the smallest document that has them."""
+    """(seg, at, lows): for windows at, at + 1, ... of a segment the smallest document that has them."""
     counts = distinct.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT_ANCHOR)
     hot = written(counts.select(F.col("anchor").alias("__hot")), "hot-anchors")
     rows = distinct.join(hot, F.col("anchor") == F.col("__hot"), "left")
-    plain = rows.where("__hot IS NULL").select("anchor", "seg", F.lit(0).alias("at"), "text", "lo", "hi", F.xxhash64("anchor").alias("deal"))
+    plain = rows.where("__hot IS NULL").select("seg", F.lit(0).alias("at"), "text", "lo", "hi", F.xxhash64("anchor").alias("deal"))
     words = F.split("text", " ")
     places = F.sequence(F.lit(0), F.size(words) - width)
     windows = F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, width), " ").alias("text")))
-    single = rows.where("__hot IS NOT NULL").select("anchor", "seg", "lo", "hi", F.inline(windows))
-    single = single.select("anchor", "seg", "at", "text", "lo", "hi", F.xxhash64("text").alias("deal"))
+    single = rows.where("__hot IS NOT NULL").select("seg", "lo", "hi", F.inline(windows))
+    single = single.select("seg", "at", "text", "lo", "hi", F.xxhash64("text").alias("deal"))
     todo = plain.unionByName(single)
     shards = max(1, -(-todo.count() // SHARD_SEGMENTS))
 
@@ -241,25 +244,30 @@ def _matches(distinct: DataFrame, width: int) -> DataFrame:
         sizes = np.array([len(x) for x in lows])
         least = np.minimum.reduceat(np.concatenate(lows), np.cumsum(sizes) - sizes)
         useful = (least < high)[number]  # elsewhere no document stands after a match
-        out = pdf.loc[useful, ["anchor", "seg", "at"]].assign(number=number[useful]).drop_duplicates(["anchor", "seg", "at"])
+        out = pdf.loc[useful, ["seg", "at"]].assign(number=number[useful]).drop_duplicates(["seg", "at"])
         return out.assign(lows=[lows[k] for k in out["number"]]).drop(columns="number")
 
     dealt = todo.withColumn("shard", F.pmod("deal", F.lit(shards)))
-    found = dealt.groupBy("shard").applyInPandas(run, "anchor long, seg long, at int, lows array<long>")
+    found = dealt.groupBy("shard").applyInPandas(run, "seg long, at int, lows array<long>")
     return written(found, "matches")
 
 
+def _row_key(text_col: str) -> Column:
+    return F.xxhash64(text_col)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, spans): for each document with repeated windows the [first, end) word places that they cover."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    """(id, key, firsts): for each document with repeated windows the places of their first words; key is _row_key()."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), _row_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = texts.where("id IS NOT NULL AND text IS NOT NULL")
     shared = KeyFilter(_shared_anchors(texts, width), "anchor", FILTER_BITS, hashed=True)
     segments = _segments(texts, shared.array(), shared.n_bits, width)
-    distinct = segments.where("text IS NOT NULL").select("anchor", "seg", "text", "lo", "hi")
+    distinct = segments.where("text IS NOT NULL").select(F.col("key").alias("anchor"), "seg", "text", "lo", "hi")
     matches = _matches(distinct, width)
-    hits = segments.where("text IS NULL").select("anchor", "seg", "id", "start").join(matches, ["anchor", "seg"])
+    hits = segments.where("text IS NULL").select("seg", "id", "key", "start").join(matches, "seg")
     places = F.filter(F.sequence(F.lit(0), F.size("lows") - 1), lambda i: F.get("lows", i) < F.col("id"))
-    spans = hits.select("id", F.explode(F.transform(places, lambda i: F.col("start") + F.col("at") + i)).alias("first"))
-    return written(spans.groupBy("id").agg(F.sort_array(F.collect_set("first")).alias("firsts")), "spans")
+    spans = hits.select("id", "key", F.explode(F.transform(places, lambda i: F.col("start") + F.col("at") + i)).alias("first"))
+    return written(spans.groupBy("id", "key").agg(F.sort_array(F.collect_set("first")).alias("firsts")), "spans")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -274,7 +282,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = KeyFilter(spans, "id").mark(rows.withColumn("__id", F.col("doc_id").cast("long")), "__id", "hit")
     whole = marked.where(~F.col("hit")).select("doc_id", "text", F.lit(None).cast("array<int>").alias("firsts"))
-    touched = marked.where("hit").join(spans, F.col("__id") == F.col("id"), "left").select("doc_id", "text", "firsts")
+    spans = spans.withColumnRenamed("key", "__key")
+    own = (F.col("__id") == F.col("id")) & (_row_key("text") == F.col("__key"))
+    touched = marked.where("hit").join(spans, own, "left").select("doc_id", "text", "firsts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
