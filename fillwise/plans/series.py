@@ -155,23 +155,29 @@ SELECT station_id, round(clim_rmse, 6) AS clim_rmse, round(persist_rmse, 6) AS p
 
 
 def filled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every date of every station: the observation, or else the station's climatology; with coverage."""
+    """Every date of every station filled with the observation or else the climatology, by station and year."""
     series = fixture(spark, sf_dir, "fx_series").select("station_id", "datum", "bap")
     stations = fixture(spark, sf_dir, "fx_station").select("station_id")
-    return metrics.rounded(reports.fill_with_climatology(series, stations).withColumn("datum", F.col("datum").cast("string")))
+    filled = reports.fill_with_climatology(series, stations)
+    return metrics.rounded(
+        filled.groupBy("station_id", F.year("datum").alias("year")).agg(
+            F.count("*").alias("n_days"), F.sum("is_observed").alias("n_observed"), F.avg("bap").alias("mean_observed"),
+            F.avg("bap_predicted").alias("mean_predicted"), F.avg("bap_filled").alias("mean_filled"),
+        )
+    )
 
 
 register("filled_series", filled_series, with_fixtures("fx_series fx_station", """,
 days AS (SELECT DISTINCT datum FROM fx_series),
-st AS (SELECT station_id FROM fx_station),
 m AS (SELECT station_id, month(datum) AS month, avg(bap) AS v FROM fx_series GROUP BY 1, 2),
 s AS (SELECT station_id, avg(bap) AS v FROM fx_series GROUP BY 1),
-g AS (SELECT month(datum) AS month, avg(bap) AS v FROM fx_series GROUP BY 1)
-SELECT st.station_id, CAST(d.datum AS VARCHAR) AS datum, round(x.bap, 6) AS bap, round(coalesce(m.v, s.v, g.v), 6) AS bap_predicted,
-  round(coalesce(x.bap, m.v, s.v, g.v), 6) AS bap_filled, CASE WHEN x.bap IS NULL THEN 0 ELSE 1 END AS is_observed
-FROM st CROSS JOIN days d LEFT JOIN fx_series x ON x.station_id = st.station_id AND x.datum = d.datum
-LEFT JOIN m ON m.station_id = st.station_id AND m.month = month(d.datum) LEFT JOIN s ON s.station_id = st.station_id
-LEFT JOIN g ON g.month = month(d.datum)"""))
+g AS (SELECT month(datum) AS month, avg(bap) AS v FROM fx_series GROUP BY 1),
+f AS (SELECT st.station_id, year(d.datum) AS year, x.bap, coalesce(m.v, s.v, g.v) AS p
+  FROM fx_station st CROSS JOIN days d LEFT JOIN fx_series x ON x.station_id = st.station_id AND x.datum = d.datum
+  LEFT JOIN m ON m.station_id = st.station_id AND m.month = month(d.datum) LEFT JOIN s ON s.station_id = st.station_id
+  LEFT JOIN g ON g.month = month(d.datum))
+SELECT station_id, year, count(*) AS n_days, count(bap) AS n_observed, round(avg(bap), 6) AS mean_observed, round(avg(p), 6) AS mean_predicted,
+  round(avg(coalesce(bap, p)), 6) AS mean_filled FROM f GROUP BY 1, 2"""))
 
 
 def station_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
