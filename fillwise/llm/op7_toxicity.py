@@ -2,7 +2,8 @@
 
 Counting: in labelled training documents, each token stands for itself and for its prefixes of 3, 4 and 5 letters; a
 feature's log-odds between toxic and other documents gets a Dirichlet prior, and its z-score says how far to trust it.
-Near copies count once. A token scores as its most trusted feature, less a drift. Scanning: the
+Near copies count once.
+Features whose ratio is neither sure nor large are left out. A token scores as its most decided feature, less a drift. Scanning: the
 Ruzzo-Tompa algorithm finds all maximal segments of a text in linear time. Calibration, on other training
 documents: the drift is set so that lambda, the decay of the extreme-value law of clean text (Karlin-Altschul: expected
 number of segments K n exp(-lambda S)), is 1, as it is for exact log-odds; K is fitted to the best segments of clean
@@ -27,7 +28,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5)
 #: Most labelled documents that the fit reads, and most features that the model keeps.
 MAX_TRAIN, MAX_FEATURES = 24_000, 50_000
-MIN_Z, MIN_DRIFT, PRIOR, MIN_PRIOR, MAX_E = 4.0, 0.03, 0.5, 0.5, 0.05
+MIN_Z, MIN_ODDS, MIN_DRIFT, PRIOR, MIN_PRIOR, MAX_E = 4.0, 1.0, 0.03, 0.5, 0.5, 0.05
 
 
 def features(token: str) -> list[str]:
@@ -89,9 +90,9 @@ class ToxicModel:
     def token_score(self, token: str) -> float:
         got = self._seen.get(token)
         if got is None:
-            best = max((w for f in features(token) if (w := self.weights.get(f))), key=lambda w: abs(w[1]), default=(0.0, 0.0))
+            best = max((w for f in features(token) if (w := self.weights.get(f))), key=lambda w: abs(w[0]), default=(0.0, 0.0))
             got = best[0] - self.drift
-            if len(self._seen) > 500_000:
+            if len(self._seen) > 200_000:
                 self._seen.clear()
             self._seen[token] = got
         return got
@@ -181,7 +182,7 @@ def fit(
         delta, z = log_odds(y1.to_numpy(float), y0.to_numpy(float), n1, n0)
         return pd.DataFrame({"delta": delta, "z": z})
 
-    kept = counts.withColumn("o", odds("y1", "y0")).select("feature", "o.*").where(F.abs("z") >= MIN_Z)
+    kept = counts.withColumn("o", odds("y1", "y0")).select("feature", "o.*").where((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_ODDS))
     kept = kept.orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES).toPandas()
     model = ToxicModel({f: (d, z) for f, d, z in zip(kept["feature"], kept["delta"], kept["z"], strict=True)})
 
