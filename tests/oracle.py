@@ -11,7 +11,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def _plain(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return "null"
         return f"{v + 0:.6g}" if isinstance(v, float) else str(v)
 
