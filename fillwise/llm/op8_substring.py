@@ -256,18 +256,37 @@ def _row_key(text_col: str) -> Column:
     return F.xxhash64(text_col)
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """(id, key) of rows whose whole text a smaller id has: the index holds each text once, under its smallest id."""
+    sums = written(texts.select("id", "key", F.md5(F.encode("text", "UTF-8")).alias("sum")), "text-sums")
+    first = sums.groupBy("sum").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    return written(sums.join(first, "sum").where("id <> first").select("id", "key").distinct(), "copies")
+
+
+def _without_rows(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """All but the given (id, key); rows whose id is not among them don't move."""
+    marked = KeyFilter(rows, "id").mark(texts, "id", "hit")
+    return marked.where(~F.col("hit")).drop("hit").unionByName(marked.where("hit").drop("hit").join(rows, ["id", "key"], "left_anti"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, key, firsts): for each document with repeated windows the places of their first words; key is _row_key()."""
+    """(id, key, firsts): for each document with repeated windows the places of their first words; key is _row_key().
+
+    For whole copies of a document with a smaller id that is [-1]: all their windows repeat.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), _row_key(text_col).alias("key"), F.col(text_col).alias("text"))
     texts = texts.where("id IS NOT NULL AND text IS NOT NULL")
-    shared = KeyFilter(_shared_anchors(texts, width), "anchor", FILTER_BITS, hashed=True)
-    segments = _segments(texts, shared.array(), shared.n_bits, width)
+    copies = _copies(texts)
+    texts = _without_rows(texts, copies)
+    shared = KeyFilter(_shared_anchors(texts.select("id", "text"), width), "anchor", FILTER_BITS, hashed=True)
+    segments = _segments(texts.select("id", "key", "text"), shared.array(), shared.n_bits, width)
     distinct = segments.where("text IS NOT NULL").select(F.col("key").alias("anchor"), "seg", "text", "lo", "hi")
     matches = _matches(distinct, width)
     hits = segments.where("text IS NULL").select("seg", "id", "key", "start").join(matches, "seg")
     places = F.filter(F.sequence(F.lit(0), F.size("lows") - 1), lambda i: F.get("lows", i) < F.col("id"))
     spans = hits.select("id", "key", F.explode(F.transform(places, lambda i: F.col("start") + F.col("at") + i)).alias("first"))
-    return written(spans.groupBy("id", "key").agg(F.sort_array(F.collect_set("first")).alias("firsts")), "spans")
+    spans = spans.groupBy("id", "key").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
+    return written(spans.unionByName(copies.withColumn("firsts", F.array(F.lit(-1)))), "spans")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -292,10 +311,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text, firsts in zip(pdf["text"], pdf["firsts"], strict=True):
                 words = words_of(text)
                 n = len(words)
-                if firsts is not None:
+                if firsts is not None and n >= width:
+                    firsts = np.asarray(firsts)
+                    if firsts[0] < 0:
+                        firsts = np.arange(n - width + 1)
                     edge = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(edge, firsts, 1)
-                    np.add.at(edge, np.asarray(firsts) + width, -1)
+                    np.add.at(edge, firsts + width, -1)
                     words = [w for w, c in zip(words, np.cumsum(edge[:-1]) == 0, strict=True) if c]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text else ""))
