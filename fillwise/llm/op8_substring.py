@@ -24,7 +24,9 @@ from fillwise.llm.common import KeyFilter, written
 
 WIDTH, GRAM = 13, 4
 #: Segments of one FM-index; segments from which an anchor is split into its windows; bits of the map of shared anchors.
-SHARD_SEGMENTS, HOT_ANCHOR, FILTER_BITS = 30_000, 5_000, 25
+SHARD_SEGMENTS, HOT_ANCHOR, FILTER_BITS = 20_000, 5_000, 25
+#: Documents whose segments a task holds at a time.
+BATCH = 2000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,7 +34,7 @@ class _WordHashes(dict):
     """word -> 64-bit hash, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -156,7 +158,7 @@ def _shared_anchors(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
-        for pdf in batches:
+        for pdf in (b.iloc[k : k + BATCH] for b in batches for k in range(0, len(b), BATCH)):
             found = []
             for text in pdf["text"]:
                 keys, place = anchors(words_of(text), hashes, width)
@@ -187,7 +189,7 @@ def _segments(texts: DataFrame, shared: np.ndarray, n_bits: int, width: int) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
-        for pdf in batches:
+        for pdf in (b.iloc[k : k + BATCH] for b in batches for k in range(0, len(b), BATCH)):
             parts, segs, known = [], [], {}
             for doc, key, text in zip(pdf["id"].tolist(), pdf["key"].tolist(), pdf["text"], strict=True):
                 words = words_of(text)
