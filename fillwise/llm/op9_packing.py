@@ -23,19 +23,19 @@ GROUP_ITEMS, SLACK = 20_000, 4
 _ENCODERS: dict[tuple[str, str | None], object] = {}
 
 
-def encoder(path: str, ranks: str | None):
+def encoder(tokenizer: str, ranks: str | None):
     """text -> ids of the tokenizer file. With ``ranks``, the same vocabulary as tiktoken ranks, which is faster."""
-    if (path, ranks) not in _ENCODERS:
+    if (tokenizer, ranks) not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        plain = Tokenizer.from_file(path)
+        plain = Tokenizer.from_file(tokenizer)
         special = [t.content for t in plain.get_added_tokens_decoder().values()]
 
         def slow(text: str) -> list[int]:
             return plain.encode(text, add_special_tokens=False).ids
 
         if ranks is None:
-            _ENCODERS[path, ranks] = slow
+            _ENCODERS[tokenizer, ranks] = slow
         else:
             import base64
 
@@ -46,8 +46,8 @@ def encoder(path: str, ranks: str | None):
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             # strings of special tokens are ids of their own: such texts go to the library that knows them
-            _ENCODERS[path, ranks] = lambda t: slow(t) if any(s in t for s in special) else fast.encode_ordinary(t)
-    return _ENCODERS[path, ranks]
+            _ENCODERS[tokenizer, ranks] = lambda t: slow(t) if any(s in t for s in special) else fast.encode_ordinary(t)
+    return _ENCODERS[tokenizer, ranks]
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
