@@ -162,12 +162,12 @@ def pack(
     return out.drop("__item")
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str, ranks: str | None = None, **columns) -> DataFrame:
+def packed_sequences(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = CAPACITY, **columns) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): token_pieces() packed by pack().
 
     A null text counts as empty and has the end id alone. Null and repeated ids are documents like others.
     """
-    return pack(token_pieces(docs, tokenizer, ranks, **columns))
+    return pack(token_pieces(docs, tokenizer, ranks, capacity=capacity, **columns), capacity)
 
 
 def public_tokenizer() -> dict[str, str]:
