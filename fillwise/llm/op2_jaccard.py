@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from fillwise.llm.common import KeyFilter, components, written
 
-#: Tokens that are known as frequent: at most so many, each in so many documents of a batch. They only affect the order.
-MAX_FREQUENT, BATCH_MIN = 100_000, 8
+#: Tokens that are known as frequent: at most so many, each in so many documents of so large a batch. They only affect the order.
+MAX_FREQUENT, BATCH_MIN, BATCH = 100_000, 4, 2500
 MIN_HASHES = 3
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,7 +33,7 @@ class _WordHashes(dict):
     """word -> 64-bit hash, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -72,10 +72,11 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for pdf in batches:
-            sets = [shingles(t, hashes) for t in pdf["text"]]
-            tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            often = n >= BATCH_MIN
-            yield pd.DataFrame({"token": tokens[often].view(np.int64), "n": n[often]})
+            for lo in range(0, len(pdf), BATCH):
+                sets = [shingles(t, hashes) for t in pdf["text"].iloc[lo : lo + BATCH]]
+                tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+                often = n >= BATCH_MIN
+                yield pd.DataFrame({"token": tokens[often].view(np.int64), "n": n[often]})
 
     counts = texts.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
@@ -131,7 +132,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         def tokens(doc, text) -> np.ndarray:
             got = kept.get(doc)
             if got is None or got[0] != text:
-                if len(kept) > 2000:
+                if len(kept) > 500:
                     kept.clear()
                 got = kept[doc] = (text, shingles(text, hashes))
             return got[1]
@@ -198,9 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = written(components(links), "roots")
 
     # the token-group matrix: probe tokens of each group, with the sizes and edges of the documents that have them
-    tokens = _grouped(reps.select("id", "n", "edge", "probe"), roots).select(
-        "id", "n", "edge", "grp", F.posexplode("probe").alias("place", "token")
-    )
+    grouped = _grouped(reps.select("id", "n", "edge", "probe"), roots)
+    tokens = grouped.select("id", "n", "edge", "grp", F.posexplode("probe").alias("place", "token"))
     contested = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
     contested = written(contested, "contested")
     tokens = KeyFilter(contested, "token", bits=25, hashed=True).mark(tokens, "token", "hit").where("hit").drop("hit")
@@ -227,14 +227,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return df.join(r, F.col(column) == F.col(f"__{name}"), "left").withColumn(name, F.coalesce(name, column)).drop(f"__{name}")
 
     apart = at(at(bounds, "q", "q_root"), "grp", "grp_root").where("q_root <> grp_root").select("q", "grp", "witness")
-    probes = tokens.select("token", F.col("id").alias("q"), F.col("n").alias("q_n"), F.col("edge").alias("q_edge")).join(apart, "q")
-    inner = tokens.select("token", "grp", F.col("id").alias("d"), F.col("n").alias("d_n"), "edge", "indexed")
-    opened = probes.join(inner, ["token", "grp"]).where("d <> witness AND d_n <= q_n AND 4 * d_n >= 3 * q_n")
-    opened = opened.groupBy("q", "d").agg(
-        F.max("q_n").alias("n"), F.max("d_n").alias("d_n"), F.max("q_edge").alias("q_edge"), F.max("edge").alias("edge"),
-        F.count("*").alias("hits"), F.max("indexed").alias("indexed"),
+    apart = written(apart, "apart")
+    queries = KeyFilter(apart, "q").mark(grouped, "id", "hit").where("hit").join(apart, F.col("id") == F.col("q")).select(
+        "q", apart["grp"], "witness", "n", F.col("edge").alias("q_edge"), F.col("probe").alias("q_probe")
+    )
+    inner = KeyFilter(apart, "grp").mark(grouped, "grp", "hit").where("hit").select(
+        "grp", F.col("id").alias("d"), F.col("n").alias("d_n"), "edge", "probe"
     )
-    opened = opened.where(F.col("indexed") & _may_link("n", "d_n", "d_n"))
+    opened = queries.join(inner, "grp").where("d <> witness AND d_n <= n AND 4 * d_n >= 3 * n")
+    opened = opened.withColumn("hits", F.size(F.array_intersect("q_probe", "probe"))).where((F.col("hits") > 0) & _may_link("n", "d_n", "d_n"))
     links = links.union(_verified(opened.select(F.col("q").alias("a"), F.col("d").alias("b")), texts))
     roots = written(components(links), "roots")
 
