@@ -1,17 +1,18 @@
 """Licence notices by conditional compression.
 
 Lines with a cue word, and what stands between two of them that are near, form candidate blocks. A block is compressed
-on its own and with each template as a raw zstandard dictionary; the bytes that a template saves rank it. The winners
-are then confirmed by exact wording: the words of the template that the block lacks, in order, and the words that the
-block has between them. What is confirmed is reported with both lists.
+on its own and with each template as a raw zstandard dictionary. Every template that saves enough bytes is then compared
+by exact wording: the words of the template that the block lacks, in order, and the words that the block has between
+them. The template that explains most words is reported with both lists, its words leave the block, and so on until no
+template is confirmed in what is left.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,8 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }
 CUE = r"(?i)licen[cs]|copyright|permission is hereby|redistribution and use"
-#: Lines between two cue lines of one block; templates compared word by word; least bytes saved; most of a template's words missing.
-MAX_GAP, FINALISTS, MIN_SAVED, MAX_MISSING = 2, 3, 8, 0.1
+#: Lines between two cue lines of one block; least bytes saved; most of a template's words missing.
+MAX_GAP, MIN_SAVED, MAX_MISSING = 2, 8, 0.1
 _CUE, _WORD = re.compile(CUE), re.compile(r"\w+(?:[.\-]\w+)*")
 
 
@@ -57,51 +58,105 @@ def blocks(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, "\n".join(lines[a : b + 1])) for a, b in runs]
 
 
-def wording(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
-    """(words of the template that are missing, words that the block adds between those it shares)."""
-    match = SequenceMatcher(None, template, block, autojunk=False)
-    same = [m for m in match.get_matching_blocks() if m.size]
-    missing = list(template)
-    for m in reversed(same):
-        del missing[m.a : m.a + m.size]
-    added = [w for x, y in zip(same, same[1:], strict=False) for w in block[x.b + x.size : y.b]]
-    return missing, added
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def align(template: np.ndarray, block: np.ndarray, missing_cost: int) -> list[tuple[int, int]]:
+    """Pairs (place in the template, place in the block) of the words that they share in order.
+
+    The least ``missing_cost`` times missing words plus added words between shared ones, over all stretches of the block.
+    """
+    at = np.arange(len(block) + 1)
+    cost = [np.zeros(len(block) + 1, dtype=np.int64)]
+    for word in template:
+        row = cost[-1] + missing_cost
+        row[1:] = np.where(block == word, np.minimum(row[1:], cost[-1][:-1]), row[1:])
+        cost.append(np.minimum.accumulate(row - at) + at)
+    i, k = len(template), int(cost[-1].argmin())
+    pairs = []
+    while i:
+        if k and block[k - 1] == template[i - 1] and cost[i][k] == cost[i - 1][k - 1]:
+            i, k = i - 1, k - 1
+            pairs.append((i, k))
+        elif cost[i][k] == cost[i - 1][k] + missing_cost:
+            i -= 1
+        else:
+            k -= 1
+    return pairs[::-1]
 
 
 class Scanner:
-    """The templates as compressors. One instance serves a task."""
+    """The templates as compressors and word sequences. One instance serves a task."""
 
     def __init__(self, templates: dict[str, str]):
         self.plain = zstandard.ZstdCompressor(level=9)
-        self.words = {k: [w.lower() for w in _WORD.findall(t)] for k, t in templates.items()}
+        self.words = {k: w for k, t in templates.items() if (w := words_of(t))}
+        self.codes: dict[str, int] = {}
+        for word in (w for t in self.words.values() for w in t):
+            self.codes.setdefault(word, len(self.codes))
+        self.coded = {k: np.array([self.codes[w] for w in t]) for k, t in self.words.items()}
+        self.counts = {k: np.bincount(c, minlength=len(self.codes)) for k, c in self.coded.items()}
         self.with_template = {
             k: zstandard.ZstdCompressor(
-                level=9, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                level=9, dict_data=zstandard.ZstdCompressionDict(templates[k].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             )
-            for k, t in templates.items()
+            for k in self.words
         }
 
+    def _possible(self, templates: list[str], block: np.ndarray) -> list[str]:
+        """The templates of which the block has enough words in any order."""
+        have = np.bincount(block[block >= 0], minlength=len(self.codes))
+        return [k for k in templates if np.maximum(self.counts[k] - have, 0).sum() <= MAX_MISSING * len(self.words[k])]
+
+    def _confirmed(self, block: np.ndarray, saved: dict[str, int], missing_cost: int) -> list[tuple[str, list[tuple[int, int]]]]:
+        """Confirmed templates with their pairs, the one that explains most words first; its words leave ``block``."""
+        found, tried = [], {}
+        while True:
+            for k in self._possible(list(saved), block):
+                # only what shared a word with the last winner has changed
+                if k not in tried or any(block[b] < 0 for _, b in tried[k]):
+                    tried[k] = align(self.coded[k], block, missing_cost)
+            ranked = []
+            for k, pairs in tried.items():
+                missing = len(self.words[k]) - len(pairs)
+                if pairs and missing <= MAX_MISSING * len(self.words[k]) and all(block[b] >= 0 for _, b in pairs):
+                    added = pairs[-1][1] - pairs[0][1] + 1 - len(pairs)
+                    ranked.append((added + missing - len(pairs), -saved[k], k))
+            if not ranked:
+                return found
+            best = min(ranked)[2]
+            found.append((best, tried[best]))
+            block[[b for _, b in tried[best]]] = -1
+
     def scan(self, text: str | None) -> list[dict]:
-        """What is confirmed in each block, best template first; blocks that share words with none are left out."""
+        """What is confirmed in each block, in the order of the text; blocks that share words with none are left out."""
         found = []
-        for first, last, block in blocks(text or ""):
+        for first, _, block in blocks(text or ""):
+            lines = block.split("\n")
+            words = [(w, first + i) for i, line in enumerate(lines) for w in words_of(line)]
+            coded = np.array([self.codes.get(w, -1) for w, _ in words], dtype=np.int64)
+            possible = self._possible(list(self.words), coded)
+            if not possible:
+                continue
             data = block.encode("utf-8", "surrogatepass")
             alone = len(self.plain.compress(data))
-            saved = {k: alone - len(c.compress(data)) for k, c in self.with_template.items()}
-            ranked = sorted(((n, k) for k, n in saved.items() if n >= MIN_SAVED), key=lambda x: (-x[0], x[1]))
-            words = [w.lower() for w in _WORD.findall(block)]
-            tried = []
-            for n, k in ranked[:FINALISTS]:
-                missing, added = wording(self.words[k], words)
-                if len(missing) <= MAX_MISSING * len(self.words[k]):
-                    tried.append((len(missing) + len(added), -n, k, missing, added))
-            for _, n, k, missing, added in sorted(tried)[:1]:
-                found.append({"first_line": first, "last_line": last, "license": k, "saved": -n, "missing": missing, "added": added})
+            saved = {k: n for k in possible if (n := alone - len(self.with_template[k].compress(data))) >= MIN_SAVED}
+            # near wording first, so that two notices are not taken for one; then with words added anywhere in the block
+            hits = self._confirmed(coded, saved, 1) + self._confirmed(coded, saved, len(words) + 1)
+            for k, pairs in sorted(hits, key=lambda x: (x[1][0][1], x[0])):
+                shared, placed = {i for i, _ in pairs}, {b for _, b in pairs}
+                a, b = pairs[0][1], pairs[-1][1]
+                found.append({
+                    "first_line": words[a][1], "last_line": words[b][1], "license": k, "saved": saved[k],
+                    "missing": [w for i, w in enumerate(self.words[k]) if i not in shared],
+                    "added": [words[i][0] for i in range(a, b + 1) if i not in placed],
+                })
         return found
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first_line, last_line, license, saved, missing, added), a row for each confirmed block.
+    """(doc_id, first_line, last_line, license, saved, missing, added), a row for each confirmed notice.
 
     Null and empty texts have no blocks. Repeated rows are scanned each for itself. Texts without a cue are dropped by
     the JVM before any Python runs. An empty table gives an empty result. Other columns are ignored.

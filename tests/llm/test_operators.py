@@ -444,3 +444,19 @@ def test_licences(spark):
     assert {k: r["license"] for k, r in got.items()} == {1: "MIT", 2: "Apache-2.0", 6: "MIT-grant", 7: "GPL-2.0", None: "MIT"}
     assert (got[6]["missing"], got[6]["added"], got[1]["first_line"]) == (["of"], ["from"], 1)
     assert lic.license_scan(df.limit(0)).count() == 0
+
+
+def test_licenses_reports_every_notice_of_a_block(spark):
+    dual = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    one_line = "Licensed under CC BY 4.0. " + lic.TEMPLATES["BSD-grant"] + " Released under the MIT License. Released under the MIT License."
+    family = {f"T{i}": f"This text is licensed under the Sample Public License of edition {i}." for i in range(8)}
+    family["T7"] += " Nobody may sell it."
+    rows = [(1, dual), (2, one_line), (3, "Licensed under CC BY-SA 4.0.\nLicensed under CC BY 4.0.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["license"], r["first_line"], len(r["missing"]) + len(r["added"])) for r in lic.license_scan(df).collect())
+    assert got == [
+        (1, "Apache-2.0", 1, 0), (1, "MIT", 0, 0), (2, "BSD-grant", 0, 0), (2, "CC-BY-4.0-short", 0, 0), (2, "MIT", 0, 0), (2, "MIT", 0, 0),
+        (3, "CC-BY-4.0-short", 1, 0), (3, "CC-BY-SA-4.0-short", 0, 0),
+    ]
+    scanner = lic.Scanner(family)
+    assert [x["license"] for x in scanner.scan("\n".join(family.values()))] == sorted(family)
