@@ -1,6 +1,6 @@
 """Licence notices by conditional compression.
 
-Lines with a cue word, and what stands between two of them that are near, form candidate blocks. A block is compressed
+Lines with a cue word, which follow from the templates, and the lines around them form candidate blocks. A block is compressed
 on its own and with each template as a raw zstandard dictionary. Every template that saves enough bytes is then compared
 by exact wording: the words of the template that the block lacks, in order, and the words that the block has between
 them. The template that explains most words is reported with both lists, its words leave the block, and so on until no
@@ -10,7 +10,9 @@ template is confirmed in what is left.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The standard notice sentences of widely used licences, and words that mark a line as a candidate.
+# The standard notice sentences of widely used licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
@@ -39,29 +41,51 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }
-CUE = r"(?i)licen[cs]|copyright|permission is hereby|redistribution and use"
-#: Lines between two cue lines of one block; least bytes saved; most of a template's words missing.
+#: Lines between two parts of one block; least bytes saved; most of a template's words missing.
 MAX_GAP, MIN_SAVED, MAX_MISSING = 2, 8, 0.1
-_CUE, _WORD = re.compile(CUE), re.compile(r"\w+(?:[.\-]\w+)*")
+_WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 
 
-def blocks(text: str) -> list[tuple[int, int, str]]:
-    """(first line, last line, text) of each candidate block."""
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def cues(templates: dict[str, str]) -> list[str]:
+    """Words of which every text that confirms a template holds one, as a whole word or a part of one.
+
+    A confirmed text lacks at most ``MAX_MISSING`` of the template's words, so one word more than that is enough:
+    those on licences, then the longest.
+    """
+    chosen: set[str] = set()
+    for words in map(words_of, templates.values()):
+        ranked = sorted(words, key=lambda w: ("licen" not in w, -len(w), w))
+        chosen.update(ranked[: int(MAX_MISSING * len(words)) + 1])
+    return sorted(w for w in chosen if not any(v != w and v in w for v in chosen))
+
+
+def cue_pattern(templates: dict[str, str]) -> str:
+    """The cues as an expression for Java and Python; without templates it matches nothing."""
+    return "(?i)" + ("|".join(map(re.escape, cues(templates))) or "(?!)")
+
+
+def blocks(text: str, cue: re.Pattern, reach: int) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of each candidate block: cue lines with ``reach`` words of whole lines on both sides."""
     lines = text.split("\n")
-    marked = [i for i, line in enumerate(lines) if _CUE.search(line)]
+    marked = [i for i, line in enumerate(lines) if cue.search(line)]
+    if not marked:
+        return []
+    ends = list(accumulate((len(_WORD.findall(line)) for line in lines), initial=0))
     runs: list[list[int]] = []
     for i in marked:
-        if runs and i - runs[-1][1] <= MAX_GAP:
-            runs[-1][1] = i
+        a = max(0, bisect_right(ends, ends[i] - reach) - 1)
+        b = min(len(lines), bisect_left(ends, ends[i + 1] + reach)) - 1
+        if runs and a - runs[-1][1] <= MAX_GAP:
+            runs[-1][1] = max(b, runs[-1][1])
         else:
-            runs.append([i, i])
+            runs.append([a, b])
     return [(a, b, "\n".join(lines[a : b + 1])) for a, b in runs]
 
 
-def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
-
-
 def align(template: np.ndarray, block: np.ndarray, missing_cost: int) -> list[tuple[int, int]]:
     """Pairs (place in the template, place in the block) of the words that they share in order.
 
@@ -92,6 +116,9 @@ class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.plain = zstandard.ZstdCompressor(level=9)
         self.words = {k: w for k, t in templates.items() if (w := words_of(t))}
+        self.cue = re.compile(cue_pattern(templates))
+        # a notice may have as many words added as the template has
+        self.reach = 2 * max(map(len, self.words.values()), default=0)
         self.codes: dict[str, int] = {}
         for word in (w for t in self.words.values() for w in t):
             self.codes.setdefault(word, len(self.codes))
@@ -132,7 +159,7 @@ class Scanner:
     def scan(self, text: str | None) -> list[dict]:
         """What is confirmed in each block, in the order of the text; blocks that share words with none are left out."""
         found = []
-        for first, _, block in blocks(text or ""):
+        for first, _, block in blocks(text or "", self.cue, self.reach):
             lines = block.split("\n")
             words = [(w, first + i) for i, line in enumerate(lines) for w in words_of(line)]
             coded = np.array([self.codes.get(w, -1) for w, _ in words], dtype=np.int64)
@@ -171,7 +198,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
             rows = [{"doc_id": d, **x} for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in scanner.scan(t)]
             yield pd.DataFrame(rows, columns=names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CUE))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(cue_pattern(templates)))
     return rows.mapInPandas(
         run, f"doc_id {kind}, first_line int, last_line int, license string, saved int, missing array<string>, added array<string>"
     )

@@ -460,3 +460,26 @@ def test_licenses_reports_every_notice_of_a_block(spark):
     ]
     scanner = lic.Scanner(family)
     assert [x["license"] for x in scanner.scan("\n".join(family.values()))] == sorted(family)
+
+
+def test_licenses_takes_in_wrapped_notices_and_other_cues(spark):
+    mit = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+    bsd = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+#
+# * Redistributions of source code must retain the above copyright"""
+    free = "This is free and unencumbered software released into the public domain."
+    by_word = "\n".join(lic.TEMPLATES["MIT-grant"].split())
+    rows = [(1, mit), (2, bsd), (3, "Permission granted\n" + "some other prose\n" * 40 + "Redistribution"), (4, by_word)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["first_line"], r["last_line"], r["missing"], r["added"]) for r in lic.license_scan(df).collect()}
+    assert got == {1: ("MIT-grant", 2, 4, [], []), 2: ("BSD-grant", 0, 2, [], []), 4: ("MIT-grant", 0, len(by_word.split()) - 1, [], [])}
+    own = spark.createDataFrame([(1, free.replace("into the", "into\nthe")), (2, "nothing")], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"], r["last_line"]) for r in lic.license_scan(own, {"Unlicense": free, "empty": ""}).collect()] == [(1, "Unlicense", 1)]
+    assert lic.license_scan(own, {}).count() == 0
