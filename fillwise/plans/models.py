@@ -17,9 +17,12 @@ from fillwise.streaming import ingest
 FEATURES = ["doy_sin", "doy_cos", "x1", "x2", "x3", "level"]
 
 
+def with_features(df: DataFrame) -> DataFrame:
+    return df.withColumns({"doy_sin": X.season_sin("datum"), "doy_cos": X.season_cos("datum"), "level": (F.col("station_id") % 7).cast("double")})
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = folds.with_block(fixture(spark, sf_dir, "fx_series"))
-    return s.withColumns({"doy_sin": X.season_sin("datum"), "doy_cos": X.season_cos("datum"), "level": (F.col("station_id") % 7).cast("double")})
+    return with_features(folds.with_block(fixture(spark, sf_dir, "fx_series")))
 
 
 def ridge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +97,20 @@ register("ridge_attribution", ridge_attribution)
 
 
 def boosted_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station-days with the prediction of boosted trees and the filled value."""
+    """Every date of every station, unmonitored ones too, with the prediction of boosted trees and the filled value.
+
+    Days without rows lack x1 to x3; the model takes their medians.
+    """
     data = rows(spark, sf_dir)
     model = boost.fit_boosted(data, FEATURES, trees=5, depth=4)
-    out = boost.predict(model, data, FEATURES, "bap_predicted")
-    return out.select("station_id", "datum", "bap", "bap_predicted", F.coalesce("bap", "bap_predicted").alias("bap_filled"))
+    stations = fixture(spark, sf_dir, "fx_station").select("station_id").union(data.select("station_id")).distinct()
+    grid = stations.crossJoin(F.broadcast(data.select("datum").distinct()))
+    days = with_features(grid.join(data.select("station_id", "datum", "bap", "x1", "x2", "x3"), ["station_id", "datum"], "left"))
+    out = boost.predict(model, days, FEATURES, "bap_predicted")
+    return out.select(
+        "station_id", "datum", "bap", "bap_predicted", F.coalesce("bap", "bap_predicted").alias("bap_filled"),
+        F.col("bap").isNotNull().cast("int").alias("is_observed"),
+    )
 
 
 register("boosted_fill", boosted_fill)

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 import fillwise.plans  # noqa: F401
 from fillwise.plans import registry
+from fillwise.plans.fixtures import fixture
 from tests.oracle import SF, assert_same
 
 
@@ -13,3 +15,16 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_has_rows(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_fills_cover_every_station_day(spark):
+    stations, days = fixture(spark, SF, "fx_station"), fixture(spark, SF, "fx_series").select("datum").distinct()
+    observed, everything = fixture(spark, SF, "fx_series").count(), stations.count() * days.count()
+    for name in ("boosted_fill", "filled_series"):
+        got = registry.queries()[name](spark, SF)
+        assert set(got.columns) == {"station_id", "datum", "bap", "bap_predicted", "bap_filled", "is_observed"}
+        n, keys, n_observed, n_filled, gap_fills, same = got.agg(
+            F.count("*"), F.countDistinct("station_id", "datum"), F.sum("is_observed"), F.count("bap_filled"),
+            F.countDistinct(F.when(F.col("is_observed") == 0, F.col("bap_filled"))), F.bool_and(F.col("bap_filled") == F.coalesce("bap", "bap_predicted")),
+        ).first()
+        assert (n, keys, n_observed, n_filled, same) == (everything, everything, observed, everything, True) and gap_fills > 10
