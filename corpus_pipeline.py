@@ -7,10 +7,10 @@ columns pass through. An empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import WORD, KeyFilter, ascii_lower, table, written
+from fillwise.llm.common import KeyFilter, ascii_lower, table, written
 from fillwise.llm.op2_jaccard import near_duplicates
 from fillwise.llm.op4_exact_dedup import exact_groups
 from fillwise.llm.op6_mixing import balanced_mix
@@ -43,24 +43,39 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ).unionByName(once.select(docs.columns))
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """The documents as a table in which each row has a number (``__row``) and the digest of its text (``__sum``)."""
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__sum", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return written(keyed, "rows")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    gone = written(gone, "near-copies")
-    marked = KeyFilter(gone, "__id").mark(docs, "doc_id", "__flag")
-    rest = marked.where("__flag").join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One document of each group of near duplicates: that with the smallest id, then digest.
+
+    A document is an id with a text: where an id repeats with another text, that is a document of its own. Rows alike in
+    both stay or go together. Rows with a null id stay.
+    """
+    keyed = with_rows(docs)
+    found = near_duplicates(keyed.where("doc_id IS NOT NULL"), id_col="__row").where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    rows = keyed.select("__row", F.struct("doc_id", "__sum").alias("__doc")).join(found, "__row")
+    rows = written(rows, "near-copies")
+    kept = rows.groupBy("__group").agg(F.min("__doc").alias("__kept"), F.count("*").alias("__n")).where("__n > 1")
+    gone = written(rows.join(kept, "__group").where("__doc <> __kept").select(F.col("__row").alias("__gone")), "gone")
+    marked = KeyFilter(gone, "__gone").mark(keyed, "__row", "__flag")
+    rest = marked.where("__flag").join(gone, F.col("__row") == F.col("__gone"), "left_anti")
     return marked.where(~F.col("__flag")).select(docs.columns).unionByName(rest.select(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows alike in id, source and size share their repeats evenly."""
-    mix = balanced_mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    mix = mix.agg(F.rint(F.avg("repeats")).cast("int").alias("__times")).where("__times > 0")
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    both = docs.withColumn("__words", size).join(
-        mix,
-        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")),
-    )
+    """Each row as often as the mix takes it. Rows alike in id, text and source are numbered and take a decision each."""
+    keyed = with_rows(docs).withColumn("__key", F.concat_ws(":", F.col("doc_id").cast("string"), "__sum"))
+    mix = balanced_mix(keyed, id_col="__key").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("repeats").alias("__times"))
+    mix = mix.withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__source").orderBy(F.desc("__times"))))
+    rows = keyed.select("__key", "source", "__row").withColumn("__nth", F.row_number().over(Window.partitionBy("__key", "source").orderBy("__row")))
+    same = (F.col("__key") == F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__nth") == F.col("__place"))
+    taken = written(rows.join(mix.where("__times > 0"), same).select(F.col("__row").alias("__taken"), "__times"), "taken")
+    both = keyed.join(taken, F.col("__row") == F.col("__taken"))
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
 
 

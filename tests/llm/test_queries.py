@@ -1,10 +1,12 @@
 """The registered corpus queries: against their SQL where there is any, and the pipeline's stages on hard rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fillwise.llm import queries
 from fillwise.llm.common import written
+from fillwise.llm.op6_mixing import balanced_mix
 from tests.llm.test_operators import SCHEMA, corpus
 from tests.oracle import SF, assert_same
 
@@ -35,3 +37,30 @@ def test_stages_keep_columns_and_decide(spark, rows):
 
 def test_pipeline_runs_from_files(spark):
     assert corpus_pipeline.run(spark, SF).select("sequence_id").distinct().count() > 0
+
+
+def test_pipeline_keeps_other_texts_of_a_repeated_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:-1] + ["changed"])
+    rows = [(1, " ".join(words)), (2, near), (2, "a clean text of its own that is like no other one"), (1, " ".join(words)), (None, near), (3, None)]
+    docs = spark.createDataFrame([(i, t, "web") for i, t in rows], "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).select("doc_id", "text").collect()]
+    assert sorted(got, key=str) == sorted([r for r in rows if r != (2, near)], key=str)
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_pipeline_mixes_rows_that_share_an_id(spark, doc_id):
+    docs = spark.createDataFrame(
+        [(doc_id, f"{s} {i} " + "word " * (8 + i % 3), s) for s, n in (("a", 300), ("b", 60), (None, 30)) for i in range(n)]
+        + [(doc_id, "a like text", "a")] * 90, "doc_id long, text string, source string",
+    )
+    size = F.regexp_count("text", F.lit(r"\S+"))
+    mix = balanced_mix(docs).groupBy("source").agg(F.max("target"), F.sum("taken")).collect()
+    got = dict(corpus_pipeline.mix_sources(spark, docs, SF).groupBy("source").agg(F.sum(size)).collect())
+    for source, target, _ in mix:
+        assert abs(got[source] - target) < 25
+    copies = corpus_pipeline.mix_sources(spark, docs, SF).groupBy("source", "text").count()
+    most = {r["source"]: r["m"] for r in copies.groupBy("source").agg(F.max(F.when(F.col("text") != "a like text", F.col("count"))).alias("m")).collect()}
+    for source, target, _ in mix:
+        whole = docs.where(F.col("source").eqNullSafe(F.lit(source))).agg(F.sum(size)).first()[0]
+        assert most[source] <= -(-target // whole)
