@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 # Element names of the HTML standard, and attribute words that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea template noscript iframe svg math title".split())
+#: Raw elements that may hold others of their name; svg and math may close themselves, which other raw elements cannot.
+NESTED = frozenset("svg math template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
@@ -94,7 +96,10 @@ class Page:
             if not name:
                 continue
             if name in RAW:
-                if not closing:
+                if name in NESTED:
+                    if not closing and not (name != "template" and m[3].endswith("/")):
+                        at = self._end(source, name, at)
+                elif not closing:
                     stop = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
                     at = stop.end() if stop else n
                 continue
@@ -131,6 +136,20 @@ class Page:
                 stack.append(len(self.tag) - 1)
         flush()
 
+    @staticmethod
+    def _end(source: str, name: str, at: int) -> int:
+        """Where the element that is open at ``at`` ends, elements of the same name inside it counted."""
+        depth = 1
+        for m in TAG.finditer(source, at):
+            if (m[2] or "").lower() == name:
+                if m[1]:
+                    depth -= 1
+                elif name == "template" or not m[3].endswith("/"):
+                    depth += 1
+                if not depth:
+                    return m.end()
+        return len(source)
+
     def _words(self, node: int, attributes: str) -> None:
         if "=" not in attributes and "hidden" not in attributes:
             return

@@ -483,3 +483,13 @@ to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
     own = spark.createDataFrame([(1, free.replace("into the", "into\nthe")), (2, "nothing")], "doc_id long, text string")
     assert [(r["doc_id"], r["license"], r["last_line"]) for r in lic.license_scan(own, {"Unlicense": free, "empty": ""}).collect()] == [(1, "Unlicense", 1)]
     assert lic.license_scan(own, {}).count() == 0
+
+
+@pytest.mark.parametrize(
+    "icon",
+    ['<svg class="i"/>', "<math />", "<SVG/>", "<svg><svg><path/></svg><text>hidden</text></svg>", "<svg><svg/>hidden</svg>",
+     "<template><template>hidden</template>hidden</template>", "<math>hidden</math>", '<svg><use href="#a"/></svg>'],
+)
+def test_html_goes_on_after_foreign_elements(icon):
+    blocks = page.Page(f"<p>before</p>{icon}<p>between</p><svg>hidden</svg><p>after</p>").blocks
+    assert [text for _, text, _ in blocks] == ["before", "between", "after"]
