@@ -1,4 +1,4 @@
-"""Near-duplicate components by a token-group matrix, exact for every link between different texts.
+"""Near-duplicate components by a token-group matrix: exact components of all links, without the links themselves.
 
 A document is its set of 5-word shingles; two link when 100 |A & B| >= 75 |A | B|. Identical sets are one document from
 the start. Documents that share a min-hash are tried against one leader, and those that link form groups of similar
