@@ -2,9 +2,10 @@
 
 The index is a folder of runs. ``flush`` turns each input slice (a memtable) into one sorted run of (digest, order
 key, rows): a Parquet file sorted by digest, with the file's Bloom filter and minimum and maximum on the digest.
-``compact`` merges the runs of a level into range-partitioned sorted runs of the next level and keeps the smallest
-order key of each digest. ``lookup`` joins rows with the compacted level; hits are then verified byte by byte
-against the text of the row that stays, so two texts with one digest are told apart.
+``compact`` merges the runs of a level by one aggregation into hash-partitioned sorted runs of the next level and keeps
+the smallest order key of each digest. ``lookup`` joins all rows with the compacted level and reads neither filters nor
+sort order; hits are then verified byte by byte against the text of the row that stays, so two texts with one digest are
+told apart.
 """
 
 from __future__ import annotations
