@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fillwise.plans  # noqa: F401
-from fillwise.plans import registry
+from fillwise.plans import models, registry
 from fillwise.plans.fixtures import fixture
 from tests.oracle import SF, assert_same
 
@@ -28,3 +28,11 @@ def test_fills_cover_every_station_day(spark):
             F.countDistinct(F.when(F.col("is_observed") == 0, F.col("bap_filled"))), F.bool_and(F.col("bap_filled") == F.coalesce("bap", "bap_predicted")),
         ).first()
         assert (n, keys, n_observed, n_filled, same) == (everything, everything, observed, everything, True) and gap_fills > 10
+
+
+def test_streamed_upserts_writes_in_parallel(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(models, "_scratch", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(models, "fixture", lambda *a: fixture(*a).repartition(4))
+    assert_same(spark, registry.queries()["streamed_upserts"], registry.oracle_sql()["streamed_upserts"])
+    assert [len(list(tmp_path.glob(f"in/part={k}/*.parquet"))) for k in (0, 1)] == [4, 4]
+    assert {p.name for p in tmp_path.glob("table/version=*")} == {"version=0", "version=1"}
