@@ -1,11 +1,14 @@
-"""What the corpus operators share: scratch tables, bounded key filters, links to components."""
+"""What the corpus operators share: scratch tables, bounded key filters, word hashes, links to components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,25 +44,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores in front of those that ``columns`` already has (as Spark compares them)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; where all characters are single bytes, lower() does that."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 class KeyFilter:
-    """A bit map of hashed keys with a fixed size, for dropping rows before a shuffle.
+    """A bit map of hashed keys, for dropping rows before a shuffle.
 
-    At most ``2**bits / 63`` rows reach the driver and are broadcast, whatever the size of the input. A row that
-    passes may still have no such key (bits collide), so an exact step has to follow; no row with a key is dropped.
+    The map has about 16 bits for each key and at most ``2**MAX_BITS``, so no more than a million rows of two numbers
+    reach the driver and are broadcast. Above half as many keys the map would be full: then ``mark`` joins with the
+    keys themselves. A row that passes the map may still have no such key (bits collide), so an exact step has to
+    follow; no row with a key is dropped.
     """
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = 23, hashed: bool = False):
+    MIN_BITS, MAX_BITS = 16, 26
+
+    def __init__(self, keys: DataFrame, column: str, hashed: bool = False, max_bits: int = MAX_BITS):
         """``hashed``: the keys are hashes already and place themselves."""
-        self.n_bits, self.hashed = 1 << bits, hashed
-        word, bit = self._place(F.col(column))
+        keys = keys.select(F.col(column).alias("key")).where("key IS NOT NULL")
+        n = keys.count()
+        self.n_bits, self.hashed = 1 << max(self.MIN_BITS, min(max_bits, (16 * n).bit_length())), hashed
+        self.words = self.keys = None
+        if n > self.n_bits // 2:
+            self.keys = keys.distinct()
+            return
+        word, bit = self._place(F.col("key"))
         rows = (
-            keys.where(F.col(column).isNotNull())
-            .groupBy(word.alias("word"))
+            keys.groupBy(word.alias("word"))
             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
         )
         self.words = written(rows, "keyfilter")
@@ -70,32 +94,129 @@ class KeyFilter:
 
     def mark(self, df: DataFrame, column: str, flag: str) -> DataFrame:
         """Adds a boolean: False means that the row's key is certainly not among the keys."""
+        own_word, own_bits = fresh([*df.columns, flag], "word", "bits")
+        if self.words is None:
+            keys = self.keys.select(F.col("key").alias(own_word))
+            marked = df.join(keys, F.col(column) == F.col(own_word), "left")
+            return marked.withColumn(flag, F.col(own_word).isNotNull()).drop(own_word)
         word, bit = self._place(F.col(column))
-        hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("__bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
-        words = F.broadcast(self.words.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))
-        return df.join(words, word == F.col("__word"), "left").withColumn(flag, hit).drop("__word", "__bits")
-
-    def array(self) -> np.ndarray:
-        """The map as 64-bit words for use in Python workers; bits 0 to 62 of a word are used."""
+        hit = F.call_function("shiftrightunsigned", F.col(own_bits), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+        words = F.broadcast(self.words.select(F.col("word").alias(own_word), F.col("bits").alias(own_bits)))
+        marked = df.join(words, word == F.col(own_word), "left")
+        return marked.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(own_word, own_bits)
+
+    def array(self) -> np.ndarray | None:
+        """The map as 64-bit words for use in Python workers, bits 0 to 62 of each; None where there are too many keys."""
+        if self.words is None:
+            return None
         out = np.zeros(self.n_bits // 63 + 1, dtype=np.uint64)
         got = self.words.toPandas()
         out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
         return out
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
-    """(node, root): every linked node with the smallest node that it can reach.
+# Hashes of words over whole blocks of text: a word's bytes are the digits of a number modulo 2^64, taken from one
+# running sum over the block, and are then mixed.
+_BASE, BLOCK = 0x9E3779B97F4A7C15, 1 << 20
+_IS_WORD = np.ones(256, dtype=bool)
+_IS_WORD[[ord(c) for c in SEPARATORS]] = False
+_powers: dict[str, np.ndarray] = {}
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+EXACT_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+FOLDED_CODES = EXACT_CODES.copy()
+FOLDED_CODES[65:91] = EXACT_CODES[97:123]
 
-    Alternating large-star and small-star rounds: each round sends a node's neighbours to the smallest of them,
-    with min() as a partial aggregate, so no node's neighbours are ever gathered in one place.
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept for blocks of the usual size."""
+    if "up" in _powers and len(_powers["up"]) >= n:
+        return _powers["up"], _powers["down"]
+    up, down = (np.full(n, x, dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    if n <= 2 * BLOCK:
+        _powers.update(up=up, down=down)
+    return up, down
+
+
+def _block_hashes(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, words of each text) of texts that lie side by side in ``data``."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    word = _IS_WORD[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    begin, end = offsets[:-1][offsets[:-1] < n], offsets[1:][offsets[1:] > 0] - 1
+    first[begin], last[end] = word[begin], word[end]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _power(max(n, BLOCK))
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(codes[data] * up[:n], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts]), np.diff(np.searchsorted(starts, offsets))
+
+
+def word_hashes(texts: pa.Array, codes: np.ndarray = EXACT_CODES, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the words of some rows, number of words of each of these rows), in the order of the rows.
+
+    FOLDED_CODES lower-case A-Z. About ``block`` bytes are in work at a time; a longer text is cut between words.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    buffers = texts.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + block, "right")) - 1)
+        a, b = int(offsets[lo]), int(offsets[hi])
+        if b - a <= block:
+            yield _block_hashes(data[a:b], offsets[lo : hi + 1] - a, codes)
+        else:
+            parts = []
+            while a < b:
+                cut = min(a + block, b)
+                while cut < b and not (gap := np.flatnonzero(~_IS_WORD[data[cut : min(cut + block, b)]])).size:
+                    cut = min(cut + block, b)
+                cut = cut + int(gap[0]) if cut < b else b
+                parts.append(_block_hashes(data[a:cut], np.array([0, cut - a]), codes)[0])
+                a = cut
+            parts = np.concatenate(parts)
+            yield parts, np.array([len(parts)])
+        lo = hi
+
+
+#: Neighbours from which a node of the components is hot, and most hot nodes that are broadcast.
+HOT_DEGREE, MAX_HOT = 1000, 50_000
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+    """(node, root): every linked node with the smallest node that it can reach. Links with a null end count for nothing.
+
+    Alternating large-star and small-star rounds. A node's smallest neighbour is a partial aggregate. Links of nodes
+    with very many neighbours meet it by a broadcast of at most MAX_HOT rows, so that they stay where they are; the
+    others meet it by a shuffle.
     """
     edges = written(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
+        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("x"), F.col(b).alias("y"))
+        .where("x <> y").select("u", "v").distinct(), "edges"
     )
+    before = _sum_of(edges)
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("d"))
+        hot = low.where(F.col("d") > HOT_DEGREE).orderBy(F.desc("d"), "u").limit(MAX_HOT)
+        hot = F.broadcast(hot.select(F.col("u").alias("hot"), F.col("m").alias("hot_m")))
+        split = both.where("v > u").join(hot, F.col("u") == F.col("hot"), "left")
+        rest = split.where("hot IS NULL").select("u", "v").join(low.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = split.where("hot IS NOT NULL").select(F.col("v").alias("u"), F.col("hot_m").alias("v")).union(rest).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         new = (
@@ -104,15 +225,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
             .where("u <> v")
             .distinct()
         )
-        new = written(new, "edges")
-        sums = [
-            x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-            for x in (edges, new)
-        ]
-        edges = new
-        if sums[0] == sums[1]:
+        edges = written(new, "edges")
+        after = _sum_of(edges)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _sum_of(edges: DataFrame):
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

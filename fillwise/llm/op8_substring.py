@@ -280,7 +280,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = texts.where("id IS NOT NULL AND text IS NOT NULL")
     copies = _copies(texts)
     texts = _without_rows(texts, copies)
-    shared = KeyFilter(_shared_anchors(texts.select("id", "text"), width), "anchor", FILTER_BITS, hashed=True)
+    shared = KeyFilter(_shared_anchors(texts.select("id", "text"), width), "anchor", hashed=True)
     segments = _segments(texts.select("id", "key", "text"), shared.array(), shared.n_bits, width)
     distinct = segments.where("text IS NOT NULL").select(F.col("key").alias("anchor"), "seg", "text", "lo", "hi")
     matches = _matches(distinct, width)
