@@ -1,18 +1,17 @@
 """Licence notices by conditional compression.
 
-Lines with a cue word, which follow from the templates, and the lines around them form candidate blocks. A block is compressed
-on its own and with each template as a raw zstandard dictionary. Every template that saves enough bytes is then compared
-by exact wording: the words of the template that the block lacks, in order, and the words that the block has between
-them. The template that explains most words is reported with both lists, its words leave the block, and so on until no
-template is confirmed in what is left.
+Every text is covered by short overlapping blocks of words. A block is compressed on its own and with all templates as one raw
+zstandard dictionary; where that saves bytes, the block is a candidate and is compressed with each template as the
+dictionary. Candidates and the words around them form regions, and the templates of a region are ranked by the bytes
+that they save. Each that saves any is then compared by exact wording: the words of the template that the region
+lacks, in order, and the words that the region has between them. The template that explains most words is reported with
+both lists, its words leave the region, and so on until no template is confirmed in what is left.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,6 +27,16 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
     "documentation files (the \"Software\"), to deal in the Software without restriction",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+    "whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+    "permission notice shall be included in all copies or substantial portions of the Software.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+    "liable for any damages arising from the use of this software.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
     "that the following conditions are met:",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -41,49 +50,21 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }
-#: Lines between two parts of one block; least bytes saved; most of a template's words missing.
-MAX_GAP, MIN_SAVED, MAX_MISSING = 2, 8, 0.1
+#: Words of a block and from one block to the next; least bytes that all templates save in a candidate; most of a template's
+#: words missing. A template of few words saves more than this in some block of any text that has them side by side.
+BLOCK, STEP, MIN_SAVED, MAX_MISSING = 40, 20, 6, 0.1
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
+_FRAME = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
 
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def cues(templates: dict[str, str]) -> list[str]:
-    """Words of which every text that confirms a template holds one, as a whole word or a part of one.
-
-    A confirmed text lacks at most ``MAX_MISSING`` of the template's words, so one word more than that is enough:
-    those on licences, then the longest.
-    """
-    chosen: set[str] = set()
-    for words in map(words_of, templates.values()):
-        ranked = sorted(words, key=lambda w: ("licen" not in w, -len(w), w))
-        chosen.update(ranked[: int(MAX_MISSING * len(words)) + 1])
-    return sorted(w for w in chosen if not any(v != w and v in w for v in chosen))
-
-
-def cue_pattern(templates: dict[str, str]) -> str:
-    """The cues as an expression for Java and Python; without templates it matches nothing."""
-    return "(?i)" + ("|".join(map(re.escape, cues(templates))) or "(?!)")
-
-
-def blocks(text: str, cue: re.Pattern, reach: int) -> list[tuple[int, int, str]]:
-    """(first line, last line, text) of each candidate block: cue lines with ``reach`` words of whole lines on both sides."""
-    lines = text.split("\n")
-    marked = [i for i, line in enumerate(lines) if cue.search(line)]
-    if not marked:
-        return []
-    ends = list(accumulate((len(_WORD.findall(line)) for line in lines), initial=0))
-    runs: list[list[int]] = []
-    for i in marked:
-        a = max(0, bisect_right(ends, ends[i] - reach) - 1)
-        b = min(len(lines), bisect_left(ends, ends[i + 1] + reach)) - 1
-        if runs and a - runs[-1][1] <= MAX_GAP:
-            runs[-1][1] = max(b, runs[-1][1])
-        else:
-            runs.append([a, b])
-    return [(a, b, "\n".join(lines[a : b + 1])) for a, b in runs]
+def _with_dictionary(content: bytes) -> zstandard.ZstdCompressor:
+    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(level=3)
+    return zstandard.ZstdCompressor(level=3, dict_data=dictionary, **_FRAME)
 
 
 def align(template: np.ndarray, block: np.ndarray, missing_cost: int) -> list[tuple[int, int]]:
@@ -114,9 +95,7 @@ class Scanner:
     """The templates as compressors and word sequences. One instance serves a task."""
 
     def __init__(self, templates: dict[str, str]):
-        self.plain = zstandard.ZstdCompressor(level=9)
         self.words = {k: w for k, t in templates.items() if (w := words_of(t))}
-        self.cue = re.compile(cue_pattern(templates))
         # a notice may have as many words added as the template has
         self.reach = 2 * max(map(len, self.words.values()), default=0)
         self.codes: dict[str, int] = {}
@@ -124,12 +103,30 @@ class Scanner:
             self.codes.setdefault(word, len(self.codes))
         self.coded = {k: np.array([self.codes[w] for w in t]) for k, t in self.words.items()}
         self.counts = {k: np.bincount(c, minlength=len(self.codes)) for k, c in self.coded.items()}
-        self.with_template = {
-            k: zstandard.ZstdCompressor(
-                level=9, dict_data=zstandard.ZstdCompressionDict(templates[k].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            )
-            for k in self.words
-        }
+        self.alone = zstandard.ZstdCompressor(level=3, **_FRAME)
+        content = {k: " ".join(w).encode("utf-8", "surrogatepass") for k, w in self.words.items()}
+        self.with_template = {k: _with_dictionary(c) for k, c in content.items()}
+        self.with_all = _with_dictionary(b" ".join(content.values()))
+
+    def candidates(self, words: list[str]) -> list[tuple[int, int, dict[str, int]]]:
+        """(first word, end, bytes saved by each template that saves any) of each stretch of candidate blocks."""
+        found: list[tuple[int, int, dict[str, int]]] = []
+        for a in range(0, max(1, len(words) - STEP), STEP):
+            block = " ".join(words[a : a + BLOCK]).encode("utf-8", "surrogatepass")
+            alone = len(self.alone.compress(block))
+            if alone - len(self.with_all.compress(block)) < MIN_SAVED:
+                continue
+            saved = {k: n for k, c in self.with_template.items() if (n := alone - len(c.compress(block))) > 0}
+            self._join(found, max(0, a - self.reach), min(len(words), a + BLOCK + self.reach), saved)
+        return found
+
+    @staticmethod
+    def _join(found: list[tuple[int, int, dict[str, int]]], first: int, end: int, saved: dict[str, int]) -> None:
+        """Adds a stretch, as part of the last one where they meet."""
+        if found and first <= found[-1][1]:
+            first, _, before = found.pop()
+            saved = {k: max(saved.get(k, 0), before.get(k, 0)) for k in {**before, **saved}}
+        found.append((first, end, saved))
 
     def _possible(self, templates: list[str], block: np.ndarray) -> list[str]:
         """The templates of which the block has enough words in any order."""
@@ -157,36 +154,40 @@ class Scanner:
             block[[b for _, b in tried[best]]] = -1
 
     def scan(self, text: str | None) -> list[dict]:
-        """What is confirmed in each block, in the order of the text; blocks that share words with none are left out."""
-        found = []
-        for first, _, block in blocks(text or "", self.cue, self.reach):
-            lines = block.split("\n")
-            words = [(w, first + i) for i, line in enumerate(lines) for w in words_of(line)]
-            coded = np.array([self.codes.get(w, -1) for w, _ in words], dtype=np.int64)
-            possible = self._possible(list(self.words), coded)
-            if not possible:
-                continue
-            data = block.encode("utf-8", "surrogatepass")
-            alone = len(self.plain.compress(data))
-            saved = {k: n for k in possible if (n := alone - len(self.with_template[k].compress(data))) >= MIN_SAVED}
-            # near wording first, so that two notices are not taken for one; then with words added anywhere in the block
-            hits = self._confirmed(coded, saved, 1) + self._confirmed(coded, saved, len(words) + 1)
-            for k, pairs in sorted(hits, key=lambda x: (x[1][0][1], x[0])):
-                shared, placed = {i for i, _ in pairs}, {b for _, b in pairs}
-                a, b = pairs[0][1], pairs[-1][1]
-                found.append({
-                    "first_line": words[a][1], "last_line": words[b][1], "license": k, "saved": saved[k],
-                    "missing": [w for i, w in enumerate(self.words[k]) if i not in shared],
-                    "added": [words[i][0] for i in range(a, b + 1) if i not in placed],
-                })
+        """What is confirmed in each region, in the order of the text."""
+        if not text or not self.words:
+            return []
+        words = words_of(text)
+        found = [x for region in self.candidates(words) for x in self._notices(words, *region)]
+        if found:
+            places = [m.start() for m in _WORD.finditer(text)]
+            for x in found:
+                x["first_line"], x["last_line"] = (text.count("\n", 0, places[x[k]]) for k in ("first_line", "last_line"))
         return found
 
+    def _notices(self, words: list[str], first: int, end: int, saved: dict[str, int]) -> list[dict]:
+        """The notices of a region, in order; lines are given as words."""
+        coded = np.array([self.codes.get(w, -1) for w in words[first:end]], dtype=np.int64)
+        # near wording first, so that two notices are not taken for one; then with words added anywhere in the region
+        hits = self._confirmed(coded, saved, 1) + self._confirmed(coded, saved, len(coded) + 1)
+        out = []
+        for k, pairs in sorted(hits, key=lambda x: (x[1][0][1], x[0])):
+            shared, placed = {i for i, _ in pairs}, {b for _, b in pairs}
+            a, b = pairs[0][1], pairs[-1][1]
+            out.append({
+                "first_line": first + a, "last_line": first + b, "license": k, "saved": saved[k],
+                "missing": [w for i, w in enumerate(self.words[k]) if i not in shared],
+                "added": [words[first + i] for i in range(a, b + 1) if i not in placed],
+            })
+        return out
+
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first_line, last_line, license, saved, missing, added), a row for each confirmed notice.
 
-    Null and empty texts have no blocks. Repeated rows are scanned each for itself. Texts without a cue are dropped by
-    the JVM before any Python runs. An empty table gives an empty result. Other columns are ignored.
+    Every block of every text is compressed. Null and empty texts have no notices. Repeated rows are scanned each for
+    itself. Very long texts are scanned block by block. Without templates nothing is found. An empty table gives an
+    empty result. Other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
     kind = docs.schema[id_col].dataType.simpleString()
@@ -198,7 +199,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
             rows = [{"doc_id": d, **x} for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in scanner.scan(t)]
             yield pd.DataFrame(rows, columns=names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(cue_pattern(templates)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     return rows.mapInPandas(
         run, f"doc_id {kind}, first_line int, last_line int, license string, saved int, missing array<string>, added array<string>"
     )
