@@ -14,9 +14,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fillwise.llm.common import WORD, written
 
@@ -50,7 +51,7 @@ def source_targets(sizes: DataFrame, max_repeats: float = 3.0, weights: tuple[fl
 
 
 def _unit(doc_id, seed: int) -> float:
-    """A number in (0, 1) that depends on the id alone, so that reruns agree."""
+    """A number in (0, 1) that depends on the document alone, so that reruns agree."""
     h = hashlib.blake2b(f"{seed}:{doc_id}".encode(), digest_size=8).digest()
     return (int.from_bytes(h, "little") + 0.5) / 2.0**64
 
@@ -95,42 +96,45 @@ def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def _level(rows: DataFrame, chunk: int, last: bool, seed: int, name: str) -> DataFrame:
     """Flies every chunk of every source once; with ``last`` the landing follows."""
-    counts = rows.groupBy("source").agg(F.count("*").alias("__n"))
-    rows = rows.join(counts, rows["source"].eqNullSafe(counts["source"])).select(
-        rows["*"], F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("__n") / chunk).cast("long")).alias("chunk")
+    counts = rows.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("of_n"))
+    rows = rows.join(counts, F.col("source").eqNullSafe(F.col("of"))).select(
+        *rows.columns, F.pmod(F.xxhash64("key", F.lit(seed)), F.ceil(F.col("of_n") / chunk).cast("long")).alias("chunk")
     )
+    columns = [c for c in rows.columns if c != "chunk"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], na_position="last", kind="stable").reset_index(drop=True)
-        ids = pdf["doc_id"].tolist()
-        size, p = pdf["size"].to_numpy(), pdf["p"].to_numpy()
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("key", "ascending"), ("size", "ascending")]).select(columns)
+        keys = part["key"].to_pylist()
+        size, p = part["size"].to_numpy(), part["p"].to_numpy()
         fliers = max(0, len(p) - POOL) if last else len(p)
-        p = np.concatenate([fly(ids[:fliers], size[:fliers], p[:fliers], seed), p[fliers:]])
-        return pdf.assign(p=land(size, p) if last else p)[list(rows_schema)]
+        p = np.concatenate([fly(keys[:fliers], size[:fliers], p[:fliers], seed), p[fliers:]])
+        return part.set_column(columns.index("p"), "p", pa.array(land(size, p) if last else p, pa.float64()))
 
-    rows_schema = ["doc_id", "source", "size", "p", "base", "source_size", "target"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in rows_schema)
-    return written(rows.groupBy("source", "chunk").applyInPandas(run, schema), name)
+    schema = T.StructType([f for f in rows.schema if f.name in columns])
+    return written(rows.groupBy("source", "chunk").applyInArrow(run, schema), name)
 
 
 def balanced_mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None,
     max_repeats: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), chunk: int = CHUNK, seed: int = 7,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, repeats) for each row.
+    """(doc_id, source, size, source_size, target, taken, repeats) for each row; with ``row_col`` also that column as ``row``.
 
     A null text has size 0. Null sources are one source, the last. Rows repeated with one id are separate documents
-    (alike ones are interchangeable). Null ids are documents like others. Sources without words have target 0. An empty
-    table gives an empty result. Other columns are ignored.
+    (alike ones are interchangeable). Null ids are documents like others: what decides is a hash of id and text. Very
+    long texts are counted whole. Sources without words have target 0. An empty table gives an empty result. Other
+    columns are ignored.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    own = ["row"] if row_col else []
+    sizes = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), *([F.col(row_col).alias("row")] if row_col else []),
+    )
     sizes = written(sizes, "sizes")
     targets = written(source_targets(sizes, max_repeats, weights), "targets")
     s, t = sizes.alias("s"), targets.alias("t")
-    rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select(
-        "s.doc_id", "s.source", "s.size", "t.source_size", "t.target"
-    )
+    rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "t.source_size", "t.target")
     m = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     rows = rows.withColumn("base", F.floor(m + F.lit(1e-12)).cast("int")).withColumn("p", F.greatest(m - F.col("base"), F.lit(0.0)))
     done: list[DataFrame] = []
@@ -152,7 +156,7 @@ def balanced_mix(
         out = out.unionByName(part)
     repeats = (F.col("base") + F.rint("p")).cast("int")
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats")
+        "doc_id", "source", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"), *own
     )
 
 
