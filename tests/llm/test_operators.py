@@ -222,13 +222,22 @@ def test_exact_groups_equal_brute_force(docs, data, empty, keep):
     assert exact.exact_groups(empty).count() == 0
 
 
-def test_index_takes_more_batches(spark, tmp_path):
-    index = exact.DigestIndex(spark, f"file://{tmp_path}/i", "smallest")
-    for rows in ([("a", 5), ("b", 2)], [("a", 3)]):
-        index.flush(spark.createDataFrame(rows, "digest string, doc_id long"))
-    index.compact()
-    got = {r["digest"]: (r["keep_id"], r["n"]) for r in index.lookup(spark.createDataFrame([("a",), ("c",)], "digest string")).collect()}
-    assert got == {"a": (3, 2), "c": (None, None)}
+def test_index_merges_runs_and_asks_filters(spark):
+    index = exact.DigestIndex(fanout=2)
+    batches = [[("a", 5), ("b", 2)], [("a", 3)], [("c", 1), ("c", 0)], [("d", 1)], [("b", 1)]]
+    found = [sorted(r[0] for r in index.flush(spark.createDataFrame(rows, "digest string, key long")).collect()) for rows in batches]
+    assert found == [[], ["a"], ["c"], [], ["b"]]
+    assert [run.level for run in index.runs] == [2, 0]
+    asked = spark.createDataFrame([("a",), ("b",), ("z",)], "digest string")
+    assert sorted(tuple(r) for r in index.groups(asked).collect()) == [("a", 3, 2), ("b", 1, 2)]
+
+
+def test_texts_under_one_digest_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact, "_digest", lambda text: F.unhex(F.sha2(F.substring(text, 1, 1), 256)))
+    rows = [(1, "ax"), (2, "AX"), (3, "ay"), (4, "b"), (None, "ay"), (5, "c"), (5, "c")]
+    got = exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"]) for r in got) == [(0, 3, 2), (1, 2, 2), (2, 2, 2), (3, 3, 2), (4, 4, 1), (5, 5, 2), (5, 5, 2)]
+    assert sum(r["kept"] for r in got) == 4
 
 
 # pages
@@ -485,6 +494,33 @@ to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
     assert lic.license_scan(own, {}).count() == 0
 
 
+def test_licences_equal_the_scan_of_whole_texts():
+    """Against a brute-force version that takes a whole text as one region and every template as a candidate."""
+    rng = random.Random(4)
+    scanner = lic.Scanner(lic.TEMPLATES)
+    everything = dict.fromkeys(lic.TEMPLATES, 0)
+    seen = Counter()
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            words = rng.choice(list(lic.TEMPLATES.values())).split(" ")
+            if len(words) > 12 and rng.random() < 0.5:
+                del words[rng.randrange(len(words))]
+            if rng.random() < 0.3:
+                words.insert(rng.randrange(1, len(words)), "somewhat")
+            parts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n# "]) for w in words))
+        fill = [" ".join(rng.choices("a story of the work and version that any person may use with words".split(), k=rng.choice([0, 5, 900]))) for _ in range(4)]
+        text = "\n".join(x for pair in zip(fill, [*parts, "", "", ""], strict=False) for x in pair)
+        words = lic.words_of(text)
+        got = [(x["license"], x["first_line"], x["missing"], x["added"]) for x in scanner.scan(text)]
+        starts = [text.count("\n", 0, m.start()) for m in lic._WORD.finditer(text)]
+        want = [(x["license"], starts[x["first_line"]], x["missing"], x["added"]) for x in scanner._notices(words, 0, len(words), everything)]
+        seen["same"] += sorted(map(str, got)) == sorted(map(str, want))
+        seen["notices"] += len(want)
+        assert {x[0] for x in got} == {x[0] for x in want}
+    assert seen["same"] >= 140 and seen["notices"] > 100
+
+
 @pytest.mark.parametrize(
     "icon",
     ['<svg class="i"/>', "<math />", "<SVG/>", "<svg><svg><path/></svg><text>hidden</text></svg>", "<svg><svg/>hidden</svg>",
