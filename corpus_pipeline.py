@@ -1,16 +1,18 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes the documents that the stage before it kept and returns those that it keeps, with their columns; the
-last returns the pieces with their places in sequences. Ids, texts and sources may be null and rows may repeat; extra
-columns pass through. An empty table stays empty.
+last returns the pieces with their places in sequences. Decisions are taken for rows, not for ids: a stage that joins
+decisions back first writes its rows with a number. Ids, texts and sources may be null and rows may repeat; a null text
+counts as empty, very long texts are taken whole. Extra columns pass through whatever their names are: the row travels
+as one struct. An empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import KeyFilter, ascii_lower, table, written
+from fillwise.llm.common import KeyFilter, table, written
 from fillwise.llm.op2_jaccard import near_duplicates
 from fillwise.llm.op4_exact_dedup import exact_groups
 from fillwise.llm.op6_mixing import balanced_mix
@@ -20,63 +22,58 @@ from fillwise.llm.op9_packing import packed_sequences, public_tokenizer
 TOXIC = 0.7
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc): the documents as a table of numbered rows; ``doc`` has all columns."""
+    return written(
+        docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "rows"
+    )
+
+
+def decided(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The documents of the rows but those that ``verdicts`` (row) names. Only rows that may be named move."""
+    marked = KeyFilter(verdicts, "row").mark(rows, "row", "hit")
+    rest = marked.where("hit").join(verdicts, "row", "left_anti")
+    return marked.where(~F.col("hit")).select("doc.*").unionByName(rest.select("doc.*"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the threshold; null texts stay."""
+    """Documents whose toxicity is below the threshold; null and empty texts stay."""
     model = fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity_column(model, F.col("text")) < TOXIC)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of equal texts: that with the largest id. Only rows whose id has a copy take part in a join."""
-    groups = exact_groups(docs)
-    verdict = groups.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sum")).agg(
-        F.max("kept").alias("__kept"), F.count("*").alias("__rows")
-    )
-    verdict = written(verdict.where(~F.col("__kept") | (F.col("__rows") > 1) | F.col("__id").isNull()), "verdict")
-    marked = KeyFilter(verdict, "__id").mark(docs, "doc_id", "__flag")
-    asked = F.col("__flag") | F.col("doc_id").isNull()
-    rest = marked.where(asked).withColumn("__text_sum", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
-    rest = rest.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_sum") == F.col("__sum")), "left")
-    once = rest.where("__kept").dropDuplicates(["__id", "__sum"])
-    return marked.where(~asked).select(docs.columns).unionByName(
-        rest.where("__kept IS NULL").select(docs.columns)
-    ).unionByName(once.select(docs.columns))
-
-
-def with_rows(docs: DataFrame) -> DataFrame:
-    """The documents as a table in which each row has a number (``__row``) and the digest of its text (``__sum``)."""
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__sum", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return written(keyed, "rows")
+    """One row of equal texts: that with the largest id, of rows alike in it the first; null ids stay only without another id."""
+    rows = with_rows(docs)
+    groups = exact_groups(rows.select("row", "doc.doc_id", "doc.text"), row_col="row")
+    return decided(rows, written(groups.where(~F.col("kept")).select("row"), "copies"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id, then digest.
 
     A document is an id with a text: where an id repeats with another text, that is a document of its own. Rows alike in
-    both stay or go together. Rows with a null id stay.
+    both stay or go together. Rows with a null id and texts without words stay.
     """
-    keyed = with_rows(docs)
-    found = near_duplicates(keyed.where("doc_id IS NOT NULL"), id_col="__row").where("n_shingles > 0")
-    found = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
-    rows = keyed.select("__row", F.struct("doc_id", "__sum").alias("__doc")).join(found, "__row")
-    rows = written(rows, "near-copies")
-    kept = rows.groupBy("__group").agg(F.min("__doc").alias("__kept"), F.count("*").alias("__n")).where("__n > 1")
-    gone = written(rows.join(kept, "__group").where("__doc <> __kept").select(F.col("__row").alias("__gone")), "gone")
-    marked = KeyFilter(gone, "__gone").mark(keyed, "__row", "__flag")
-    rest = marked.where("__flag").join(gone, F.col("__row") == F.col("__gone"), "left_anti")
-    return marked.where(~F.col("__flag")).select(docs.columns).unionByName(rest.select(docs.columns))
+    rows = with_rows(docs)
+    found = near_duplicates(rows.select("row", "doc.doc_id", "doc.text").where("doc_id IS NOT NULL"), id_col="row")
+    found = found.where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("grp"))
+    several = written(found.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "several")
+    found = written(found.join(several, "grp", "left_semi"), "near-copies")
+    some = KeyFilter(found, "row").mark(rows, "row", "hit").where("hit")
+    some = some.select("row", F.struct("doc.doc_id", F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("sum")).alias("key"))
+    some = written(some.join(found, "row"), "keys")
+    kept = some.groupBy("grp").agg(F.min("key").alias("kept"))
+    return decided(rows, written(some.join(kept, "grp").where("key <> kept").select("row"), "gone"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it. Rows alike in id, text and source are numbered and take a decision each."""
-    keyed = with_rows(docs).withColumn("__key", F.concat_ws(":", F.col("doc_id").cast("string"), "__sum"))
-    mix = balanced_mix(keyed, id_col="__key").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("repeats").alias("__times"))
-    mix = mix.withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__source").orderBy(F.desc("__times"))))
-    rows = keyed.select("__key", "source", "__row").withColumn("__nth", F.row_number().over(Window.partitionBy("__key", "source").orderBy("__row")))
-    same = (F.col("__key") == F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__nth") == F.col("__place"))
-    taken = written(rows.join(mix.where("__times > 0"), same).select(F.col("__row").alias("__taken"), "__times"), "taken")
-    both = keyed.join(taken, F.col("__row") == F.col("__taken"))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    """Each row as often as the mix takes it, rows alike in id, text and source each by a decision of their own."""
+    rows = with_rows(docs)
+    mix = balanced_mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), row_col="row").where("repeats > 0")
+    taken = written(mix.select("row", "repeats"), "taken")
+    both = rows.join(taken, "row")
+    return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
