@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fillwise.llm.common import FOLDED_CODES, KeyFilter, components, mixed, word_hashes, written
 
 #: Tokens that are known as frequent: at most so many, each in so many documents among so many tokens. They only affect the order.
-MAX_FREQUENT, BATCH_MIN, BATCH_TOKENS = 100_000, 4, 1_000_000
+MAX_FREQUENT, BATCH_MIN, BATCH_TOKENS = 500_000, 2, 2_000_000
 MIN_HASHES = 3
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,10 +48,10 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[tuple[np.ndarray,
                 s = np.sort(rolled[at : at + k - width + 1])
                 sets.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
             elif k:
-                h = np.uint64(k)
-                for w in words[at : at + k]:
-                    h = h * _P + w
-                sets.append(mixed(np.array([h])))
+                h = np.full(1, k, dtype=np.uint64)
+                for i in range(at, at + k):
+                    h = h * _P + words[i : i + 1]
+                sets.append(mixed(h))
             else:
                 sets.append(np.zeros(0, np.uint64))
             at += k
@@ -104,13 +104,13 @@ class _Order:
 
     def __init__(self, frequent: np.ndarray):
         self.tokens, self.times = frequent
-        self.some = np.zeros(1 << 20, dtype=bool)
-        self.some[self.tokens >> np.uint64(44)] = True
+        self.some = np.zeros(1 << 22, dtype=bool)
+        self.some[self.tokens >> np.uint64(42)] = True
 
     def known(self, flat: np.ndarray) -> np.ndarray:
         """Number of documents of each token, 0 where it is not among the frequent ones."""
         out = np.zeros(len(flat), dtype=np.uint64)
-        at = np.flatnonzero(self.some[flat >> np.uint64(44)])
+        at = np.flatnonzero(self.some[flat >> np.uint64(42)])
         if len(at):
             place = np.minimum(np.searchsorted(self.tokens, flat[at]), len(self.tokens) - 1)
             out[at] = np.where(self.tokens[place] == flat[at], self.times[place], np.uint64(0))
