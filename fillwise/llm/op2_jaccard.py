@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fillwise.llm.common import FOLDED_CODES, KeyFilter, components, mixed, word_hashes, written
 
 #: Tokens that are known as frequent: at most so many, each in so many documents among so many tokens. They only affect the order.
-MAX_FREQUENT, BATCH_MIN, BATCH_TOKENS = 500_000, 2, 2_000_000
+MAX_FREQUENT, BATCH_MIN, BATCH_TOKENS = 100_000, 2, 2_000_000
 MIN_HASHES = 3
 _P = np.uint64(0x9E3779B97F4A7C15)
 
