@@ -1,16 +1,19 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded along the tree.
 
 A page becomes a tree of block-level nodes in one pass of a tag scanner. Each node has features of its tag, attribute
-tokens, depth, subtree density and siblings. Gradient-boosted trees (MLlib) learn from nodes that the pages themselves
-label: what lies in an article or main element against what lies in navigation, footers, asides, forms and parts whose
-class or id names them so. The fitted trees travel to the tasks as plain tables, so that a page's nodes never leave the
-task that parsed it. Decoding picks the best labels under one rule: nothing below a rejected node is kept.
+tokens, depth, subtree density and siblings. Gradient-boosted trees (MLlib) learn from pages that tell where their
+article is without naming it: the headline is the block that agrees with the page's title, and the article is the
+smallest part around it that holds half of the page's prose. In half of these pages the tag and attribute features are
+blanked, so that density, links, depth and siblings are learned as well; some invented layouts are always among the
+training pages. The fitted trees travel to the tasks as plain tables, so that a page's nodes never leave the task that
+parsed it. Decoding picks the best labels under one rule: nothing below a rejected node is kept.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fillwise.llm.common import written
+
 # Element names of the HTML standard, and attribute words that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea template noscript iframe svg math title".split())
@@ -43,8 +48,9 @@ NEGATIVE = frozenset(
 POSITIVE = frozenset("article articlebody content maincontent main post posts entry story text body".split())
 NAMES = ("class", "id", "role", "itemprop")
 
+#: A tag with its quotes closed; else, where a quote stays open, up to the next ``>``.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+|[^<>]*+)>", re.DOTALL
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -55,6 +61,8 @@ FEATURES = (
     "log_subtree", "log_own", "link_density", "text_density", "sibling_place", "log_siblings", "sibling_share",
     "page_place", "page_share", "punctuation", "log_block_words",
 )
+#: Features that come from names; blanked in half of the training pages.
+NAMED = 8
 #: Pages that the fit reads at most (about), trees and their depth.
 MAX_PAGES, TREES, DEPTH = 1200, 10, 4
 
@@ -65,10 +73,12 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.negative, self.positive = [-1], ["html"], [0], [0]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters inside links
+        self.title, self.main = "", -1
         self._parse(source)
 
     def _parse(self, source: str) -> None:
         stack, run, links, in_link, at = [0], [], 0, 0, 0
+        is_open: Counter[str] = Counter()
 
         def flush() -> None:
             nonlocal links
@@ -81,6 +91,7 @@ class Page:
 
         def pop_to(k: int) -> None:
             flush()
+            is_open.subtract(self.tag[x] for x in stack[k:])
             del stack[k:]
 
         n = len(source)
@@ -101,6 +112,8 @@ class Page:
                         at = self._end(source, name, at)
                 elif not closing:
                     stop = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
+                    if name == "title" and not self.title:
+                        self.title = SPACE.sub(" ", entities.unescape(source[at : stop.start() if stop else n])).strip()
                     at = stop.end() if stop else n
                 continue
             if name in INLINE:
@@ -110,9 +123,8 @@ class Page:
                     run.append("\n")
                 continue
             if closing:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name), 0)
-                if k:
-                    pop_to(k)
+                if is_open[name] > 0:
+                    pop_to(next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name))
                 else:
                     flush()
                 in_link = 0
@@ -134,6 +146,7 @@ class Page:
             self._words(len(self.tag) - 1, m[3])
             if not m[3].endswith("/"):
                 stack.append(len(self.tag) - 1)
+                is_open[name] += 1
         flush()
 
     @staticmethod
@@ -151,6 +164,8 @@ class Page:
         return len(source)
 
     def _words(self, node: int, attributes: str) -> None:
+        if "data-main" in attributes:
+            self.main = node
         if "=" not in attributes and "hidden" not in attributes:
             return
         words = [
@@ -197,17 +212,51 @@ class Page:
             ]
         )
 
-    def own_labels(self) -> list[int]:
-        """1 in an article, 0 in a part that is named otherwise, -1 where the page doesn't say."""
-        out = [-1]
-        for k in range(1, len(self.tag)):
-            up = out[self.parent[k]]
-            if up == 0 or self.tag[k] in BOILER_TAGS or self.negative[k] and not self.positive[k]:
-                out.append(0)
-            elif up == 1 or self.tag[k] in ARTICLE_TAGS or self.positive[k] and self.tag[k] != "body":
-                out.append(1)
-            else:
-                out.append(-1)
+    def headline(self) -> int:
+        """The node of the block that agrees best with the title: it is the title or a large part of it. -1: there is none."""
+        title = self.title.lower()
+        best = max(
+            ((len(t), -k, node) for k, (node, t, _) in enumerate(self.blocks) if len(title) >= 4 and 5 * len(t) >= 2 * len(title) and t.lower() in title),
+            default=(0, 0, -1),
+        )
+        return best[2]
+
+    def article(self) -> int:
+        """The smallest node around the headline with half of the page's prose, -1 where that is the body or unknown.
+
+        Prose is blocks of ten words or more with a sentence mark, most of them outside of links. No name has a say.
+        """
+        at = self.headline()
+        prose = np.zeros(len(self.tag))
+        for node, text, links in self.blocks:
+            if text.count(" ") >= 9 and any(c in text for c in ".!?") and 3 * links < len(text):
+                prose[node] += len(text)
+        for k in range(len(self.tag) - 1, 0, -1):
+            prose[self.parent[k]] += prose[k]
+        while at > 0 and 2 * prose[at] < prose[0]:
+            at = self.parent[at]
+        return at if at > 0 and self.tag[at] != "body" and prose[0] else -1
+
+    def labels(self, article: int) -> list[int]:
+        """1 in the article, 0 elsewhere; -1 for the parts around it, nodes without text, and lists of links in it."""
+        n = len(self.tag)
+        own, linked = np.zeros(n), np.zeros(n)
+        for node, text, links in self.blocks:
+            own[node] += len(text)
+            linked[node] += links
+        for k in range(n - 1, 0, -1):
+            own[self.parent[k]] += own[k]
+            linked[self.parent[k]] += linked[k]
+        inside, out = [False] * n, [-1] * n
+        around = set()
+        up = article
+        while up > 0:
+            up = self.parent[up]
+            around.add(up)
+        for k in range(1, n):
+            inside[k] = k == article or inside[self.parent[k]]
+            if own[k] and k not in around and not (inside[k] and 2 * linked[k] > own[k]):
+                out[k] = int(inside[k])
         return out
 
     def decode(self, p: np.ndarray) -> list[bool]:
@@ -277,42 +326,66 @@ class Trees:
         return 1 / (1 + np.exp(-2 * margin))
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, trees: int = TREES, depth: int = DEPTH) -> Trees | None:
-    """Boosted trees from the labelled nodes of about ``max_pages`` pages; None where no pages label both kinds."""
+def invented_pages() -> list[str]:
+    """Pages of some usual layouts: named elements, named divisions, nameless divisions. The article has ``data-main``."""
+    prose = "An article has paragraphs of several sentences, and they run on for some time before they stop. It says what it has to say, and goes on. "
+    remark = "I read this twice, and I do not agree. "
+    links = "".join(f'<li><a href="/{k}">Part {k}</a></li>' for k in range(6))
+    out = []
+    for layout in range(3):
+        for n in range(2, 8):
+            def part(tag: str, name: str, inner: str, layout: int = layout) -> str:
+                return f"<{tag}>{inner}</{tag}>" if layout == 0 else f'<div class="{name}">{inner}</div>' if layout == 1 else f"<div>{inner}</div>"
+
+            body = "<h1>A headline of the article</h1>" + "".join(f"<p>{prose * (1 + (n + k) % 3)}</p>" for k in range(n))
+            article = '<article data-main="1">' if layout == 0 else '<div class="post" data-main="1">' if layout == 1 else '<div data-main="1">'
+            out.append(
+                "<html><head><title>A headline of the article</title></head><body>" + part("header", "masthead", "The daily page")
+                + part("nav", "menu", f"<ul>{links}</ul>") + (part("aside", "ad", "Buy it now, and buy more of it.") if n % 2 else "")
+                + article + body + ("</article>" if layout == 0 else "</div>")
+                + part("aside", "sidebar", f"<h4>More</h4><ul>{links}</ul>") + part("section", "comments", f"<p>{remark}</p>" * n)
+                + part("footer", "footer", "Copyright 2020 the daily page. All rights reserved.") + "</body></html>"
+            )
+    return out
+
+
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, trees: int = TREES, depth: int = DEPTH) -> Trees:
+    """Boosted trees from the nodes of about ``max_pages`` pages at most that show where their article is, and of invented layouts."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     n = pages.count()
-    rows = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
+    rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col, html_col).alias("key"), F.col(html_col).alias("html"))
     if n > max_pages:
-        rows = rows.where(F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * max_pages / n))
+        rows = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * max_pages / n))
+    invented = pages.sparkSession.createDataFrame([(k, h) for k, h in enumerate(invented_pages())], "key long, html string")
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x, y = [np.zeros((0, len(FEATURES)))], []
-            for source in pdf["html"]:
+            for key, source in zip(pdf["key"], pdf["html"], strict=True):
                 page = Page(source)
-                own = np.array(page.own_labels())
-                x.append(page.features()[own >= 0])
+                article = page.main if page.main > 0 else page.article()
+                if article < 0:
+                    continue
+                own, features = np.array(page.labels(article)), page.features()
+                if key % 2:
+                    features[:, :NAMED] = 0.0
+                x.append(features[own >= 0])
                 y += own[own >= 0].tolist()
             yield pd.DataFrame({"label": np.array(y, float), "x": list(np.concatenate(x))})
 
-    data = rows.mapInPandas(nodes, "label double, x array<double>").select("label", array_to_vector("x").alias("features")).persist()
-    try:
-        if data.select("label").distinct().count() < 2:
-            return None
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5, maxBins=32, cacheNodeIds=False).fit(data)
-        return Trees.of(model)
-    finally:
-        data.unpersist()
+    data = rows.unionByName(invented).mapInPandas(nodes, "label double, x array<double>")
+    data = written(data, "nodes").select("label", array_to_vector("x").alias("features"))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5, maxBins=32, cacheNodeIds=False).fit(data)
+    return Trees.of(model)
 
 
-def main_text(pages: DataFrame, model: Trees | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, model: Trees, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each row.
 
-    Null and empty pages give an empty text. Without a model the pages' own labels decide, and what they don't label
-    is kept. Repeated rows and null ids are pages like others. An empty table gives an empty result. Other columns are
-    ignored.
+    Null and empty pages give an empty text. Very long pages are read in one pass, in time that grows with their length.
+    Repeated rows and null ids are pages like others. An empty table gives an empty result. Other columns are ignored.
     """
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 
@@ -324,11 +397,8 @@ def main_text(pages: DataFrame, model: Trees | None, id_col: str = "page_id", ur
                 some = [(k, page) for k, page in enumerate(read[lo : lo + 200], lo) if page]
                 if not some:
                     continue
-                if model is None:
-                    scores = [np.array([0.0 if y == 0 else 1.0 for y in page.own_labels()]) for _, page in some]
-                else:
-                    x = [page.features() for _, page in some]
-                    scores = np.split(model.probability(np.concatenate(x)), np.cumsum([len(a) for a in x])[:-1])
+                x = [page.features() for _, page in some]
+                scores = np.split(model.probability(np.concatenate(x)), np.cumsum([len(a) for a in x])[:-1])
                 for (k, page), p in zip(some, scores, strict=True):
                     texts[k] = page.text(page.decode(p))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
