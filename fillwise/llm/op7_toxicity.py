@@ -1,13 +1,13 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Counting: in labelled training documents, each token stands for itself and for its prefixes of 3, 4 and 5 letters; a
-feature's log-odds between toxic and other documents gets a Dirichlet prior, and its z-score says how far to trust it.
-Near copies count once.
-Features whose ratio is neither sure nor large are left out. A token scores as its most decided feature, less a drift. Scanning: the
-Ruzzo-Tompa algorithm finds all maximal segments of a text in linear time. Calibration, on other training
-documents: the drift is set so that lambda, the decay of the extreme-value law of clean text (Karlin-Altschul: expected
-number of segments K n exp(-lambda S)), is 1, as it is for exact log-odds; K is fitted to the best segments of clean
-texts. Segments are added up in nats under that law and a logistic curve makes the sum a probability.
+Counting: in labelled training documents, each token stands for itself and for its prefixes of 3 to 8 letters. The
+log-odds of a feature's tokens between toxic and other documents get a Dirichlet prior, and the documents that have it
+say how far to trust them. Near copies count once. Features whose ratio is neither sure nor large are left out. A token
+scores as its most decided feature, less a drift. Scanning: the Ruzzo-Tompa algorithm finds all maximal segments of a
+text in linear time. Calibration is cross-fitted: each fifth of the training documents is scored by the counts of the
+other four (total minus part). Lambda, the decay of the extreme-value law of clean text (Karlin-Altschul: expected number
+of segments K n exp(-lambda S)), is the root of E exp(lambda s) = 1 over the token scores of clean texts, and K is fitted
+to their best segments. Segments are added up in nats under that law and a logistic curve makes the sum a probability.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fillwise.llm.common import written
+
 TOKEN = re.compile(r"[^\W\d_]+")
-PREFIXES = (3, 4, 5)
-#: Most labelled documents that the fit reads, and most features that the model keeps.
-MAX_TRAIN, MAX_FEATURES = 24_000, 50_000
-MIN_Z, MIN_ODDS, MIN_DRIFT, PRIOR, MIN_PRIOR, MAX_E = 4.0, 1.0, 0.03, 0.5, 0.5, 0.05
+PREFIXES, PARTS = (3, 4, 5, 6, 7, 8), 5
+#: Most labelled documents that the fit reads (about): with them, all features and counts of the model are bounded.
+MAX_TRAIN = 24_000
+MIN_Z, MIN_ODDS, DRIFT, PRIOR, MIN_PRIOR, MAX_E, MAX_LAMBDA, CACHE = 3.0, 1.0, 0.03, 0.5, 0.5, 0.05, 3.0, 100_000
 
 
 def features(token: str) -> list[str]:
@@ -41,16 +43,23 @@ def copy_key(text: str) -> int:
     return min(xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))) >> 1
 
 
-def log_odds(y1: np.ndarray, y0: np.ndarray, n1: float, n0: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratio of features in n1 toxic and n0 other documents, and its z-score, under an informative Dirichlet prior.
+def significance(d1: np.ndarray, d0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """z-scores of the log-odds of features in d1 of n1 toxic and d0 of n0 other documents, under a Dirichlet prior."""
+    prior = PRIOR * (d1 + d0) / max(1.0, n1 + n0) + MIN_PRIOR
+    a, b = d1 + prior, d0 + prior
+    delta = np.log(a / np.maximum(n1 + 2 * MIN_PRIOR - a, MIN_PRIOR)) - np.log(b / np.maximum(n0 + 2 * MIN_PRIOR - b, MIN_PRIOR))
+    return delta / np.sqrt(1 / a + 1 / b)
+
 
-    The ratio is given one standard deviation nearer to 0, so that rare features claim less.
+def log_odds(t1: np.ndarray, t0: np.ndarray, d1: np.ndarray, d0: np.ndarray, size1: float, size0: float) -> np.ndarray:
+    """Log-odds of features with t1 of size1 toxic and t0 of size0 other tokens, in d1 and d0 documents.
+
+    The prior is half a token in toxic texts and as much for their size in others. The ratio is given one standard
+    deviation (by documents) nearer to 0, so that rare features claim less.
     """
-    prior = PRIOR * (y1 + y0) / max(1.0, n1 + n0) + MIN_PRIOR
-    a, b = y1 + prior, y0 + prior
-    delta = np.log(a / np.maximum(n1 + 2 * MIN_PRIOR - a, MIN_PRIOR)) - np.log(b / np.maximum(n0 + 2 * MIN_PRIOR - b, MIN_PRIOR))
-    sd = np.sqrt(1 / a + 1 / b)
-    return np.sign(delta) * np.maximum(np.abs(delta) - sd, 0.0), delta / sd
+    delta = np.log((t1 + PRIOR) / size1) - np.log((t0 + PRIOR * size0 / size1) / size0)
+    sd = np.sqrt(1 / (d1 + MIN_PRIOR) + 1 / (d0 + MIN_PRIOR))
+    return np.sign(delta) * np.maximum(np.abs(delta) - sd, 0.0)
 
 
 def segments(scores: list[tuple[int, float, float]]) -> list[tuple[int, int, float]]:
@@ -75,9 +84,9 @@ def segments(scores: list[tuple[int, float, float]]) -> list[tuple[int, int, flo
 
 @dataclass
 class ToxicModel:
-    """What the fit learned. ``weights`` has at most MAX_FEATURES entries, whatever the corpus."""
+    """What the fit learned; ``weights`` are the log-odds of the features that it trusts."""
 
-    weights: dict[str, tuple[float, float]]
+    weights: dict[str, float]
     drift: float = 0.0
     lam: float = 1.0
     k: float = 1.0
@@ -90,9 +99,8 @@ class ToxicModel:
     def token_score(self, token: str) -> float:
         got = self._seen.get(token)
         if got is None:
-            best = max((w for f in features(token) if (w := self.weights.get(f))), key=lambda w: abs(w[0]), default=(0.0, 0.0))
-            got = best[0] - self.drift
-            if len(self._seen) > 200_000:
+            got = max((w for f in features(token) if (w := self.weights.get(f))), key=abs, default=0.0) - self.drift
+            if len(self._seen) > CACHE:
                 self._seen.clear()
             self._seen[token] = got
         return got
@@ -105,11 +113,6 @@ class ToxicModel:
         up = np.flatnonzero(score > 0)
         return len(tokens), segments([(int(i), float(total[i] - score[i]), float(score[i])) for i in up])
 
-    def lift(self, text: str) -> tuple[int, float]:
-        """Number of tokens, sum of exp(score) over them: its mean is 1 where lambda is 1."""
-        tokens = TOKEN.findall(text.lower())
-        return len(tokens), float(sum(math.exp(min(30.0, self.token_score(t))) for t in tokens))
-
     def nats(self, score: float, n: int) -> float:
         """-log of the expected number of such segments in n clean tokens."""
         return self.lam * score - math.log(self.k * max(n, 1))
@@ -124,86 +127,122 @@ class ToxicModel:
 
 
 def fold(id_col: str):
-    """By crc32 of the id as text: mod 3 = 1 is held out (1); of the others four in five count (0), one calibrates (2)."""
+    """By crc32 of the id as text: mod 3 = 1 is held out (-1), the others are in one of PARTS parts."""
     code = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    return F.when(code % 3 == 1, 1).when(F.floor(code / 3) % 5 == 0, 2).otherwise(0).cast("int")
+    return F.when(code % 3 == 1, -1).otherwise(F.floor(code / 3) % PARTS).cast("int")
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
-    y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != 1))
-    y = y.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
+    """(part, text, y, copy_key) of about ``max_train`` labelled documents at most; near copies with one label once."""
+    y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) >= 0))
+    y = y.groupBy(F.col(id_col).alias("of")).agg(F.max(label_col).cast("int").alias("y"))
     n = y.count()
     if n > max_train:
-        y = y.where(F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    return rows.join(y, F.col("__doc") == F.col("__id")).select(fold("__doc").alias("fold"), "text", "y")
-
-
-def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_train: int = MAX_TRAIN,
-) -> ToxicModel:
-    """Learns from at most about ``max_train`` labelled documents, none of them held out.
-
-    Feature counts are Spark aggregates; at most MAX_FEATURES weights and one short row for each calibration document
-    reach the driver. Without toxic or without other labels every token scores 0.
-    """
-    rows = _labelled(docs, labels, id_col, text_col, label_col, max_train)
+        y = y.where(F.pmod(F.xxhash64("of", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    rows = rows.join(y, F.col("id") == F.col("of")).select("id", fold("id").alias("part"), "text", "y")
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(copy_key=[copy_key(t) for t in pdf["text"]])
 
-    rows = rows.mapInPandas(keyed, "fold int, text string, y int, copy_key long").persist()
-    counted = rows.where("fold = 0").dropDuplicates(["copy_key", "y"])
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.mapInPandas(keyed, f"id {kind}, part int, text string, y int, copy_key long")
+    rows = rows.groupBy("copy_key", "y").agg(F.min_by(F.struct("part", "text"), "id").alias("x"))
+    return written(rows.select("x.part", "x.text", "y"), "labelled")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(feature, counts): toxic documents, other documents, toxic tokens and other tokens of each part, one after the other."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen = (Counter(), Counter())
-            for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                seen[y].update({f for t in set(TOKEN.findall(text.lower())) for f in features(t)})
-            names = [*seen[1], *seen[0]]
-            yield pd.DataFrame(
-                {"feature": names, "y1": [*seen[1].values(), *[0] * len(seen[0])], "y0": [*[0] * len(seen[1]), *seen[0].values()]}
-            )
-
-    sizes = {r["y"]: r["n"] for r in counted.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        rows.unpersist()
-        return ToxicModel({})
-    counts = (
-        counted.select("text", "y").mapInPandas(count, "feature string, y1 long, y0 long")
-        .groupBy("feature").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")).where("y1 >= 3 OR y0 >= 20")
+            seen: dict[tuple[str, int], list[int]] = {}
+            for part, text, y in zip(pdf["part"], pdf["text"], pdf["y"], strict=True):
+                for f, n in Counter(f for t in TOKEN.findall(text.lower()) for f in features(t)).items():
+                    got = seen.setdefault((f, part), [0, 0, 0, 0])
+                    got[1 - y] += 1
+                    got[3 - y] += n
+            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["feature", "part", "d1", "d0", "t1", "t0"])
+
+    counts = rows.mapInPandas(count, "feature string, part int, d1 long, d0 long, t1 long, t0 long")
+    sums = [F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)) for k in range(PARTS) for c in ("d1", "d0", "t1", "t0")]
+    return counts.groupBy("feature").agg(F.array(*sums).alias("counts")).where(
+        " + ".join(f"counts[{4 * k}]" for k in range(PARTS)) + " >= 2 OR " + " + ".join(f"counts[{4 * k + 1}]" for k in range(PARTS)) + " >= 20"
     )
 
-    @F.pandas_udf("delta double, z double")
-    def odds(y1: pd.Series, y0: pd.Series) -> pd.DataFrame:
-        delta, z = log_odds(y1.to_numpy(float), y0.to_numpy(float), n1, n0)
-        return pd.DataFrame({"delta": delta, "z": z})
 
-    kept = counts.withColumn("o", odds("y1", "y0")).select("feature", "o.*").where((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_ODDS))
-    kept = kept.orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES).toPandas()
-    model = ToxicModel({f: (d, z) for f, d, z in zip(kept["feature"], kept["delta"], kept["z"], strict=True)})
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    max_train: int = MAX_TRAIN,
+) -> ToxicModel:
+    """Learns from at most about ``max_train`` labelled documents, none of them held out.
+
+    Feature counts are Spark aggregates. Only features that some count trusts and one short row for each training
+    document reach the driver. Without toxic or without other labels every token scores 0.
+    """
+    rows = _labelled(docs, labels, id_col, text_col, label_col, max_train)
+    sizes = np.zeros((PARTS, 4))
+    tokens = F.regexp_count("text", F.lit(r"\p{L}+"))
+    for r in rows.groupBy("part", "y").agg(F.count("*").alias("n"), F.sum(tokens).alias("t")).collect():
+        sizes[r["part"], 1 - r["y"]] += r["n"]
+        sizes[r["part"], 3 - r["y"]] += r["t"]
+    # the model of part k counts all others; the last model counts all
+    wholes = [*(sizes.sum(axis=0) - sizes[k] for k in range(PARTS)), sizes.sum(axis=0)]
+    if not (wholes[-1] > 0).all():
+        return ToxicModel({})
 
-    def lift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def odds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = np.array(pdf["counts"].tolist(), dtype=float).reshape(len(pdf), PARTS, 4)
+            weights = np.zeros((len(pdf), PARTS + 1))
+            for k, (n1, n0, size1, size0) in enumerate(wholes):
+                if min(n1, n0, size1, size0) > 0:
+                    d1, d0, t1, t0 = (parts.sum(axis=1) - (parts[:, k] if k < PARTS else 0)).T
+                    w = log_odds(t1, t0, d1, d0, size1, size0)
+                    weights[:, k] = np.where((np.abs(significance(d1, d0, n1, n0)) >= MIN_Z) & (np.abs(w) >= MIN_ODDS), w, 0.0)
+            some = (weights != 0).any(axis=1)
+            yield pd.DataFrame({"feature": pdf["feature"][some], "weights": list(weights[some])})
+
+    kept = _counts(rows).mapInPandas(odds, "feature string, weights array<double>").toPandas()
+    models = [ToxicModel({f: w[k] for f, w in zip(kept["feature"], kept["weights"], strict=True) if w[k]}) for k in range(PARTS + 1)]
+
+    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [model.lift(t) for t in pdf["text"]]
-            yield pd.DataFrame({"n": [n for n, _ in got], "lift": [x for _, x in got]})
+            bins = Counter(round(100 * models[p].token_score(t)) for p, text in zip(pdf["part"], pdf["text"], strict=True) for t in TOKEN.findall(text.lower()))
+            yield pd.DataFrame({"bin": list(bins), "n": list(bins.values())})
 
-    means = rows.where("fold = 2 AND y = 0").select("text").mapInPandas(lift, "n long, lift double")
-    n, total = means.agg(F.sum("n"), F.sum("lift")).first()
-    model.drift = max(MIN_DRIFT, math.log(total / n)) if n else MIN_DRIFT
-    model._seen.clear()
+    bins = rows.where("y = 0").select("part", "text").mapInPandas(histogram, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    drift, lam = extreme_values(bins["bin"].to_numpy() / 100, bins["n"].to_numpy(float))
+    for model in models:
+        model.drift, model.lam = drift, lam
+        model._seen.clear()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [model.scan(t) for t in pdf["text"]]
+            got = [models[p].scan(t) for p, t in zip(pdf["part"], pdf["text"], strict=True)]
             yield pd.DataFrame({"y": pdf["y"].to_numpy(), "n": [n for n, _ in got], "s": [[x[2] for x in f] for _, f in got]})
 
-    calibration = rows.where("fold = 2").select("text", "y").mapInPandas(scan, "y int, n long, s array<double>").toPandas()
-    rows.unpersist()
-    return calibrate(model, calibration)
+    return calibrate(models[-1], rows.mapInPandas(scan, "y int, n long, s array<double>").toPandas())
+
+
+def extreme_values(scores: np.ndarray, times: np.ndarray) -> tuple[float, float]:
+    """(drift, lambda) from the scores of tokens in clean texts, before the drift, and how often each occurs.
+
+    The drift makes the mean score negative; lambda is the positive root of E exp(lambda s) = 1, at most MAX_LAMBDA.
+    """
+    if not len(scores):
+        return DRIFT, 1.0
+    drift = max(DRIFT, float((scores * times).sum() / times.sum()) + DRIFT)
+    scores = scores - drift
+    low, high = 1e-3, MAX_LAMBDA
+    for _ in range(60):
+        mid = (low + high) / 2
+        if (times * np.exp(np.minimum(mid * scores, 50.0))).sum() > times.sum():
+            high = mid
+        else:
+            low = mid
+    return drift, low
 
 
 def calibrate(model: ToxicModel, rows: pd.DataFrame) -> ToxicModel:
@@ -228,7 +267,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     """(doc_id, score, predicted, passages) of each row; a passage has its place in characters, score and expected number.
 
     Null and empty texts have no tokens: they get the curve's lowest score and no passages. Repeated rows score alike.
-    An empty table gives an empty result. Other columns are ignored.
+    Very long texts are scanned whole. An empty table gives an empty result. Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     passage = "array<struct<start:int,end:int,score:double,expected:double>>"
@@ -263,5 +302,5 @@ def toxicity_column(model: ToxicModel, text: Column) -> Column:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score_documents(docs, fit(docs, labels))
-    held_out = F.coalesce(fold("doc_id") == 1, F.lit(False))
+    held_out = F.coalesce(fold("doc_id") == -1, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
