@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
@@ -255,7 +256,60 @@ def test_main_text(spark):
     got = {r["page_id"]: r for r in page.main_text(df, page.fit(df)).collect()}
     assert got[3]["text"] == "A & B\nFirst3 text, with words that go on for a while, and on.\nSecond text here, again with some words."
     assert got[3]["n_chars"] == len(got[3]["text"]) and got[100]["text"] == got[101]["text"] == "" and len(got) == len(rows)
-    assert page.fit(df.limit(0)) is None and page.main_text(df.limit(0), None).count() == 0
+    assert page.main_text(df.limit(0), page.fit(df.limit(0))).count() == 0
+
+
+def nameless_page(rng):
+    """(html, main text) of a page of bare divisions: only the title tells where the article is."""
+    word = lambda: "".join(rng.choices("aeioustrn", k=rng.randint(2, 9)))
+    sentence = lambda k: " ".join(word() for _ in range(k)).capitalize() + ", " + word() + "."
+    title = sentence(6)
+    body = [title, *(" ".join(sentence(12) for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(3, 7)))]
+    links = "".join(f'<li><a href="/{k}">{word()}</a></li>' for k in range(rng.randint(4, 9)))
+    html = (
+        f"<html><head><title>{title}</title></head><body><div>{word()} {word()}</div><div><ul>{links}</ul></div><div><div><h1>{title}</h1>"
+        + "".join(f"<p>{p}</p>" for p in body[1:]) + f"</div></div><div><ul>{links}</ul></div><div>{sentence(4)}</div></body></html>"
+    )
+    return html, "\n".join(body)
+
+
+def test_main_text_of_nameless_pages(spark):
+    """Where no tag or attribute says what is what: words kept and lost against the hand-made truth, on pages that the fit did not read."""
+    rng = random.Random(3)
+    pages = [nameless_page(rng) for _ in range(160)]
+    rows = [(i, "u", h) for i, (h, _) in enumerate(pages)]
+    learn = spark.createDataFrame(rows[:80], "page_id long, url string, html string")
+    got = page.main_text(spark.createDataFrame(rows[80:], learn.schema), page.fit(learn)).collect()
+    both = found = true = 0
+    for r in got:
+        a, b = Counter(r["text"].split()), Counter(pages[r["page_id"]][1].split())
+        both, found, true = both + (a & b).total(), found + a.total(), true + b.total()
+    assert 2 * both / (found + true) > 0.97
+
+
+def test_pages_with_faults():
+    text = lambda h: [t for _, t, _ in page.Page(h).blocks]
+    assert text('<p title="it\'s>hey</p><p>more') == ["hey", "more"]
+    assert text("<a href='x' title=\"a>b\">t</a> 3 < 4") == ["t 3 < 4"]
+    assert text("<div>" * 8000 + "</span></p></b></x>" * 16000 + "x") == ["x"]
+    assert page.Page("<title>A &amp;  b</title><p>A & b").title == "A & b"
+
+
+def test_decoding_equals_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        n = int(rng.integers(2, 8))
+        p = page.Page("")
+        p.parent, p.tag = [-1, *(int(rng.integers(0, k)) for k in range(1, n))], ["html", *["div"] * (n - 1)]
+        p.negative = p.positive = [0] * n
+        p.blocks = [(k, "x" * int(rng.integers(0, 9)), 0) for k in range(n)]
+        score = rng.random(n)
+        weight = [0.0] * n
+        for k in range(n - 1, -1, -1):
+            weight[k] = len(p.blocks[k][1]) + sum(weight[c] for c in range(n) if p.parent[c] == k)
+        value = lambda labels: sum(weight[k] * math.log(score[k] if labels[k] else 1 - score[k]) for k in range(1, n))
+        allowed = [x for x in itertools.product([True, False], repeat=n) if x[0] and all(x[p.parent[k]] or not x[k] for k in range(1, n))]
+        assert value(p.decode(score)) == pytest.approx(max(map(value, allowed)), abs=1e-3)
 
 
 def test_nothing_is_kept_below_a_rejected_node():
