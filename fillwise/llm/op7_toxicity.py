@@ -202,7 +202,7 @@ def fit(
                     w = log_odds(t1, t0, d1, d0, size1, size0)
                     weights[:, k] = np.where((np.abs(significance(d1, d0, n1, n0)) >= MIN_Z) & (np.abs(w) >= MIN_ODDS), w, 0.0)
             some = (weights != 0).any(axis=1)
-            yield pd.DataFrame({"feature": pdf["feature"][some], "weights": list(weights[some])})
+            yield pd.DataFrame({"feature": pdf["feature"][some].to_numpy(), "weights": pd.Series(list(weights[some]), dtype=object)})
 
     kept = _counts(rows).mapInPandas(odds, "feature string, weights array<double>").toPandas()
     models = [ToxicModel({f: w[k] for f, w in zip(kept["feature"], kept["weights"], strict=True) if w[k]}) for k in range(PARTS + 1)]
@@ -221,7 +221,7 @@ def fit(
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [models[p].scan(t) for p, t in zip(pdf["part"], pdf["text"], strict=True)]
-            yield pd.DataFrame({"y": pdf["y"].to_numpy(), "n": [n for n, _ in got], "s": [[x[2] for x in f] for _, f in got]})
+            yield pd.DataFrame({"y": pdf["y"].to_numpy(), "n": [n for n, _ in got], "s": pd.Series([[x[2] for x in f] for _, f in got], dtype=object)})
 
     return calibrate(models[-1], rows.mapInPandas(scan, "y int, n long, s array<double>").toPandas())
 

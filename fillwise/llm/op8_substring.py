@@ -2,11 +2,13 @@
 
 A window is 13 words in a row. Each window has an anchor, the 4-word gram of it that hashes lowest, so equal windows
 have equal anchors. Anchors that two documents share mark suspicious text; runs of windows with one such anchor are
-segments, and a segment goes to the shard of its anchor. Each shard builds an FM-index over its distinct segments: a
-Burrows-Wheeler transform in a wavelet matrix of packed bits. The segments are streamed back through it by backward
-search; a window whose interval still holds several suffixes after 13 steps has matches, and the smallest document
-among them decides. Anchors with very many segments are split: each of their windows is a segment with a shard of its
-own hash. The word sequences themselves are compared, not hashes.
+segments, and a segment goes to the shard of its anchor. Each shard builds a compressed FM-index over its distinct
+segments: a Burrows-Wheeler transform in a wavelet matrix of packed bits, and text places of some suffixes only. The
+segments are streamed back through it by backward search: a window whose interval still holds several suffixes after 13
+steps has a matching statistic of 13 words or more, and the smallest document among them decides. Anchors with very many
+segments are split: each of their windows is a segment with a shard of its own hash, which finds the same matches. Inside
+a shard word sequences themselves are compared; a segment's occurrences are tied to it by 128-bit hashes. Rows whose whole
+text a smaller id has (by SHA-256) need no index: all their windows repeat.
 """
 
 from __future__ import annotations
@@ -16,43 +18,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import KeyFilter, written
+from fillwise.llm.common import KeyFilter, word_hashes, written
 
 WIDTH, GRAM = 13, 4
-#: Segments of one FM-index; segments from which an anchor is split into its windows; bits of the map of shared anchors.
-SHARD_SEGMENTS, HOT_ANCHOR, FILTER_BITS = 20_000, 5_000, 25
-#: Documents whose segments a task holds at a time.
-BATCH = 2000
+#: Bytes of segments in one FM-index (about); segments from which an anchor is split into its windows; steps between sampled suffixes.
+SHARD_BYTES, HOT_ANCHOR, SAMPLE = 2 << 20, 5_000, 8
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    """word -> 64-bit hash, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def words_of(text) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
 
 
-def anchors(words: list[bytes], hashes: _WordHashes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of each window's anchor; of equal grams in a window the first."""
+def anchors(words: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the anchor of each window over hashed words; of equal grams in a window the first."""
     n = len(words)
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
     h = np.zeros(n - GRAM + 1, dtype=np.uint64)
     for i in range(GRAM):
-        h = h * _P + w[i : n - GRAM + 1 + i]
+        h = h * _P + words[i : n - GRAM + 1 + i]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(29)
     span = width - GRAM + 1
@@ -60,6 +50,17 @@ def anchors(words: list[bytes], hashes: _WordHashes, width: int = WIDTH) -> tupl
     return h[place].view(np.int64), place
 
 
+def _runs(texts: pa.Array, width: int) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(anchor, first window, end) of the runs of each text, for some texts at a time."""
+    for hashes, counts in word_hashes(texts):
+        out = []
+        for words in np.split(hashes, np.cumsum(counts)[:-1]):
+            keys, place = anchors(words, width)
+            begin = np.flatnonzero(_changes(place))
+            out.append((keys[begin], begin, np.append(begin[1:], len(place))[: len(begin)]))
+        yield out
+
+
 def _changes(values: np.ndarray) -> np.ndarray:
     """Where a run of equal values begins."""
     return np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]])
@@ -86,26 +87,57 @@ class FMIndex:
             if rank[order[-1]] == n - 1:
                 break
             step *= 2
-        self.suffixes = order
+        # text places of some suffixes: all at which a walk to the left would meet a separator, and each SAMPLE-th
+        known = (order % SAMPLE == 0) | (text[order - 1] == 0)
+        self.known, self.known_counts = self._packed(known)
+        self.places = order[known].astype(np.int32)
         bwt = text[order - 1]
         sigma = int(text.max()) + 1
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))]).astype(np.int64)
         self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
         self.depth = max(1, (sigma - 1).bit_length())
         for shift in range(self.depth - 1, -1, -1):
-            bit = ((bwt >> shift) & 1).astype(np.uint8)
-            packed = np.packbits(np.concatenate([bit, np.zeros(-n % 64 + 64, np.uint8)]), bitorder="little").view(np.uint64)
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))])[:-1]
-            self.levels.append((packed, counts, n - int(bit.sum())))
-            bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
+            bit = ((bwt >> shift) & 1).astype(bool)
+            self.levels.append((*self._packed(bit), n - int(bit.sum())))
+            bwt = np.concatenate([bwt[~bit], bwt[bit]])
         symbols = np.arange(sigma, dtype=np.int64)
         self.first = self._descend(symbols, np.zeros(sigma, dtype=np.int64))
 
+    @staticmethod
+    def _packed(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits in 64-bit words, and the number of ones before each word."""
+        packed = np.packbits(np.concatenate([bits, np.zeros(-len(bits) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
+        return packed, np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))])[:-1].astype(np.int32)
+
+    @staticmethod
+    def _ones(packed: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return counts[word] + np.bitwise_count(packed[word] & mask).astype(np.int64)
+
+    def left(self, at: np.ndarray) -> np.ndarray:
+        """The suffix that begins one symbol earlier, for suffixes that do not follow a separator."""
+        symbol = np.zeros(len(at), dtype=np.int64)
+        for packed, counts, zeros in self.levels:
+            bit = (packed[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            ones = self._ones(packed, counts, at)
+            symbol = 2 * symbol + bit
+            at = np.where(bit, zeros + ones, at - ones)
+        return self.starts[symbol] + at - self.first[symbol]
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Text places of suffixes: walks to the left until one is known."""
+        out, rows, todo, steps = np.zeros(len(rows), dtype=np.int64), rows.copy(), np.arange(len(rows)), 0
+        while len(todo):
+            known = (self.known[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1) == 1
+            out[todo[known]] = self.places[self._ones(self.known, self.known_counts, rows[known])] + steps
+            todo, rows, steps = todo[~known], self.left(rows[~known]), steps + 1
+        return out
+
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for shift, (packed, counts, zeros) in zip(range(self.depth - 1, -1, -1), self.levels, strict=True):
-            word = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = counts[word] + np.bitwise_count(packed[word] & mask)
+            ones = self._ones(packed, counts, at)
             at = np.where((symbol >> shift) & 1, zeros + ones, at - ones)
         return at
 
@@ -129,8 +161,7 @@ def lowest_matches(segments: list[list[bytes]], low: np.ndarray, width: int = WI
     for b, s in zip(begins, segments, strict=True):
         text[b : b + len(s)] = [number.setdefault(w, len(number) + 1) for w in s]
     index = FMIndex(text, begins + lengths)
-    owner = np.repeat(np.arange(len(segments)), lengths + 1)
-    by_suffix = np.append(low[owner[index.suffixes]], np.iinfo(np.int64).max)
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), lengths + 1)
     windows = lengths - width + 1
     own = np.repeat(np.arange(len(segments)), windows)
     start = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows) + begins[own]
@@ -149,94 +180,119 @@ def lowest_matches(segments: list[list[bytes]], low: np.ndarray, width: int = WI
             lo, which = np.unique(lo, return_inverse=True)
             ends = np.zeros(len(lo), dtype=np.int64)
             ends[which] = hi
-            best[live] = np.minimum.reduceat(by_suffix, np.column_stack([lo, ends]).ravel())[::2][which]
+            sizes = ends - lo
+            first = np.cumsum(sizes) - sizes
+            rows = np.arange(int(sizes.sum())) + np.repeat(lo - first, sizes)
+            best[live] = np.minimum.reduceat(low[owner[index.locate(rows)]], first)[which]
     return np.split(best, np.cumsum(windows)[:-1])
 
 
 def _shared_anchors(texts: DataFrame, width: int) -> DataFrame:
     """Anchors of windows in two documents or more."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
-        for pdf in (b.iloc[k : k + BATCH] for b in batches for k in range(0, len(b), BATCH)):
-            found = []
-            for text in pdf["text"]:
-                keys, place = anchors(words_of(text), hashes, width)
-                found.append(keys[_changes(place)])
-            keys = np.concatenate([np.zeros(0, np.int64), *found])
-            docs = np.repeat(pdf["id"].to_numpy(np.int64), [len(x) for x in found])
-            order = np.argsort(keys)
-            keys, docs = keys[order], docs[order]
-            edge = np.flatnonzero(_changes(keys))
-            low, high = (f.reduceat(docs, edge) if len(edge) else docs for f in (np.minimum, np.maximum))
-            yield pd.DataFrame({"anchor": keys[edge], "lo": low, "hi": high})
-
-    rows = texts.mapInPandas(run, "anchor long, lo long, hi long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column(0).to_numpy(), 0
+            for some in _runs(batch.column(1), width):
+                keys = np.concatenate([keys for keys, _, _ in some])
+                docs = np.repeat(ids[at : at + len(some)], [len(keys) for keys, _, _ in some])
+                at += len(some)
+                order = np.argsort(keys)
+                keys, docs = keys[order], docs[order]
+                edge = np.flatnonzero(_changes(keys))
+                low, high = (f.reduceat(docs, edge) if len(edge) else docs for f in (np.minimum, np.maximum))
+                yield pa.record_batch({"anchor": keys[edge], "lo": low, "hi": high})
+
+    rows = texts.select("id", "text").mapInArrow(run, "anchor long, lo long, hi long")
     return rows.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("anchor")
 
 
-def _segments(texts: DataFrame, shared: np.ndarray, n_bits: int, width: int) -> DataFrame:
-    """Occurrences (seg, id, key, start) with text null, and each batch's distinct segments with text, anchor, lo and hi.
+def _marked(texts: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
+    """Adds ``begins``, the first windows of the runs with a shared anchor, by a join: where the anchors are too many for a map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for some in _runs(batch.column(2), width):
+                n = [len(keys) for keys, _, _ in some]
+                rows = np.repeat(np.arange(at, at + len(some)), n)
+                at += len(some)
+                yield pa.record_batch({
+                    "id": batch.column(0).take(pa.array(rows)), "key": batch.column(1).take(pa.array(rows)),
+                    "anchor": np.concatenate([keys for keys, _, _ in some]), "begin": np.concatenate([b for _, b, _ in some]),
+                })
+
+    runs = texts.mapInArrow(run, "id long, key long, anchor long, begin long").join(anchors, "anchor", "left_semi")
+    begins = runs.groupBy("id", "key").agg(F.sort_array(F.collect_set("begin")).alias("begins"))
+    return texts.join(begins, ["id", "key"])
+
+
+def _segments(texts: DataFrame, shared: KeyFilter, width: int) -> DataFrame:
+    """Occurrences (seg, seg2, id, key, start) with text null, and each block's distinct segments with text, anchor, lo and hi.
 
     ``key`` tells rows of one id with different texts apart; in a distinct segment it is the anchor.
     """
-    bits = texts.sparkSession.sparkContext.broadcast(shared)
-    schema = "key long, seg long, id long, start int, text string, lo long, hi long"
+    n_bits, words = shared.n_bits, shared.array()
+    bits = texts.sparkSession.sparkContext.broadcast(words)
+    if words is None:
+        texts = _marked(texts, shared.keys.withColumnRenamed("key", "anchor"), width)
+    schema = "key long, seg long, seg2 long, id long, start int, text string, lo long, hi long"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def hit(keys: np.ndarray) -> np.ndarray:
         at = keys % np.int64(n_bits)
         return (bits.value[at // 63] >> (at % 63).astype(np.uint64)) & np.uint64(1) == 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
-        for pdf in (b.iloc[k : k + BATCH] for b in batches for k in range(0, len(b), BATCH)):
-            parts, segs, known = [], [], {}
-            for doc, key, text in zip(pdf["id"].tolist(), pdf["key"].tolist(), pdf["text"], strict=True):
-                words = words_of(text)
-                keys, place = anchors(words, hashes, width)
-                begin = np.flatnonzero(_changes(place))
-                end = np.append(begin[1:], len(place))
-                ok = hit(keys[begin])
-                if not ok.any():
-                    continue
-                begin, end, keys = begin[ok], end[ok], keys[begin[ok]]
-                parts.append((np.full(len(keys), key), np.full(len(keys), doc), begin))
-                for anchor, a, b in zip(keys.tolist(), begin.tolist(), end.tolist(), strict=True):
-                    part = b" ".join(words[a : b + width - 1])
-                    seg = xxhash.xxh3_64_intdigest(part) >> 1
-                    segs.append(seg)
-                    was = known.get((anchor, seg))
-                    if was is None:
-                        known[anchor, seg] = [part, doc, doc]
-                    elif doc < was[1]:
-                        was[1] = doc
-                    elif doc > was[2]:
-                        was[2] = doc
-            if not parts:
-                continue
-            row, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
-            yield pd.DataFrame({"key": row, "seg": segs, "id": doc, "start": start, "text": None, "lo": 0, "hi": 0})
-            anchor, seg = (np.array(c, dtype=np.int64) for c in zip(*known, strict=True))
-            part, low, high = zip(*known.values(), strict=True)
-            text = [x.decode("utf-8", "surrogatepass") for x in part]
-            yield pd.DataFrame({"key": anchor, "seg": seg, "id": 0, "start": 0, "text": text, "lo": low, "hi": high})
-
-    return written(texts.mapInPandas(run, schema), "segments")
+    def table(*columns) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for some in _runs(batch.column(2), width):
+                found, known = [], {}
+                for i, (keys, begin, end) in enumerate(some, at):
+                    ok = hit(keys) if bits.value is not None else np.isin(begin, batch.column(3)[i].as_py())
+                    if not ok.any():
+                        continue
+                    doc, key, words = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), words_of(batch.column(2)[i].as_py())
+                    for anchor, a, b in zip(keys[ok].tolist(), begin[ok].tolist(), end[ok].tolist(), strict=True):
+                        part = b" ".join(words[a : b + width - 1])
+                        seg = xxhash.xxh3_128_intdigest(part)
+                        seg = (seg >> 65, (seg & ((1 << 64) - 1)) >> 1)
+                        found.append((key, *seg, doc, a))
+                        was = known.get((anchor, seg))
+                        if was is None:
+                            known[anchor, seg] = [part.decode("utf-8", "surrogatepass"), doc, doc]
+                        elif doc < was[1]:
+                            was[1] = doc
+                        elif doc > was[2]:
+                            was[2] = doc
+                at += len(some)
+                if found:
+                    n = len(found)
+                    yield table(*zip(*found, strict=True), [None] * n, np.zeros(n), np.zeros(n))
+                    text, low, high = zip(*known.values(), strict=True)
+                    n = len(known)
+                    yield table([k for k, _ in known], [s[0] for _, s in known], [s[1] for _, s in known], np.zeros(n), np.zeros(n), text, low, high)
+
+    return written(texts.mapInArrow(run, schema), "segments")
 
 
 def _matches(distinct: DataFrame, width: int) -> DataFrame:
-    """(seg, at, lows): for windows at, at + 1, ... of a segment the smallest document that has them."""
+    """(seg, seg2, at, lows): for windows at, at + 1, ... of a segment the smallest document that has them."""
     counts = distinct.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT_ANCHOR)
     hot = written(counts.select(F.col("anchor").alias("__hot")), "hot-anchors")
     rows = distinct.join(hot, F.col("anchor") == F.col("__hot"), "left")
-    plain = rows.where("__hot IS NULL").select("seg", F.lit(0).alias("at"), "text", "lo", "hi", F.xxhash64("anchor").alias("deal"))
+    plain = rows.where("__hot IS NULL").select("seg", "seg2", F.lit(0).alias("at"), "text", "lo", "hi", F.xxhash64("anchor").alias("deal"))
     words = F.split("text", " ")
     places = F.sequence(F.lit(0), F.size(words) - width)
     windows = F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, width), " ").alias("text")))
-    single = rows.where("__hot IS NOT NULL").select("seg", "lo", "hi", F.inline(windows))
-    single = single.select("seg", "at", "text", "lo", "hi", F.xxhash64("text").alias("deal"))
+    single = rows.where("__hot IS NOT NULL").select("seg", "seg2", "lo", "hi", F.inline(windows))
+    single = single.select("seg", "seg2", "at", "text", "lo", "hi", F.xxhash64("text").alias("deal"))
     todo = plain.unionByName(single)
-    shards = max(1, -(-todo.count() // SHARD_SEGMENTS))
+    shards = max(1, -(-(todo.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf.groupby("text", sort=False)
@@ -246,11 +302,11 @@ def _matches(distinct: DataFrame, width: int) -> DataFrame:
         sizes = np.array([len(x) for x in lows])
         least = np.minimum.reduceat(np.concatenate(lows), np.cumsum(sizes) - sizes)
         useful = (least < high)[number]  # elsewhere no document stands after a match
-        out = pdf.loc[useful, ["seg", "at"]].assign(number=number[useful]).drop_duplicates(["seg", "at"])
+        out = pdf.loc[useful, ["seg", "seg2", "at"]].assign(number=number[useful]).drop_duplicates(["seg", "seg2", "at"])
         return out.assign(lows=[lows[k] for k in out["number"]]).drop(columns="number")
 
     dealt = todo.withColumn("shard", F.pmod("deal", F.lit(shards)))
-    found = dealt.groupBy("shard").applyInPandas(run, "seg long, at int, lows array<long>")
+    found = dealt.groupBy("shard").applyInPandas(run, "seg long, seg2 long, at int, lows array<long>")
     return written(found, "matches")
 
 
@@ -260,7 +316,7 @@ def _row_key(text_col: str) -> Column:
 
 def _copies(texts: DataFrame) -> DataFrame:
     """(id, key) of rows whose whole text a smaller id has: the index holds each text once, under its smallest id."""
-    sums = written(texts.select("id", "key", F.md5(F.encode("text", "UTF-8")).alias("sum")), "text-sums")
+    sums = written(texts.select("id", "key", F.sha2("text", 256).alias("sum")), "text-sums")
     first = sums.groupBy("sum").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     return written(sums.join(first, "sum").where("id <> first").select("id", "key").distinct(), "copies")
 
@@ -280,11 +336,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = texts.where("id IS NOT NULL AND text IS NOT NULL")
     copies = _copies(texts)
     texts = _without_rows(texts, copies)
-    shared = KeyFilter(_shared_anchors(texts.select("id", "text"), width), "anchor", hashed=True)
-    segments = _segments(texts.select("id", "key", "text"), shared.array(), shared.n_bits, width)
-    distinct = segments.where("text IS NOT NULL").select(F.col("key").alias("anchor"), "seg", "text", "lo", "hi")
+    shared = KeyFilter(written(_shared_anchors(texts, width), "anchors"), "anchor", hashed=True)
+    segments = _segments(texts.select("id", "key", "text"), shared, width)
+    distinct = segments.where("text IS NOT NULL").select(F.col("key").alias("anchor"), "seg", "seg2", "text", "lo", "hi")
     matches = _matches(distinct, width)
-    hits = segments.where("text IS NULL").select("seg", "id", "key", "start").join(matches, "seg")
+    hits = segments.where("text IS NULL").select("seg", "seg2", "id", "key", "start").join(matches, ["seg", "seg2"])
     places = F.filter(F.sequence(F.lit(0), F.size("lows") - 1), lambda i: F.get("lows", i) < F.col("id"))
     spans = hits.select("id", "key", F.explode(F.transform(places, lambda i: F.col("start") + F.col("at") + i)).alias("first"))
     spans = spans.groupBy("id", "key").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
@@ -296,7 +352,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word goes when a window over it also starts in a document with a smaller id. Null and empty texts have no words.
     Rows with a null id keep all their words and take nothing from others. Rows repeated with one id don't take from
-    each other. Texts shorter than a window stay whole. An empty table gives an empty result. Other columns are ignored.
+    each other. Texts shorter than a window stay whole; very long ones are hashed in blocks. An empty table gives an empty result. Other columns are ignored.
     """
     spans = repeated_spans(docs, id_col, text_col, width)
     kind = docs.schema[id_col].dataType.simpleString()
