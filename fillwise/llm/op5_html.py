@@ -3,15 +3,16 @@
 A page becomes a tree of block-level nodes in one pass of a tag scanner. Each node has features of its tag, attribute
 tokens, depth, subtree density and siblings. Gradient-boosted trees (MLlib) learn from pages that tell where their
 article is without naming it: the headline is the block that agrees with the page's title, and the article is the
-smallest part around it that holds half of the page's prose. In half of these pages the tag and attribute features are
+smallest part around it that holds half of the page's prose. In a third of these pages the tag and attribute features are
 blanked, so that density, links, depth and siblings are learned as well; some invented layouts are always among the
-training pages. The fitted trees travel to the tasks as plain tables, so that a page's nodes never leave the task that
+training pages. Nodes weigh as much as the text below them, as in decoding. The fitted trees travel to the tasks as plain tables, so that a page's nodes never leave the task that
 parsed it. Decoding picks the best labels under one rule: nothing below a rejected node is kept.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -57,14 +58,14 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 
 FEATURES = (
-    "boiler_tag", "article_tag", "prose_tag", "list_tag", "table_tag", "negative", "positive", "negative_above", "depth",
+    "boiler_tag", "article_tag", "prose_tag", "list_tag", "table_tag", "negative", "positive", "negative_above", "positive_above", "depth",
     "log_subtree", "log_own", "link_density", "text_density", "sibling_place", "log_siblings", "sibling_share",
-    "page_place", "page_share", "punctuation", "log_block_words",
+    "page_place", "page_share", "punctuation", "log_block_words", "names_in_page",
 )
-#: Features that come from names; blanked in half of the training pages.
-NAMED = 8
+#: Features that come from names: the first ones and the last; blanked in a third of the training pages.
+NAMED = [*range(9), -1]
 #: Pages that the fit reads at most (about), trees and their depth.
-MAX_PAGES, TREES, DEPTH = 1200, 10, 4
+MAX_PAGES, TREES, DEPTH = 1200, 25, 5
 
 
 class Page:
@@ -191,24 +192,26 @@ class Page:
             up = self.parent[k]
             for a in (sub, sub_link, sub_words, sub_marks, sub_runs, nodes):
                 a[up] += a[k]
-        depth, above, place, siblings = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+        depth, above, article, place, siblings = (np.zeros(n) for _ in range(5))
         for k in range(1, n):
             up = self.parent[k]
             depth[k] = depth[up] + 1
             above[k] = above[up] + self.negative[up] + (self.tag[up] in BOILER_TAGS)
+            article[k] = article[up] + self.positive[up] * (self.tag[up] != "body") + (self.tag[up] in ARTICLE_TAGS)
             place[k] = siblings[up]
             siblings[up] += 1
         parent = np.array(self.parent)
         around = np.maximum(siblings[parent], 1)
         flag = lambda names: np.array([t in names for t in self.tag], float)
         whole = max(sub[0], 1.0)
+        names = (flag(BOILER_TAGS - {"head"}) + flag(ARTICLE_TAGS) + self.negative + self.positive > 0).mean()
         return np.column_stack(
             [
                 flag(BOILER_TAGS), flag(ARTICLE_TAGS), flag(PROSE_TAGS), flag(LIST_TAGS), flag(TABLE_TAGS),
-                np.array(self.negative, float), np.array(self.positive, float), above, depth,
+                np.array(self.negative, float), np.array(self.positive, float), above, article, depth,
                 np.log1p(sub), np.log1p(own), sub_link / np.maximum(sub, 1), np.log1p(sub / nodes), place / around,
                 np.log1p(around), sub / np.maximum(sub[parent], 1), np.arange(n) / n, sub / whole,
-                sub_marks / np.maximum(sub, 1), np.log1p(sub_words / np.maximum(sub_runs, 1)),
+                sub_marks / np.maximum(sub, 1), np.log1p(sub_words / np.maximum(sub_runs, 1)), np.full(n, names),
             ]
         )
 
@@ -328,24 +331,34 @@ class Trees:
 
 def invented_pages() -> list[str]:
     """Pages of some usual layouts: named elements, named divisions, nameless divisions. The article has ``data-main``."""
-    prose = "An article has paragraphs of several sentences, and they run on for some time before they stop. It says what it has to say, and goes on. "
-    remark = "I read this twice, and I do not agree. "
-    links = "".join(f'<li><a href="/{k}">Part {k}</a></li>' for k in range(6))
+    rng = random.Random(5)
+    words = "an article has paragraphs of several sentences and they run on for some time before they stop with what it says".split()
+
+    def prose(k: int) -> str:
+        return " ".join(w + "." * (rng.random() < 0.1) + "," * (rng.random() < 0.1) for w in rng.choices(words, k=k)) + "."
+
+    def listed(k: int) -> str:
+        return "<ul>" + "".join(f'<li><a href="/{i}">{" ".join(rng.choices(words, k=rng.randint(1, 3)))}</a></li>' for i in range(k)) + "</ul>"
+
+    def part(layout: int, tag: str, name: str, inner: str, mark: str = "") -> str:
+        tag, name = (tag, "") if layout == 0 else ("div", f' class="{name}"' if layout == 1 else "")
+        return f"<{tag}{name}{mark}>{inner}</{tag}>"
+
     out = []
-    for layout in range(3):
-        for n in range(2, 8):
-            def part(tag: str, name: str, inner: str, layout: int = layout) -> str:
-                return f"<{tag}>{inner}</{tag}>" if layout == 0 else f'<div class="{name}">{inner}</div>' if layout == 1 else f"<div>{inner}</div>"
-
-            body = "<h1>A headline of the article</h1>" + "".join(f"<p>{prose * (1 + (n + k) % 3)}</p>" for k in range(n))
-            article = '<article data-main="1">' if layout == 0 else '<div class="post" data-main="1">' if layout == 1 else '<div data-main="1">'
-            out.append(
-                "<html><head><title>A headline of the article</title></head><body>" + part("header", "masthead", "The daily page")
-                + part("nav", "menu", f"<ul>{links}</ul>") + (part("aside", "ad", "Buy it now, and buy more of it.") if n % 2 else "")
-                + article + body + ("</article>" if layout == 0 else "</div>")
-                + part("aside", "sidebar", f"<h4>More</h4><ul>{links}</ul>") + part("section", "comments", f"<p>{remark}</p>" * n)
-                + part("footer", "footer", "Copyright 2020 the daily page. All rights reserved.") + "</body></html>"
-            )
+    for n in range(90):
+        layout, some = n % 3, lambda: rng.random() < 0.6
+        title = " ".join(rng.choices(words, k=rng.randint(3, 10)))
+        paragraphs = lambda most, k: "".join(f"<p>{prose(rng.randint(4, most))}</p>" for _ in range(k))
+        article = f"<h1>{title}</h1>" + paragraphs(90, rng.randint(1, 9))
+        parts = [
+            part(layout, "header", "masthead", prose(3)), part(layout, "nav", "menu", listed(rng.randint(3, 9))),
+            part(layout, "aside", "ad", prose(rng.randint(3, 15))) if some() else "",
+            part(layout, "article", "post", article, ' data-main="1"'),
+            part(layout, "aside", "sidebar", listed(rng.randint(3, 9)) + prose(6)) if some() else "",
+            part(layout, "section", "comments", paragraphs(30, rng.randint(1, 4))) if some() else "",
+            part(layout, "footer", "footer", prose(rng.randint(3, 15))),
+        ]
+        out.append(f"<html><head><title>{title}</title></head><body>{''.join(parts)}</body></html>")
     return out
 
 
@@ -358,26 +371,28 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_p
     rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col, html_col).alias("key"), F.col(html_col).alias("html"))
     if n > max_pages:
         rows = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * max_pages / n))
-    invented = pages.sparkSession.createDataFrame([(k, h) for k, h in enumerate(invented_pages())], "key long, html string")
+    invented = pages.sparkSession.createDataFrame([(k, h) for h in invented_pages() for k in (0, 1)], "key long, html string")
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x, y = [np.zeros((0, len(FEATURES)))], []
+            x, y, w = [np.zeros((0, len(FEATURES)))], [], []
             for key, source in zip(pdf["key"], pdf["html"], strict=True):
                 page = Page(source)
                 article = page.main if page.main > 0 else page.article()
                 if article < 0:
                     continue
                 own, features = np.array(page.labels(article)), page.features()
-                if key % 2:
-                    features[:, :NAMED] = 0.0
+                if key % 3 == 1:
+                    features[:, NAMED] = 0.0
+                weight = features[own >= 0, FEATURES.index("page_share")] + 0.01
                 x.append(features[own >= 0])
                 y += own[own >= 0].tolist()
-            yield pd.DataFrame({"label": np.array(y, float), "x": list(np.concatenate(x))})
+                w += (weight / weight.sum()).tolist()
+            yield pd.DataFrame({"label": np.array(y, float), "weight": np.array(w, float), "x": pd.Series(list(np.concatenate(x)), dtype=object)})
 
-    data = rows.unionByName(invented).mapInPandas(nodes, "label double, x array<double>")
-    data = written(data, "nodes").select("label", array_to_vector("x").alias("features"))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5, maxBins=32, cacheNodeIds=False).fit(data)
+    data = rows.unionByName(invented).mapInPandas(nodes, "label double, weight double, x array<double>")
+    data = written(data, "nodes").select("label", "weight", array_to_vector("x").alias("features"))
+    model = GBTClassifier(weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5, maxBins=32, cacheNodeIds=False).fit(data)
     return Trees.of(model)
 
 

@@ -425,9 +425,12 @@ def slow_removal(data):
         yield i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [5000, 2])
-def test_removal_equals_brute_force(spark, data, docs, empty, monkeypatch, hot):
+@pytest.mark.parametrize("hot, bits", [(5000, 26), (2, 26), (5000, 2)])
+def test_removal_equals_brute_force(spark, data, docs, empty, monkeypatch, hot, bits):
+    """Also where anchors are split, and where the keys are too many for a map."""
     monkeypatch.setattr(sub, "HOT_ANCHOR", hot)
+    monkeypatch.setattr(sub.KeyFilter, "MIN_BITS", min(bits, 16))
+    monkeypatch.setattr(sub.KeyFilter.__init__, "__defaults__", (False, bits))
     got = sorted(tuple(r) for r in sub.without_repeats(docs).na.fill(-1).collect())
     assert got == sorted((-1 if i is None else i, *x) for i, *x in slow_removal(data))
     assert sub.without_repeats(empty).count() == 0
@@ -445,6 +448,8 @@ def test_backward_search_counts(parts):
         for c in p[-2::-1]:
             lo, hi = index.extend(np.array([c]), lo, hi)
         assert max(0, hi[0] - lo[0]) == sum(y[k : k + len(p)] == p for y in parts for k in range(len(y)))
+        places = index.locate(np.arange(lo[0], max(lo[0], hi[0])))
+        assert len(set(places.tolist())) == len(places) and all(text[k : k + len(p)].tolist() == p for k in places)
 
 
 # packing
