@@ -15,6 +15,7 @@ STAGNATION_WIND, STAGNATION_RAIN = 2.0, 1.0
 AREA_CODES = {"R": 0, "S": 1, "U": 2}
 TARGET_VALUE = 1.0
 WEIGHT_OFFSET = 0.5
+POLLUTANT = "05029"
 
 
 def col(c: Column | str) -> Column:
@@ -77,16 +78,16 @@ def nodata_to_null(c: Column | str, nodata: float = -9999.0) -> Column:
     return F.when((col(c) != nodata) & ~F.isnan(col(c)), col(c))
 
 
-def station_of_sampling_point(c: Column | str, pattern: str = r"SPO-([A-Z]{2}\d+[A-Z])_") -> Column:
-    """The station code inside a sampling point, null where there is none."""
-    return F.nullif(F.regexp_extract(col(c), pattern, 1), F.lit(""))
+def station_of_sampling_point(c: Column | str, pollutant: str = POLLUTANT, country: str = "SK") -> Column:
+    """The station code inside a sampling point of one pollutant, null where there is none."""
+    return F.nullif(F.regexp_extract(col(c), rf"SPO-({country}\w+?)_{pollutant}", 1), F.lit(""))
 
 
 def clean_name(c: Column | str) -> Column:
-    """Comma parts with single spaces, without blank parts and the mobile mark; no period after the first part."""
+    """Comma parts with single spaces, without blank parts and the mobile mark; the first part loses one period at its end."""
     parts = F.transform(F.split(col(c), ","), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     kept = F.filter(parts, lambda p: (p != "") & ~F.lower(p).isin("mobil", "mobile"))
-    first = F.transform(kept, lambda p, i: F.when(i == 0, F.regexp_replace(p, r"\.+$", "")).otherwise(p))
+    first = F.transform(kept, lambda p, i: F.when((i == 0) & p.endswith("."), F.rtrim(F.regexp_replace(p, r"\.$", ""))).otherwise(p))
     return F.array_join(first, ", ")
 
 

@@ -1,4 +1,4 @@
-"""Boosted trees: MLlib's learner, and a histogram learner with monotone directions on DataFrame aggregates."""
+"""Boosted trees: MLlib's learner, and a histogram learner for all folds with monotone directions on DataFrame aggregates."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fillwise.functions import scalar as X
+from fillwise.scratch import stored
 
 # Fixed values of the study: directions in which the prediction may only rise (1) or fall (-1).
 DIRECTIONS = {
-    "traffic_load_log": 1, "traffic_hdv_log": 1, "emis_bap_log": 1, "emis_pm25_log": 1, "dist_major_road_km": -1, "altitude": -1,
+    "traffic_load_log": 1, "traffic_hdv_log": 1, "dist_major_road_km": -1, "emis_bap_log": 1, "emis_pm25_log": 1, "altitude": -1,
 }
 
 
@@ -45,7 +46,7 @@ def importances(model, features: list[str]) -> dict[str, float]:
 
 @dataclass
 class MonotoneModel:
-    """Trees as (node, feature, bin, missing goes left, value) rows; leaves have feature -1."""
+    """Trees as (feature, bin, missing goes left, value) by node; leaves have feature -1."""
 
     features: list[str]
     edges: list[list[float]]
@@ -55,26 +56,40 @@ class MonotoneModel:
     gains: dict[str, float] = field(default_factory=dict)
 
     def bins(self) -> list[Column]:
-        """Bin of each feature: edges below the value; -1 where it is missing."""
-        return [
-            F.when(F.col(c).isNull(), -1).otherwise(sum((F.when(F.col(c) > e, 1).otherwise(0) for e in cut), F.lit(0))).alias(f"__b{i}")
-            for i, (c, cut) in enumerate(zip(self.features, self.edges, strict=True))
-        ]
-
-    def tree_column(self, tree: dict, node: int = 1) -> Column:
-        f, b, missing_left, value = tree[node]
-        if f < 0:
-            return F.lit(value)
-        at = F.col(f"__b{f}")
-        left = (at >= 0) & (at <= b) | ((at < 0) if missing_left else F.lit(False))
-        return F.when(left, self.tree_column(tree, 2 * node)).otherwise(self.tree_column(tree, 2 * node + 1))
+        return bin_columns(self.features, self.edges)
 
     def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
         out = df.select("*", *self.bins())
-        total = sum((self.tree_column(t) * self.rate for t in self.trees), F.lit(self.base))
+        total = sum((_tree_column(t) * self.rate for t in self.trees), F.lit(self.base))
         return out.withColumn(name, X.expm1_clipped(total)).drop(*[f"__b{i}" for i in range(len(self.features))])
 
 
+def bin_columns(features: list[str], edges: list[list[float]]) -> list[Column]:
+    """Bin of each feature: edges below the value; -1 where it is missing."""
+    return [
+        F.when(F.col(c).isNull(), -1).otherwise(sum((F.when(F.col(c) > e, 1).otherwise(0) for e in cut), F.lit(0))).alias(f"__b{i}")
+        for i, (c, cut) in enumerate(zip(features, edges, strict=True))
+    ]
+
+
+def _tree_column(tree: dict, node: int = 1, leaf=lambda node, value: F.lit(value)) -> Column:
+    """What ``leaf`` makes of the leaf that a row falls into."""
+    f, b, missing_left, value = tree[node]
+    if f < 0:
+        return leaf(node, value)
+    at = F.col(f"__b{f}")
+    left = (at >= 0) & (at <= b) | ((at < 0) if missing_left else F.lit(False))
+    return F.when(left, _tree_column(tree, 2 * node, leaf)).otherwise(_tree_column(tree, 2 * node + 1, leaf))
+
+
+def _by_model(columns: list[Column]) -> Column:
+    """The column of the row's own model."""
+    out = F.when(F.col("__m") == 0, columns[0])
+    for k, column in enumerate(columns[1:], 1):
+        out = out.when(F.col("__m") == k, column)
+    return out
+
+
 def _best_split(hist: dict, n_bins: int, direction: int, bound: tuple[float, float], l2: float):
     """(gain, bin, missing left, left value, right value) over one feature's histogram, values held within the bounds."""
     g, h = (np.zeros(n_bins + 1) for _ in range(2))
@@ -99,71 +114,125 @@ def _best_split(hist: dict, n_bins: int, direction: int, bound: tuple[float, flo
     return best
 
 
-def fit_monotone(
-    df: DataFrame, features: list[str], y: str = "bap", directions: dict[str, int] | None = None, trees: int = 10, depth: int = 3,
-    rate: float = 0.3, n_bins: int = 16, l2: float = 1.2, offset: float | None = X.WEIGHT_OFFSET,
-) -> MonotoneModel:
-    """Boosted trees on ln(1 + y) whose predictions keep the given directions.
+#: Most models that are fitted at once, and trees between two writings of the margins.
+MAX_MODELS, STORE_EACH = 128, 5
+
+
+def fit_folds(
+    df: DataFrame, features: list[str], fold: str | None = None, y: str = "bap", directions: dict[str, int] | None = None, trees: int = 10,
+    depth: int = 3, rate: float = 0.3, n_bins: int = 16, l2: float = 1.2, offset: float | None = X.WEIGHT_OFFSET,
+) -> dict:
+    """{fold: MonotoneModel} of the models that leave each fold out, all grown together; without ``fold`` {None: model}.
 
-    Features are cut at quantiles. Each level of a tree is one aggregation of gradients by (node, feature, bin); only
-    that histogram, whose size does not depend on the rows, comes to the driver, where splits are chosen. A split on a
-    directed feature bounds its children at the middle of their values.
+    Boosted trees on ln(1 + y) whose predictions keep the given directions. Features are cut at quantiles of all rows.
+    Each level of a tree is one aggregation of gradients by (model, node, feature, bin): the model is one more key of the
+    histogram, which a row reaches once for each model that trains on it. Only histograms, whose size does not depend on
+    the rows, come to the driver, where splits are chosen. A split on a directed feature bounds its children at the
+    middle of their values. A row's margin is a column, so that work grows in proportion to the trees. At most
+    MAX_MODELS folds; without rows there is no model.
     """
     directions = {c: d for c, d in (DIRECTIONS if directions is None else directions).items() if c in features}
     rows = df.where(F.col(y).isNotNull()).withColumns({"__y": F.log1p(y), "__w": X.sample_weight(y, offset)})
+    rows = rows.withColumn("__fold", F.col(fold) if fold else F.lit(None).cast("int"))
     cuts = [i / n_bins for i in range(1, n_bins)]
-    got = rows.agg(*[F.percentile_approx(c, cuts, 10_000).alias(c) for c in features], (F.sum(F.col("__w") * F.col("__y")) / F.sum("__w")).alias("__base")).first()
-    model = MonotoneModel(features, [sorted(set(got[c] or [])) for c in features], float(got["__base"]), rate)
-    rows = rows.select("__y", "__w", *model.bins()).persist()
+    got = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts, 10_000).alias(c) for c in features]).first()
+    edges = [sorted(set(got[c] or [])) for c in features]
+    sums = rows.groupBy("__fold").agg(F.sum(F.col("__w") * F.col("__y")).alias("wy"), F.sum("__w").alias("w")).limit(MAX_MODELS + 1).collect()
+    sums.sort(key=lambda r: (r["__fold"] is not None, r["__fold"]))
+    if len(sums) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} folds: group them first")
+    whole = [sum(r["wy"] for r in sums), sum(r["w"] for r in sums)]
+    models: dict = {}
+    for r in sums:
+        left = (whole[0] - r["wy"], whole[1] - r["w"]) if fold else whole
+        if left[1] > 0:
+            models[r["__fold"]] = MonotoneModel(features, edges, float(left[0] / left[1]), rate)
+    if not models:
+        return {}
+    keys = list(models)
+    number = F.create_map(*[F.lit(x) for k, key in enumerate(keys) for x in (key, k)])[F.col("__fold")] if fold else F.lit(-1)
     bins = [f"__b{i}" for i in range(len(features))]
-    try:
-        for _ in range(trees):
-            fitted = sum((model.tree_column(t) * rate for t in model.trees), F.lit(model.base))
-            tree: dict[int, tuple[int, int, bool, float]] = {1: (-1, 0, True, 0.0)}
-            bounds = {1: (-np.inf, np.inf)}
-            for level in range(depth):
-                frontier = [n for n in tree if n >= 2**level and tree[n][0] < 0 and n in bounds]
-                if not frontier:
-                    break
-                node = _node_column(tree)
-                grads = rows.select(node.alias("node"), (F.col("__w") * (F.col("__y") - fitted)).alias("g"), F.col("__w").alias("h"), *bins)
-                long = grads.where(F.col("node").isin(frontier)).select("node", "g", "h", F.posexplode(F.array(*bins)).alias("f", "b"))
-                hist: dict = {}
-                for r in long.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
-                    hist.setdefault((r["node"], r["f"]), {})[r["b"]] = (r["g"], r["h"])
-                for n in frontier:
-                    options = []
-                    for f, c in enumerate(features):
-                        if (n, f) in hist and (s := _best_split(hist[n, f], len(model.edges[f]) + 1, directions.get(c, 0), bounds[n], l2)):
-                            options.append((s, f))
-                    if not options:
-                        continue
-                    (gain, b, missing_left, lv, rv), f = max(options)
-                    model.gains[features[f]] = model.gains.get(features[f], 0.0) + gain
-                    tree[n] = (f, b, missing_left, 0.0)
-                    lo, hi = bounds.pop(n)
-                    mid, d = (lv + rv) / 2, directions.get(features[f], 0)
-                    for child, v in ((2 * n, lv), (2 * n + 1, rv)):
-                        tree[child] = (-1, 0, True, v)
-                    bounds[2 * n] = (lo, mid) if d > 0 else (mid, hi) if d < 0 else (lo, hi)
-                    bounds[2 * n + 1] = (mid, hi) if d > 0 else (lo, mid) if d < 0 else (lo, hi)
-            model.trees.append(tree)
-    finally:
-        rows.unpersist()
-    return model
-
-
-def _node_column(tree: dict, node: int = 1) -> Column:
-    f, b, missing_left, _ = tree[node]
-    if f < 0:
-        return F.lit(node)
-    at = F.col(f"__b{f}")
-    left = (at >= 0) & (at <= b) | ((at < 0) if missing_left else F.lit(False))
-    return F.when(left, _node_column(tree, 2 * node)).otherwise(_node_column(tree, 2 * node + 1))
-
-
-def permuted(df: DataFrame, column: str, order: list[Column], buckets: int = 256) -> DataFrame:
-    """The column with its values moved on by one row in a random order inside hash buckets."""
+    rows = rows.select("__y", "__w", number.alias("__own"), *bin_columns(features, edges))
+    rows = stored(rows, "binned").withColumn("__m", F.explode(F.array(*[F.lit(k) for k in range(len(keys))]))).where(F.col("__own").isNull() | (F.col("__m") != F.col("__own")))
+    rows = rows.withColumn("__p", _by_model([F.lit(m.base) for m in models.values()]))
+    for t in range(1, trees + 1):
+        grown = _grow(rows, models, features, directions, depth, l2)
+        for key, tree in grown.items():
+            models[key].trees.append(tree)
+        rows = rows.withColumn("__p", F.col("__p") + rate * _by_model([_tree_column(tree) for tree in grown.values()]))
+        if t % STORE_EACH == 0 and t < trees:
+            rows = stored(rows, "margins")
+    return models
+
+
+def _grow(rows: DataFrame, models: dict, features: list[str], directions: dict[str, int], depth: int, l2: float) -> dict:
+    """One tree for each model, level by level."""
+    bins = [f"__b{i}" for i in range(len(features))]
+    trees = {key: {1: (-1, 0, True, 0.0)} for key in models}
+    bounds = {key: {1: (-np.inf, np.inf)} for key in models}
+    for level in range(depth):
+        frontier = {key: [n for n in tree if n >= 2**level and tree[n][0] < 0 and n in bounds[key]] for key, tree in trees.items()}
+        if not any(frontier.values()):
+            break
+        node = _by_model([_tree_column(tree, leaf=lambda n, _: F.lit(n)) for tree in trees.values()])
+        grads = rows.select("__m", node.alias("node"), (F.col("__w") * (F.col("__y") - F.col("__p"))).alias("g"), F.col("__w").alias("h"), *bins)
+        long = grads.where(F.col("node") >= 2**level).select("__m", "node", "g", "h", F.posexplode(F.array(*bins)).alias("f", "b"))
+        hist: dict = {}
+        for r in long.groupBy("__m", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            hist.setdefault((r["__m"], r["node"], r["f"]), {})[r["b"]] = (r["g"], r["h"])
+        for k, (key, tree) in enumerate(trees.items()):
+            for n in frontier[key]:
+                options = []
+                for f, c in enumerate(features):
+                    n_cuts = len(models[key].edges[f])
+                    if (k, n, f) in hist and (s := _best_split(hist[k, n, f], n_cuts + 1, directions.get(c, 0), bounds[key][n], l2)):
+                        options.append((s, -f))
+                if not options:
+                    continue
+                (gain, b, missing_left, lv, rv), f = max(options, key=lambda x: (x[0][0], x[1]))
+                f = -f
+                gains = models[key].gains
+                gains[features[f]] = gains.get(features[f], 0.0) + gain
+                tree[n] = (f, b, missing_left, 0.0)
+                lo, hi = bounds[key].pop(n)
+                mid, d = (lv + rv) / 2, directions.get(features[f], 0)
+                for child, v in ((2 * n, lv), (2 * n + 1, rv)):
+                    tree[child] = (-1, 0, True, v)
+                bounds[key][2 * n] = (lo, mid) if d > 0 else (mid, hi) if d < 0 else (lo, hi)
+                bounds[key][2 * n + 1] = (mid, hi) if d > 0 else (lo, mid) if d < 0 else (lo, hi)
+    return trees
+
+
+def fit_monotone(df: DataFrame, features: list[str], **options) -> MonotoneModel:
+    """One model on all rows; see fit_folds."""
+    return fit_folds(df, features, **options)[None]
+
+
+def predict_folds(df: DataFrame, models: dict, fold: str, name: str = "pred") -> DataFrame:
+    """Adds the prediction of each row by the model without its fold; null where there is none."""
+    if not models:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    first = next(iter(models.values()))
+    columns = [sum((_tree_column(t) * m.rate for t in m.trees), F.lit(m.base)) for m in models.values()]
+    number = F.create_map(*[F.lit(x) for k, key in enumerate(models) for x in (key, k)])[F.col(fold)]
+    out = df.select("*", *first.bins()).withColumn("__m", number).withColumn(name, X.expm1_clipped(_by_model(columns)))
+    return out.drop("__m", *[f"__b{i}" for i in range(len(first.features))])
+
+
+def boosted_oof(df: DataFrame, features: list[str], fold: str, name: str = "boosted", **options) -> DataFrame:
+    """Adds the out-of-fold prediction of boosted trees."""
+    return predict_folds(df, fit_folds(df, features, fold, **options), fold, name)
+
+
+def gain_shares(model: MonotoneModel) -> dict[str, float]:
+    """Share of the gain by feature; features that no split uses have 0."""
+    total = sum(model.gains.values()) or 1.0
+    return {c: model.gains.get(c, 0.0) / total for c in model.features}
+
+
+def permuted(df: DataFrame, column: str, order: list[Column], rows_each: int = 50_000) -> DataFrame:
+    """The column with its values moved on by one row in a random order inside hash buckets of about ``rows_each`` rows."""
+    buckets = max(1, -(-df.count() // rows_each))
     w = Window.partitionBy(F.pmod(F.xxhash64(*order, F.lit("bucket")), F.lit(buckets))).orderBy(F.xxhash64(*order), *order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumn(column, F.coalesce(F.lag(column).over(w), F.last(column).over(whole)))

@@ -84,8 +84,8 @@ def temporal_features(daily: DataFrame, key: str = "station_id", day: str = "dat
             "t_mean_lag1": before("t_mean"),
             "hpbl_min_lag1": before("hpbl_min"),
             "sp_tendency": F.col("sp_mean") - before("sp_mean"),
-            **{f"{p}_lag1": before(f"{p}_mean") for p in PROXIES},
-            **{f"{p}_3d": mean(f"{p}_mean", 3) for p in PROXIES},
+            **{f"{p}_mean_lag1": before(f"{p}_mean") for p in PROXIES},
+            **{f"{p}_mean_3d": mean(f"{p}_mean", 3) for p in PROXIES},
             "__stagnant": stagnant,
         }
     )

@@ -15,12 +15,13 @@ def with_block(df: DataFrame, day: str = "datum", days: int = BLOCK_DAYS) -> Dat
     return out.withColumn("block", F.floor(F.datediff(day, "__origin") / days).cast("int")).drop("__origin")
 
 
-def with_kfold(df: DataFrame, order: list[Column], k: int = 5) -> DataFrame:
+def with_kfold(df: DataFrame, order: list[Column], k: int = 5, rows_each: int = 50_000) -> DataFrame:
     """k folds whose sizes differ by 1 at most, dealt in a fixed shuffled order.
 
-    Rows are numbered within hash buckets; bucket sizes are summed on a few rows; so no task sorts the whole table.
+    Rows are numbered within hash buckets of about ``rows_each`` rows; bucket sizes are summed on a few rows; so no task
+    sorts the whole table.
     """
-    buckets = 64
+    buckets = max(1, -(-df.count() // rows_each))
     bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
     rows = df.withColumn("__bucket", bucket)
     sizes = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))

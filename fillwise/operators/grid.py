@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fillwise.functions import scalar as X
+from fillwise.scratch import stored
 
 CELL = ["xi", "yi"]
 VEHICLE_WEIGHTS = {"car": 1.0, "ldv": 1.5, "hdv": 8.0, "bus": 5.0}
@@ -140,31 +141,27 @@ def major_roads(roads: DataFrame, quantile: float = 0.9) -> DataFrame:
 
 
 def nearest_distance(cells: DataFrame, points: DataFrame, x: str, y: str, step: float = 2000.0, tile: int = 8, rings: int = 2) -> DataFrame:
-    """Kilometres from each cell's centre to the nearest point, exact.
+    """Kilometres from each cell's centre to the nearest point, exact; no rows where there are no points.
 
-    Points are thinned to one candidate set for each tile; a cell looks at the tiles within ``rings``. A distance is
-    final when it is at most rings * tile size, since nothing nearer can lie further out; cells without such a
-    distance look at all tiles, nearest tile bound first, which only the empty parts of the map need.
+    A cell looks at the tiles within ``rings``. A distance is final when it is at most rings * tile size, since nothing
+    nearer can lie further out. Cells without such a distance look again at tiles of twice the size, so that each look
+    is at as many tiles; only the empty parts of the map need more than one.
     """
-    side = step * tile
-    p = points.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.floor(F.col(x) / side).alias("tx"), F.floor(F.col(y) / side).alias("ty"))
-    c = cells.select(*CELL, (F.col("xi") * step).alias("cx"), (F.col("yi") * step).alias("cy"))
-    around = F.sequence(F.lit(-rings), F.lit(rings))
-    looks = c.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around))
-    looks = looks.withColumns({"tx": F.floor(F.col("cx") / side) + F.col("ox"), "ty": F.floor(F.col("cy") / side) + F.col("oy")})
     d = F.hypot(F.col("cx") - F.col("__x"), F.col("cy") - F.col("__y"))
-    near = looks.join(p, ["tx", "ty"]).groupBy(*CELL).agg(F.min(d).alias("d")).where(F.col("d") <= rings * side)
-    far = c.join(near, CELL, "left_anti")
-    corners = p.groupBy("tx", "ty").agg(F.min("__x").alias("x0"), F.max("__x").alias("x1"), F.min("__y").alias("y0"), F.max("__y").alias("y1"))
-    gap = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
-    most = lambda v, lo, hi: F.greatest(F.abs(F.col(v) - F.col(lo)), F.abs(F.col(v) - F.col(hi)))
-    pairs = far.join(corners).withColumns(
-        {"least": F.hypot(gap("cx", "x0", "x1"), gap("cy", "y0", "y1")), "most": F.hypot(most("cx", "x0", "x1"), most("cy", "y0", "y1"))}
-    )
-    bound = F.min("most").over(Window.partitionBy(*CELL))
-    pairs = pairs.withColumn("__bound", bound).where("least <= __bound").select(*CELL, "cx", "cy", "tx", "ty")
-    rest = pairs.join(p, ["tx", "ty"]).groupBy(*CELL).agg(F.min(d).alias("d"))
-    return near.unionByName(rest).select(*CELL, (F.col("d") / 1000).alias("dist_km"))
+    around = F.sequence(F.lit(-rings), F.lit(rings))
+    far = cells.select(*CELL, (F.col("xi") * step).alias("cx"), (F.col("yi") * step).alias("cy"))
+    points = points.select(F.col(x).alias("__x"), F.col(y).alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL")
+    found, side, some = None, step * tile, not points.isEmpty()
+    while True:
+        p = points.select("*", F.floor(F.col("__x") / side).alias("tx"), F.floor(F.col("__y") / side).alias("ty"))
+        looks = far.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around))
+        looks = looks.withColumns({"tx": F.floor(F.col("cx") / side) + F.col("ox"), "ty": F.floor(F.col("cy") / side) + F.col("oy")})
+        near = stored(looks.join(p, ["tx", "ty"]).groupBy(*CELL).agg(F.min(d).alias("d")).where(F.col("d") <= rings * side), "near")
+        found = near if found is None else found.unionByName(near)
+        far = far.join(near, CELL, "left_anti")
+        if not some or side > 1e12 or far.isEmpty():
+            return found.select(*CELL, (F.col("d") / 1000).alias("dist_km"))
+        side *= 2
 
 
 def emission_grid(polygons: DataFrame, cells: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from fillwise.functions import scalar as X
 
 
 def impute_medians(df: DataFrame, features: list[str]) -> DataFrame:
-    """Missing values become the column's median; columns without any value become 0."""
-    medians = df.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"__{c}") for c in features])
+    """Missing values become the column's median (by rank within 1 / 10000); columns without any value become 0."""
+    medians = df.agg(*[F.coalesce(F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000), F.lit(0.0)).alias(f"__{c}") for c in features])
     out = df.crossJoin(F.broadcast(medians))
     return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in features}).drop(*[f"__{c}" for c in features])
 
@@ -62,12 +62,25 @@ def linear_column(coef: str, features: list[str]):
     return sum((F.col(coef)[i + 1] * F.col(c) for i, c in enumerate(features)), F.col(coef)[0])
 
 
-def ridge_oof(df: DataFrame, features: list[str], fold: str, y: str = "bap", offset: float | None = X.WEIGHT_OFFSET, alpha: float = 1.0) -> DataFrame:
-    """Adds ``ridge``: the prediction of each row by the model without its fold, back from ln(1 + y), never below 0."""
+def ridge_oof(df: DataFrame, features: list[str], fold: str, y: str = "bap", offset: float | None = X.WEIGHT_OFFSET, alpha: float = 1.0, name: str = "ridge") -> DataFrame:
+    """Adds ``name``: the prediction of each row by the model without its fold, back from ln(1 + y), never below 0."""
     rows = impute_medians(df, features).withColumns({"__y": F.log1p(y), "__w": X.sample_weight(y, offset)})
     coef = ridge_folds(rows.where(F.col(y).isNotNull()), features, "__y", "__w", fold, alpha)
     out = rows.join(coef, fold)
-    return out.withColumn("ridge", X.expm1_clipped(linear_column("coef", features))).drop("__y", "__w", "coef")
+    return out.withColumn(name, X.expm1_clipped(linear_column("coef", features))).drop("__y", "__w", "coef")
+
+
+def ridge_fit_predict(df: DataFrame, features: list[str], y: str = "bap", offset: float | None = X.WEIGHT_OFFSET, alpha: float = 1.0, name: str = "ridge") -> DataFrame:
+    """Adds ``name``: the prediction by the model of all rows, back from ln(1 + y), never below 0."""
+    rows = impute_medians(df, features).withColumns({"__y": F.log1p(y), "__w": X.sample_weight(y, offset), "__all": F.lit(1)})
+    sums, p = fold_sums(rows.where(F.col(y).isNotNull()), features, "__y", "__w", "__all"), len(features)
+
+    @F.pandas_udf("array<double>")
+    def solve(own: pd.Series) -> pd.Series:
+        return pd.Series([list(solve_ridge(np.asarray(s), p, alpha)) for s in own])
+
+    out = rows.crossJoin(F.broadcast(sums.select(solve("sums").alias("coef"))))
+    return out.withColumn(name, X.expm1_clipped(linear_column("coef", features))).drop("__y", "__w", "__all", "coef")
 
 
 def attribution(df: DataFrame, features: list[str], fold: str, y: str = "bap", alpha: float = 1.0) -> DataFrame:

@@ -11,17 +11,20 @@ from fillwise.operators import linear, metrics
 
 # Fixed values of the study: the model's features by group.
 GROUPS = {
-    "base": (
-        "t_mean heating_degree_hours vrate_min hpbl_min night_vrate_avg night_sshf_min total_rain ws_max is_weekend month pm10_mean "
-        "pm25_mean no2_mean typ_oblasti_code typ_zdroja_code altitude"
-    ).split(),
-    "derived": (
-        "t_range wdir_sin wdir_cos ssrd_total sp_mean rh_mean doy_sin doy_cos heating_season hpbl_min_3d hpbl_min_7d vrate_min_3d "
-        "t_mean_3d t_mean_lag1 hpbl_min_lag1 sp_tendency stagnation_run"
-    ).split(),
-    "spatial": "elev_mean elev_relief tpi_local tpi_meso tpi_broad slope_deg traffic_load_log traffic_hdv_log dist_major_road_km".split(),
-    "lags": "pm10_lag1 pm25_lag1 no2_lag1 pm10_3d pm25_3d no2_3d".split(),
-    "emission": "emis_bap_log emis_pm25_log".split(),
+    "base": [
+        "t_mean", "heating_degree_hours", "vrate_min", "hpbl_min", "night_vrate_avg", "night_sshf_min", "total_rain", "ws_max",
+        "is_weekend", "month", "pm10_mean", "pm25_mean", "no2_mean", "typ_oblasti_code", "typ_zdroja_code", "altitude",
+    ],
+    "derived": [
+        "t_range", "wdir_sin", "wdir_cos", "ssrd_total", "sp_mean", "rh_mean", "doy_sin", "doy_cos", "heating_season", "hpbl_min_3d",
+        "hpbl_min_7d", "vrate_min_3d", "t_mean_3d", "t_mean_lag1", "hpbl_min_lag1", "sp_tendency", "stagnation_run",
+    ],
+    "spatial": [
+        "elev_mean", "elev_relief", "tpi_local", "tpi_meso", "tpi_broad", "slope_deg", "traffic_load_log", "traffic_hdv_log",
+        "dist_major_road_km",
+    ],
+    "lags": ["pm10_mean_lag1", "pm25_mean_lag1", "no2_mean_lag1", "pm10_mean_3d", "pm25_mean_3d", "no2_mean_3d"],
+    "emission": ["emis_bap_log", "emis_pm25_log"],
     "directional": ["wdir_emis_bap_log"],
     "population": ["pop_log"],
 }

@@ -1,3 +1,3 @@
 """Registered queries. Importing the package registers all of them."""
 
-from fillwise.plans import grids, models, series, station_days  # noqa: F401
+from fillwise.plans import grids, models, series, station_days, validation  # noqa: F401

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from fillwise.operators import boost, folds, linear, metrics, reports, scenarios
 from fillwise.plans.fixtures import fixture, with_fixtures
 from fillwise.plans.registry import register
 from fillwise.plans.series import _OOF
+from fillwise.scratch import scratch
 from fillwise.streaming import ingest
 
 FEATURES = ["doy_sin", "doy_cos", "x1", "x2", "x3", "level"]
@@ -143,31 +142,17 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("permutation_importance", permutation_importance)
 
 
-def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        import uuid
-
-        return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-
-
 def streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily aggregates of the hourly rows, read as a stream; equal to the batch result."""
-    top = _scratch(spark)
+    """Daily aggregates of the hourly rows, read as a stream and upserted by station and day; equal to the batch result."""
+    top = scratch(spark, "stream")
     hourly = fixture(spark, sf_dir, "fx_hourly").select("station_id", F.col("time").cast("timestamp").alias("time"), "t2m", "hpbl", "rain")
     hourly.write.parquet(f"{top}/in")
-    stream = spark.readStream.schema(hourly.schema).parquet(f"{top}/in")
-    daily = ingest.stream_daily(stream)
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{top}/out/batch={number}")
-
-    query = daily.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{top}/ck").trigger(availableNow=True).start()
+    daily = ingest.stream_daily(spark.readStream.schema(hourly.schema).parquet(f"{top}/in"))
+    save = ingest.upserts_into(f"{top}/out", ["station_id", "datum"], "n")
+    query = daily.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{top}/ck").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.read.parquet(f"{top}/out")
-    last = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
-    return metrics.rounded(last.withColumn("datum", F.col("datum").cast("string")))
+    out = ingest.current(spark, f"{top}/out").drop("bucket")
+    return metrics.rounded(out.withColumn("datum", F.col("datum").cast("string")))
 
 
 register("streamed_daily", streamed_daily, with_fixtures("fx_hourly", """
@@ -177,7 +162,7 @@ FROM fx_hourly GROUP BY 1, 2"""))
 
 def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A series and its corrections through the streaming upsert; equal to the batch upsert."""
-    top = _scratch(spark)
+    top = scratch(spark, "stream")
     s = fixture(spark, sf_dir, "fx_series").select("station_id", "datum", "bap")
     late = s.where("day(datum) % 2 = 0").withColumn("bap", F.col("bap") + 1)
     for k, part in enumerate((s, late)):
@@ -185,7 +170,7 @@ def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
         # all new files are one batch, so the second run of the query sees the second part only
         stream = spark.readStream.schema(s.schema).option("recursiveFileLookup", True).parquet(f"{top}/in")
         ingest.stream_upserts(stream, f"{top}/table", f"{top}/ck", ["station_id", "datum"]).awaitTermination()
-    out = spark.read.parquet(f"{top}/table/version=1")
+    out = ingest.current(spark, f"{top}/table").drop("bucket")
     return metrics.rounded(out.withColumn("datum", F.col("datum").cast("string")))
 
 

@@ -16,8 +16,8 @@ DAILY = (
     "night_vrate_avg night_sshf_min doy_sin doy_cos"
 ).split()
 HISTORY = (
-    "hpbl_min_3d hpbl_min_7d vrate_min_3d t_mean_3d t_mean_lag1 hpbl_min_lag1 sp_tendency pm10_lag1 pm25_lag1 no2_lag1 "
-    "pm10_3d pm25_3d no2_3d"
+    "hpbl_min_3d hpbl_min_7d vrate_min_3d t_mean_3d t_mean_lag1 hpbl_min_lag1 sp_tendency pm10_mean_lag1 pm25_mean_lag1 no2_mean_lag1 "
+    "pm10_mean_3d pm25_mean_3d no2_mean_3d"
 ).split()
 
 _NIGHT = "hr IN (20, 21, 22, 23, 0, 1, 2, 3, 4, 5)"
@@ -35,8 +35,8 @@ _PROXY = """, px AS (SELECT station_id, datum, avg(value) FILTER (pollutant = 'p
 _HISTORY = _DAILY + _PROXY + """, j AS (SELECT d.*, pm10_mean, pm25_mean, no2_mean FROM d LEFT JOIN px ON d.station_id = px.station_id AND d.datum = px.datum),
 w AS (SELECT *, avg(hpbl_min) OVER w3 AS hpbl_min_3d, avg(hpbl_min) OVER w7 AS hpbl_min_7d, avg(vrate_min) OVER w3 AS vrate_min_3d,
   avg(t_mean) OVER w3 AS t_mean_3d, lag(t_mean) OVER w1 AS t_mean_lag1, lag(hpbl_min) OVER w1 AS hpbl_min_lag1,
-  sp_mean - lag(sp_mean) OVER w1 AS sp_tendency, lag(pm10_mean) OVER w1 AS pm10_lag1, lag(pm25_mean) OVER w1 AS pm25_lag1,
-  lag(no2_mean) OVER w1 AS no2_lag1, avg(pm10_mean) OVER w3 AS pm10_3d, avg(pm25_mean) OVER w3 AS pm25_3d, avg(no2_mean) OVER w3 AS no2_3d,
+  sp_mean - lag(sp_mean) OVER w1 AS sp_tendency, lag(pm10_mean) OVER w1 AS pm10_mean_lag1, lag(pm25_mean) OVER w1 AS pm25_mean_lag1,
+  lag(no2_mean) OVER w1 AS no2_mean_lag1, avg(pm10_mean) OVER w3 AS pm10_mean_3d, avg(pm25_mean) OVER w3 AS pm25_mean_3d, avg(no2_mean) OVER w3 AS no2_mean_3d,
   CASE WHEN ws_max < 2.0 AND total_rain < 1.0 THEN 1 ELSE 0 END AS stag FROM j
   WINDOW w1 AS (PARTITION BY station_id ORDER BY datum), w3 AS (PARTITION BY station_id ORDER BY datum ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
   w7 AS (PARTITION BY station_id ORDER BY datum ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
@@ -128,12 +128,13 @@ register("station_dimension", station_dimension, with_fixtures("fx_station", f""
 q AS (SELECT *, {X.RADIUS:.10e} * {_F:.17e} / pow(tan(pi() / 4 + radians(lat) / 2), {_N:.17e}) AS rho, {_N:.17e} * radians(lon - {X.MERIDIAN:.17e}) AS a FROM fx_station),
 n AS (SELECT *, CAST(round_even((rho * sin(a) - ({X.GRID_X0:.10e})) / {X.GRID_STEP:.10e}, 0) AS INT) AS x,
   CAST(round_even(({_R0:.17e} - rho * cos(a) - ({X.GRID_Y0:.10e})) / {X.GRID_STEP:.10e}, 0) AS INT) AS y FROM q)
-SELECT eoi, x, y, split_part(name, ',', 1) || ', street' AS name, split_part(name, ',', 1) AS short_name, typ_oblasti || typ_zdroja AS type,
+SELECT eoi, x, y, array_to_string(list_concat([CASE WHEN p[1] LIKE '%.' THEN rtrim(left(p[1], length(p[1]) - 1)) ELSE p[1] END], p[2:]), ', ') AS name, trim(split_part(name, ',', 1)) AS short_name, typ_oblasti || typ_zdroja AS type,
   CASE typ_oblasti WHEN 'S' THEN 1 WHEN 'U' THEN 2 ELSE 0 END AS area_code
-FROM n WHERE x BETWEEN 0 AND {X.GRID_NX - 1} AND y BETWEEN 0 AND {X.GRID_NY - 1}"""))
+FROM (SELECT *, list_filter(list_transform(string_split(name, ','), lambda q: trim(regexp_replace(q, '\\s+', ' ', 'g'))), lambda q: q <> '' AND lower(q) NOT IN ('mobil', 'mobile')) AS p FROM n) n
+WHERE x BETWEEN 0 AND {X.GRID_NX - 1} AND y BETWEEN 0 AND {X.GRID_NY - 1}"""))
 
-_RECON = """, v AS (SELECT regexp_extract(samplingpoint, 'SPO-([A-Z]{2}[0-9]+[A-Z])_', 1) AS eoi, CAST(start_ts AS DATE) AS datum,
-  round_even(avg(round_even(value * 1e4, 0) / 1e4) * 1e4, 0) / 1e4 AS bap FROM fx_obs_raw WHERE validity = 1 AND verification = 1 GROUP BY 1, 2),
+_RECON = """, v AS (SELECT regexp_extract(samplingpoint, 'SPO-(SK[A-Za-z0-9_]+?)_05029', 1) AS eoi, CAST(start_ts AS DATE) AS datum,
+  round_even(avg(round_even(value * 1e4, 0) / 1e4) * 1e4, 0) / 1e4 AS bap FROM fx_obs_raw WHERE validity = 1 AND verification = 1 AND samplingpoint LIKE '%\\_05029%' ESCAPE '\\' GROUP BY 1, 2),
 c AS (SELECT * FROM fx_obs_current WHERE eoi NOT IN (SELECT eoi FROM v) OR year(datum) NOT IN (SELECT year(datum) FROM v))"""
 
 

@@ -72,9 +72,13 @@ def parse_observations(df: DataFrame, json: str = "body", key: str = "eoi") -> D
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """All rows of both, the newest of each key: of ``new`` before ``old``, within one the largest ``order``."""
+    """All rows of both, the newest of each key: of ``new`` before ``old``, within one the largest ``order``.
+
+    Rows that tie in that are ordered by their other columns, so that reruns agree.
+    """
     both = old.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)), allowMissingColumns=True)
-    last = [F.desc("__batch"), *([F.desc_nulls_last(order)] if order else [])]
+    others = [c for c in both.columns if c not in (*keys, order, "__batch")]
+    last = [F.desc("__batch"), *([F.desc_nulls_last(order)] if order else []), *[F.desc_nulls_last(c) for c in others]]
     ranked = both.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*last)))
     return ranked.where("__rank = 1").drop("__rank", "__batch")
 

@@ -1,33 +1,57 @@
-"""Streaming forms: upserts of arriving hourly rows, and daily aggregates with late rows."""
+"""Streaming forms: upserts of arriving rows into a bucketed table, and daily aggregates with late rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fillwise.sources.tables import upsert
 
+BUCKETS = 64
+
+
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The table: of each bucket the newest version, or the newest before a number. Which those are is known from folder names."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    newest = rows.groupBy(F.col("bucket").alias("of")).agg(F.max("version").alias("newest"))
+    live = rows.join(F.broadcast(newest), (F.col("bucket") == F.col("of")) & (F.col("version") == F.col("newest")))
+    return live.drop("of", "newest", "version")
+
 
-def stream_upserts(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Each micro-batch is merged into a new version of the table under ``path``; the newest rows win.
+def upserts_into(path: str, keys: list[str], order: str | None = None, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: merges a batch into the table and writes the buckets that it touches, as a new version.
 
-    Versions are named by the batch, so a batch that runs again writes the same version again.
+    Of a key's rows in one batch that with the largest ``order`` wins (ties go by the other columns), and a batch wins
+    over what was there. Versions are named by the batch, so a batch that runs again writes the same version again.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        out = f"{path}/version={number}"
-        batch = batch.dropDuplicates(keys)
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        newest = upsert(batch.limit(0), batch, keys, order)
         if number:
-            batch = upsert(spark.read.parquet(f"{path}/version={number - 1}"), batch, keys)
-        batch.write.mode("overwrite").parquet(out)
+            touched = F.broadcast(batch.select("bucket").distinct())
+            newest = upsert(current(batch.sparkSession, path, number).join(touched, "bucket", "left_semi"), newest, keys, order)
+        newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
 
+    return merge
+
+
+def stream_upserts(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str | None = None) -> StreamingQuery:
+    """Each micro-batch is merged into the table under ``path``; the newest rows win. ``current`` reads it."""
+    merge = upserts_into(path, keys, order)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_daily(stream: DataFrame, key: str = "station_id", time: str = "time", late: str = "2 days") -> DataFrame:
-    """Daily means, minima and sums by tumbling windows; rows later than the watermark are dropped."""
+    """Daily means, minima and sums by tumbling windows.
+
+    In update or append mode the state of a day is dropped once the watermark has passed it, and rows later than that
+    are dropped too.
+    """
     day = F.window(time, "1 day")
     daily = stream.withWatermark(time, late).groupBy(day.alias("w"), key).agg(
         F.count("*").alias("n"), F.avg(F.col("t2m") - 273.15).alias("t_mean"), F.min("hpbl").alias("hpbl_min"), F.sum("rain").alias("total_rain")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fillwise.functions import scalar as X
 from fillwise.operators import boost, daily, folds, grid, linear, metrics, recon, scenarios
 from fillwise.sources import tables
+from fillwise.streaming import ingest
 
 DAY = dt.date(2024, 1, 1)
 
@@ -76,8 +77,9 @@ def test_nodes_round_halves_to_even(spark):
 
 
 def test_clean_name(spark):
-    df = spark.createDataFrame([("A , ,  B  c, mobil",)], "n string")
-    assert df.select(X.clean_name("n")).first()[0] == "A, B c"
+    names = {"A , ,  B  c, mobil": "A, B c", "Town..,st.": "Town., st.", "Town .": "Town", "Mobile, x": "x", " , ": ""}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(X.clean_name("n")).collect()] == list(names.values())
 
 
 def test_upsert_takes_the_new(spark):
@@ -151,3 +153,50 @@ def test_feature_sets():
     columns = [c for names in scenarios.GROUPS.values() for c in names]
     sets = scenarios.ladder(columns)
     assert len(sets["M4"]) == 50 and len(sets["V"]) == 39 and scenarios.group_of("pop_log") == "population"
+
+
+def fold_table(spark, n=400):
+    rng = np.random.default_rng(2)
+    data = [(k, int(k % 4), float(a), float(b) if k % 9 else None, float(np.exp(a / 2 + rng.normal() / 5))) for k, (a, b) in enumerate(rng.normal(size=(n, 2)))]
+    return spark.createDataFrame(data, "station_id long, fold int, a double, b double, bap double")
+
+
+def test_boosting_of_all_folds_equals_a_loop(spark, monkeypatch):
+    """The models that are grown together are those that each fold's rows alone would give, cut at the same edges."""
+    df = fold_table(spark)
+    together = boost.fit_folds(df, ["a", "b"], "fold", directions={"a": 1}, trees=6, depth=2)
+    edges = together[0].edges
+    keep = boost.bin_columns
+    for fold, model in together.items():
+        monkeypatch.setattr(boost, "bin_columns", lambda features, _: keep(features, edges))
+        alone = boost.fit_monotone(df.where(F.col("fold") != fold), ["a", "b"], directions={"a": 1}, trees=6, depth=2)
+        monkeypatch.undo()
+        assert alone.base == pytest.approx(model.base)
+        for x, y in zip(alone.trees, model.trees, strict=True):
+            assert {n: t[:3] for n, t in x.items()} == {n: t[:3] for n, t in y.items()}
+            assert [t[3] for t in x.values()] == pytest.approx([t[3] for t in y.values()])
+
+
+def test_out_of_fold_boosting_keeps_directions_and_learns(spark):
+    out = boost.boosted_oof(fold_table(spark), ["a", "b"], "fold", directions={"a": 1}, trees=8, depth=2)
+    got = metrics.metrics_by(out.select(F.lit(1).alias("k"), F.col("bap").alias("y"), F.col("boosted").alias("pred")), "k").first()
+    assert got["n"] == 400 and got["r2"] > 0.6
+    with pytest.raises(ValueError):
+        boost.fit_folds(fold_table(spark), ["a"], "station_id")
+
+
+def test_upserts_take_the_last_of_a_batch(spark, tmp_path):
+    merge = ingest.upserts_into(f"file://{tmp_path}/t", ["k"], "at", buckets=4)
+    for number, rows_ in enumerate(([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (3, 1, "x"), (3, 1, "y")], [(2, 0, "d"), (2, 5, "e"), (9, 1, "z")])):
+        merge(spark.createDataFrame(rows_, "k long, at long, v string"), number)
+    got = {r["k"]: r["v"] for r in ingest.current(spark, f"file://{tmp_path}/t").collect()}
+    assert got == {1: "b", 2: "e", 3: "y", 9: "z"}
+
+
+def test_nearest_point_on_a_sparse_map(spark):
+    cells = spark.createDataFrame([(k, 3 * k % 40) for k in range(40)], "xi long, yi long")
+    points = [(1000.0, 500.0), (900_000.0, 10.0), (77_000.0, 81_000.0), (None, 1.0)]
+    got = {(r["xi"], r["yi"]): r["dist_km"] for r in grid.nearest_distance(cells, spark.createDataFrame(points, "px double, py double"), "px", "py", tile=1, rings=1).collect()}
+    for (x, y), d in got.items():
+        assert d == pytest.approx(min(np.hypot(2000 * x - a, 2000 * y - b) for a, b in points if a is not None) / 1000)
+    assert len(got) == 40 and grid.nearest_distance(cells, spark.createDataFrame([], "px double, py double"), "px", "py").count() == 0

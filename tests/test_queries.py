@@ -31,7 +31,7 @@ def test_fills_cover_every_station_day(spark):
 
 
 def test_streamed_upserts_writes_in_parallel(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(models, "_scratch", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(models, "scratch", lambda *_: f"file://{tmp_path}")
     monkeypatch.setattr(models, "fixture", lambda *a: fixture(*a).repartition(4))
     assert_same(spark, registry.queries()["streamed_upserts"], registry.oracle_sql()["streamed_upserts"])
     assert [len(list(tmp_path.glob(f"in/part={k}/*.parquet"))) for k in (0, 1)] == [4, 4]
