@@ -37,10 +37,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that goes to a Python worker, and of a row group of a scratch table: both wait in memory, for each task.
+BATCH_BYTES, ROW_GROUP_BYTES = 4 << 20, 32 << 20
+_BATCHES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    """The frame, about to send texts to Python workers: where the session has Spark's default of 64 MB, batches get smaller."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCHES, _DEFAULT) == _DEFAULT:
+        conf.set(_BATCHES, str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts its lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fillwise.llm.common import texts_of
+
 # The standard notice sentences of widely used licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -199,7 +201,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
             rows = [{"doc_id": d, **x} for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in scanner.scan(t)]
             yield pd.DataFrame(rows, columns=names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    rows = texts_of(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     return rows.mapInPandas(
         run, f"doc_id {kind}, first_line int, last_line int, license string, saved int, missing array<string>, added array<string>"
     )

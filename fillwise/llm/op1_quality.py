@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import SEPARATORS, written
+from fillwise.llm.common import SEPARATORS, texts_of, written
 
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbol_pct", "shout_pct", "dup_line_pct", "repeat_pct")
@@ -67,7 +67,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             got = pd.DataFrame([text_statistics(t) for t in pdf["text"]], columns=names, index=pdf.index, dtype="int64")
             yield pd.concat([pdf[["doc_id", "stratum"]], got], axis=1)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+    rows = texts_of(docs).select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"doc_id {kind}, stratum {group}, " + ", ".join(f"{n} long" for n in names))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import FOLDED_CODES, KeyFilter, components, mixed, word_hashes, written
+from fillwise.llm.common import FOLDED_CODES, KeyFilter, components, mixed, texts_of, word_hashes, written
 
 #: Tokens that are known as frequent: at most so many, each in so many documents among so many tokens. They only affect the order.
 MAX_FREQUENT, BATCH_MIN, BATCH_TOKENS = 100_000, 2, 2_000_000
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their component is null. Very long texts are hashed in blocks and compared whole. An empty table gives an empty
     result. Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts_of(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = _sets(texts, _frequent(texts))
     usable = sets.where("n > 0 AND id IS NOT NULL")
     classes = written(usable.groupBy("sig1", "sig2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import scratch_path, written
+from fillwise.llm.common import scratch_path, texts_of, written
 
 VERSION, BLOCK = b"WARC/1.1", 1 << 16
 ARCHIVE_BYTES = 64 << 20
@@ -110,7 +110,7 @@ def write_archives(
     ``urn:none``. Other columns are ignored.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(
+    rows = texts_of(pages).select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
     )
     sums = rows.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull())

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import written
+from fillwise.llm.common import texts_of, written
 
 # Element names of the HTML standard, and attribute words that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -367,7 +367,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_p
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    n = pages.count()
+    n = texts_of(pages).count()
     rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col, html_col).alias("key"), F.col(html_col).alias("html"))
     if n > max_pages:
         rows = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * max_pages / n))
@@ -418,7 +418,7 @@ def main_text(pages: DataFrame, model: Trees, id_col: str = "page_id", url_col:
                     texts[k] = page.text(page.decode(p))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = texts_of(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInPandas(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
 
 

@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import written
+from fillwise.llm.common import texts_of, written
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES, PARTS = (3, 4, 5, 6, 7, 8), 5
 #: Most labelled documents that the fit reads (about): with them, all features and counts of the model are bounded.
 MAX_TRAIN = 24_000
-MIN_Z, MIN_ODDS, DRIFT, PRIOR, MIN_PRIOR, MAX_E, MAX_LAMBDA, CACHE = 3.0, 1.0, 0.03, 0.5, 0.5, 0.05, 3.0, 100_000
+MIN_Z, MIN_ODDS, DRIFT, PRIOR, MIN_PRIOR, MAX_E, MAX_LAMBDA, CACHE = 3.0, 1.0, 0.03, 0.5, 0.5, 0.05, 3.0, 60_000
 
 
 def features(token: str) -> list[str]:
@@ -92,6 +92,7 @@ class ToxicModel:
     k: float = 1.0
     slope: float = 1.0
     intercept: float = -2.0
+    cache: int = CACHE
 
     def __post_init__(self) -> None:
         self._seen: dict[str, float] = {}
@@ -100,7 +101,7 @@ class ToxicModel:
         got = self._seen.get(token)
         if got is None:
             got = max((w for f in features(token) if (w := self.weights.get(f))), key=abs, default=0.0) - self.drift
-            if len(self._seen) > CACHE:
+            if len(self._seen) > self.cache:
                 self._seen.clear()
             self._seen[token] = got
         return got
@@ -139,7 +140,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     n = y.count()
     if n > max_train:
         y = y.where(F.pmod(F.xxhash64("of", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    rows = texts_of(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     rows = rows.join(y, F.col("id") == F.col("of")).select("id", fold("id").alias("part"), "text", "y")
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +206,7 @@ def fit(
             yield pd.DataFrame({"feature": pdf["feature"][some].to_numpy(), "weights": pd.Series(list(weights[some]), dtype=object)})
 
     kept = _counts(rows).mapInPandas(odds, "feature string, weights array<double>").toPandas()
-    models = [ToxicModel({f: w[k] for f, w in zip(kept["feature"], kept["weights"], strict=True) if w[k]}) for k in range(PARTS + 1)]
+    models = [ToxicModel({f: w[k] for f, w in zip(kept["feature"], kept["weights"], strict=True) if w[k]}, cache=CACHE if k == PARTS else CACHE // PARTS) for k in range(PARTS + 1)]
 
     def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -284,7 +285,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
                 spans.append([{"start": places[a][0], "end": places[b][1], "score": s, "expected": math.exp(-x)} for a, b, s, x in own])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "passages": spans})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = texts_of(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = rows.mapInPandas(run, f"doc_id {kind}, score double, passages {passage}")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

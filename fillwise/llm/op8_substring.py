@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import KeyFilter, word_hashes, written
+from fillwise.llm.common import KeyFilter, texts_of, word_hashes, written
 
 WIDTH, GRAM = 13, 4
 #: Bytes of segments in one FM-index (about); segments from which an anchor is split into its windows; steps between sampled suffixes.
@@ -332,7 +332,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     For whole copies of a document with a smaller id that is [-1]: all their windows repeat.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), _row_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = texts_of(docs).select(F.col(id_col).cast("long").alias("id"), _row_key(text_col).alias("key"), F.col(text_col).alias("text"))
     texts = texts.where("id IS NOT NULL AND text IS NOT NULL")
     copies = _copies(texts)
     texts = _without_rows(texts, copies)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import written
+from fillwise.llm.common import texts_of, written
 
 CAPACITY = 2048
 #: Items that are packed together, and the room at which a bin counts as full.
@@ -77,7 +77,7 @@ def token_pieces(
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
             yield out.astype({"doc_id": pdf["doc_id"].dtype}) if len(out) else out
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return texts_of(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
 def best_fit(ids: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
