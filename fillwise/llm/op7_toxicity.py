@@ -96,8 +96,11 @@ class ToxicModel:
 
     def __post_init__(self) -> None:
         self._seen: dict[str, float] = {}
+        self._heads = {f.removesuffix("*")[:3] for f in self.weights}
 
     def token_score(self, token: str) -> float:
+        if token[:3] not in self._heads:  # no feature of the token has a weight
+            return -self.drift
         got = self._seen.get(token)
         if got is None:
             got = max((w for f in features(token) if (w := self.weights.get(f))), key=abs, default=0.0) - self.drift
