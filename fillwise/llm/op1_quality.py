@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
-Four integer statistics of a text (percentages, higher is worse) each reject a document above a cutoff. Labelled
+Four integer statistics of a text (percentages, higher is worse) each reject a document above a cutoff. A stratum
+(language) has one cutoff for all of them, so that a document is rejected by the largest of its percentages. Labelled
 documents are the holdout: nothing else is fitted on them, since the candidate cutoffs are fixed beforehand. For each
-stratum (language), rule and cutoff the number of good holdout documents that it would reject gives an exact binomial
-test of "rejects more than ``risk / rules`` of the good ones". Going from the mildest cutoff to stricter ones, testing
-stops at the first that fails (its p-values only grow), so a rule's cutoffs need no further correction; rules and
-strata get Holm's correction of ``delta``. With probability 1 - delta no stratum then loses more than ``risk`` of
-its good documents. A stratum with too few labels gets no cutoff and loses nothing to the rules.
+stratum and cutoff the number of good holdout documents that it would reject gives an exact binomial test of "rejects
+more than ``risk`` of the good ones". Going from the mildest cutoff to stricter ones, testing stops at the first that
+fails (its p-values only grow), so a stratum's cutoffs need no further correction; strata get Holm's correction of
+``delta``. With probability 1 - delta no stratum then loses more than ``risk`` of its good documents to all rules
+together. A stratum with too few labels (fewer than about 60 to 90) gets no cutoff and loses nothing to the rules.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ RULES = ("symbol_pct", "shout_pct", "dup_line_pct", "repeat_pct")
 #: Candidate cutoffs, the same for all rules, chosen before any label is seen.
 CUTOFFS = (1, 2, 5, 10, 15, 20, 25, 30, 40, 50, 60, 70, 80, 90)
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
+#: Strata up to which the table of cutoffs is broadcast.
+MAX_STRATA = 10_000
 
 
 def text_statistics(text: str | None) -> tuple[int, ...]:
@@ -83,7 +86,7 @@ def with_rules(stats: DataFrame) -> DataFrame:
             "dup_line_pct": pct("n_dup_lines", "n_lines"),
             "repeat_pct": pct("n_repeat_words", "n_words"),
         }
-    )
+    ).withColumn("worst_pct", F.greatest(*RULES))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -118,42 +121,31 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
 
 
 def select_cutoffs(holdout: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """(stratum, rule, cutoff, n, k, p_value) of the certified cutoffs.
+    """(stratum, cutoff, n, k, p_value) of the strictest certified cutoff of each stratum that has one.
 
-    ``holdout`` has the stratum and the rule statistics of good labelled documents that pass the base rules. The
-    p-values are computed on one row for each stratum, rule and cutoff.
+    ``holdout`` has the stratum and ``worst_pct`` of good labelled documents that pass the base rules. The p-values are
+    computed on one row for each stratum and cutoff.
     """
-    long = holdout.select(
-        "stratum",
-        F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES])),
-    )
-    counts = long.groupBy("stratum", "rule").agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("value") > c).alias(f"k{c}") for c in CUTOFFS]
-    )
+    counts = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col("worst_pct") > c).alias(f"k{c}") for c in CUTOFFS])
     tests = counts.select(
-        "stratum", "rule", "n",
-        F.inline(F.array(*[F.struct(F.lit(c).cast("long").alias("cutoff"), F.col(f"k{c}").alias("k")) for c in CUTOFFS])),
+        "stratum", "n", F.inline(F.array(*[F.struct(F.lit(c).cast("long").alias("cutoff"), F.col(f"k{c}").alias("k")) for c in CUTOFFS])),
     )
 
     @F.pandas_udf("double")
     def p_value(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([binomial_tail(int(a), int(b), risk / len(RULES)) for a, b in zip(k, n, strict=True)])
+        return pd.Series([binomial_tail(int(a), int(b), risk) for a, b in zip(k, n, strict=True)])
 
     tests = tests.withColumn("p_value", p_value("k", "n"))
-    # Holm: families are stratum x rule, each with the p-value of its mildest cutoff
-    first = tests.groupBy("stratum", "rule").agg(F.min("p_value").alias("best"))
-    order = Window.orderBy("best", "rule", F.col("stratum").asc_nulls_last())
+    # Holm over strata, each with the p-value of its mildest cutoff
+    first = tests.groupBy("stratum").agg(F.min("p_value").alias("best"))
+    order = Window.orderBy("best", F.col("stratum").asc_nulls_last())
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = F.lit(delta) / (F.count("*").over(everything) - F.row_number().over(order) + 1)
     families = first.withColumn("level", level)
     families = families.withColumn("open", F.min((F.col("best") <= F.col("level")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1)
     t, f = tests.alias("t"), families.alias("f")
-    certified = t.join(f, F.col("t.stratum").eqNullSafe(F.col("f.stratum")) & (F.col("t.rule") == F.col("f.rule"))).where(
-        "f.open AND t.p_value <= f.level"
-    )
-    return certified.groupBy("t.stratum", "t.rule").agg(
-        F.min_by(F.struct("cutoff", "n", "k", "p_value"), "cutoff").alias("x")
-    ).select("stratum", "rule", "x.*")
+    certified = t.join(f, F.col("t.stratum").eqNullSafe(F.col("f.stratum"))).where("f.open AND t.p_value <= f.level")
+    return certified.groupBy("t.stratum").agg(F.min_by(F.struct("cutoff", "n", "k", "p_value"), "cutoff").alias("x")).select("stratum", "x.*")
 
 
 def quality_verdicts(
@@ -174,12 +166,9 @@ def quality_verdicts(
     )
     holdout = stats.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("__id"), "left_semi")
     cutoffs = written(select_cutoffs(holdout, risk, delta), "cutoffs")
-    limits = cutoffs.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__{r}") for r in RULES])
-    s, c = stats.alias("s"), limits.withColumnRenamed("stratum", "__stratum")
-    out = s.join(c, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
-    failed = F.filter(
-        F.array(*[F.when(F.col(r) > F.col(f"__{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull()
-    )
+    s, c = stats.alias("s"), cutoffs.select(F.col("stratum").alias("of"), "cutoff")
+    out = s.join(F.broadcast(c) if c.count() <= MAX_STRATA else c, F.col("stratum").eqNullSafe(F.col("of")), "left").drop("of")
+    failed = F.filter(F.array(*[F.when(F.col(r) > F.col("cutoff"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
     out = out.withColumn("failed_rules", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
@@ -217,30 +206,21 @@ r AS (
     coalesce(100 * n_symbols // nullif(n_words, 0), 0) AS symbol_pct, coalesce(100 * n_shout // nullif(word_chars, 0), 0) AS shout_pct,
     coalesce(100 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_line_pct, coalesce(100 * n_repeat_words // nullif(n_words, 0), 0) AS repeat_pct
   FROM s),
-long AS (
-  SELECT lang, u.rule, u.value
-  FROM (SELECT lang, unnest([{{'rule': 'symbol_pct', 'value': symbol_pct}}, {{'rule': 'shout_pct', 'value': shout_pct}},
-    {{'rule': 'dup_line_pct', 'value': dup_line_pct}}, {{'rule': 'repeat_pct', 'value': repeat_pct}}]) AS u
-    FROM r WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1))),
 k AS (
-  SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k
-  FROM long, (VALUES {_VALUES}) c(cutoff) GROUP BY lang, rule, cutoff),
+  SELECT lang, cutoff, count(*) AS n, count(*) FILTER (greatest(symbol_pct, shout_pct, dup_line_pct, repeat_pct) > cutoff) AS k
+  FROM r, (VALUES {_VALUES}) c(cutoff)
+  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) GROUP BY lang, cutoff),
 p AS (
-  SELECT lang, rule, cutoff, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(0.9875)))
+  SELECT lang, cutoff, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)))
     FROM (SELECT unnest(range(0, k + 1)) AS i)) AS p_value FROM k),
-best AS (SELECT lang, rule, min(p_value) AS best FROM p GROUP BY lang, rule),
-lev AS (
-  SELECT lang, rule, best, 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY best, rule, lang NULLS LAST) + 1) AS lv FROM best),
+best AS (SELECT lang, min(p_value) AS best FROM p GROUP BY lang),
+lev AS (SELECT lang, best, 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY best, lang NULLS LAST) + 1) AS lv FROM best),
 holm AS (
-  SELECT lang, rule, lv, min(CASE WHEN best <= lv THEN 1 ELSE 0 END) OVER (ORDER BY best, rule, lang NULLS LAST ROWS UNBOUNDED PRECEDING) AS ok FROM lev),
-cut AS (
-  SELECT p.lang, p.rule, min(cutoff) AS cutoff FROM p JOIN holm ON p.lang IS NOT DISTINCT FROM holm.lang AND p.rule = holm.rule
-  WHERE ok = 1 AND p_value <= lv GROUP BY p.lang, p.rule),
+  SELECT lang, lv, min(CASE WHEN best <= lv THEN 1 ELSE 0 END) OVER (ORDER BY best, lang NULLS LAST ROWS UNBOUNDED PRECEDING) AS ok FROM lev),
 lim AS (
-  SELECT lang, min(cutoff) FILTER (rule = 'symbol_pct') AS c1, min(cutoff) FILTER (rule = 'shout_pct') AS c2,
-    min(cutoff) FILTER (rule = 'dup_line_pct') AS c3, min(cutoff) FILTER (rule = 'repeat_pct') AS c4 FROM cut GROUP BY lang)
+  SELECT p.lang, min(cutoff) AS cutoff FROM p JOIN holm ON p.lang IS NOT DISTINCT FROM holm.lang
+  WHERE ok = 1 AND p_value <= lv GROUP BY p.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(symbol_pct > c1, false) OR coalesce(shout_pct > c2, false)
-    OR coalesce(dup_line_pct > c3, false) OR coalesce(repeat_pct > c4, false)) AS kept
+  NOT base_failed AND NOT coalesce(greatest(symbol_pct, shout_pct, dup_line_pct, repeat_pct) > cutoff, false) AS kept
 FROM r LEFT JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang
 """

@@ -110,12 +110,12 @@ def test_binomial_tail_is_exact():
 
 
 def test_cutoffs_keep_the_risk(spark):
-    rows = [("en", s, 0, 0, 0) for s in [0] * 1980 + [50] * 20] + [("de", 0, 0, 0, 0)] * 20
-    holdout = spark.createDataFrame(rows, "stratum string, symbol_pct long, shout_pct long, dup_line_pct long, repeat_pct long")
-    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in q.select_cutoffs(holdout).collect()}
-    assert got["en", "shout_pct"] == min(q.CUTOFFS)
-    assert got["en", "symbol_pct"] >= 50  # 1 % of good documents has 50: too near to 1.25 % to certify a lower cutoff
-    assert not any(s == "de" for s, _ in got)
+    rows = [("en", s) for s in [0] * 1880 + [7] * 30 + [50] * 90] + [("de", 0)] * 20 + [("fr", 1)] * 100
+    got = {r["stratum"]: (r["cutoff"], r["n"], r["k"]) for r in q.select_cutoffs(spark.createDataFrame(rows, "stratum string, worst_pct long")).collect()}
+    # of the good English documents 4.5 % lie above 10 and below 50, which is too near to 5 % to certify
+    assert got == {"en": (50, 2000, 0), "fr": (1, 100, 0)}
+    for k, n in ((71, 2000), (0, 100)):
+        assert q.binomial_tail(k, n, 0.05) <= 0.05
 
 
 def test_quality_cases(spark, docs, data, empty):

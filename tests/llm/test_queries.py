@@ -1,5 +1,6 @@
 """The registered corpus queries: against their SQL where there is any, and the pipeline's stages on hard rows."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,17 @@ def test_query_equals_sql(spark, name):
     assert_same(spark, queries.queries()[name], queries.oracle_sql()[name])
 
 
+def test_quality_decides_where_labels_are_many(spark):
+    """At a scale with enough labels the cutoffs reject documents, and SQL finds the same ones."""
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r["kept"] for r in queries.queries()["op1_quality"](spark, sf).where("NOT base_failed").collect()}
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = dict(con.execute(f"SELECT doc_id, kept FROM ({queries.oracle_sql()['op1_quality']}) WHERE NOT base_failed").fetchall())
+    assert got == want and 0 < sum(got.values()) < len(got)
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_query_without_sql_has_rows(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
@@ -48,6 +60,22 @@ def test_pipeline_keeps_other_texts_of_a_repeated_id(spark):
     assert sorted(got, key=str) == sorted([r for r in rows if r != (2, near)], key=str)
 
 
+def test_stages_carry_columns_of_any_name(spark):
+    """Columns with the names that the stages and operators use inside keep their values."""
+    names = ["__word", "__copy", "__flag", "__id", "__size", "row", "doc", "hit", "grp", "digest", "key", "word", "bits", "repeats", "Row"][:14]
+    words = [f"w{i}" for i in range(60)]
+    texts = {1: " ".join(words), 2: " ".join(words), 3: " ".join([*words[:-1], "changed"]), 4: "other words of a text", 5: None, 6: ""}
+    rows = [(i, t, "web", *[100 * i + k for k in range(len(names))]) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = {corpus_pipeline.drop_toxic: {1, 2, 3, 4, 5, 6}, corpus_pipeline.drop_exact_copies: {2, 3, 4, 6}, corpus_pipeline.drop_near_copies: {1, 4, 5, 6}}
+    for stage, ids in kept.items():
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] in ids)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= set(rows)
+
+
 @pytest.mark.parametrize("doc_id", [None, 5])
 def test_pipeline_mixes_rows_that_share_an_id(spark, doc_id):
     docs = spark.createDataFrame(
