@@ -23,3 +23,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_fixtures(names: str, sql: str) -> str:
     """Oracle SQL with the stand-in views in front; ``sql`` goes on from the WITH clause: ``, x AS (...) SELECT ...``."""
     return "WITH " + ",\n".join(f"{n} AS (\n{BODIES[n]})" for n in names.split()) + "\n" + sql
+
+
+#: DuckDB expression of a cleaned station name (see functions.scalar.clean_name), over a column ``name``.
+CLEAN_NAME = r"""(SELECT array_to_string(list_concat([CASE WHEN p[1] LIKE '%.' THEN rtrim(left(p[1], length(p[1]) - 1)) ELSE p[1] END], p[2:]), ', ')
+  FROM (SELECT list_filter(list_transform(string_split(name, ','), lambda q: trim(regexp_replace(q, '\s+', ' ', 'g'))),
+    lambda q: q <> '' AND lower(q) NOT IN ('mobil', 'mobile')) AS p))"""

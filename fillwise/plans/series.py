@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fillwise.functions import scalar as X
 from fillwise.operators import folds, metrics, reports
-from fillwise.plans.fixtures import fixture, with_fixtures
+from fillwise.plans.fixtures import CLEAN_NAME, fixture, with_fixtures
 from fillwise.plans.registry import register
 
 METHODS = ["clim", "persist"]
@@ -73,7 +73,7 @@ def metrics_by_station(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("metrics_by_station", metrics_by_station, with_fixtures("fx_series fx_station", _OOF + f""",
 st AS (SELECT method, station_id, {_M} FROM p GROUP BY method, station_id)
-SELECT st.station_id, method, n, {_R}, split_part(name, ',', 1) || ', street' AS name, typ_oblasti || typ_zdroja AS type
+SELECT st.station_id, method, n, {_R}, {CLEAN_NAME} AS name, typ_oblasti || typ_zdroja AS type
 FROM st JOIN fx_station f ON st.station_id = f.station_id"""))
 
 

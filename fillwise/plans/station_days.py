@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fillwise.functions import scalar as X
 from fillwise.operators import daily, metrics, recon
-from fillwise.plans.fixtures import fixture, with_fixtures
+from fillwise.plans.fixtures import CLEAN_NAME, fixture, with_fixtures
 from fillwise.plans.registry import register
 from fillwise.sources import tables
 
@@ -128,10 +128,9 @@ register("station_dimension", station_dimension, with_fixtures("fx_station", f""
 q AS (SELECT *, {X.RADIUS:.10e} * {_F:.17e} / pow(tan(pi() / 4 + radians(lat) / 2), {_N:.17e}) AS rho, {_N:.17e} * radians(lon - {X.MERIDIAN:.17e}) AS a FROM fx_station),
 n AS (SELECT *, CAST(round_even((rho * sin(a) - ({X.GRID_X0:.10e})) / {X.GRID_STEP:.10e}, 0) AS INT) AS x,
   CAST(round_even(({_R0:.17e} - rho * cos(a) - ({X.GRID_Y0:.10e})) / {X.GRID_STEP:.10e}, 0) AS INT) AS y FROM q)
-SELECT eoi, x, y, array_to_string(list_concat([CASE WHEN p[1] LIKE '%.' THEN rtrim(left(p[1], length(p[1]) - 1)) ELSE p[1] END], p[2:]), ', ') AS name, trim(split_part(name, ',', 1)) AS short_name, typ_oblasti || typ_zdroja AS type,
+SELECT eoi, x, y, {CLEAN_NAME} AS name, trim(split_part(name, ',', 1)) AS short_name, typ_oblasti || typ_zdroja AS type,
   CASE typ_oblasti WHEN 'S' THEN 1 WHEN 'U' THEN 2 ELSE 0 END AS area_code
-FROM (SELECT *, list_filter(list_transform(string_split(name, ','), lambda q: trim(regexp_replace(q, '\\s+', ' ', 'g'))), lambda q: q <> '' AND lower(q) NOT IN ('mobil', 'mobile')) AS p FROM n) n
-WHERE x BETWEEN 0 AND {X.GRID_NX - 1} AND y BETWEEN 0 AND {X.GRID_NY - 1}"""))
+FROM n WHERE x BETWEEN 0 AND {X.GRID_NX - 1} AND y BETWEEN 0 AND {X.GRID_NY - 1}"""))
 
 _RECON = """, v AS (SELECT regexp_extract(samplingpoint, 'SPO-(SK[A-Za-z0-9_]+?)_05029', 1) AS eoi, CAST(start_ts AS DATE) AS datum,
   round_even(avg(round_even(value * 1e4, 0) / 1e4) * 1e4, 0) / 1e4 AS bap FROM fx_obs_raw WHERE validity = 1 AND verification = 1 AND samplingpoint LIKE '%\\_05029%' ESCAPE '\\' GROUP BY 1, 2),
