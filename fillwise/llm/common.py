@@ -206,10 +206,22 @@ def word_hashes(texts: pa.Array, codes: np.ndarray = EXACT_CODES, block: int = B
         lo = hi
 
 
-#: Neighbours from which a node of the components is hot, and most hot nodes that are broadcast.
+#: Rows from which a group or node is hot, and most hot ones that are broadcast.
 HOT_DEGREE, MAX_HOT = 1000, 50_000
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """Left-joins the groups (key, count, ...), one row a key. Rows of very large groups stay where they are: of these groups at most MAX_HOT are broadcast."""
+    names = [c for c in groups.columns if c != key]
+    big, *own = fresh([*rows.columns, *groups.columns], "big", *(f"big_{c}" for c in names))
+    hot = groups.where(F.col(count) > HOT_DEGREE).orderBy(F.desc(count), key).limit(MAX_HOT)
+    hot = F.broadcast(hot.select(F.col(key).alias(big), *[F.col(c).alias(o) for c, o in zip(names, own, strict=True)]))
+    split = rows.join(hot, F.col(key) == F.col(big), "left")
+    large = split.where(F.col(big).isNotNull()).select(*rows.columns, *[F.col(o).alias(c) for c, o in zip(names, own, strict=True)])
+    rest = split.where(F.col(big).isNull()).select(rows.columns).join(groups, key, "left")
+    return large.unionByName(rest.select(large.columns))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root): every linked node with the smallest node that it can reach. Links with a null end count for nothing.
 

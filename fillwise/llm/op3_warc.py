@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import scratch_path, texts_of, written
+from fillwise.llm.common import scratch_path, texts_of, with_groups, written
 
 VERSION, BLOCK = b"WARC/1.1", 1 << 16
 ARCHIVE_BYTES = 64 << 20
@@ -104,7 +104,7 @@ def write_archives(
 ) -> DataFrame:
     """Writes a record for each row and returns (archive, records), one row for each archive.
 
-    The payload is the html in UTF-8, empty for null. Of the rows with equal payloads of at least ``min_bytes``, that
+    The payload is the html in UTF-8, empty for null. Of the rows with equal payloads (by SHA-256) of at least ``min_bytes``, that
     with the largest id is the response and the others are revisits that name it. Rows with a null id are responses.
     Rows repeated with one id: one record each, all responses where the id is the largest. Null urls are written as
     ``urn:none``. Other columns are ignored.
@@ -114,9 +114,9 @@ def write_archives(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
     )
     sums = rows.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull())
-    sums = sums.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("sum"))
-    best = sums.groupBy("sum").agg(F.max("page_id").alias("first"), F.min("page_id").alias("last")).where("first <> last")
-    revisits = sums.join(best, "sum").where("page_id <> first").select(F.col("page_id").alias("__id"), "first").distinct()
+    sums = sums.select("page_id", F.sha2("html", 256).alias("sum"))
+    best = sums.groupBy("sum").agg(F.max("page_id").alias("first"), F.min("page_id").alias("last"), F.count("*").alias("n"))
+    revisits = with_groups(sums, written(best.where("first <> last"), "payloads"), "sum").where("page_id <> first").select(F.col("page_id").alias("__id"), "first").distinct()
     revisits = written(revisits, "revisits")
     rows = rows.join(revisits, F.col("page_id") == F.col("__id"), "left").drop("__id")
 

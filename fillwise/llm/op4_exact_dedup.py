@@ -15,12 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import KeyFilter, ascii_lower, scratch_path, written
+from fillwise.llm.common import KeyFilter, ascii_lower, scratch_path, with_groups, written
 
 #: Slices of the input, and runs of a level that make one of the next.
 SLICES, FANOUT = 4, 2
-#: Rows of a group from which its verdict is broadcast, and most verdicts that are.
-HOT_GROUP, MAX_HOT = 1000, 50_000
 
 
 @dataclass
@@ -124,7 +122,7 @@ def exact_groups(
     found = written(found.distinct(), "found")
     groups = written(index.groups(found), "groups")
     marked = KeyFilter(found, "digest").mark(digests, "digest", "hit")
-    hits = _with_groups(marked.where("hit").drop("hit"), groups)
+    hits = written(with_groups(marked.where("hit").drop("hit"), groups, "digest"), "hits")
     odd = _unequal(docs, hits, id_col, text_col)
     once = marked.where(~F.col("hit")).select(
         "doc_id", "row", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
@@ -141,16 +139,6 @@ def exact_groups(
     return out.select(*columns, *(["row"] if row_col else []))
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds key and n of each row's digest, null where it has no group. Rows of very large groups stay where they are."""
-    big = groups.where(F.col("n") > HOT_GROUP).orderBy(F.desc("n"), "digest").limit(MAX_HOT)
-    big = F.broadcast(big.select(F.col("digest").alias("big"), F.col("key").alias("big_key"), F.col("n").alias("big_n")))
-    split = rows.join(big, F.col("digest") == F.col("big"), "left")
-    hot = split.where("big IS NOT NULL").select(*rows.columns, F.col("big_key").alias("key"), F.col("big_n").alias("n"))
-    rest = split.where("big IS NULL").select(rows.columns).join(groups, "digest", "left")
-    return written(hot.unionByName(rest.select(hot.columns)), "hits")
-
-
 def _rows_with_text(docs: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), _text(text_col).alias("text"))
     return rows.withColumn("digest", _digest(F.col("text")))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import KeyFilter, texts_of, word_hashes, written
+from fillwise.llm.common import KeyFilter, texts_of, with_groups, word_hashes, written
 
 WIDTH, GRAM = 13, 4
 #: Bytes of segments in one FM-index (about); segments from which an anchor is split into its windows; steps between sampled suffixes.
@@ -317,8 +317,8 @@ def _row_key(text_col: str) -> Column:
 def _copies(texts: DataFrame) -> DataFrame:
     """(id, key) of rows whose whole text a smaller id has: the index holds each text once, under its smallest id."""
     sums = written(texts.select("id", "key", F.sha2("text", 256).alias("sum")), "text-sums")
-    first = sums.groupBy("sum").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    return written(sums.join(first, "sum").where("id <> first").select("id", "key").distinct(), "copies")
+    first = sums.groupBy("sum").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    return written(with_groups(sums, written(first.where("first <> last"), "text-groups"), "sum").where("id <> first").select("id", "key").distinct(), "copies")
 
 
 def _without_rows(texts: DataFrame, rows: DataFrame) -> DataFrame:
