@@ -17,8 +17,9 @@ from fillwise.plans.station_days import days
 from fillwise.scratch import stored
 
 #: Trees of the registered queries; the operators take any number.
-SMALL = {"trees": 2, "depth": 2}
-STATION_GROUPS = 5
+SMALL = {"trees": 4, "depth": 2}
+#: Models of the registered queries: stations are held out by groups, and every twelfth 30-day block is held out together.
+STATION_GROUPS, BLOCK_GROUPS = 5, 12
 #: What stands in for proxies and for emission among the features of the long series.
 PROXIES, EMISSION = ["x1", "x2", "x3"], ["level"]
 
@@ -28,6 +29,10 @@ def with_station_group(df: DataFrame, groups: int = STATION_GROUPS) -> DataFrame
     return df.withColumn("station_group", F.pmod(F.xxhash64("station_id"), F.lit(groups)).cast("int"))
 
 
+def with_block_group(df: DataFrame, groups: int = BLOCK_GROUPS) -> DataFrame:
+    return df.withColumn("block_group", F.col("block") % groups)
+
+
 def long(out: DataFrame, methods: list[str], *keep: str) -> DataFrame:
     return folds.long_predictions(out, methods, ["station_id", *keep])
 
@@ -80,7 +85,7 @@ register("boosted_stations", boosted_stations)
 def boosted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """30-day blocks: boosted trees, climatology and persistence on the same held-out rows, pooled and by station."""
     base = folds.block_baselines(fixture(spark, sf_dir, "fx_series")).select("station_id", "datum", "clim", "persist")
-    out = boost.boosted_oof(rows(spark, sf_dir), FEATURES, "block", directions={"level": 1}, **SMALL)
+    out = boost.boosted_oof(with_block_group(rows(spark, sf_dir)), FEATURES, "block_group", directions={"level": 1}, **SMALL)
     both = out.select("station_id", "datum", "bap", "boosted").join(base, ["station_id", "datum"])
     return metrics.rounded(reports.summary(long(both, ["boosted", "clim", "persist"])))
 
@@ -90,11 +95,11 @@ register("boosted_blocks", boosted_blocks)
 
 def _versus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-block predictions of boosted trees and ridge, with all features and without proxies."""
-    data, free = rows(spark, sf_dir), [c for c in FEATURES if c not in PROXIES]
-    models = {name: boost.fit_folds(data, f, "block", directions={"level": 1}, **SMALL) for name, f in (("boosted", FEATURES), ("boosted_free", free))}
+    data, free = with_block_group(rows(spark, sf_dir)), [c for c in FEATURES if c not in PROXIES]
+    models = {name: boost.fit_folds(data, f, "block_group", directions={"level": 1}, **SMALL) for name, f in (("boosted", FEATURES), ("boosted_free", free))}
     out = linear.ridge_oof(linear.ridge_oof(data, FEATURES, "block"), free, "block", name="ridge_free")
     for name, m in models.items():
-        out = boost.predict_folds(out, m, "block", name)
+        out = boost.predict_folds(out, m, "block_group", name)
     return stored(out.select("station_id", "bap", "boosted", "ridge", "boosted_free", "ridge_free"), "versus")
 
 
@@ -131,16 +136,14 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ablation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M0 to M5, V, and M4 without constraints: skill of boosted trees under random folds and under folds of whole stations."""
-    data = stored(with_station_group(folds.with_kfold(feature_table(spark, sf_dir), [F.col("station_id"), F.col("datum")])), "ladder")
+    """M0 to M5, V, and M4 without constraints: boosted trees under random folds, and ridge with each station left out."""
+    data = stored(folds.with_kfold(feature_table(spark, sf_dir), [F.col("station_id"), F.col("datum")]), "ladder")
     sets = scenarios.ladder(data.columns)
-    runs = [(name, f, None) for name, f in sets.items()] + [("M4 unconstrained", sets["M4"], {})]
     parts = []
-    for name, features, directions in runs:
-        kfold = boost.boosted_oof(data, features, "fold", directions=directions, trees=1, depth=2)
-        group = boost.boosted_oof(data, features, "station_group", directions=directions, trees=1, depth=2)
-        for scheme, out in (("kfold", kfold), ("stations", group)):
-            parts.append(out.select(F.lit(name).alias("model"), F.lit(len(features)).alias("n_features"), F.lit(scheme).alias("scheme"), F.col("bap").alias("y"), F.col("boosted").alias("pred")))
+    for name, features, directions in [*((name, f, None) for name, f in sets.items()), ("M4 unconstrained", sets["M4"], {})]:
+        kfold = boost.boosted_oof(data, features, "fold", "pred", directions=directions, trees=2, depth=2)
+        runs = [("kfold", kfold)] + ([("stations", linear.ridge_oof(data, features, "station_id", name="pred"))] if directions is None else [])
+        parts += [out.select(F.lit(name).alias("model"), F.lit(len(features)).alias("n_features"), F.lit(s).alias("scheme"), F.col("bap").alias("y"), "pred") for s, out in runs]
     return metrics.rounded(metrics.metrics_by(union(parts), "model", "n_features", "scheme").select("model", "n_features", "scheme", "n", "r2", "rmse"))
 
 
