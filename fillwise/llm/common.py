@@ -130,7 +130,7 @@ class KeyFilter:
 
 # Hashes of words over whole blocks of text: a word's bytes are the digits of a number modulo 2^64, taken from one
 # running sum over the block, and are then mixed.
-_BASE, BLOCK = 0x9E3779B97F4A7C15, 1 << 20
+_BASE, BLOCK = 0x9E3779B97F4A7C15, 1 << 18
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[ord(c) for c in SEPARATORS]] = False
 _powers: dict[str, np.ndarray] = {}

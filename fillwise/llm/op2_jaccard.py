@@ -76,7 +76,8 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     """(token, documents) of the most frequent tokens, by token. Only the order of tokens depends on it."""
 
     def count(sets: list[np.ndarray]) -> pa.RecordBatch:
-        tokens = np.sort(np.concatenate([np.zeros(0, np.uint64), *sets]))
+        tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+        tokens.sort()
         edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
         times = np.diff(np.append(edge, len(tokens)))
         often = times >= BATCH_MIN

@@ -30,6 +30,8 @@ TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES, PARTS = (3, 4, 5, 6, 7, 8), 5
 #: Most labelled documents that the fit reads (about): with them, all features and counts of the model are bounded.
 MAX_TRAIN = 24_000
+#: Counts that a task holds before it hands them on to be added up.
+MAX_COUNTS = 50_000
 MIN_Z, MIN_ODDS, DRIFT, PRIOR, MIN_PRIOR, MAX_E, MAX_LAMBDA, CACHE = 3.0, 1.0, 0.03, 0.5, 0.5, 0.05, 3.0, 60_000
 
 
@@ -160,14 +162,18 @@ def _counts(rows: DataFrame) -> DataFrame:
     """(feature, counts): toxic documents, other documents, toxic tokens and other tokens of each part, one after the other."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["feature", "part", "d1", "d0", "t1", "t0"]
         for pdf in batches:
             seen: dict[tuple[str, int], list[int]] = {}
             for part, text, y in zip(pdf["part"], pdf["text"], pdf["y"], strict=True):
+                if len(seen) > MAX_COUNTS:
+                    yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=names)
+                    seen = {}
                 for f, n in Counter(f for t in TOKEN.findall(text.lower()) for f in features(t)).items():
                     got = seen.setdefault((f, part), [0, 0, 0, 0])
                     got[1 - y] += 1
                     got[3 - y] += n
-            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["feature", "part", "d1", "d0", "t1", "t0"])
+            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=names)
 
     counts = rows.mapInPandas(count, "feature string, part int, d1 long, d0 long, t1 long, t0 long")
     sums = [F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)) for k in range(PARTS) for c in ("d1", "d0", "t1", "t0")]
