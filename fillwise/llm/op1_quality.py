@@ -156,7 +156,7 @@ def quality_verdicts(
 
     Null or empty texts have no words and fail the base rules. Null strata are one stratum. Labels that are null, or
     of documents that are not there, count for nothing; a document labelled twice counts once, as good only if all its
-    labels say so. Repeated rows are judged each for itself. An empty table gives an empty result. Other columns are
+    labels say so. Repeated rows are judged each for itself. Very long texts are counted whole. An empty table gives an empty result. Other columns are
     ignored.
     """
     stats = written(with_rules(with_statistics(docs, id_col, text_col, stratum_col)), "quality")

@@ -107,7 +107,8 @@ def write_archives(
     The payload is the html in UTF-8, empty for null. Of the rows with equal payloads (by SHA-256) of at least ``min_bytes``, that
     with the largest id is the response and the others are revisits that name it. Rows with a null id are responses.
     Rows repeated with one id: one record each, all responses where the id is the largest. Null urls are written as
-    ``urn:none``. Other columns are ignored.
+    ``urn:none``. Very long pages are one record each, read back in blocks. An empty table gives no archive. Other columns
+    are ignored.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = texts_of(pages).select(

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import texts_of, written
+from fillwise.llm.common import fresh, texts_of, written
 
 CAPACITY = 2048
 #: Items that are packed together, and the room at which a bin counts as full.
@@ -60,7 +60,10 @@ def token_pieces(
     docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text",
     capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and ``end_id``, cut to ``capacity``."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and ``end_id``, cut to ``capacity``.
+
+    A null or empty text has the end id alone; repeated rows give their pieces again; very long texts are encoded whole.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
@@ -123,11 +126,14 @@ def pack(
     """Adds sequence_id and offset to rows with a ``length`` of at most ``capacity``.
 
     Every row gets a place of its own, repeated rows too. Rows of length 0 take no room; an empty table stays empty.
-    Sequence numbers are names, not ranks.
+    Sequence numbers are names, not ranks. Bins with at most ``slack`` free places count as full: that leaves at most
+    slack / capacity of the room unused (0.2 %). Rounds end with one group, or when a round closes or merges less than 2 %
+    of what was open: the bins that are left are then nearly all too full to be merged in pairs.
     """
-    pieces = written(pieces.withColumn("__item", F.monotonically_increasing_id()), "pieces")
+    (own,) = fresh([*pieces.columns, "sequence_id", "offset", "item", "bin", "shift", "fill"], "row")
+    pieces = written(pieces.withColumn(own, F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") >= capacity - slack)
-    items = pieces.where(F.col("length") < capacity - slack).select(F.col("__item").alias("item"), F.col("length").alias("n"))
+    items = pieces.where(F.col("length") < capacity - slack).select(F.col(own).alias("item"), F.col("length").alias("n"))
     n, level = items.count(), 0
     places = None  # (item, bin, shift, fill), item being a piece
     closed: list[DataFrame] = []
@@ -153,19 +159,20 @@ def pack(
             break
         closed.append(places.where(~underfull))
         places, n, level = places.where(underfull), left, level + 1
-    out = full.withColumns({"sequence_id": F.col("__item"), "offset": F.lit(0).cast("long")})
+    out = full.withColumns({"sequence_id": F.col(own), "offset": F.lit(0).cast("long")})
     if places is not None:
         for part in closed:
             places = places.unionByName(part)
-        spots = places.select(F.col("item").alias("__item"), F.col("bin").alias("sequence_id"), F.col("shift").alias("offset"))
-        out = out.unionByName(pieces.join(spots, "__item").select(*out.columns))
-    return out.drop("__item")
+        spots = places.select(F.col("item").alias(own), F.col("bin").alias("sequence_id"), F.col("shift").alias("offset"))
+        out = out.unionByName(pieces.drop("sequence_id", "offset").join(spots, own).select(*out.columns))
+    return out.drop(own)
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = CAPACITY, **columns) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): token_pieces() packed by pack().
 
-    A null text counts as empty and has the end id alone. Null and repeated ids are documents like others.
+    A null text counts as empty and has the end id alone. Null and repeated ids are documents like others. Very long texts are
+    encoded whole and cut into pieces. An empty table gives an empty result. Other columns are ignored.
     """
     return pack(token_pieces(docs, tokenizer, ranks, capacity=capacity, **columns), capacity)
 

@@ -159,6 +159,35 @@ def test_near_duplicates_equal_brute_force(spark, seed):
         assert r["component_id"] == (None if r["doc_id"] is None else want[r["doc_id"]])
 
 
+def test_near_duplicates_of_edited_families(spark):
+    """Families of edits around the threshold, copies of copies, cuts, a common passage and a family without its base."""
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(900)]
+    words = lambda k: rng.choices(vocabulary, k=k)
+    passage, data = words(45), []
+
+    def edited(base, k):
+        out = list(base)
+        for _ in range(k):
+            at = rng.randrange(len(out))
+            out[at : at + rng.choice([0, 1, 1, 1, 2])] = words(rng.choice([0, 1, 1, 1]))
+        return out
+
+    for _ in range(5):
+        base = words(rng.choice([40, 60, 90]))
+        family = [base] if rng.random() < 0.6 else []
+        for _ in range(14):
+            family.append(edited(rng.choice([base, *family]), rng.randint(0, 4)))
+        family += [base[: rng.randint(len(base) // 2, len(base))] for _ in range(4)]
+        data += family
+    data += [[*words(rng.randint(4, 30)), *passage, *words(rng.randint(0, 12))] for _ in range(25)]
+    rng.shuffle(data)
+    data = [(k, " ".join(t), *[None] * 8) for k, t in enumerate(data)]
+    got = {r["doc_id"]: r["component_id"] for r in j.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
+    want = slow_components(data)
+    assert got == want and 20 < len(set(want.values())) < len(data) - 20
+
+
 def test_near_duplicates_at_the_threshold(spark, empty):
     base = [f"w{i}" for i in range(68)]  # 64 shingles
     far, near = list(base), list(base)
