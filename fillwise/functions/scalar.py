@@ -83,6 +83,11 @@ def station_of_sampling_point(c: Column | str, pollutant: str = POLLUTANT, count
     return F.nullif(F.regexp_extract(col(c), rf"SPO-({country}\w+?)_{pollutant}", 1), F.lit(""))
 
 
+def registry_code(c: Column | str, pollutant: str = POLLUTANT, length: int = 7) -> Column:
+    """The characters behind ``SPO-`` of sampling points of one pollutant, null for others: the key of the registry set."""
+    return F.when(F.contains(col(c), F.lit(f"_{pollutant}_")) & F.contains(col(c), F.lit("SPO-")), F.substring(F.split_part(col(c), F.lit("SPO-"), F.lit(2)), 1, length))
+
+
 def clean_name(c: Column | str) -> Column:
     """Comma parts with single spaces, without blank parts and the mobile mark; the first part loses one period at its end."""
     parts = F.transform(F.split(col(c), ","), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))

@@ -171,6 +171,18 @@ SELECT eoi, 'missing' AS state FROM (SELECT DISTINCT eoi FROM fx_obs_current EXC
 UNION ALL SELECT eoi, 'extra' FROM (SELECT DISTINCT eoi FROM v EXCEPT SELECT eoi FROM fx_obs_current)"""))
 
 
+def registry_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered stations of the pollutant by their sampling points, with the area and source type that the metadata has."""
+    points = fixture(spark, sf_dir, "fx_obs_raw").select(X.registry_code("samplingpoint").alias("code")).where("code IS NOT NULL").distinct()
+    meta = fixture(spark, sf_dir, "fx_station").select(F.concat(F.lit(" "), "eoi").alias("EOI"), "typ_oblasti", "typ_zdroja")
+    return tables.with_metadata(points, meta, "code", "EOI", ("typ_oblasti", "typ_zdroja"))
+
+
+register("registry_stations", registry_stations, with_fixtures("fx_obs_raw fx_station", """
+SELECT DISTINCT left(split_part(samplingpoint, 'SPO-', 2), 7) AS code, typ_oblasti, typ_zdroja
+FROM fx_obs_raw JOIN fx_station ON left(split_part(samplingpoint, 'SPO-', 2), 7) = eoi WHERE contains(samplingpoint, '_05029_')"""))
+
+
 def upserted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A series with its even days of 1997 on delivered again, changed: the newest rows win."""
     s = fixture(spark, sf_dir, "fx_series").select("station_id", "datum", "bap")

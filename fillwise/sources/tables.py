@@ -28,6 +28,17 @@ def read_stations_meta(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATION_META).option("header", True).option("sep", ";").csv(path).withColumn("EOI", F.trim("EOI"))
 
 
+def with_metadata(stations: DataFrame, meta: DataFrame, key: str = "eoi", meta_key: str = "EOI", columns: tuple[str, ...] = ("II",)) -> DataFrame:
+    """The stations that the metadata has, with its columns; the keys have different names and are trimmed."""
+    rows = meta.select(F.trim(meta_key).alias("__key"), *columns)
+    return stations.join(rows, F.trim(key) == F.col("__key")).drop("__key")
+
+
+def clean_columns(df: DataFrame) -> DataFrame:
+    """Column names without backslashes, as some exports have them."""
+    return df.toDF(*[c.replace("\\", "") for c in df.columns])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return nan_to_null(spark.read.schema(schema).option("header", True).option("nanValue", "NaN").csv(path))
 

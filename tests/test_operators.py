@@ -200,3 +200,9 @@ def test_nearest_point_on_a_sparse_map(spark):
     for (x, y), d in got.items():
         assert d == pytest.approx(min(np.hypot(2000 * x - a, 2000 * y - b) for a, b in points if a is not None) / 1000)
     assert len(got) == 40 and grid.nearest_distance(cells, spark.createDataFrame([], "px double, py double"), "px", "py").count() == 0
+
+
+def test_names_of_columns_and_registry_codes(spark):
+    assert tables.clean_columns(spark.createDataFrame([(1, 2)], ["\\2t", "hpbl"])).columns == ["2t", "hpbl"]
+    df = spark.createDataFrame([("SK/SPO-SK0004R_05029_100",), ("SPO-SK0004R_00005_100",), ("x_05029_",), (None,)], "p string")
+    assert [r[0] for r in df.select(X.registry_code("p")).collect()] == ["SK0004R", None, None, None]
