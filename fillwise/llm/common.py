@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +53,31 @@ def texts_of(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts its lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_open_scopes: list[list[str]] = []
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` returns, as a table; the scratch tables that it wrote on the way are deleted when that is complete."""
+    _open_scopes.append([])
+    path = scratch_path(spark, name)
+    try:
+        out = build()
+        out.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    finally:
+        for used in _open_scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(used)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if _open_scopes:
+        _open_scopes[-1].append(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
     """The names, with underscores in front of those that ``columns`` already has (as Spark compares them)."""
     taken = {c.lower() for c in columns}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import FOLDED_CODES, KeyFilter, components, mixed, texts_of, word_hashes, written
+from fillwise.llm.common import FOLDED_CODES, KeyFilter, components, mixed, settled, texts_of, word_hashes, written
 
 #: Tokens that are known as frequent: at most so many, each in so many documents among so many tokens. They only affect the order.
 MAX_FREQUENT, BATCH_MIN, BATCH_TOKENS = 100_000, 2, 2_000_000
@@ -265,8 +265,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts and texts without words have no shingles and link with nothing, not even with each other.
     Rows repeated with one id are one document that has the links of all of them. Rows with a null id are left alone:
     their component is null. Very long texts are hashed in blocks and compared whole. An empty table gives an empty
-    result. Other columns are ignored.
+    result. Other columns are ignored. The result is a table; all tables on the way are deleted.
     """
+    return settled(docs.sparkSession, lambda: _near_duplicates(docs, id_col, text_col), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = texts_of(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = _sets(texts, _frequent(texts))
     usable = sets.where("n > 0 AND id IS NOT NULL")
