@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fillwise.llm.op1_quality import OP1_SQL, op1_quality
 from fillwise.llm.op10_licenses import op10_licenses
+from fillwise.llm.op13_divergence import OP13_SQL, op13_divergence
 from fillwise.llm.op2_jaccard import OP2_SQL, op2_jaccard
 from fillwise.llm.op3_warc import OP3_SQL, op3_warc
 from fillwise.llm.op4_exact_dedup import OP4_SQL, op4_exact_dedup
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring": op8_substring,
         "op9_packing": op9_packing,
         "op10_licenses": op10_licenses,
+        "op13_divergence": op13_divergence,
     }
 
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": OP3_SQL,
         "op4_exact_dedup": OP4_SQL,
         "op8_substring": OP8_SQL,
+        "op13_divergence": OP13_SQL,
     }
