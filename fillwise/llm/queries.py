@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fillwise.llm.op1_quality import OP1_SQL, op1_quality
 from fillwise.llm.op10_licenses import op10_licenses
+from fillwise.llm.op11_secrets import op11_secrets
 from fillwise.llm.op12_whitening import op12_whitening
 from fillwise.llm.op13_divergence import OP13_SQL, op13_divergence
 from fillwise.llm.op2_jaccard import OP2_SQL, op2_jaccard
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring": op8_substring,
         "op9_packing": op9_packing,
         "op10_licenses": op10_licenses,
+        "op11_secrets": op11_secrets,
         "op12_whitening": op12_whitening,
         "op13_divergence": op13_divergence,
     }
