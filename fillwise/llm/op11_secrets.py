@@ -1,8 +1,8 @@
 """Secrets by assignment-aware lexing: which literals reach names that call for a secret.
 
 Three patterns find the plain cases (the base kinds). For the others a text is lexed as source or configuration: names,
-quoted literals, operators. Every assignment, key of a mapping, keyword, subscript, setter, flag, element and name-value
-entry gives a target name and an expression of literals and earlier names. Sensitivity flows back from targets through the
+quoted literals, operators. Every assignment, key of a mapping, keyword, subscript, setter, flag, element, name-value
+entry and connection string gives a target name and an expression of literals and earlier names. Sensitivity flows back from targets through the
 constants that they are made of; a literal that a sensitive name gets is scored by that name and by its own randomness.
 """
 
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +51,7 @@ PHRASES = {"passphrase", "mnemonic"}
 THRESHOLD, QUOTED_BITS, BARE_BITS, MIN_LITERAL = 0.5, 24.0, 40.0, 6
 
 PLACEHOLDER = re.compile(
-    r"""(?ix) x{3,} | \*+ | \.+ | -+ | <.*> | \[.*\] | \(.*\) | .*\$[({\w].* | .*%[(\w].* | .*\{.*\}.* | (your|my|the|some|insert|enter|put|add)[-_.\s].* | .*(change|replace|fill|update)[-_]?(me|this|it|in).*
+    r"""(?ix) x{3,} | \*+ | \.+ | -+ | <.*> | \[.*\] | \(.*\) | .*\$[({].* | \$\w+ | %\w+%? | .*%\(.* | .*\{.*\}.* | (your|my|the|some|insert|enter|put|add)[-_.\s].* | .*(change|replace|fill|update)[-_]?(me|this|it|in).*
     | .*(example|placeholder|redacted|sample|dummy|todo|fixme|tbd).* | (none|null|nil|true|false|undefined|default|password|passwd|secret|token|test|testing|string|str|optional|required|unknown|empty)[\d_]*
     | [a-z][a-z0-9+.-]*://[^@]* | [./~]?(/[\w.-]+)+/? | [\w-]+(\.[\w-]+)*\.(json|ya?ml|txt|pem|key|crt|env|ini|toml|conf|cfg|py|js|ts|java|html?|com|org|net|io) | [\w.+-]+@[\w-]+(\.[\w-]+)+ """
 )
@@ -62,23 +63,16 @@ LEX = re.compile(
     | (?P<other>[=!<>]==?|[-+*/%&|^]\x20?=(?==)|--+) | (?P<assign>:=|=>|\?=|\|\|=|\+=|=|:(?!:|//)) | (?P<dot>\.(?!\.)|::|->) | (?P<join>\+|\.\.|&|\|\|)
     | (?P<open>[(\[]) | (?P<close>[)\]]) | (?P<comma>,) | (?P<line>\n) | (?P<end>[;{}<>\#|]|//) | (?P<rest>[^\s]) """
 )
+SINGLE, DOUBLE = (re.compile(rf"(?:[^\\\n{q}]|\\.)*+") for q in "'\"")
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
 ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)[^<>]*>([^<>\s]+)</")
+INSIDE = re.compile(r"([A-Za-z_][\w-]*)=([^\s;&\"'`<>,]+)")
 FLAG = re.compile(r"--([A-Za-z][\w-]*)(?:\x20+|=)([\"']?)([^\s\"'`,;<>-][^\s\"'`,;<>]*)")
 GETTERS = {"getenv", "get", "env", "config", "getproperty", "environ", "getorelse", "getordefault", "option", "lookup"}
 WRAPPERS = {"str", "string", "bytes", "secret", "secretstr", "b64decode", "decode", "encode", "quote", "unquote", "atob", "btoa", "of", "from"}
 SETTERS = {"set", "put", "add", "setproperty", "setenv", "header", "setheader", "addheader", "append", "setitem", "define"}
 
 
-@dataclass
-class Token:
-    kind: str
-    start: int
-    end: int
-    #: What a string holds: the text between its quotes.
-    inner: tuple[int, int] | None = None
-
-
 @dataclass
 class Pair:
     """What a target gets: literals (start, end, quoted), the earlier pairs that it names, and how sensitive it is."""
@@ -89,45 +83,48 @@ class Pair:
     refs: list[int] = field(default_factory=list)
 
 
-def lex(text: str) -> list[Token]:
-    """Tokens in one pass. A quote after a letter, or without a partner in its line, is no quote; the line keeps none of its sort then."""
-    out: list[Token] = []
+#: Tokens that do not exist stand before the first and behind the last one, as far as the parser looks.
+MARGIN = 6
+
+
+def lex(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """(kinds, places) of the tokens, in one pass; a string's place is what its quotes hold.
+
+    A quote after a letter, or without a partner in its line, is no quote; the line keeps none of its sort then.
+    """
+    kinds, places = [""] * MARGIN, [(0, 0)] * MARGIN
     at, n, closed = 0, len(text), {}
     while m := LEX.search(text, at):
         kind, start = m.lastgroup, m.start()
         at = m.end()
         if kind in ("quote", "long"):
             mark = m.group()
-            if kind == "quote" and start and text[start - 1].isalnum() and not (out and out[-1].kind == "word" and out[-1].end == start and start - out[-1].start <= 2):
-                continue
-            if start < closed.get(mark, 0):
+            prefixed = kinds[-1] == "word" and places[-1][1] == start and start - places[-1][0] <= 2
+            if start < closed.get(mark, 0) or kind == "quote" and start and text[start - 1].isalnum() and not prefixed:
                 continue
             end = _closing(text, mark, at, n)
             if end < 0:
                 stop = text.find("\n", at)
                 closed[mark] = n if kind == "long" or stop < 0 else stop
                 continue
-            out.append(Token("string", start, end + len(mark), (at, end)))
+            kinds.append("string")
+            places.append((at, end))
             at = end + len(mark)
         elif kind != "rest":
-            out.append(Token(kind, start, at))
-    return out
+            kinds.append(kind)
+            places.append((start, at))
+    return kinds + [""] * MARGIN, places + [(n, n)] * MARGIN
 
 
 def _closing(text: str, mark: str, at: int, n: int) -> int:
     """Where the string that begins at ``at`` ends, or -1."""
     if len(mark) == 3 or mark == "`":
         return text.find(mark, at)
-    while at < n:
-        c = text[at]
-        if c == mark:
-            return at
-        if c == "\n":
-            return -1
-        at += 2 if c == "\\" else 1
-    return -1
+    m = (SINGLE if mark == "'" else DOUBLE).match(text, at)
+    return m.end() if m.end() < n and text[m.end()] == mark else -1
 
 
+@lru_cache(maxsize=1 << 14)
 def name_weight(name: str) -> float:
     """How much a name calls for a secret, 0 to 1."""
     words = [w.lower() for w in WORDS.findall(name)]
@@ -164,136 +161,147 @@ class Parser:
     """Pairs of a lexed text, in its order."""
 
     def __init__(self, text: str):
-        self.text, self.tokens, self.pairs, self.known = text, lex(text), [], {}
-
-    def kind(self, i: int) -> str:
-        return self.tokens[i].kind if 0 <= i < len(self.tokens) else ""
+        self.text, (self.kinds, self.places) = text, lex(text)
+        self.pairs: list[Pair] = []
+        self.known: dict[str, int] = {}
 
     def value(self, i: int) -> str:
-        t = self.tokens[i]
-        return self.text[t.start : t.end] if t.inner is None else self.text[t.inner[0] : t.inner[1]]
+        start, end = self.places[i]
+        return self.text[start:end]
 
-    def add(self, name: str, literals, refs=(), weight: float | None = None, known: bool = True) -> int:
-        self.pairs.append(Pair(name, name_weight(name) if weight is None else weight, list(literals), list(refs)))
+    def add(self, name: str, literals: list, refs: Iterable[int] = (), weight: float | None = None, known: bool = True) -> int:
+        self.pairs.append(Pair(name, name_weight(name) if weight is None else weight, literals, list(refs)))
         if known:
             self.known[name] = len(self.pairs) - 1
         return len(self.pairs) - 1
 
     def literal(self, i: int) -> tuple[int, int, bool]:
-        return (*self.tokens[i].inner, True)
+        return (*self.places[i], True)
 
     def path_before(self, i: int) -> str:
         """The dotted name that ends at token i; what an object calls itself is left out."""
         first = i
-        while self.kind(first - 1) == "dot" and self.kind(first - 2) == "word":
+        while self.kinds[first - 1] == "dot" and self.kinds[first - 2] == "word":
             first -= 2
-        return re.sub(r"^(self|this)(\.|->)", "", "".join(self.value(k) for k in range(first, i + 1)))
+        if first < i and self.value(first) in ("self", "this"):
+            first += 2
+        return self.text[self.places[first][0] : self.places[i][1]]
 
     def target(self, op: int) -> str | None:
         """The name left of an assignment."""
-        before = self.kind(op - 1)
+        before = self.kinds[op - 1]
+        if before == "word":
+            return self.path_before(op - 1)
         if before == "string":
             return self.value(op - 1)
-        if before == "close" and self.kind(op - 2) in ("string", "word") and self.kind(op - 3) == "open":
+        if before == "close" and self.kinds[op - 2] in ("string", "word") and self.kinds[op - 3] == "open":
             return self.value(op - 2)
-        if before != "word":
-            return None
-        # a type between the name and the value: name: Type = value
-        if self.kind(op - 2) == "assign" and self.value(op - 2) == ":" and self.kind(op - 3) == "word" and self.value(op) == "=":
-            return self.path_before(op - 3)
-        return self.path_before(op - 1)
+        return None
 
     def operand(self, i: int, literals: list, refs: list, first: bool) -> int:
         """Takes one operand from token i on; the token behind it, or -1 where there is none."""
-        kind = self.kind(i)
-        if kind == "word" and self.kind(i + 1) == "string" and self.tokens[i].end == self.tokens[i + 1].start:
+        kind = self.kinds[i]
+        if kind == "word" and self.kinds[i + 1] == "string" and self.places[i][1] == self.places[i + 1][0] - 1:
             kind, i = "string", i + 1  # prefixes such as b"..."
         if kind == "string":
             literals.append(self.literal(i))
             return i + 1
         if kind == "word":
             last = i
-            while self.kind(last + 1) == "dot" and self.kind(last + 2) == "word":
+            while self.kinds[last + 1] == "dot" and self.kinds[last + 2] == "word":
                 last += 2
-            if self.kind(last + 1) == "open":
+            if self.kinds[last + 1] == "open":
                 return self.call(last, literals)
             name = self.path_before(last)
             if name in self.known:
                 refs.append(self.known[name])
                 return last + 1
-        if first and kind in ("word", "number", "rest", "other", "join", "dot", ""):
+        if first and kind not in ("line", "end", "comma", "open", "close"):
             return self.bare(i, literals)
         return -1
 
     def bare(self, i: int, literals: list) -> int:
         """An unquoted value of a configuration line."""
-        if i >= len(self.tokens) or not (m := BARE.match(self.text, self.tokens[i].start)):
+        m = BARE.match(self.text, self.places[i][0])
+        if not m:
             return -1
-        literals.append((m.start(), m.end(), False))
-        while i < len(self.tokens) and self.tokens[i].start < m.end():
+        literals.append((*m.span(), False))
+        while self.kinds[i] and self.places[i][0] < m.end():
             i += 1
         return i
 
     def call(self, name: int, literals: list) -> int:
         """wrapper("literal") and getter("NAME", "literal"); the token behind it, or -1."""
-        callee, a = self.value(name).lower(), name + 2
-        if self.kind(a) != "string":
+        callee, a, kinds = self.value(name).lower(), name + 2, self.kinds
+        if kinds[a] != "string":
             return -1
-        if self.kind(a + 1) == "close" and callee in WRAPPERS:
+        if kinds[a + 1] == "close" and callee in WRAPPERS:
             literals.append(self.literal(a))
             return a + 2
-        if callee in GETTERS and self.kind(a + 1) == "comma" and self.kind(a + 2) == "string" and self.kind(a + 3) == "close":
+        if callee in GETTERS and kinds[a + 1] == "comma" and kinds[a + 2] == "string" and kinds[a + 3] == "close":
             literals.append(self.literal(a + 2))
             self.add(self.value(a), [self.literal(a + 2)], known=False)
             return a + 4
         return -1
 
     def run(self) -> list[Pair]:
-        chained: list[tuple[str, float]] = []
-        entry = None
-        for i in range(len(self.tokens)):
-            kind = self.kind(i)
+        chained: list[str] = []
+        #: the last name that a key or name entry gave, and a name that waits for its value behind a type, with its depth
+        entry = typed = None
+        depth = 0
+        for i in range(MARGIN, len(self.kinds) - MARGIN):
+            kind = self.kinds[i]
             if kind == "open":
+                depth += 1
                 self.arguments(i)
-            if kind != "assign" or not (name := self.target(i)):
+            elif kind == "close":
+                depth -= 1
+            if typed and (kind in ("line", "end") or kind == "comma" and depth <= typed[1]):
+                typed = None
+            if kind != "assign" or not (name := self.target(i) or (typed and typed[0])):
                 continue
-            if self.kind(i + 1) == "word" and self.kind(i + 2) == "assign" and self.value(i) == self.value(i + 2) == "=":
-                chained.append((name, name_weight(name)))  # a = b = value
+            sign = self.value(i)
+            if sign == "=" and self.kinds[i + 1] == "word" and self.kinds[i + 2] == "assign" and self.value(i + 2) == "=":
+                chained.append(name)  # a = b = value
                 continue
             literals, refs = [], []
             at = self.operand(i + 1, literals, refs, True)
-            while at > 0 and self.kind(at) in ("join", "dot", "string"):
-                step = at if self.kind(at) == "string" else at + 1
-                while self.kind(step) == "line":
+            while at > 0 and self.kinds[at] in ("join", "dot", "string"):
+                step = at if self.kinds[at] == "string" else at + 1
+                while self.kinds[step] == "line":
                     step += 1
                 at = self.operand(step, literals, refs, False)
+            others = [*chained, *([typed[0]] if typed and sign == "=" else [])]
             # key = "NAME" value = "literal", name: NAME and value: literal
             last = name.rpartition(".")[2].lower()
-            weight = max([name_weight(name), *(w for _, w in chained)])
             if last == "value" and entry:
-                weight = max(weight, name_weight(entry))
+                others.append(entry)
             entry = self.text[literals[0][0] : literals[0][1]] if last in ("key", "name") and len(literals) == 1 else None
-            if self.value(i) == "+=" and name in self.known:
+            if sign == "+=" and name in self.known:
                 refs.append(self.known[name])
-            pair = self.add(name, literals, refs, weight)
-            self.known.update((other, pair) for other, _ in chained)
+            pair = self.add(max([name, *others], key=name_weight), literals, refs)
+            self.known.update((other, pair) for other in (name, *others))
             chained = []
+            typed = (name, depth) if sign == ":" else None
         for m in ELEMENT.finditer(self.text):
             self.add(m[1], [(*m.span(2), False)], known=False)
         for m in FLAG.finditer(self.text):
             self.add(m[1], [(*m.span(3), bool(m[2]))], known=False)
+        for kind, (start, end) in zip(self.kinds, self.places, strict=True):
+            if kind == "string" and end - start > 8 and STEM.search(self.text, start, end):
+                for m in INSIDE.finditer(self.text, start, end):
+                    self.add(m[1], [(*m.span(2), False)], known=False)
         return self.pairs
 
     def arguments(self, i: int) -> None:
-        """setSecret("literal"), secret("literal") and set("secret", "literal")."""
-        if self.kind(i - 1) != "word" or self.kind(i + 1) != "string":
+        """setSecret("literal"), .secret("literal") and set("secret", "literal")."""
+        kinds = self.kinds
+        if kinds[i - 1] != "word" or kinds[i + 1] != "string":
             return
         callee = self.value(i - 1)
-        if self.kind(i + 2) == "close" and callee.lower() not in GETTERS | WRAPPERS:
-            head = WORDS.findall(callee)
-            if self.kind(i - 2) == "dot" or head and head[0].lower() in ("set", "with"):
-                self.add(callee, [self.literal(i + 1)], known=False)
-        if callee.lower() in SETTERS and self.kind(i + 2) == "comma" and self.kind(i + 3) == "string":
+        if kinds[i + 2] == "close" and callee.lower() not in GETTERS | WRAPPERS and (kinds[i - 2] == "dot" or callee.startswith(("set", "with"))):
+            self.add(callee, [self.literal(i + 1)], known=False)
+        if callee.lower() in SETTERS and kinds[i + 2] == "comma" and kinds[i + 3] == "string":
             self.add(self.value(i + 1), [self.literal(i + 3)], known=False)
 
 
