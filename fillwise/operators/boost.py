@@ -1,10 +1,20 @@
-"""Boosted trees: MLlib's learner, and a histogram learner for all folds with monotone directions on DataFrame aggregates."""
+"""Boosted trees: MLlib's learner, and a histogram learner for all folds with monotone directions.
+
+The histogram learner reads a table of binned rows once for each level of a tree. A task adds up its rows' gradients by
+(model, node, feature, bin) for every model that trains on them; Spark adds up what the tasks found, and the driver, to
+which only these sums come, chooses the splits of all models together. A row is read once for all models.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import product
+from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,22 +56,55 @@ def importances(model, features: list[str]) -> dict[str, float]:
 
 @dataclass
 class MonotoneModel:
-    """Trees as (feature, bin, missing goes left, value) by node; leaves have feature -1."""
+    """Trees as (feature, bin, missing goes left, value) by node; leaves have feature -1. ``covers`` has the weight of each node's rows.
+
+    ``gains`` and ``splits`` have the sum of the gains and the number of the splits of each feature that any split uses.
+    """
 
     features: list[str]
     edges: list[list[float]]
     base: float
     rate: float
     trees: list[dict[int, tuple[int, int, bool, float]]] = field(default_factory=list)
+    covers: list[dict[int, float]] = field(default_factory=list)
     gains: dict[str, float] = field(default_factory=dict)
+    splits: dict[str, int] = field(default_factory=dict)
 
     def bins(self) -> list[Column]:
         return bin_columns(self.features, self.edges)
 
     def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
-        out = df.select("*", *self.bins())
-        total = sum((_tree_column(t) * self.rate for t in self.trees), F.lit(self.base))
-        return out.withColumn(name, X.expm1_clipped(total)).drop(*[f"__b{i}" for i in range(len(self.features))])
+        return df.withColumn(name, _back(_margins([self])(_bins(self), F.lit(0))))
+
+    def expected(self) -> float:
+        """The mean margin of the training rows: what the contributions of a row are added to."""
+        return self.base + self.rate * sum(_mean(t, c, 1) for t, c in zip(self.trees, self.covers, strict=True))
+
+    def contributions(self, df: DataFrame, name: str = "contributions") -> DataFrame:
+        """Adds an array with the Shapley value of each feature: with ``expected`` they add up to the row's margin, ln(1 + prediction).
+
+        The game is that of the trees: where a split's feature is not known, a row goes both ways by the covers. A leaf asks
+        for the features on its path only, so a table of its values for every pattern of fulfilled conditions is made once,
+        and a row looks up the pattern that it has.
+        """
+        leaves = [leaf for t, c in zip(self.trees, self.covers, strict=True) for leaf in _leaf_tables(t, c, self.rate)]
+        width = len(self.features)
+
+        @F.arrow_udf("array<double>")
+        def shapley(bins: pa.Array) -> pa.Array:
+            b = bins.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            out = np.zeros((len(b), width))
+            for asked, table in leaves:
+                pattern = np.zeros(len(b), np.int64)
+                for k, (f, tests) in enumerate(asked):
+                    fits = np.ones(len(b), bool)
+                    for cut, missing_left, left in tests:
+                        fits &= np.where(b[:, f] < 0, missing_left, b[:, f] <= cut) == left
+                    pattern += fits << k
+                out[:, [f for f, _ in asked]] += table[pattern]
+            return pa.ListArray.from_arrays(np.arange(0, out.size + 1, max(width, 1), dtype=np.int32), out.reshape(-1))
+
+        return df.withColumn(name, shapley(_bins(self)))
 
 
 def bin_columns(features: list[str], edges: list[list[float]]) -> list[Column]:
@@ -72,135 +115,332 @@ def bin_columns(features: list[str], edges: list[list[float]]) -> list[Column]:
     ]
 
 
-def _tree_column(tree: dict, node: int = 1, leaf=lambda node, value: F.lit(value)) -> Column:
-    """What ``leaf`` makes of the leaf that a row falls into."""
-    f, b, missing_left, value = tree[node]
-    if f < 0:
-        return leaf(node, value)
-    at = F.col(f"__b{f}")
-    left = (at >= 0) & (at <= b) | ((at < 0) if missing_left else F.lit(False))
-    return F.when(left, _tree_column(tree, 2 * node, leaf)).otherwise(_tree_column(tree, 2 * node + 1, leaf))
-
-
-def _by_model(columns: list[Column]) -> Column:
-    """The column of the row's own model."""
-    out = F.when(F.col("__m") == 0, columns[0])
-    for k, column in enumerate(columns[1:], 1):
-        out = out.when(F.col("__m") == k, column)
-    return out
-
-
-def _best_split(hist: dict, n_bins: int, direction: int, bound: tuple[float, float], l2: float):
-    """(gain, bin, missing left, left value, right value) over one feature's histogram, values held within the bounds."""
-    g, h = (np.zeros(n_bins + 1) for _ in range(2))
-    for b, (x, y) in hist.items():
-        g[b + 1], h[b + 1] = x, y
-    total_g, total_h = g.sum(), h.sum()
-    best = None
-    cg, ch = np.cumsum(g[1:])[:-1], np.cumsum(h[1:])[:-1]
-    for missing_left in (True, False):
-        lg, lh = cg + g[0] * missing_left, ch + h[0] * missing_left
-        rg, rh = total_g - lg, total_h - lh
-        ok = (lh > 1e-6) & (rh > 1e-6)
-        lv, rv = np.clip(lg / (lh + l2), *bound), np.clip(rg / (rh + l2), *bound)
-        if direction:
-            ok &= (rv - lv) * direction >= 0
-        value = lambda v, a, b: 2 * v * a - v * v * (b + l2)
-        root = np.clip(total_g / (total_h + l2), *bound)
-        gain = np.where(ok, value(lv, lg, lh) + value(rv, rg, rh) - value(root, total_g, total_h), -np.inf)
-        if len(gain) and gain.max() > 1e-9 and (best is None or gain.max() > best[0]):
-            k = int(gain.argmax())
-            best = (float(gain[k]), k, missing_left, float(lv[k]), float(rv[k]))
-    return best
-
-
-#: Most models that are fitted at once, and trees between two writings of the margins.
+def _bins(model: MonotoneModel) -> Column:
+    return F.array(*[c.cast("short") for c in model.bins()])
+
+
+def _mean(tree: dict, cover: dict, node: int) -> float:
+    """Mean value of the leaves under a node, by their covers."""
+    if tree[node][0] < 0:
+        return tree[node][3]
+    a, b = cover[2 * node], cover[2 * node + 1]
+    return (a * _mean(tree, cover, 2 * node) + b * _mean(tree, cover, 2 * node + 1)) / (a + b)
+
+
+def _leaf_tables(tree: dict, cover: dict, rate: float):
+    """For each leaf but a lone root: [(feature, [(cut, missing left, goes left)])] of its path, and its Shapley values by pattern.
+
+    Bit k of a pattern says that a row fulfils what the path asks of the k-th feature.
+    """
+    for node in (n for n, t in tree.items() if t[0] < 0 and n > 1):
+        tests: dict = {}
+        share: dict = {}
+        at = node
+        while at > 1:
+            f, cut, missing_left, _ = tree[at // 2]
+            tests.setdefault(f, []).append((cut, missing_left, at % 2 == 0))
+            share[f] = share.get(f, 1.0) * cover[at] / (cover[at - at % 2] + cover[at - at % 2 + 1])
+            at //= 2
+        d, shares = len(tests), list(share.values())
+        subsets = list(product((0, 1), repeat=d))  # by bits, the first feature last
+        number = [sum(bit << k for k, bit in enumerate(s)) for s in subsets]
+        others = np.array([np.prod([q for q, bit in zip(shares, s, strict=True) if not bit]) for s in subsets])
+        fulfilled = np.array([[all(p >= q for p, q in zip(pattern, s, strict=True)) for s in subsets] for pattern in subsets])
+        weight = np.array([[(1 if s[k] else -1) / (d * comb(d - 1, sum(s) - s[k])) for k in range(d)] for s in subsets])
+        table = np.zeros((1 << d, d))
+        table[number] = rate * tree[node][3] * ((fulfilled * others) @ weight)
+        yield list(tests.items()), table
+
+
+@dataclass
+class Packed:
+    """Trees of some models as arrays (model, tree, node)."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    missing: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, trees: list[list[dict]]) -> Packed:
+        size = 1 + max((n for model in trees for t in model for n in t), default=1)
+        shape = (len(trees), max((len(m) for m in trees), default=0), size)
+        out = cls(np.full(shape, -1, np.int16), np.zeros(shape, np.int16), np.zeros(shape, bool), np.zeros(shape))
+        for m, model in enumerate(trees):
+            for t, tree in enumerate(model):
+                nodes = list(tree)
+                f, cut, missing, value = zip(*tree.values(), strict=True)
+                out.feature[m, t, nodes], out.cut[m, t, nodes], out.missing[m, t, nodes], out.value[m, t, nodes] = f, cut, missing, value
+        return out
+
+    def leaf(self, bins: np.ndarray, model, tree: int) -> np.ndarray:
+        """The leaf of each row, by one model or by each row's own."""
+        at = np.arange(len(bins))
+        node = np.ones(len(bins), np.int64)
+        flat, width = bins.reshape(-1), bins.shape[1]
+        while True:
+            f = self.feature[model, tree, node]
+            if not (inner := f >= 0).any():
+                return node
+            b = flat[at * width + np.maximum(f, 0)]
+            left = np.where(b < 0, self.missing[model, tree, node], b <= self.cut[model, tree, node])
+            node = np.where(inner, 2 * node + ~left, node)
+
+
+def _margins(models: list[MonotoneModel]):
+    """A function of (bins, number of the model) columns: the margin by the row's own model, null without one."""
+    packed, base, rate = Packed.of([m.trees for m in models]), np.array([m.base for m in models]), models[0].rate
+    width = len(models[0].features)
+
+    @F.arrow_udf("double")
+    def margin(bins: pa.Array, number: pa.Array) -> pa.Array:
+        b = bins.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        own = number.fill_null(-1).to_numpy(zero_copy_only=False)
+        m = np.maximum(own, 0)
+        out = base[m]
+        for t in range(packed.feature.shape[1]):
+            out = out + rate * packed.value[m, t, packed.leaf(b, m, t)]
+        return pa.array(out, mask=own < 0)
+
+    return margin
+
+
+def _back(margin: Column) -> Column:
+    return F.when(margin.isNotNull(), X.expm1_clipped(margin))
+
+
+#: Gradients are whole numbers of 1 / UNIT, so that their sums do not depend on the order, and siblings' sums subtract exactly.
+UNIT = float(1 << 26)
+#: Sums of a pass that come to the driver (models x nodes x features x bins): models are fitted in groups that keep below.
+MAX_SUMS = 500_000
+#: Models of a group whose margins are stored with the rows, and trees between two storings.
 MAX_MODELS, STORE_EACH = 128, 5
 
 
-def fit_folds(
-    df: DataFrame, features: list[str], fold: str | None = None, y: str = "bap", directions: dict[str, int] | None = None, trees: int = 10,
-    depth: int = 3, rate: float = 0.3, n_bins: int = 16, l2: float = 1.2, offset: float | None = X.WEIGHT_OFFSET,
-) -> dict:
-    """{fold: MonotoneModel} of the models that leave each fold out, all grown together; without ``fold`` {None: model}.
-
-    Boosted trees on ln(1 + y) whose predictions keep the given directions. Features are cut at quantiles of all rows.
-    Each level of a tree is one aggregation of gradients by (model, node, feature, bin): the model is one more key of the
-    histogram, which a row reaches once for each model that trains on it. Only histograms, whose size does not depend on
-    the rows, come to the driver, where splits are chosen. A split on a directed feature bounds its children at the
-    middle of their values. A row's margin is a column, so that work grows in proportion to the trees. At most
-    MAX_MODELS folds; without rows there is no model.
+@dataclass
+class Binned:
+    """Training rows (own, y, w, b) as a stored table: the number of the row's fold, the target, the weight, the bins of the features.
+
+    ``bases`` has the mean of the target outside each fold; without folds, that of all rows under None.
     """
-    directions = {c: d for c, d in (DIRECTIONS if directions is None else directions).items() if c in features}
+
+    rows: DataFrame
+    features: list[str]
+    edges: list[list[float]]
+    bases: dict
+
+
+def binned(df: DataFrame, features: list[str], fold: str | None = None, y: str = "bap", n_bins: int = 16, offset: float | None = X.WEIGHT_OFFSET) -> Binned:
+    """Rows with a target, ready for models on any of the features. Features are cut at quantiles of all rows."""
     rows = df.where(F.col(y).isNotNull()).withColumns({"__y": F.log1p(y), "__w": X.sample_weight(y, offset)})
     rows = rows.withColumn("__fold", F.col(fold) if fold else F.lit(None).cast("int"))
+    rows = stored(rows.select("__fold", "__y", "__w", *[F.col(c).cast("double").alias(c) for c in features]), "training")
     cuts = [i / n_bins for i in range(1, n_bins)]
-    got = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts, 10_000).alias(c) for c in features]).first()
+    got = rows.agg(*[F.percentile_approx(c, cuts, 10_000).alias(c) for c in features]).first()
     edges = [sorted(set(got[c] or [])) for c in features]
-    sums = rows.groupBy("__fold").agg(F.sum(F.col("__w") * F.col("__y")).alias("wy"), F.sum("__w").alias("w")).limit(MAX_MODELS + 1).collect()
+    unit = lambda c: F.sum(F.round(c * UNIT).cast("long"))
+    sums = rows.groupBy("__fold").agg(unit(F.col("__w") * F.col("__y")).alias("wy"), unit(F.col("__w")).alias("w")).collect()
     sums.sort(key=lambda r: (r["__fold"] is not None, r["__fold"]))
-    if len(sums) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} folds: group them first")
-    whole = [sum(r["wy"] for r in sums), sum(r["w"] for r in sums)]
-    models: dict = {}
+    whole, bases = [sum(r["wy"] for r in sums), sum(r["w"] for r in sums)], {}
     for r in sums:
+        if fold and r["__fold"] is None:
+            continue
         left = (whole[0] - r["wy"], whole[1] - r["w"]) if fold else whole
         if left[1] > 0:
-            models[r["__fold"]] = MonotoneModel(features, edges, float(left[0] / left[1]), rate)
-    if not models:
-        return {}
-    keys = list(models)
-    number = F.create_map(*[F.lit(x) for k, key in enumerate(keys) for x in (key, k)])[F.col("__fold")] if fold else F.lit(-1)
-    bins = [f"__b{i}" for i in range(len(features))]
-    rows = rows.select("__y", "__w", number.alias("__own"), *bin_columns(features, edges))
-    rows = stored(rows, "binned").withColumn("__m", F.explode(F.array(*[F.lit(k) for k in range(len(keys))]))).where(F.col("__own").isNull() | (F.col("__m") != F.col("__own")))
-    rows = rows.withColumn("__p", _by_model([F.lit(m.base) for m in models.values()]))
-    for t in range(1, trees + 1):
-        grown = _grow(rows, models, features, directions, depth, l2)
-        for key, tree in grown.items():
-            models[key].trees.append(tree)
-        rows = rows.withColumn("__p", F.col("__p") + rate * _by_model([_tree_column(tree) for tree in grown.values()]))
-        if t % STORE_EACH == 0 and t < trees:
-            rows = stored(rows, "margins")
+            bases[r["__fold"]] = float(left[0] / left[1])
+    rows = numbered(rows, "__fold", list(bases)) if fold and bases else rows.withColumn("__m", F.lit(-1))
+    bins = F.array(*[c.cast("short") for c in bin_columns(features, edges)])
+    rows = rows.select(F.coalesce("__m", F.lit(-1)).alias("own"), F.col("__y").alias("y"), F.col("__w").alias("w"), bins.alias("b"))
+    return Binned(stored(rows, "binned"), list(features), edges, bases)
+
+
+def fit_binned(
+    data: Binned, features: list[str] | None = None, directions: dict[str, int] | None = None, trees: int = 10, depth: int = 3, rate: float = 0.3,
+    l2: float = 1.2, l1: float = 0.0,
+) -> dict:
+    """{fold: MonotoneModel} of the models that leave each fold out, on some of the features; see fit_folds."""
+    features = data.features if features is None else features
+    directions = {c: d for c, d in (DIRECTIONS if directions is None else directions).items() if c in features}
+    columns = [data.features.index(c) for c in features]
+    edges = [data.edges[k] for k in columns]
+    models = {fold: MonotoneModel(features, edges, base, rate) for fold, base in data.bases.items()}
+    each = max(1, MAX_SUMS // (2 ** max(0, depth - 2) * len(features) * (2 + max(map(len, edges)))))
+    each = min(each, MAX_MODELS) if trees > STORE_EACH else each
+    numbers = list(enumerate(models.values()))
+    for lo in range(0, len(numbers), each):
+        _Group(data.rows, numbers[lo : lo + each], np.array(columns), np.array([directions.get(c, 0) for c in features]), depth, l1, l2).grow(trees)
     return models
 
 
-def _grow(rows: DataFrame, models: dict, features: list[str], directions: dict[str, int], depth: int, l2: float) -> dict:
-    """One tree for each model, level by level."""
-    bins = [f"__b{i}" for i in range(len(features))]
-    trees = {key: {1: (-1, 0, True, 0.0)} for key in models}
-    bounds = {key: {1: (-np.inf, np.inf)} for key in models}
-    for level in range(depth):
-        frontier = {key: [n for n in tree if n >= 2**level and tree[n][0] < 0 and n in bounds[key]] for key, tree in trees.items()}
-        if not any(frontier.values()):
-            break
-        node = _by_model([_tree_column(tree, leaf=lambda n, _: F.lit(n)) for tree in trees.values()])
-        grads = rows.select("__m", node.alias("node"), (F.col("__w") * (F.col("__y") - F.col("__p"))).alias("g"), F.col("__w").alias("h"), *bins)
-        long = grads.where(F.col("node") >= 2**level).select("__m", "node", "g", "h", F.posexplode(F.array(*bins)).alias("f", "b"))
-        hist: dict = {}
-        for r in long.groupBy("__m", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
-            hist.setdefault((r["__m"], r["node"], r["f"]), {})[r["b"]] = (r["g"], r["h"])
-        for k, (key, tree) in enumerate(trees.items()):
-            for n in frontier[key]:
-                options = []
-                for f, c in enumerate(features):
-                    n_cuts = len(models[key].edges[f])
-                    if (k, n, f) in hist and (s := _best_split(hist[k, n, f], n_cuts + 1, directions.get(c, 0), bounds[key][n], l2)):
-                        options.append((s, -f))
-                if not options:
-                    continue
-                (gain, b, missing_left, lv, rv), f = max(options, key=lambda x: (x[0][0], x[1]))
-                f = -f
-                gains = models[key].gains
-                gains[features[f]] = gains.get(features[f], 0.0) + gain
-                tree[n] = (f, b, missing_left, 0.0)
-                lo, hi = bounds[key].pop(n)
-                mid, d = (lv + rv) / 2, directions.get(features[f], 0)
-                for child, v in ((2 * n, lv), (2 * n + 1, rv)):
-                    tree[child] = (-1, 0, True, v)
-                bounds[key][2 * n] = (lo, mid) if d > 0 else (mid, hi) if d < 0 else (lo, hi)
-                bounds[key][2 * n + 1] = (mid, hi) if d > 0 else (lo, mid) if d < 0 else (lo, hi)
-    return trees
+def fit_folds(
+    df: DataFrame, features: list[str], fold: str | None = None, y: str = "bap", directions: dict[str, int] | None = None, trees: int = 10,
+    depth: int = 3, rate: float = 0.3, n_bins: int = 16, l2: float = 1.2, offset: float | None = X.WEIGHT_OFFSET, l1: float = 0.0,
+) -> dict:
+    """{fold: MonotoneModel} of the models that leave each fold out; without ``fold`` {None: model}.
+
+    Boosted trees on ln(1 + y) whose predictions keep the given directions. A split on a directed feature bounds its
+    children at the middle of their values. Any number of folds, each station alone too: they are fitted in groups whose
+    sums stay below MAX_SUMS. Of two siblings only the lighter is added up, the other is what their parent has more.
+    Margins are stored with the rows every STORE_EACH trees, so that work grows in proportion to the trees. Rows of a null
+    fold train all models; without rows there is no model.
+    """
+    return fit_binned(binned(df, features, fold, y, n_bins, offset), features, directions, trees, depth, rate, l2, l1)
+
+
+def numbered(df: DataFrame, fold: str, keys: list) -> DataFrame:
+    """Adds ``__m``, the place of the row's fold among the keys; null for other folds. There are as many keys as models on the driver."""
+    kind = df.schema[fold].dataType.simpleString()
+    table = df.sparkSession.createDataFrame([(key, k) for k, key in enumerate(keys)], f"__key {kind}, __m int")
+    return df.join(F.broadcast(table), F.col(fold) == F.col("__key"), "left").drop("__key")
+
+
+class _Group:
+    """Models that grow together over one table of binned rows (own, y, w, b)."""
+
+    def __init__(self, rows: DataFrame, models: list[tuple[int, MonotoneModel]], columns: np.ndarray, directions: np.ndarray, depth: int, l1: float, l2: float):
+        self.rows, self.numbers, self.models = rows, np.array([k for k, _ in models]), [m for _, m in models]
+        self.columns, self.directions, self.depth, self.l1, self.l2 = columns, directions, depth, l1, l2
+        self.features, self.cuts = self.models[0].features, np.array([len(e) for e in self.models[0].edges])
+        self.width = int(self.cuts.max()) + 2  # missing, and one bin more than cuts
+        self.stored = 0  # trees that the column p holds
+
+    def grow(self, trees: int) -> None:
+        for t in range(trees):
+            if t - self.stored == STORE_EACH:
+                self.rows, self.stored = stored(self.rows.mapInArrow(self._hold(), "own int, y double, w double, b array<short>, p array<double>"), "margins"), t
+            for m in self.models:
+                m.trees.append({1: (-1, 0, True, 0.0)})
+                m.covers.append({})
+            n = len(self.models)
+            low, high, alive = np.full((n, 1), -np.inf), np.full((n, 1), np.inf), np.ones((n, 1), bool)
+            sums = None
+            for level in range(self.depth):
+                sums = self._sums(level, alive, sums)
+                low, high, alive = self._split(level, sums, low, high, alive)
+                if not alive.any():
+                    break
+
+    def _reader(self):
+        """A function that gives (bins, y, w, own, function of a model for its margins) of a batch of rows."""
+        packed = Packed.of([m.trees[self.stored : len(m.trees)] for m in self.models])
+        base, rate, held, columns = np.array([m.base for m in self.models]), self.models[0].rate, self.stored, self.columns
+
+        def read(batch: pa.RecordBatch, trees: int):
+            own, y, w = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            bins = np.ascontiguousarray(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)[:, columns])
+            before = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1) if held else None
+
+            def margin(m: int) -> np.ndarray:
+                p = before[:, m] if held else np.full(len(y), base[m])
+                for t in range(trees):
+                    p = p + rate * packed.value[m, t, packed.leaf(bins, m, t)]
+                return p
+
+            return bins, y, w, own, margin
+
+        return packed, read
+
+    def _hold(self):
+        _, read = self._reader()
+        trees, n = len(self.models[0].trees) - self.stored, len(self.models)
+
+        def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, y, _, _, margin = read(batch, trees)
+                p = np.column_stack([margin(m) for m in range(n)])
+                p = pa.ListArray.from_arrays(np.arange(0, p.size + 1, n, dtype=np.int32), p.reshape(-1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], p], ["own", "y", "w", "b", "p"])
+
+        return hold
+
+    def _sums(self, level: int, alive: np.ndarray, parents: np.ndarray | None) -> np.ndarray:
+        """(models, nodes of the level, features, bins, 2): gradients and weights in whole numbers of 1 / UNIT."""
+        n, nodes = alive.shape
+        build = alive.copy()
+        if level:  # of siblings the lighter one
+            covers = np.array([[m.covers[-1].get(nodes + k, 0.0) for k in range(nodes)] for m in self.models])
+            left = covers[:, 0::2] <= covers[:, 1::2]
+            build[:, 0::2] &= left
+            build[:, 1::2] &= ~left
+        slot = np.full((n, nodes), -1)
+        slot[build] = np.arange(build.sum()) - np.repeat(np.concatenate([[0], np.cumsum(build.sum(axis=1))[:-1]]), build.sum(axis=1))
+        packed, read = self._reader()
+        trees, width, features, slots, numbers = len(self.models[0].trees) - self.stored - 1, self.width, len(self.features), int(slot.max()) + 1, self.numbers
+        shape = (n, slots, features, width)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, n, slots * features * width))
+            for batch in batches:
+                bins, y, w, own, margin = read(batch, trees)
+                place = bins + np.int64(1) + np.arange(features) * width
+                h = np.rint(w * UNIT)
+                for m in range(n):
+                    at = slot[m, packed.leaf(bins, m, trees) - nodes] if level else np.zeros(len(y), np.int64)
+                    use = np.flatnonzero((at >= 0) & (own != numbers[m]))
+                    if not len(use):
+                        continue
+                    g = np.rint(w[use] * (y[use] - margin(m)[use]) * UNIT)
+                    cell = (place[use] + (at[use] * (features * width))[:, None]).T
+                    for f in range(features):
+                        total[0, m] += np.bincount(cell[f], g, minlength=total.shape[2])
+                        total[1, m] += np.bincount(cell[f], h[use], minlength=total.shape[2])
+            g, h = total.reshape(2, -1)
+            cells = np.flatnonzero(h)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(g[cells].astype(np.int64)), pa.array(h[cells].astype(np.int64))], ["cell", "g", "h"])
+
+        got = self.rows.mapInArrow(add, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+        found = np.zeros((int(np.prod(shape)), 2), np.int64)
+        found[got["cell"].to_numpy()] = np.column_stack([got["g"].to_numpy(), got["h"].to_numpy()])
+        found = found.reshape(*shape, 2)
+        out = np.zeros((n, nodes, features, width, 2), np.int64)
+        m, node = np.nonzero(build)
+        out[m, node] = found[m, slot[m, node]]
+        if level:
+            m, node = np.nonzero(alive & ~build)
+            out[m, node] = parents[m, node // 2] - out[m, node ^ 1]
+        return out
+
+    def _split(self, level: int, sums: np.ndarray, low: np.ndarray, high: np.ndarray, alive: np.ndarray):
+        """Splits the nodes of a level; (lower bounds, upper bounds, whether there is such a node) of the next one."""
+        g, h = sums[..., 0] / UNIT, sums[..., 1] / UNIT
+        total_g, total_h = g[:, :, 0].sum(axis=-1), h[:, :, 0].sum(axis=-1)
+        lo, hi = low[..., None, None, None], high[..., None, None, None]
+        # (model, node, feature, missing left or not, cut)
+        side = np.array([1.0, 0.0])[:, None]
+        cg, ch = (np.cumsum(a[..., 1:], axis=-1)[..., None, :-1] + side * a[..., :1, None] for a in (g, h))
+        rg, rh = total_g[..., None, None, None] - cg, total_h[..., None, None, None] - ch
+        soft = lambda a: np.sign(a) * np.maximum(np.abs(a) - self.l1, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lv, rv = (np.clip(soft(a) / (b + self.l2), lo, hi) for a, b in ((cg, ch), (rg, rh)))
+            root = np.clip(soft(total_g) / (total_h + self.l2), low, high)
+        worth = lambda v, a, b: 2 * v * a - v * v * (b + self.l2) - 2 * self.l1 * np.abs(v)
+        gain = worth(lv, cg, ch) + worth(rv, rg, rh) - worth(root, total_g, total_h)[..., None, None, None]
+        ok = (ch > 1e-6) & (rh > 1e-6) & (np.arange(self.width - 2) < self.cuts[:, None, None]) & alive[..., None, None, None]
+        ok &= (rv - lv) * self.directions[:, None, None] >= 0
+        gain = np.where(ok, gain, -np.inf).reshape(*alive.shape, -1)
+        n, nodes = alive.shape
+        below = np.zeros((n, 2 * nodes), bool)
+        lows, highs = np.repeat(low, 2, axis=1), np.repeat(high, 2, axis=1)
+        if not gain.shape[-1]:
+            return lows, highs, below
+        best = gain.argmax(axis=-1)
+        for m, k in np.argwhere(np.take_along_axis(gain, best[..., None], -1)[..., 0] > 1e-9):
+            f, side_at, cut = np.unravel_index(best[m, k], ok.shape[2:])
+            at, model, node = (m, k, f, side_at, cut), self.models[m], nodes + int(k)
+            name, left, right = self.features[f], float(lv[at]), float(rv[at])
+            model.gains[name] = model.gains.get(name, 0.0) + float(gain[m, k, best[m, k]])
+            model.splits[name] = model.splits.get(name, 0) + 1
+            model.trees[-1][node] = (int(f), int(cut), not side_at, 0.0)
+            model.covers[-1][1] = model.covers[-1].get(1, float(total_h[m, k]))
+            for child, value, cover in ((2 * node, left, ch[at]), (2 * node + 1, right, rh[at])):
+                model.trees[-1][child], model.covers[-1][child] = (-1, 0, True, value), float(cover)
+            below[m, 2 * k : 2 * k + 2] = True
+            mid, d = (left + right) / 2, self.directions[f]
+            if d > 0:
+                highs[m, 2 * k], lows[m, 2 * k + 1] = mid, mid
+            elif d < 0:
+                lows[m, 2 * k], highs[m, 2 * k + 1] = mid, mid
+        return lows, highs, below
 
 
 def fit_monotone(df: DataFrame, features: list[str], **options) -> MonotoneModel:
@@ -208,15 +448,25 @@ def fit_monotone(df: DataFrame, features: list[str], **options) -> MonotoneModel
     return fit_folds(df, features, **options)[None]
 
 
+#: Nodes of the models that one expression predicts with; more models are dealt over several.
+MAX_NODES = 4_000_000
+
+
 def predict_folds(df: DataFrame, models: dict, fold: str, name: str = "pred") -> DataFrame:
     """Adds the prediction of each row by the model without its fold; null where there is none."""
     if not models:
         return df.withColumn(name, F.lit(None).cast("double"))
-    first = next(iter(models.values()))
-    columns = [sum((_tree_column(t) * m.rate for t in m.trees), F.lit(m.base)) for m in models.values()]
-    number = F.create_map(*[F.lit(x) for k, key in enumerate(models) for x in (key, k)])[F.col(fold)]
-    out = df.select("*", *first.bins()).withColumn("__m", number).withColumn(name, X.expm1_clipped(_by_model(columns)))
-    return out.drop("__m", *[f"__b{i}" for i in range(len(first.features))])
+    all_models = list(models.values())
+    nodes = sum(len(t) for t in all_models[0].trees) or 1
+    each = max(1, MAX_NODES // nodes)
+    out, bins, kept = numbered(df, fold, list(models)), _bins(all_models[0]), df.columns
+    if len(all_models) <= each:
+        return out.withColumn(name, _back(_margins(all_models)(bins, F.col("__m")))).select(*kept, name)
+    parts = [out.where(F.col("__m").isNull()).withColumn(name, F.lit(None).cast("double"))]
+    for lo in range(0, len(all_models), each):
+        some = out.where(F.col("__m").between(lo, lo + each - 1))
+        parts.append(some.withColumn(name, _back(_margins(all_models[lo : lo + each])(bins, F.col("__m") - lo))))
+    return reduce(DataFrame.unionByName, parts).select(*kept, name)
 
 
 def boosted_oof(df: DataFrame, features: list[str], fold: str, name: str = "boosted", **options) -> DataFrame:

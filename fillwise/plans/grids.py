@@ -138,7 +138,7 @@ def _directional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DIR = _DAILY + """, st AS (SELECT station_id, CAST(station_id * 4441 % 100000 AS DOUBLE) AS x, CAST(station_id * 2777 % 80000 AS DOUBLE) AS y FROM fx_station),
-pr AS (SELECT station_id, x - sx AS dx, y - sy AS dy, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS d, bap FROM st, fx_source),
+pr AS (SELECT station_id, x - sx AS dx, y - sy AS dy, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS d, bap FROM st, fx_source WHERE bap > 0),
 e AS (SELECT d.station_id, d.datum, sum(p.bap * exp(-p.d / 8e3) * greatest(0, wdir_sin * coalesce(p.dx / nullif(p.d, 0), 0) + wdir_cos * coalesce(p.dy / nullif(p.d, 0), 0))) AS e
   FROM d JOIN pr p ON d.station_id = p.station_id AND p.d < 4e4 GROUP BY 1, 2),
 r AS (SELECT d.station_id, d.datum, ln(1 + coalesce(e, 0)) AS wdir_emis_bap_log FROM d LEFT JOIN e ON d.station_id = e.station_id AND d.datum = e.datum)"""

@@ -1,6 +1,8 @@
 """Micro-fixtures whose answers follow from the formulas, and invariants."""
 
 import datetime as dt
+import itertools
+import math
 
 import numpy as np
 import pytest
@@ -181,8 +183,81 @@ def test_out_of_fold_boosting_keeps_directions_and_learns(spark):
     out = boost.boosted_oof(fold_table(spark), ["a", "b"], "fold", directions={"a": 1}, trees=8, depth=2)
     got = metrics.metrics_by(out.select(F.lit(1).alias("k"), F.col("bap").alias("y"), F.col("boosted").alias("pred")), "k").first()
     assert got["n"] == 400 and got["r2"] > 0.6
-    with pytest.raises(ValueError):
-        boost.fit_folds(fold_table(spark), ["a"], "station_id")
+
+
+def test_every_station_alone_equals_a_loop(spark, monkeypatch):
+    """More folds than models of a group: groups of three, margins stored after the fifth tree, one fold without rows of its own."""
+    df = fold_table(spark).withColumn("station_id", F.col("station_id") % 8)
+    df = df.withColumn("station_id", F.when(F.col("station_id") < 7, F.col("station_id")))  # the others train everywhere
+    options = {"directions": {"a": 1}, "trees": 6, "depth": 2, "l1": 0.1}
+    monkeypatch.setattr(boost, "MAX_MODELS", 3)
+    together = boost.fit_folds(df, ["a", "b"], "station_id", **options)
+    assert sorted(together) == list(range(7))
+    keep, edges = boost.bin_columns, together[0].edges
+    monkeypatch.setattr(boost, "bin_columns", lambda features, _: keep(features, edges))
+    alone = {k: boost.fit_monotone(df.where(f"station_id IS NULL OR station_id <> {k}"), ["a", "b"], **options) for k in (0, 6)}
+    monkeypatch.undo()
+    for k, model in alone.items():
+        assert (model.base, model.trees, model.covers, model.splits) == (together[k].base, together[k].trees, together[k].covers, together[k].splits)
+    out = boost.predict_folds(df, together, "station_id")
+    monkeypatch.setattr(boost, "MAX_NODES", 80)  # models dealt over several expressions
+    again = boost.predict_folds(df, together, "station_id")
+    key = lambda d: sorted((r["a"], r["pred"]) for r in d.where("station_id IS NOT NULL").collect())
+    assert key(out) == key(again) and out.where("station_id IS NULL AND pred IS NULL").count() == again.where("pred IS NULL").count() > 0
+    for k, model in alone.items():
+        model.edges = edges
+        mine = df.where(f"station_id = {k}")
+        assert key(out.where(f"station_id = {k}")) == key(model.predict(mine).withColumn("station_id", F.lit(k)))
+
+
+def test_plans_do_not_grow_with_trees(spark):
+    """Eight trees of depth 4 take no larger an expression than one: trees are data of the expression."""
+    df = fold_table(spark)
+    small, large = (boost.fit_monotone(df, ["a", "b"], directions={}, trees=t, depth=d) for t, d in ((1, 1), (8, 4)))
+    length = lambda m: len(m.predict(df)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(length(large) - length(small)) < 40
+    assert sum(large.splits.values()) == sum(f >= 0 for t in large.trees for f, *_ in t.values()) > 50
+
+
+def shapley_by_hand(tree, cover, rate, bins):
+    """Shapley values of one row over all subsets of features, by the definition."""
+    d = len(bins)
+
+    def value(known, node=1):
+        f, cut, missing_left, v = tree[node]
+        if f < 0:
+            return v
+        if f in known:
+            left = missing_left if bins[f] < 0 else bins[f] <= cut
+            return value(known, 2 * node + (not left))
+        a, b = cover[2 * node], cover[2 * node + 1]
+        return (a * value(known, 2 * node) + b * value(known, 2 * node + 1)) / (a + b)
+
+    out = [0.0] * d
+    for f in range(d):
+        others = [k for k in range(d) if k != f]
+        for n in range(d):
+            for s in itertools.combinations(others, n):
+                weight = math.factorial(n) * math.factorial(d - n - 1) / math.factorial(d)
+                out[f] += rate * weight * (value({*s, f}) - value(set(s)))
+    return out
+
+
+def test_contributions_are_shapley_values_and_add_up(spark):
+    rng = np.random.default_rng(4)
+    data = [(*(float(v) if rng.random() > 0.1 else None for v in x), float(np.exp(x[0] - x[1] * x[2] / 2 + x[3] / 9))) for x in rng.normal(size=(300, 4))]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, bap double")
+    model = boost.fit_monotone(df, ["a", "b", "c", "d"], directions={"a": 1}, trees=3, depth=4)
+    out = model.contributions(model.predict(df)).select("*", F.array(*model.bins()).alias("bins")).collect()
+    for r in out:
+        assert math.log1p(r["pred"]) == pytest.approx(model.expected() + sum(r["contributions"])) or r["pred"] == 0.0
+    for r in out[:40]:
+        want = np.sum([shapley_by_hand(t, c, model.rate, r["bins"]) for t, c in zip(model.trees, model.covers, strict=True)], axis=0)
+        assert r["contributions"] == pytest.approx(want.tolist())
+    mean = np.average([sum(r["contributions"]) for r in out], weights=[1 / (r["bap"] + 0.5) for r in out])
+    assert mean == pytest.approx(0.0, abs=1e-6)
+    stump = boost.MonotoneModel(["a"], [[]], 0.5, 0.3, [{1: (-1, 0, True, 0.0)}], [{}])
+    assert {tuple(r["contributions"]) for r in stump.contributions(df).collect()} == {(0.0,)} and stump.expected() == 0.5
 
 
 def test_upserts_take_the_last_of_a_batch(spark, tmp_path):
