@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +136,87 @@ def traffic(roads: DataFrame, cells: DataFrame) -> DataFrame:
     return out.select(*CELL, F.log1p("load").alias("traffic_load_log"), F.log1p("heavy").alias("traffic_hdv_log"))
 
 
+#: What grid_layers adds up for each cell.
+MEASURES = ("elev", "load", "heavy", "bap", "pm25", "persons")
+
+
+def grid_layers(dem: DataFrame, roads: DataFrame, polygons: DataFrame, people: DataFrame, cells: DataFrame, x: str = "mx", y: str = "my") -> DataFrame:
+    """All twelve layers of every cell, from pixels, road segments, polygons and population pixels that have their cell.
+
+    The inputs become one table of (cell, measures), with nulls for what a row is not about, and one aggregation by cell
+    makes all sums, means and ranges: points meet the grid in one shuffle. Position indices, slope and the distance to
+    major roads follow on the cells. ``roads`` also has the coordinates x and y.
+    """
+    length, area = X.numeric_or_zero("length_m"), X.numeric_or_zero("area_m2")
+    load = sum((X.numeric_or_zero(c) * w for c, w in VEHICLE_WEIGHTS.items()), F.lit(0.0)) * length
+    none = F.lit(None).cast("double")
+
+    def measured(df: DataFrame, **values: Column) -> DataFrame:
+        return df.select(*CELL, *[values.get(m, none).alias(m) for m in MEASURES])
+
+    rows = measured(dem, elev=X.nodata_to_null("elev"))
+    rows = rows.unionByName(measured(roads, load=load, heavy=X.numeric_or_zero("hdv") * length))
+    rows = rows.unionByName(measured(polygons, bap=X.numeric_or_zero("bap") * area, pm25=X.numeric_or_zero("pm25") * area))
+    rows = rows.unionByName(measured(people, persons=F.greatest(X.nodata_to_null("persons"), F.lit(0.0))))
+    logged = {"traffic_load_log": "load", "traffic_hdv_log": "heavy", "emis_bap_log": "bap", "emis_pm25_log": "pm25", "pop_log": "persons"}
+    by_cell = rows.groupBy(*CELL).agg(
+        F.avg("elev").alias("elev_mean"), (F.max("elev") - F.min("elev")).alias("elev_relief"), *[F.sum(m).alias(m) for m in MEASURES[1:]]
+    )
+    out = cells.join(by_cell, CELL, "left").withColumns({name: F.log1p(F.coalesce(m, F.lit(0.0))) for name, m in logged.items()})
+    out = stored(out.drop(*MEASURES[1:]), "layers")
+    for name, size in (("tpi_local", 3), ("tpi_meso", 7), ("tpi_broad", 15)):
+        out = tpi_box(out, "elev_mean", size).withColumnRenamed("tpi", name)
+    out = slope(out, "elev_mean")
+    distance = nearest_distance(cells, major_roads(roads), x, y).select(*CELL, F.col("dist_km").alias("dist_major_road_km"))
+    return out.join(distance, CELL, "left")
+
+
+def sampled(places: DataFrame, layers: DataFrame) -> DataFrame:
+    """The layers of each place's cell; null outside the grid."""
+    return places.join(layers, CELL, "left")
+
+
+def block_means(pixels: DataFrame, value: str, size: int, px: str = "px", py: str = "py") -> DataFrame:
+    """Coarser pixels (xi, yi, value): means of size x size pixels. Blocks at the edge take the pixels that they have; blocks without data are null."""
+    at = lambda c: F.floor(F.col(c) / size).cast("int")
+    return pixels.groupBy(at(px).alias("xi"), at(py).alias("yi")).agg(F.avg(X.nodata_to_null(value)).alias(value))
+
+
+def tpi_tiles(field: DataFrame, value: str, radius: int, tile: int = 256) -> DataFrame:
+    """(xi, yi, value, tpi) as by tpi_disk, for rasters of any size: the disks of a tile's cells are summed in the tile.
+
+    A cell goes to its own tile and to those in whose halo of ``radius`` cells it lies, so a task holds one square of
+    tile + 2 * radius cells. Cells without data are null and count for nothing; cells that are missing need no row.
+    """
+    side = tile + 2 * radius
+    spans = [(o, int((radius * radius - o * o) ** 0.5)) for o in range(-radius, radius + 1)]
+
+    def reach(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile)))
+
+    def disks(cells: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = (int(cells[t].iloc[0]) * tile - radius for t in ("tx", "ty"))
+        sums = np.zeros((2, side, side + 1))
+        x, y = cells["xi"].to_numpy() - x0, cells["yi"].to_numpy() - y0
+        v = cells["v"].to_numpy(float)
+        sums[0, y, x + 1], sums[1, y, x + 1] = np.nan_to_num(v), ~np.isnan(v)
+        sums = np.cumsum(sums, axis=2)
+        at = np.arange(radius, radius + tile)
+        total, count = sum(
+            sums[:, radius + o : radius + o + tile][:, :, at + half + 1] - sums[:, radius + o : radius + o + tile][:, :, at - half] for o, half in spans
+        )
+        own = (x >= radius) & (x < radius + tile) & (y >= radius) & (y < radius + tile)
+        x, y, v = x[own], y[own], v[own]
+        total, count = total[y - radius, x - radius], count[y - radius, x - radius]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            tpi = np.where(count > 0.5, v - total / count, np.nan)
+        return pd.DataFrame({"xi": x + x0, "yi": y + y0, "v": v, "tpi": tpi})
+
+    sent = field.select("xi", "yi", F.col(value).cast("double").alias("v"), reach("xi").alias("tx")).select("*", reach("yi").alias("ty"))
+    out = sent.groupBy("tx", "ty").applyInPandas(disks, "xi int, yi int, v double, tpi double")
+    return out.select(*CELL, F.when(~F.isnan("v"), F.col("v")).alias(value), F.when(~F.isnan("tpi"), F.col("tpi")).alias("tpi"))
+
+
 def major_roads(roads: DataFrame, quantile: float = 0.9) -> DataFrame:
     """Segments whose heavy traffic is above the quantile (strictly)."""
     v = X.numeric_or_zero("hdv")

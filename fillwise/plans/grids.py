@@ -167,6 +167,77 @@ SELECT station_id, count(*) FILTER (round(wdir_emis_bap_log, 6) > 0) AS n_positi
 FROM r GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 5"""))
 
 
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve layers of the stand-in grid."""
+    cell = lambda name, x="mx", y="my": grid.with_cell(fixture(spark, sf_dir, name), x, y, NX, NY)
+    return grid.grid_layers(cell("fx_dem"), cell("fx_roads"), cell("fx_emis", "x", "y"), cell("fx_people"), grid.all_cells(spark, NX, NY))
+
+
+def station_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "fx_station").select(
+        "station_id", (F.col("station_id") % NX).cast("int").alias("xi"), (F.col("station_id") * 7 % NY).cast("int").alias("yi")
+    )
+
+
+def grid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell with all its layers."""
+    return metrics.rounded(layers(spark, sf_dir))
+
+
+def station_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layers at the stations."""
+    return metrics.rounded(grid.sampled(station_cells(spark, sf_dir), layers(spark, sf_dir)))
+
+
+def _at(x: str, y: str) -> str:
+    return f"CAST(round_even({x} / 2000, 0) AS INT) AS xi, CAST(round_even({y} / 2000, 0) AS INT) AS yi"
+
+
+_INSIDE = f"WHERE xi BETWEEN 0 AND {NX - 1} AND yi BETWEEN 0 AND {NY - 1} GROUP BY xi, yi"
+
+
+def _box(size: int, name: str) -> str:
+    h = size // 2
+    return f"""{name} AS (SELECT c.xi, c.yi, c.elev - avg(n.elev) AS {name} FROM e c CROSS JOIN range({-h}, {h + 1}) dx, range({-h}, {h + 1}) dy
+  JOIN e n ON n.xi = greatest(0, least({NX - 1}, c.xi + dx.range)) AND n.yi = greatest(0, least({NY - 1}, c.yi + dy.range)) GROUP BY c.xi, c.yi, c.elev)"""
+
+
+LAYERS_SQL = f""", {_CELLS},
+dem AS (SELECT xi, yi, avg(elev) AS elev_mean, max(elev) - min(elev) AS elev_relief FROM (SELECT {_at("mx", "my")}, nullif(elev, -9999) AS elev FROM fx_dem) {_INSIDE}),
+rd AS (SELECT xi, yi, sum(load) AS load, sum(heavy) AS heavy, count(*) AS k FROM (SELECT {_at("mx", "my")}, (car + 1.5 * ldv + 8 * coalesce(hdv, 0) + 5 * bus) * length_m AS load,
+  coalesce(hdv, 0) * length_m AS heavy FROM fx_roads) {_INSIDE}),
+em AS (SELECT xi, yi, sum(bap * area_m2) AS bap, sum(pm25 * area_m2) AS pm25 FROM (SELECT {_at("x", "y")}, bap, pm25, area_m2 FROM fx_emis) {_INSIDE}),
+pp AS (SELECT xi, yi, sum(persons) AS persons FROM (SELECT {_at("mx", "my")}, greatest(0, nullif(persons, -9999)) AS persons FROM fx_people WHERE persons <> -9999) {_INSIDE}),
+e AS (SELECT cells.xi, cells.yi, elev_mean AS elev, elev_relief FROM cells LEFT JOIN dem ON cells.xi = dem.xi AND cells.yi = dem.yi),
+{_box(3, "tpi_local")}, {_box(7, "tpi_meso")}, {_box(15, "tpi_broad")},
+{_SLOPE.replace("FROM fx_grid", "FROM e")},
+inside AS (SELECT mx, my, coalesce(hdv, 0) AS hdv FROM fx_roads WHERE round_even(mx / 2000, 0) BETWEEN 0 AND {NX - 1} AND round_even(my / 2000, 0) BETWEEN 0 AND {NY - 1}),
+major AS (SELECT mx, my FROM inside WHERE hdv > (SELECT quantile_cont(hdv, 0.9) FROM inside)),
+dist AS (SELECT xi, yi, min(sqrt((xi * 2e3 - mx) * (xi * 2e3 - mx) + (yi * 2e3 - my) * (yi * 2e3 - my))) / 1000 AS d FROM cells, major GROUP BY xi, yi),
+layers AS (SELECT e.xi, e.yi, round(e.elev, 6) AS elev_mean, round(e.elev_relief, 6) AS elev_relief, round(tpi_local, 6) + 0 AS tpi_local, round(tpi_meso, 6) + 0 AS tpi_meso,
+  round(tpi_broad, 6) + 0 AS tpi_broad, round(slope_deg, 6) AS slope_deg, round(ln(1 + coalesce(load, 0)), 6) AS traffic_load_log, round(ln(1 + coalesce(heavy, 0)), 6) AS traffic_hdv_log,
+  round(d, 6) AS dist_major_road_km, round(ln(1 + coalesce(bap, 0)), 6) AS emis_bap_log, round(ln(1 + coalesce(pm25, 0)), 6) AS emis_pm25_log, round(ln(1 + coalesce(persons, 0)), 6) AS pop_log
+  FROM e JOIN tpi_local a ON a.xi = e.xi AND a.yi = e.yi JOIN tpi_meso b ON b.xi = e.xi AND b.yi = e.yi JOIN tpi_broad c ON c.xi = e.xi AND c.yi = e.yi
+  JOIN slope s ON s.xi = e.xi AND s.yi = e.yi LEFT JOIN dist ON dist.xi = e.xi AND dist.yi = e.yi LEFT JOIN rd ON rd.xi = e.xi AND rd.yi = e.yi
+  LEFT JOIN em ON em.xi = e.xi AND em.yi = e.yi LEFT JOIN pp ON pp.xi = e.xi AND pp.yi = e.yi)"""
+register("grid_table", grid_table, with_fixtures("fx_dem fx_roads fx_emis fx_people", LAYERS_SQL + " SELECT * FROM layers"))
+register("station_layers", station_layers, with_fixtures("fx_station fx_dem fx_roads fx_emis fx_people", LAYERS_SQL + f"""
+SELECT station_id, s.xi, s.yi, l.* EXCLUDE (xi, yi) FROM (SELECT station_id, CAST(station_id % {NX} AS INT) AS xi, CAST(station_id * 7 % {NY} AS INT) AS yi FROM fx_station) s
+LEFT JOIN layers l ON s.xi = l.xi AND s.yi = l.yi"""))
+
+
+def fine_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of 10 m as means of blocks of 4 by 4, and their position in disks of 5 coarse pixels."""
+    coarse = grid.block_means(fixture(spark, sf_dir, "fx_dem"), "elev", 4)
+    return metrics.rounded(grid.tpi_tiles(coarse, "elev", 5, tile=16))
+
+
+register("fine_terrain", fine_terrain, with_fixtures("fx_dem", """,
+g AS (SELECT CAST(floor(px / 4) AS INT) AS xi, CAST(floor(py / 4) AS INT) AS yi, avg(nullif(elev, -9999)) AS elev FROM fx_dem GROUP BY 1, 2)
+SELECT c.xi, c.yi, round(c.elev, 6) AS elev, round(c.elev - avg(n.elev), 6) + 0 AS tpi FROM g c
+JOIN g n ON (n.xi - c.xi) * (n.xi - c.xi) + (n.yi - c.yi) * (n.yi - c.yi) <= 25 GROUP BY c.xi, c.yi, c.elev"""))
+
+
 def station_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid layers sampled at the stations' cells."""
     stations = fixture(spark, sf_dir, "fx_station").select(
