@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fillwise.functions import scalar as X
+from fillwise.operators.quantiles import quantiles
 from fillwise.scratch import stored
 
 CELL = ["xi", "yi"]
@@ -220,7 +221,8 @@ def tpi_tiles(field: DataFrame, value: str, radius: int, tile: int = 256) -> Dat
 def major_roads(roads: DataFrame, quantile: float = 0.9) -> DataFrame:
     """Segments whose heavy traffic is above the quantile (strictly)."""
     v = X.numeric_or_zero("hdv")
-    return roads.crossJoin(F.broadcast(roads.agg(F.percentile(v, quantile).alias("__q")))).where(v > F.col("__q")).drop("__q")
+    cut = quantiles(roads.select(v.alias("v")), "v", [quantile]).get("", [0.0])[0]
+    return roads.where(v > cut)
 
 
 def nearest_distance(cells: DataFrame, points: DataFrame, x: str, y: str, step: float = 2000.0, tile: int = 8, rings: int = 2) -> DataFrame:

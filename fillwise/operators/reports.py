@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fillwise.functions import scalar as X
 from fillwise.operators import metrics as M
+from fillwise.operators.quantiles import quantiles
 
 
 def summary(long: DataFrame) -> DataFrame:
@@ -110,14 +111,27 @@ def profile(series: DataFrame) -> DataFrame:
     )
 
 
+def quantile_trends(long: DataFrame, key: str, x: str, y: str, bins: int) -> DataFrame:
+    """(key, bin, n, x_median, y_median) of each group: right-closed bins between distinct exact quantiles of its x.
+
+    The groups are few, and so are the numbers that reach the driver: edges and medians.
+    """
+    spark, group = long.sparkSession, F.col(key).cast("string")
+    rows = long.where(F.col(x).isNotNull() & ~F.isnan(x) & F.col(key).isNotNull()).select(group.alias("g"), F.col(x).alias("x"), F.col(y).alias("y"))
+    edges = {g: sorted(set(e)) for g, e in quantiles(rows, "x", [i / bins for i in range(bins + 1)], "g").items()}
+    table = spark.createDataFrame(list(edges.items()), "of string, edges array<double>")
+    dealt = rows.join(F.broadcast(table), F.col("g") == F.col("of"))
+    dealt = dealt.withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda v: v < F.col("x")))))
+    dealt = dealt.select("g", "bin", "x", "y", F.concat_ws("/", "bin", "g").alias("cell"))
+    sizes = dealt.groupBy("g", "bin", "cell").agg(F.count("*").alias("n")).collect()
+    xs, ys = (quantiles(dealt, c, [0.5], "cell") for c in ("x", "y"))
+    out = [(r["g"], r["bin"], r["n"], xs[r["cell"]][0], ys.get(r["cell"], [None])[0]) for r in sizes]
+    return spark.createDataFrame(out, f"`{key}` string, bin int, n long, x_median double, y_median double")
+
+
 def quantile_trend(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
-    """Right-closed bins between distinct quantiles of x (one row of edges is broadcast); medians of x and y."""
-    df = df.where(F.col(x).isNotNull() & ~F.isnan(x))
-    cuts = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile(x, cuts))).alias("__edges"))
-    below = F.size(F.filter("__edges", lambda v: v < F.col(x)))
-    out = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1), below))
-    return out.groupBy("bin").agg(F.count("*").alias("n"), F.median(x).alias("x_median"), F.median(y).alias("y_median"))
+    """quantile_trends of one group."""
+    return quantile_trends(df.withColumn("__all", F.lit("")), "__all", x, y, bins).drop("__all")
 
 
 def category_codes(training: DataFrame, label: str) -> DataFrame:

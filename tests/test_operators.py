@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fillwise.functions import scalar as X
-from fillwise.operators import boost, daily, folds, grid, linear, metrics, recon, scenarios
+from fillwise.operators import boost, daily, folds, grid, linear, metrics, quantiles, recon, scenarios
 from fillwise.sources import tables
 from fillwise.streaming import ingest
 
@@ -281,3 +281,40 @@ def test_names_of_columns_and_registry_codes(spark):
     assert tables.clean_columns(spark.createDataFrame([(1, 2)], ["\\2t", "hpbl"])).columns == ["2t", "hpbl"]
     df = spark.createDataFrame([("SK/SPO-SK0004R_05029_100",), ("SPO-SK0004R_00005_100",), ("x_05029_",), (None,)], "p string")
     assert [r[0] for r in df.select(X.registry_code("p")).collect()] == ["SK0004R", None, None, None]
+
+
+def test_quantiles_equal_numpy_with_small_gaps(spark, monkeypatch):
+    """Gaps of more than three rows get nearer bounds; ties, infinities, nulls, NaN and a group without values."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(quantiles, "MAX_ROWS", 3)
+    monkeypatch.setattr(quantiles, "ACCURACY", 8)
+    groups = {"normal": rng.normal(size=700), "ties": np.round(rng.normal(size=500) * 2), "tail": np.exp(8 * rng.normal(size=400)), "one": np.array([4.5]), "two": np.array([1.0, -np.inf])}
+    data = [(k, float(v)) for k, values in groups.items() for v in values] + [("ties", None), ("ties", float("nan")), ("none", None), (None, 2.0), (None, 3.0)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(4)
+    probabilities = [0.0, 0.05, 0.333, 0.5, 0.9, 1.0]
+    got = quantiles.quantiles(df, "v", probabilities, "g")
+    assert set(got) == {*groups, None} and got[None] == pytest.approx([2 + p for p in probabilities])
+    for k in ("normal", "ties", "tail", "one"):
+        assert got[k] == pytest.approx(np.quantile(groups[k], probabilities).tolist(), rel=1e-12)
+    assert got["two"][0] == -np.inf and got["two"][-1] == 1.0
+    whole = [v for _, v in data if v is not None and v == v]
+    assert quantiles.quantiles(df, "v", [0.25])[""] == pytest.approx([np.quantile(whole, 0.25)])
+    assert quantiles.quantiles(df.limit(0), "v", [0.5]) == {}
+
+
+@pytest.mark.parametrize(("radius", "tile"), [(1, 4), (3, 5), (6, 4), (2, 64)])
+def test_tiles_equal_whole_disks(spark, radius, tile):
+    rng = np.random.default_rng(3)
+    cells = [(x, y, float(rng.normal()) if rng.random() > 0.2 else None) for x in range(17) for y in range(13)]
+    field = spark.createDataFrame(cells, "xi int, yi int, v double")
+    key = lambda df: {(r["xi"], r["yi"]): r["tpi"] for r in df.collect()}
+    got, want = key(grid.tpi_tiles(field, "v", radius, tile)), key(grid.tpi_disk(field, "v", radius))
+    assert got.keys() == want.keys()
+    for at, v in want.items():
+        assert got[at] == (None if v is None else pytest.approx(v, abs=1e-9))
+
+
+def test_blocks_at_the_edge_take_what_they_have(spark):
+    pixels = spark.createDataFrame([(x, y, -9999.0 if x == 4 or (x, y) == (0, 0) else float(10 * x + y)) for x in range(5) for y in range(3)], "px int, py int, e double")
+    got = {(r["xi"], r["yi"]): r["e"] for r in grid.block_means(pixels, "e", 2).collect()}
+    assert got == {(0, 0): pytest.approx((1 + 10 + 11) / 3), (1, 0): 25.5, (2, 0): None, (0, 1): 7.0, (1, 1): 27.0, (2, 1): None}
