@@ -70,11 +70,11 @@ class MonotoneModel:
     gains: dict[str, float] = field(default_factory=dict)
     splits: dict[str, int] = field(default_factory=dict)
 
-    def bins(self) -> list[Column]:
+    def bins(self) -> Column:
         return bin_columns(self.features, self.edges)
 
     def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
-        return df.withColumn(name, _back(_margins([self])(_bins(self), F.lit(0))))
+        return df.withColumn(name, _back(_margins([self])(self.bins(), F.lit(0))))
 
     def expected(self) -> float:
         """The mean margin of the training rows: what the contributions of a row are added to."""
@@ -104,19 +104,22 @@ class MonotoneModel:
                 out[:, [f for f, _ in asked]] += table[pattern]
             return pa.ListArray.from_arrays(np.arange(0, out.size + 1, max(width, 1), dtype=np.int32), out.reshape(-1))
 
-        return df.withColumn(name, shapley(_bins(self)))
+        return df.withColumn(name, shapley(self.bins()))
 
 
-def bin_columns(features: list[str], edges: list[list[float]]) -> list[Column]:
-    """Bin of each feature: edges below the value; -1 where it is missing."""
-    return [
-        F.when(F.col(c).isNull(), -1).otherwise(sum((F.when(F.col(c) > e, 1).otherwise(0) for e in cut), F.lit(0))).alias(f"__b{i}")
-        for i, (c, cut) in enumerate(zip(features, edges, strict=True))
-    ]
+def bin_columns(features: list[str], edges: list[list[float]]) -> Column:
+    """Array of the features' bins: the number of edges below the value; -1 where it is missing. NaN is above all edges."""
+    cuts = [np.array(e, float) for e in edges]
 
+    @F.arrow_udf("array<short>")
+    def bins(values: pa.Array) -> pa.Array:
+        flat = values.flatten()
+        v = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
+        out = np.column_stack([np.searchsorted(c, v[:, k]) for k, c in enumerate(cuts)]).astype(np.int16)
+        out[flat.is_null().to_numpy(zero_copy_only=False).reshape(v.shape)] = -1
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(cuts), dtype=np.int32), out.reshape(-1))
 
-def _bins(model: MonotoneModel) -> Column:
-    return F.array(*[c.cast("short") for c in model.bins()])
+    return bins(F.array(*[F.col(c).cast("double") for c in features]))
 
 
 def _mean(tree: dict, cover: dict, node: int) -> float:
@@ -249,8 +252,7 @@ def binned(df: DataFrame, features: list[str], fold: str | None = None, y: str =
         if left[1] > 0:
             bases[r["__fold"]] = float(left[0] / left[1])
     rows = numbered(rows, "__fold", list(bases)) if fold and bases else rows.withColumn("__m", F.lit(-1))
-    bins = F.array(*[c.cast("short") for c in bin_columns(features, edges)])
-    rows = rows.select(F.coalesce("__m", F.lit(-1)).alias("own"), F.col("__y").alias("y"), F.col("__w").alias("w"), bins.alias("b"))
+    rows = rows.select(F.coalesce("__m", F.lit(-1)).alias("own"), F.col("__y").alias("y"), F.col("__w").alias("w"), bin_columns(features, edges).alias("b"))
     return Binned(stored(rows, "binned"), list(features), edges, bases)
 
 
@@ -459,7 +461,7 @@ def predict_folds(df: DataFrame, models: dict, fold: str, name: str = "pred") ->
     all_models = list(models.values())
     nodes = sum(len(t) for t in all_models[0].trees) or 1
     each = max(1, MAX_NODES // nodes)
-    out, bins, kept = numbered(df, fold, list(models)), _bins(all_models[0]), df.columns
+    out, bins, kept = numbered(df, fold, list(models)), all_models[0].bins(), df.columns
     if len(all_models) <= each:
         return out.withColumn(name, _back(_margins(all_models)(bins, F.col("__m")))).select(*kept, name)
     parts = [out.where(F.col("__m").isNull()).withColumn(name, F.lit(None).cast("double"))]

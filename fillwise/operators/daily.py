@@ -20,14 +20,17 @@ def with_ventilation(hourly: DataFrame) -> DataFrame:
     return hourly.withColumn("vrate", F.col("hpbl") * X.magnitude("u10", "v10"))
 
 
-def daily_features(hourly: DataFrame, key: str = "station_id") -> DataFrame:
-    """One row for each station and date, from one shuffle with map-side sums. Night hours are those of the same date."""
-    absent = {c for c in OPTIONAL if c not in hourly.columns}
+def hourly_inputs(hourly: DataFrame) -> DataFrame:
+    """Hourly rows with ventilation, temperature in degrees and whether it is night."""
     h = with_ventilation(with_optional_columns(hourly))
-    h = h.withColumns({"datum": F.to_date("time"), "t": X.celsius("t2m"), "night": F.hour("time").isin(*X.NIGHT_HOURS)})
+    return h.withColumns({"t": X.celsius("t2m"), "night": F.hour("time").isin(*X.NIGHT_HOURS)})
+
+
+def daily_aggregates(absent: set[str] = frozenset()) -> list[Column]:
+    """Every daily feature as an aggregate of hourly_inputs; all are partial sums and extremes, so that batches and streams merge them."""
     angle = F.atan2(F.avg("u10"), F.avg("v10"))
     radiation = F.lit(None).cast("double") if "ssrd" in absent else F.coalesce(F.sum("ssrd"), F.lit(0.0))
-    daily = h.groupBy(key, "datum").agg(
+    return [
         F.avg("t").alias("t_mean"),
         (F.max("t") - F.min("t")).alias("t_range"),
         F.coalesce(F.sum(F.greatest(F.lit(0.0), F.when(F.col("t").isNotNull(), X.HEATING_BASE_C - F.col("t")))), F.lit(0.0)).alias(
@@ -44,7 +47,10 @@ def daily_features(hourly: DataFrame, key: str = "station_id") -> DataFrame:
         F.avg("rh").alias("rh_mean"),
         F.avg(F.when(F.col("night"), F.col("vrate"))).alias("night_vrate_avg"),
         F.min(F.when(F.col("night"), F.col("sshf"))).alias("night_sshf_min"),
-    )
+    ]
+
+
+def with_calendar(daily: DataFrame) -> DataFrame:
     return daily.withColumns(
         {
             "is_weekend": X.is_weekend("datum"),
@@ -56,6 +62,16 @@ def daily_features(hourly: DataFrame, key: str = "station_id") -> DataFrame:
     )
 
 
+def absent_columns(hourly: DataFrame) -> set[str]:
+    return {c for c in OPTIONAL if c not in hourly.columns}
+
+
+def daily_features(hourly: DataFrame, key: str = "station_id") -> DataFrame:
+    """One row for each station and date, from one shuffle with map-side sums. Night hours are those of the same date."""
+    h = hourly_inputs(hourly).withColumn("datum", F.to_date("time"))
+    return with_calendar(h.groupBy(key, "datum").agg(*daily_aggregates(absent_columns(hourly))))
+
+
 def proxy_daily(proxies: DataFrame, key: str = "station_id") -> DataFrame:
     """Daily means of the proxy pollutants side by side, in one shuffle."""
     means = {f"{p}_mean": F.avg(F.when(F.col("pollutant") == p, F.col("value"))) for p in PROXIES}

@@ -9,6 +9,8 @@ from fillwise.operators import daily, grid, metrics
 from fillwise.plans.fixtures import fixture, with_fixtures
 from fillwise.plans.registry import register
 from fillwise.plans.station_days import _DAILY
+from fillwise.scratch import scratch
+from fillwise.sources import tables
 
 NX, NY = 52, 42
 
@@ -129,7 +131,7 @@ SELECT cells.xi, cells.yi, round(ln(1 + coalesce(b, 0)), 6) AS emis_bap_log, rou
 FROM cells LEFT JOIN s ON cells.xi = s.xi AND cells.yi = s.yi"""))
 
 
-def _directional(spark: SparkSession, sf_dir: str) -> DataFrame:
+def directional_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = daily.daily_features(fixture(spark, sf_dir, "fx_hourly").drop("datum")).select("station_id", "datum", "wdir_sin", "wdir_cos")
     stations = fixture(spark, sf_dir, "fx_station").select(
         "station_id", (F.col("station_id") * 4441 % 100000).cast("double").alias("x"), (F.col("station_id") * 2777 % 80000).cast("double").alias("y")
@@ -145,7 +147,7 @@ r AS (SELECT d.station_id, d.datum, ln(1 + coalesce(e, 0)) AS wdir_emis_bap_log
 
 
 def directional_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _directional(spark, sf_dir).select("station_id", F.col("datum").cast("string").alias("datum"), "wdir_emis_bap_log")
+    out = directional_days(spark, sf_dir).select("station_id", F.col("datum").cast("string").alias("datum"), "wdir_emis_bap_log")
     return metrics.rounded(out)
 
 
@@ -156,7 +158,7 @@ SELECT station_id, CAST(datum AS VARCHAR) AS datum, round(wdir_emis_bap_log, 6)
 def directional_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stations with the largest mean, with counts of days above 0."""
     v = F.col("wdir_emis_bap_log")
-    by_station = _directional(spark, sf_dir).groupBy("station_id").agg(
+    by_station = directional_days(spark, sf_dir).groupBy("station_id").agg(
         F.count_if(F.round(v, 6) > 0).alias("n_positive"), F.round(F.max(v), 6).alias("most"), F.round(F.avg(v), 6).alias("mean")
     )
     return by_station.orderBy(F.desc("mean"), "station_id").limit(5)
@@ -253,3 +255,31 @@ r AS (SELECT CAST(round_even(mx / 2000, 0) AS INT) AS xi, CAST(round_even(my / 2
 s AS (SELECT station_id, CAST(station_id % {NX} AS INT) AS xi, CAST(station_id * 7 % {NY} AS INT) AS yi FROM fx_station)
 SELECT station_id, s.xi, s.yi, round(elev, 6) AS elev, round(ln(1 + coalesce(load, 0)), 6) AS traffic_load_log
 FROM s LEFT JOIN fx_grid g ON s.xi = g.xi AND s.yi = g.yi LEFT JOIN r ON s.xi = r.xi AND s.yi = r.yi"""))
+
+
+def met_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly weather at the stations from a cube in chunks, a file a day, some without the date attribute."""
+    long = fixture(spark, sf_dir, "fx_cube").withColumn("file", F.concat(F.lit("meteo_"), F.translate("day", "-", ""), F.lit(".nc")))
+    chunks = tables.chunked_cube(long, ["file", "base"], ["t2m", "hpbl"])
+    return metrics.rounded(tables.read_chunks(chunks, station_cells(spark, sf_dir), ["t2m", "hpbl"], key="station_id", x="xi", y="yi"))
+
+
+register("met_cube", met_cube, with_fixtures("fx_station fx_cube", f"""
+SELECT station_id, CAST(day AS TIMESTAMP) + h * INTERVAL 1 HOUR AS time, round(t2m, 6) AS t2m, round(hpbl, 6) AS hpbl
+FROM fx_station JOIN fx_cube ON x = station_id % {NX} AND y = station_id * 7 % {NY}"""))
+
+
+def staged_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations as stage v4, with terrain and traffic as v5, with emissions as v6; v6 read back after v5 was published twice."""
+    run = tables.Run(scratch(spark, "stages"))
+    sites = station_layers(spark, sf_dir)
+    run.publish(fixture(spark, sf_dir, "fx_obs"), "v4")
+    for _ in range(2):
+        run.extend(spark, "v4", "v5", sites.select("station_id", "elev_mean", "traffic_load_log"), ["station_id"])
+    run.extend(spark, "v5", "v6", sites.select("station_id", "emis_bap_log"), ["station_id"])
+    return metrics.rounded(run.open(spark, "v6").withColumn("datum", F.col("datum").cast("string")))
+
+
+register("staged_training", staged_training, with_fixtures("fx_station fx_obs fx_dem fx_roads fx_emis fx_people", LAYERS_SQL + f"""
+SELECT o.station_id, CAST(datum AS VARCHAR) AS datum, round(bap, 6) AS bap, elev_mean, traffic_load_log, emis_bap_log FROM fx_obs o
+LEFT JOIN fx_station s ON s.station_id = o.station_id LEFT JOIN layers l ON l.xi = s.station_id % {NX} AND l.yi = s.station_id * 7 % {NY}"""))

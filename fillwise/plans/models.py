@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fillwise.functions import scalar as X
 from fillwise.operators import boost, folds, linear, metrics, reports, scenarios
+from fillwise.plans import registry, station_days  # noqa: F401
 from fillwise.plans.fixtures import fixture, with_fixtures
 from fillwise.plans.registry import register
 from fillwise.plans.series import _OOF
@@ -142,17 +143,21 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("permutation_importance", permutation_importance)
 
 
-def streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily aggregates of the hourly rows, read as a stream and upserted by station and day; equal to the batch result."""
+def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily features of the hourly rows, read as a stream and upserted by station and day."""
     top = scratch(spark, "stream")
-    hourly = fixture(spark, sf_dir, "fx_hourly").select("station_id", F.col("time").cast("timestamp").alias("time"), "t2m", "hpbl", "rain")
+    hourly = fixture(spark, sf_dir, "fx_hourly").drop("datum", "hr").withColumn("time", F.col("time").cast("timestamp"))
     hourly.write.parquet(f"{top}/in")
-    daily = ingest.stream_daily(spark.readStream.schema(hourly.schema).parquet(f"{top}/in"))
+    days = ingest.stream_daily(spark.readStream.schema(hourly.schema).parquet(f"{top}/in"))
     save = ingest.upserts_into(f"{top}/out", ["station_id", "datum"], "n")
-    query = daily.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{top}/ck").trigger(availableNow=True).start()
+    query = days.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{top}/ck").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = ingest.current(spark, f"{top}/out").drop("bucket")
-    return metrics.rounded(out.withColumn("datum", F.col("datum").cast("string")))
+    return ingest.current(spark, f"{top}/out").drop("bucket").withColumn("datum", F.col("datum").cast("string"))
+
+
+def streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four of the features; equal to the batch result."""
+    return metrics.rounded(streamed_days(spark, sf_dir).select("station_id", "datum", "n", "t_mean", "hpbl_min", "total_rain"))
 
 
 register("streamed_daily", streamed_daily, with_fixtures("fx_hourly", """
@@ -160,6 +165,14 @@ SELECT station_id, CAST(datum AS VARCHAR) AS datum, count(*) AS n, round(avg(t2m
 FROM fx_hourly GROUP BY 1, 2"""))
 
 
+def streamed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All daily features; equal to the batch result."""
+    return metrics.rounded(streamed_days(spark, sf_dir).drop("n"))
+
+
+register("streamed_features", streamed_features, registry.oracle_sql()["daily_features"])
+
+
 def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A series and its corrections through the streaming upsert; equal to the batch upsert."""
     top = scratch(spark, "stream")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fillwise.functions import scalar as X
-from fillwise.operators import boost, daily, folds, linear, metrics, reports, scenarios
+from fillwise.operators import boost, daily, folds, grid, linear, metrics, reports, scenarios
+from fillwise.plans import grids
 from fillwise.plans.fixtures import fixture, with_fixtures
 from fillwise.plans.models import FEATURES, rows
 from fillwise.plans.registry import register
@@ -18,19 +19,10 @@ from fillwise.scratch import stored
 
 #: Trees of the registered queries; the operators take any number.
 SMALL = {"trees": 4, "depth": 2}
-#: Models of the registered queries: stations are held out by groups, and every twelfth 30-day block is held out together.
-STATION_GROUPS, BLOCK_GROUPS = 5, 12
-#: What stands in for proxies and for emission among the features of the long series.
-PROXIES, EMISSION = ["x1", "x2", "x3"], ["level"]
-
-
-def with_station_group(df: DataFrame, groups: int = STATION_GROUPS) -> DataFrame:
-    """Folds of whole stations: no station is predicted by a model that has seen it."""
-    return df.withColumn("station_group", F.pmod(F.xxhash64("station_id"), F.lit(groups)).cast("int"))
-
-
-def with_block_group(df: DataFrame, groups: int = BLOCK_GROUPS) -> DataFrame:
-    return df.withColumn("block_group", F.col("block") % groups)
+#: Offsets of the sample weight that are compared; None is no weight.
+WEIGHT_OFFSETS = [None, 0.1, 0.25, 0.5, 1.0, 2.0]
+#: What stands in for proxies among the features of the long series.
+PROXIES = ["x1", "x2", "x3"]
 
 
 def long(out: DataFrame, methods: list[str], *keep: str) -> DataFrame:
@@ -43,7 +35,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def boosted_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-block predictions by one split on one feature, all blocks at once: what SQL can state of boosting."""
-    out = boost.boosted_oof(rows(spark, sf_dir), ["level"], "block", directions={}, trees=1, depth=1)
+    out = boost.boosted_oof(stored(rows(spark, sf_dir), "rows"), ["level"], "block", directions={}, trees=1, depth=1)
     return metrics.rounded(out.select("station_id", F.col("datum").cast("string").alias("datum"), "block", "boosted"))
 
 
@@ -73,9 +65,63 @@ def boosted_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("boosted_kfold", boosted_kfold)
 
 
+def _stumps_sql(key: str, trees: int, rate: float = 0.3, l2: float = 1.2) -> str:
+    """CTEs ``m0`` to ``m<trees>``: margins by (k, v) of stumps on v that leave each k out, from the sums of its rows.
+
+    ``key`` is the expression of k; a column v, y and w of the rows ``b`` of _OOF. A row's margin depends on v only, so that
+    sums by (k, v), total less own, carry every tree.
+    """
+    out = f"""r AS (SELECT *, {key} AS k, station_id % 7 AS v, ln(1 + bap) AS y, 1 / (bap + 0.5) AS w FROM b),
+h AS (SELECT k, v, sum(w) AS w, sum(w * y) AS wy FROM r GROUP BY k, v),
+tot AS (SELECT v, sum(w) AS w, sum(wy) AS wy FROM h GROUP BY v),
+own AS (SELECT ks.k, tot.v, tot.w - coalesce(h.w, 0) AS w, tot.wy - coalesce(h.wy, 0) AS wy
+  FROM (SELECT DISTINCT k FROM r) ks CROSS JOIN tot LEFT JOIN h ON h.k = ks.k AND h.v = tot.v),
+m0 AS (SELECT k, v, w, wy, sum(wy) OVER (PARTITION BY k) / sum(w) OVER (PARTITION BY k) AS m FROM own)"""
+    for t in range(1, trees + 1):
+        out += f""",
+c{t} AS (SELECT k, c, sum(wy - m * w) FILTER (v <= c) AS gl, sum(w) FILTER (v <= c) AS hl, sum(wy - m * w) FILTER (v > c) AS gr, sum(w) FILTER (v > c) AS hr
+  FROM m{t - 1}, (VALUES (0), (1), (2), (3), (4), (5)) x(c) GROUP BY k, c),
+s{t} AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(gl * gl / (hl + {l2}) + gr * gr / (hr + {l2}), 7) DESC, c) AS place FROM c{t}),
+m{t} AS (SELECT m.k, v, w, wy, m + {rate} * CASE WHEN v <= c THEN gl / (hl + {l2}) ELSE gr / (hr + {l2}) END AS m FROM m{t - 1} m JOIN s{t} s ON m.k = s.k AND place = 1)"""
+    return out
+
+
+def boosted_loso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for each station by three stumps of all the others: every station is held out alone."""
+    out = boost.boosted_oof(stored(rows(spark, sf_dir), "rows"), ["level"], "station_id", directions={}, trees=3, depth=1)
+    return metrics.rounded(out.select("station_id", F.col("datum").cast("string").alias("datum"), "boosted"))
+
+
+register("boosted_loso", boosted_loso, with_fixtures("fx_series", _OOF + ",\n" + _stumps_sql("station_id", 3) + """
+SELECT station_id, CAST(datum AS VARCHAR) AS datum, round(greatest(0, exp(m) - 1), 6) AS boosted FROM r JOIN m3 ON r.k = m3.k AND r.v = m3.v"""))
+
+
+def stump_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the station level adds to each prediction of three stumps of all rows, with the mean that it is added to."""
+    data = stored(rows(spark, sf_dir), "rows")
+    model = boost.fit_monotone(data, ["level"], directions={}, trees=3, depth=1)
+    out = model.contributions(model.predict(data)).select("station_id", F.col("datum").cast("string").alias("datum"), "pred", F.col("contributions")[0].alias("level"))
+    return metrics.rounded(out.withColumn("expected", F.lit(model.expected())))
+
+
+register("stump_contributions", stump_contributions, with_fixtures("fx_series", _OOF + ",\n" + _stumps_sql("1", 3).replace(
+    "tot.w - coalesce(h.w, 0) AS w, tot.wy - coalesce(h.wy, 0) AS wy", "tot.w, tot.wy") + """,
+e AS (SELECT sum(w * m) / sum(w) AS e FROM m3)
+SELECT station_id, CAST(datum AS VARCHAR) AS datum, round(greatest(0, exp(m) - 1), 6) AS pred, round(m - e, 6) + 0 AS level, round(e, 6) AS expected
+FROM r JOIN m3 ON r.v = m3.v, e"""))
+
+
+def _held_out(data: DataFrame, fold: str, sets: dict[str, list[str]], **options) -> DataFrame:
+    """Adds for each set of features the prediction of the models that leave the row's fold out; the rows are binned once."""
+    table = boost.binned(data, list(dict.fromkeys(c for f in sets.values() for c in f)), fold)
+    for name, features in sets.items():
+        data = boost.predict_folds(data, boost.fit_binned(table, features, **{**SMALL, **options}), fold, name)
+    return data
+
+
 def boosted_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds of whole stations: pooled metrics of boosted trees and their medians over stations."""
-    out = boost.boosted_oof(with_station_group(rows(spark, sf_dir)), FEATURES, "station_group", directions={"level": 1}, **SMALL)
+    """Each station held out alone: pooled metrics of boosted trees and their medians over stations."""
+    out = _held_out(stored(rows(spark, sf_dir), "rows"), "station_id", {"boosted": FEATURES}, directions={"level": 1})
     return metrics.rounded(reports.summary(long(out, ["boosted"])))
 
 
@@ -83,9 +129,9 @@ register("boosted_stations", boosted_stations)
 
 
 def boosted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """30-day blocks: boosted trees, climatology and persistence on the same held-out rows, pooled and by station."""
+    """Each 30-day block held out alone: boosted trees, climatology and persistence on the same rows, pooled and by station."""
     base = folds.block_baselines(fixture(spark, sf_dir, "fx_series")).select("station_id", "datum", "clim", "persist")
-    out = boost.boosted_oof(with_block_group(rows(spark, sf_dir)), FEATURES, "block_group", directions={"level": 1}, **SMALL)
+    out = _held_out(stored(rows(spark, sf_dir), "rows"), "block", {"boosted": FEATURES}, directions={"level": 1})
     both = out.select("station_id", "datum", "bap", "boosted").join(base, ["station_id", "datum"])
     return metrics.rounded(reports.summary(long(both, ["boosted", "clim", "persist"])))
 
@@ -94,12 +140,10 @@ register("boosted_blocks", boosted_blocks)
 
 
 def _versus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-block predictions of boosted trees and ridge, with all features and without proxies."""
-    data, free = with_block_group(rows(spark, sf_dir)), [c for c in FEATURES if c not in PROXIES]
-    models = {name: boost.fit_folds(data, f, "block_group", directions={"level": 1}, **SMALL) for name, f in (("boosted", FEATURES), ("boosted_free", free))}
-    out = linear.ridge_oof(linear.ridge_oof(data, FEATURES, "block"), free, "block", name="ridge_free")
-    for name, m in models.items():
-        out = boost.predict_folds(out, m, "block_group", name)
+    """Out-of-block predictions of boosted trees and ridge under the same folds, with all features and without proxies."""
+    data, free = stored(rows(spark, sf_dir), "rows"), [c for c in FEATURES if c not in PROXIES]
+    out = _held_out(data, "block", {"boosted": FEATURES, "boosted_free": free}, directions={"level": 1})
+    out = linear.ridge_oof(linear.ridge_oof(out, FEATURES, "block"), free, "block", name="ridge_free")
     return stored(out.select("station_id", "bap", "boosted", "ridge", "boosted_free", "ridge_free"), "versus")
 
 
@@ -135,32 +179,50 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.encode(out, reports.category_codes(out, "typ_zdroja"), "typ_zdroja")
 
 
+def full_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table with the layers of the stations' cells and what the day's wind carries: every feature of the study."""
+    sites = grid.sampled(grids.station_cells(spark, sf_dir), grids.layers(spark, sf_dir)).drop(*grid.CELL)
+    wind = grids.directional_days(spark, sf_dir).select("station_id", "datum", "wdir_emis_bap_log")
+    out = feature_table(spark, sf_dir).join(sites, "station_id", "left").join(wind, ["station_id", "datum"], "left")
+    return stored(out, "features")
+
+
 def ablation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M0 to M5, V, and M4 without constraints: boosted trees under random folds, and ridge with each station left out."""
-    data = stored(folds.with_kfold(feature_table(spark, sf_dir), [F.col("station_id"), F.col("datum")]), "ladder")
+    """M0 to M5, V, and M4 without constraints: boosted trees under random folds and with each station left out alone."""
+    data = stored(folds.with_kfold(full_table(spark, sf_dir), [F.col("station_id"), F.col("datum")]), "ladder")
     sets = scenarios.ladder(data.columns)
     parts = []
-    for name, features, directions in [*((name, f, None) for name, f in sets.items()), ("M4 unconstrained", sets["M4"], {})]:
-        kfold = boost.boosted_oof(data, features, "fold", "pred", directions=directions, trees=2, depth=2)
-        runs = [("kfold", kfold)] + ([("stations", linear.ridge_oof(data, features, "station_id", name="pred"))] if directions is None else [])
-        parts += [out.select(F.lit(name).alias("model"), F.lit(len(features)).alias("n_features"), F.lit(s).alias("scheme"), F.col("bap").alias("y"), "pred") for s, out in runs]
-    return metrics.rounded(metrics.metrics_by(union(parts), "model", "n_features", "scheme").select("model", "n_features", "scheme", "n", "r2", "rmse"))
+    for scheme, fold in (("kfold", "fold"), ("stations", "station_id")):
+        out = _held_out(data, fold, sets, trees=2)
+        free = _held_out(data, fold, {"M4 unconstrained": sets["M4"]}, trees=2, directions={})
+        for frame, names in ((out, list(sets)), (free, ["M4 unconstrained"])):
+            parts.append(long(frame, names).withColumnRenamed("method", "model").withColumn("scheme", F.lit(scheme)))
+    predictions = union(parts)
+    pooled = metrics.metrics_by(predictions, "model", "scheme")
+    by_station = metrics.metrics_by(predictions.where("scheme = 'stations'"), "model", "station_id")
+    medians = metrics.median_metrics(by_station, "model").withColumn("scheme", F.lit("station median"))
+    size = F.create_map(*[F.lit(x) for name, f in (*sets.items(), ("M4 unconstrained", sets["M4"])) for x in (name, len(f))])
+    out = pooled.unionByName(medians).withColumn("n_features", size[F.col("model")])
+    return metrics.rounded(out.select("model", "n_features", "scheme", "n", "r2", "rmse"))
 
 
 register("ablation_ladder", ablation_ladder)
 
 
 def _with_types(spark: SparkSession, sf_dir: str, out: DataFrame) -> DataFrame:
-    return out.join(fixture(spark, sf_dir, "fx_station").select("station_id", "typ_oblasti", "typ_zdroja"), "station_id")
+    types = fixture(spark, sf_dir, "fx_station").select("station_id", "typ_oblasti", "typ_zdroja")
+    return out.drop("typ_oblasti", "typ_zdroja").join(types, "station_id")
 
 
 def emission_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave-one-station-out ridge with and without proxies and emission: median skill, and the bias at rural stations."""
-    data = rows(spark, sf_dir)
-    season = [c for c in FEATURES if c not in PROXIES + EMISSION]
-    sets = {"proxy": season + PROXIES, "proxy+emission": FEATURES, "proxy-free": season, "proxy-free+emission": season + EMISSION}
-    parts = [linear.ridge_oof(data, f, "station_id").select("station_id", F.lit(name).alias("config"), F.col("bap").alias("y"), F.col("ridge").alias("pred")) for name, f in sets.items()]
-    by_station = _with_types(spark, sf_dir, metrics.metrics_by(union(parts), "config", "station_id"))
+    """Each station left out, with and without proxies and emission: median skill, and the bias at rural stations."""
+    data = full_table(spark, sf_dir)
+    rung = scenarios.ladder(data.columns)
+    free = scenarios.proxy_free(rung["M2"])
+    emission = [c for c in rung["M4"] if c not in rung["M3"]]
+    sets = {"proxy": rung["M3"], "proxy+emission": rung["M4"], "proxy-free": free, "proxy-free+emission": free + emission}
+    out = long(_held_out(data, "station_id", sets), list(sets)).withColumnRenamed("method", "config")
+    by_station = _with_types(spark, sf_dir, metrics.metrics_by(out, "config", "station_id"))
     rural = F.col("typ_oblasti") == "R"
     return metrics.rounded(by_station.groupBy("config").agg(
         F.median("r2").alias("median_r2"), F.avg(F.when(rural, F.abs("mbe"))).alias("rural_mean_abs_mbe"), F.median(F.when(rural, F.col("r2"))).alias("rural_median_r2")
@@ -170,16 +232,41 @@ def emission_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("emission_focus", emission_focus)
 
 
+def boosted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees by the offset of the sample weight, none too: random folds and each station left out, with the bias at rural stations."""
+    data = stored(folds.with_kfold(full_table(spark, sf_dir), [F.col("station_id"), F.col("datum")]), "weights")
+    features, parts = scenarios.ladder(data.columns)["M4"], []
+    for scheme, fold in (("kfold", "fold"), ("stations", "station_id")):
+        for offset in WEIGHT_OFFSETS:
+            models = boost.fit_binned(boost.binned(data, features, fold, offset=offset), **SMALL)
+            out = boost.predict_folds(data, models, fold)
+            parts.append(out.select("station_id", F.lit(scheme).alias("scheme"), F.lit("none" if offset is None else str(offset)).alias("offset"), F.col("bap").alias("y"), "pred"))
+    predictions = stored(union(parts), "weighted")
+    by_station = _with_types(spark, sf_dir, metrics.metrics_by(predictions, "scheme", "offset", "station_id"))
+    medians = by_station.groupBy("scheme", "offset").agg(
+        F.median("r2").alias("median_r2"), F.avg(F.when(F.col("typ_oblasti") == "R", F.abs("mbe"))).alias("rural_mean_abs_mbe")
+    )
+    pooled = metrics.metrics_by(predictions, "scheme", "offset").select("scheme", "offset", "n", "r2", "rmse", "mae")
+    return metrics.rounded(pooled.join(medians, ["scheme", "offset"]))
+
+
+register("boosted_weights", boosted_weights)
+
+
 def rural_yearly_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly means at rural background stations: observed, by the model of all rows, without the station, and without proxies too."""
-    data = rows(spark, sf_dir)
-    free = [c for c in FEATURES if c not in PROXIES]
-    out = linear.ridge_oof(linear.ridge_oof(data, FEATURES, "station_id"), free, "station_id", name="v")
-    out = linear.ridge_fit_predict(out, FEATURES, name="production")
+    """Yearly means at rural background stations: observed, by the model of all rows, without the station, and without proxies too.
+
+    At stations without observations both models of all rows tell every day; there is nothing to leave out.
+    """
+    data = full_table(spark, sf_dir)
+    m4, v = (scenarios.ladder(data.columns)[name] for name in ("M4", "V"))
+    out = _held_out(data, "station_id", {"loso": m4, "v": v})
+    for name, features in (("production", m4), ("v_all", v)):
+        out = boost.fit_monotone(data, features, **SMALL).predict(out, name)
     out = _with_types(spark, sf_dir, out).where("typ_oblasti = 'R' AND typ_zdroja = 'B'")
     return metrics.rounded(out.groupBy("station_id", F.year("datum").alias("year")).agg(
         F.count("bap").alias("n_obs"), F.avg("bap").alias("obs_ym"), F.avg("production").alias("prod_ym"),
-        F.avg(F.col("production") - F.col("bap")).alias("prod_mbe"), F.avg("ridge").alias("loso_ym"), F.avg("v").alias("v_ym"),
+        F.avg(F.col("production") - F.col("bap")).alias("prod_mbe"), F.avg("loso").alias("loso_ym"), F.avg("v").alias("v_ym"), F.avg("v_all").alias("v_all_ym"),
     ))
 
 
@@ -187,14 +274,56 @@ register("rural_yearly_means", rural_yearly_means)
 
 
 def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the gain by feature of the feature table and, as rows of their own, by group of features."""
-    data = stored(feature_table(spark, sf_dir), "importance")
-    features = scenarios.ladder(data.columns)["M4"]
-    shares = boost.gain_shares(boost.fit_monotone(data, features, trees=3, depth=3))
-    table = spark.createDataFrame([(c, scenarios.group_of(c), float(v)) for c, v in shares.items()], "feature string, grp string, share double")
-    by_group = table.groupBy("grp").agg(F.sum("share").alias("share"))
-    out = table.select("feature", "grp", "share").unionByName(by_group.select(F.lit(None).cast("string").alias("feature"), "grp", "share"))
-    return metrics.rounded(out)
+    """Gain of a split on average, number of splits and share of all gain by feature, with the feature's label; and sums by label."""
+    data = full_table(spark, sf_dir)
+    model = boost.fit_monotone(data, scenarios.ladder(data.columns)["M4"], trees=3, depth=3)
+    shares = boost.gain_shares(model)
+    found = [(c, scenarios.label_of(c), model.gains.get(c, 0.0) / model.splits.get(c, 1), model.splits.get(c, 0), v) for c, v in shares.items()]
+    table = spark.createDataFrame(found, "feature string, grp string, gain double, splits int, share double")
+    sums = table.groupBy("grp").agg(F.sum("gain").alias("gain"), F.sum("splits").cast("int").alias("splits"), F.sum("share").alias("share"))
+    return metrics.rounded(table.unionByName(sums.withColumn("feature", F.lit(None).cast("string"))))
 
 
 register("boosted_importance", boosted_importance)
+
+
+def _contributions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The full table with the contributions of the model of all rows, wind too."""
+    data = full_table(spark, sf_dir)
+    features = scenarios.resolve(data.columns, "base", "derived", "spatial", "lags", "emission", "directional")
+    return stored(boost.fit_monotone(data, features, trees=4, depth=3).contributions(data), "contributions"), features
+
+
+def boosted_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute contribution of each feature to ln(1 + bap), ranked, with the feature's label."""
+    data, features = _contributions(spark, sf_dir)
+    sums = data.agg(*[F.avg(F.abs(F.col("contributions")[k])).alias(c) for k, c in enumerate(features)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(scenarios.label_of(c)).alias("grp"), F.round(c, 6).alias("mean_abs")) for c in features])
+    out = sums.select(F.inline(pairs))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature")))
+
+
+register("boosted_attribution", boosted_attribution)
+
+
+def attribution_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of each driver and of its contribution in 20 quantile bins of the driver."""
+    data, features = _contributions(spark, sf_dir)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.col("contributions")[features.index(c)].alias("s")) for c in scenarios.DRIVERS])
+    return metrics.rounded(reports.quantile_trends(data.select(F.inline(pairs)), "feature", "x", "s", 20))
+
+
+register("attribution_trends", attribution_trends)
+
+
+def unseen_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of all stations in the codes of those that are not rural: labels that training did not have are -1."""
+    stations = fixture(spark, sf_dir, "fx_station").withColumn("type", X.type_code("typ_oblasti", "typ_zdroja"))
+    codes = reports.category_codes(stations.where("typ_oblasti <> 'R'"), "type")
+    return reports.encode(stations, codes, "type").groupBy("type", "type_code").agg(F.count("*").alias("n"))
+
+
+register("unseen_labels", unseen_labels, with_fixtures("fx_station", """,
+t AS (SELECT typ_oblasti || typ_zdroja AS type, typ_oblasti <> 'R' AS seen FROM fx_station),
+c AS (SELECT type, CAST(dense_rank() OVER (ORDER BY type) - 1 AS INT) AS type_code FROM (SELECT DISTINCT type FROM t WHERE seen))
+SELECT t.type, coalesce(type_code, -1) AS type_code, count(*) AS n FROM t LEFT JOIN c ON t.type = c.type GROUP BY 1, 2"""))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fillwise.sources import pointers
+
+# Fixed values of the formats: columns of station metadata and of verified observations.
 STATION_META = T.StructType(
     [
         T.StructField("EOI", T.StringType()), T.StructField("NAME", T.StringType()), T.StructField("LAT", T.DoubleType()),
@@ -60,6 +63,43 @@ def read_met_cube(cube: DataFrame, stations: DataFrame, x: str = "x", y: str = "
     return cube.join(stations.select("eoi", x, y), [x, y]).drop(x, y)
 
 
+def chunked_cube(rows: DataFrame, keys: list[str], values: list[str], hours: int = 24, size: tuple[int, int] = (8, 8)) -> DataFrame:
+    """Chunks of a grid (keys..., cy, cx, an array for each value) from long rows (keys..., h, y, x, values...).
+
+    An array has the values of ``hours`` hours and size[0] by size[1] nodes, the hour first, then y, then x; what no row tells is null.
+    """
+    ny, nx = size
+    at = ((F.col("h") * ny + F.pmod("y", F.lit(ny))) * nx + F.pmod("x", F.lit(nx))).cast("int")
+    placed = rows.where(F.col("h").between(0, hours - 1)).select(
+        *keys, F.floor(F.col("y") / ny).cast("int").alias("cy"), F.floor(F.col("x") / nx).cast("int").alias("cx"), at.alias("__at"), *values
+    )
+    places = F.sequence(F.lit(0), F.lit(hours * ny * nx - 1))
+    found = placed.groupBy(*keys, "cy", "cx").agg(*[F.map_from_entries(F.collect_list(F.struct("__at", v))).alias(v) for v in values])
+
+    def dense(v: str) -> Column:
+        return F.transform(places, lambda k: F.try_element_at(v, k)).alias(v)
+
+    return found.select(*keys, "cy", "cx", *map(dense, values))
+
+
+def read_chunks(
+    chunks: DataFrame, stations: DataFrame, values: list[str], hours: int = 24, size: tuple[int, int] = (8, 8), key: str = "eoi", x: str = "x", y: str = "y",
+    base: str = "base", file_name: str = "file",
+) -> DataFrame:
+    """(key, time, values...) at the stations' nodes from chunked_cube: a station meets its chunks by an equi join and its values by index.
+
+    Only chunks that hold a station are joined, each once for each of its stations. The time is the base date, or else the
+    date in the file's name, plus the hour. Hours without any value are left out.
+    """
+    ny, nx = size
+    places = stations.select(key, F.floor(F.col(y) / ny).cast("int").alias("cy"), F.floor(F.col(x) / nx).cast("int").alias("cx"), F.pmod(y, F.lit(ny)).alias("__y"), F.pmod(x, F.lit(nx)).alias("__x"))
+    met = chunks.join(places, ["cy", "cx"])
+    at = lambda h: ((h * ny + F.col("__y")) * nx + F.col("__x")).cast("int")
+    series = F.transform(F.sequence(F.lit(0), F.lit(hours - 1)), lambda h: F.struct(h.alias("h"), *[F.get(F.col(v), at(h)).alias(v) for v in values]))
+    rows = met.select(key, base, file_name, F.inline(series)).where(F.coalesce(*[F.col(v).cast("string") for v in values]).isNotNull())
+    return rows.select(key, hour_timestamp("h", base, file_name).alias("time"), *values)
+
+
 def select_years(df: DataFrame, years: list[int], column: str = "year") -> DataFrame:
     """On a table partitioned by year this prunes partitions."""
     return df.where(F.col(column).isin(*years))
@@ -113,3 +153,33 @@ class Run:
 
     def result(self, table: str) -> str:
         return f"{self.root}/runs/{self.name}/results/{table}"
+
+    def publish(self, df: DataFrame, version: str) -> None:
+        """Writes a stage's table to a folder of its own and then points to it; of older folders the last one stays for its readers.
+
+        Until the pointer is in place nobody sees the new folder. What a killed run left goes with the next one.
+        """
+        spark, at = df.sparkSession, self.stage(version)
+        done = self._published(spark, version)
+        number = done[-1] + 1 if done else 0
+        df.write.mode("overwrite").parquet(f"{at}/data-{number}")
+        pointers.put(spark, f"{at}/live-{number}", f"data-{number}")
+        for name in pointers.names(spark, at):
+            if int(name.rpartition("-")[2]) < number - 1:
+                pointers.remove(spark, f"{at}/{name}")
+
+    def _published(self, spark: SparkSession, version: str) -> list[int]:
+        names = pointers.names(spark, self.stage(version))
+        return sorted(int(n.removeprefix("live-")) for n in names if n.removeprefix("live-").isdigit())
+
+    def open(self, spark: SparkSession, version: str) -> DataFrame:
+        """The live table of a stage."""
+        done = self._published(spark, version)
+        if not done:
+            raise ValueError(f"stage {version} of run {self.name} is not published")
+        at = self.stage(version)
+        return spark.read.parquet(f"{at}/{pointers.read(spark, f'{at}/live-{done[-1]}')}")
+
+    def extend(self, spark: SparkSession, version: str, newer: str, columns: DataFrame, keys: list[str]) -> None:
+        """Publishes a stage made from another one: its rows with further columns where the keys have them."""
+        self.publish(self.open(spark, version).join(columns, keys, "left"), newer)

@@ -248,7 +248,7 @@ def test_contributions_are_shapley_values_and_add_up(spark):
     data = [(*(float(v) if rng.random() > 0.1 else None for v in x), float(np.exp(x[0] - x[1] * x[2] / 2 + x[3] / 9))) for x in rng.normal(size=(300, 4))]
     df = spark.createDataFrame(data, "a double, b double, c double, d double, bap double")
     model = boost.fit_monotone(df, ["a", "b", "c", "d"], directions={"a": 1}, trees=3, depth=4)
-    out = model.contributions(model.predict(df)).select("*", F.array(*model.bins()).alias("bins")).collect()
+    out = model.contributions(model.predict(df)).select("*", model.bins().alias("bins")).collect()
     for r in out:
         assert math.log1p(r["pred"]) == pytest.approx(model.expected() + sum(r["contributions"])) or r["pred"] == 0.0
     for r in out[:40]:
@@ -318,3 +318,94 @@ def test_blocks_at_the_edge_take_what_they_have(spark):
     pixels = spark.createDataFrame([(x, y, -9999.0 if x == 4 or (x, y) == (0, 0) else float(10 * x + y)) for x in range(5) for y in range(3)], "px int, py int, e double")
     got = {(r["xi"], r["yi"]): r["e"] for r in grid.block_means(pixels, "e", 2).collect()}
     assert got == {(0, 0): pytest.approx((1 + 10 + 11) / 3), (1, 0): 25.5, (2, 0): None, (0, 1): 7.0, (1, 1): 27.0, (2, 1): None}
+
+
+def test_late_rows_are_merged_within_the_watermark_and_dropped_beyond(spark, tmp_path):
+    """The second of four triggers moves the watermark to day 8; rows are late by it from the fourth on: day 9 counts, day 1 does not."""
+    hour = lambda d, h, s, t: (s, dt.datetime(2024, 1, d, h), t, 1.0, 2.0, 100.0 + h, 0.5, -3.0)
+    files = [[hour(1, h, 1, 270.0 + h) for h in range(6)], [hour(10, 3, 1, 280.0), hour(9, 2, 2, 281.0)], [hour(10, 4, 1, 282.0)], [hour(9, 5, 2, 290.0), hour(1, 9, 1, 300.0)]]
+    schema = "station_id long, time timestamp, t2m double, u10 double, v10 double, hpbl double, rain double, sshf double"
+    for k, part in enumerate(files):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    save = ingest.upserts_into(f"file://{tmp_path}/out", ["station_id", "datum"], "n", buckets=4)
+    query = ingest.stream_daily(stream).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r["station_id"], str(r["datum"])): r for r in ingest.current(spark, f"file://{tmp_path}/out").collect()}
+    in_time = [r for part in files for r in part if (r[0], r[1].day, r[1].hour) != (1, 1, 9)]
+    want = {(r["station_id"], str(r["datum"])): r for r in daily.daily_features(spark.createDataFrame(in_time, schema)).collect()}
+    assert got.keys() == want.keys() and got[2, "2024-01-09"]["n"] == 2 and ingest.dropped(query) > 0
+    for k, r in want.items():
+        for c in r.asDict():
+            assert got[k][c] == (pytest.approx(r[c]) if isinstance(r[c], float) else r[c]), c
+
+
+def test_a_killed_batch_shows_nothing_and_old_versions_go(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    merge = ingest.upserts_into(path, ["k"], "at", buckets=4)
+    batch = lambda *rows_: spark.createDataFrame(list(rows_), "k long, at long, v string")
+    seen = lambda: {r["k"]: r["v"] for r in ingest.current(spark, path).collect()}
+    assert ingest.current(spark, path) is None
+    merge(batch(*((k, 1, "a") for k in range(20))), 0)
+    first = seen()
+    with monkeypatch.context() as m:
+        m.setattr(ingest.pointers, "put", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            merge(batch((3, 2, "b")), 1)
+    assert seen() == first  # the folder is there, no manifest names it
+    merge(batch((3, 2, "b")), 1)
+    merge(batch((3, 2, "b")), 1)  # the batch runs again
+    assert seen() == {**first, 3: "b"} and ingest.manifests(spark, path) == [0, 1]
+    for n in range(2, 6):
+        merge(batch(*((k, n, f"v{n}") for k in range(0, 20, 2))), n)
+    assert seen() == {k: "v5" if k % 2 == 0 else "b" if k == 3 else "a" for k in range(20)}
+    assert ingest.manifests(spark, path) == [4, 5]
+    named = {(v, b) for n in (5, 6) for b, v in ingest.live(spark, path, n).items()} | {(v, b) for b, v in ingest.live(spark, path).items()}
+    there = {(int(f.parent.name[8:]), int(f.name[7:])) for f in (tmp_path / "t").glob("version=*/bucket=*")}
+    assert there == named and len(there) <= 8
+    merge(batch().limit(0), 6)  # an empty batch changes nothing
+    assert len(seen()) == 20
+
+
+def test_stages_are_published_whole(spark, tmp_path, monkeypatch):
+    run = tables.Run(f"file://{tmp_path}")
+    table = lambda v: spark.createDataFrame([(1, v), (2, v)], "k int, v int")
+    with pytest.raises(ValueError):
+        run.open(spark, "v4")
+    run.publish(table(1), "v4")
+    with monkeypatch.context() as m:
+        m.setattr(tables.pointers, "put", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            run.publish(table(2), "v4")
+    assert {r["v"] for r in run.open(spark, "v4").collect()} == {1}
+    for v in (3, 4, 5):
+        run.publish(table(v), "v4")
+    assert {r["v"] for r in run.open(spark, "v4").collect()} == {5}
+    assert sorted(p.name for p in (tmp_path / "runs/default/stages/v4").iterdir() if not p.name.startswith(".")) == ["data-2", "data-3", "live-2", "live-3"]
+    run.extend(spark, "v4", "v5", spark.createDataFrame([(1, 9.5)], "k int, w double"), ["k"])
+    assert sorted(map(tuple, run.open(spark, "v5").collect())) == [(1, 5, 9.5), (2, 5, None)]
+
+
+def test_chunks_of_a_cube(spark):
+    """Odd sizes, nodes without values, two stations at one node, one outside; dates from the attribute or the file's name."""
+    rng = np.random.default_rng(6)
+    cube = [(f, b, h, y, x, float(rng.normal())) for f, b in (("m_20240105.nc", None), ("any.nc", "2024-02-01")) for h in range(3) for y in range(5) for x in range(7) if rng.random() < 0.7]
+    long = spark.createDataFrame(cube, "file string, base string, h int, y int, x int, t double")
+    stations = [("a", 0, 0), ("b", 6, 4), ("c", 6, 4), ("out", 40, 1)]
+    chunks = tables.chunked_cube(long, ["file", "base"], ["t"], hours=3, size=(2, 3))
+    assert {r[0] for r in chunks.select(F.size("t")).collect()} == {18}
+    got = tables.read_chunks(chunks, spark.createDataFrame(stations, "eoi string, x int, y int"), ["t"], hours=3, size=(2, 3))
+    day = {"m_20240105.nc": dt.datetime(2024, 1, 5), "any.nc": dt.datetime(2024, 2, 1)}
+    want = [(e, day[f] + dt.timedelta(hours=h), t) for e, sx, sy in stations for f, _, h, y, x, t in cube if (x, y) == (sx, sy)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_read_csv_and_verified_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,NaN\n2,2.5\n3,\n")
+    assert sorted((r["k"], r["v"]) for r in tables.read_csv(spark, f"file://{tmp_path}/a.csv", "k int, v double").collect()) == [(1, None), (2, 2.5), (3, None)]
+    names = tables.VERIFIED_COLUMNS
+    spark.createDataFrame([("SPO-1", "2024-01-01", "1.5", 1, 1, "day", "big")], ", ".join(f"{c} {'int' if c.startswith('V') and c != 'Value' else 'string'}" for c in (*names, "Extra"))).write.parquet(f"{tmp_path}/v")
+    got = tables.read_verified(spark, [f"file://{tmp_path}/v"])
+    assert got.columns == list(names) and "Extra" not in got._jdf.queryExecution().executedPlan().toString()
+    cube = spark.createDataFrame([(0, 1, 5.0), (3, 1, 6.0)], "x int, y int, v double")
+    assert tables.read_met_cube(cube, spark.createDataFrame([("s", 3, 1)], "eoi string, x int, y int")).first().asDict() == {"eoi": "s", "v": 6.0}
