@@ -1,9 +1,9 @@
 """Licence notices by conditional compression.
 
 Every text is covered by short overlapping blocks of words. A block is compressed on its own and with all templates as one raw
-zstandard dictionary; where that saves bytes, the block is a candidate and is compressed with each template as the
-dictionary. Candidates and the words around them form regions, and the templates of a region are ranked by the bytes
-that they save. Each that saves any is then compared by exact wording: the words of the template that the region
+zstandard dictionary; where that saves bytes, or the block has the words of a template in any order, it is a candidate and is
+compressed with each template as the dictionary. Candidates and the words around them form regions, and the templates of a region are ranked by the bytes
+that they save. Each that saves any, or whose words are there, is then compared by exact wording: the words of the template that the region
 lacks, in order, and the words that the region has between them. The template that explains most words is reported with
 both lists, its words leave the region, and so on until no template is confirmed in what is left.
 """
@@ -52,8 +52,8 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }
-#: Words of a block and from one block to the next; least bytes that all templates save in a candidate; most of a template's
-#: words missing. A template of few words saves more than this in some block of any text that has them side by side.
+#: Words of a block and from one block to the next; bytes that all templates save in a candidate; most of a template's words
+#: missing. A notice of up to STEP + 1 words lies whole in some block, which is a candidate by its words whatever it saves.
 BLOCK, STEP, MIN_SAVED, MAX_MISSING = 40, 20, 6, 0.1
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 _FRAME = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
@@ -105,6 +105,9 @@ class Scanner:
             self.codes.setdefault(word, len(self.codes))
         self.coded = {k: np.array([self.codes[w] for w in t]) for k, t in self.words.items()}
         self.counts = {k: np.bincount(c, minlength=len(self.codes)) for k, c in self.coded.items()}
+        self.names = list(self.words)
+        self.different = np.array([self.counts[k] > 0 for k in self.names], np.float32).reshape(len(self.names), -1)
+        self.enough = np.array([len(set(w)) - int(MAX_MISSING * len(w)) for w in self.words.values()], np.float32)
         self.alone = zstandard.ZstdCompressor(level=3, **_FRAME)
         content = {k: " ".join(w).encode("utf-8", "surrogatepass") for k, w in self.words.items()}
         self.with_template = {k: _with_dictionary(c) for k, c in content.items()}
@@ -113,15 +116,37 @@ class Scanner:
     def candidates(self, words: list[str]) -> list[tuple[int, int, dict[str, int]]]:
         """(first word, end, bytes saved by each template that saves any) of each stretch of candidate blocks."""
         found: list[tuple[int, int, dict[str, int]]] = []
+        there = self._there(words)
         for a in range(0, max(1, len(words) - STEP), STEP):
             block = " ".join(words[a : a + BLOCK]).encode("utf-8", "surrogatepass")
-            alone = len(self.alone.compress(block))
-            if alone - len(self.with_all.compress(block)) < MIN_SAVED:
+            alone, possible = len(self.alone.compress(block)), there.get(a, ())
+            if not possible and alone - len(self.with_all.compress(block)) < MIN_SAVED:
                 continue
-            saved = {k: n for k, c in self.with_template.items() if (n := alone - len(c.compress(block))) > 0}
+            saved = {k: n for k, c in self.with_template.items() if (n := alone - len(c.compress(block))) > 0 or k in possible}
             self._join(found, max(0, a - self.reach), min(len(words), a + BLOCK + self.reach), saved)
         return found
 
+    def _there(self, words: list[str]) -> dict[int, set[str]]:
+        """Of the blocks that have (nearly) all different words of a template, the templates by the block's first word."""
+        out: dict[int, set[str]] = {}
+        at = [i for i, w in enumerate(words) if w in self.codes]
+        if not at:
+            return out
+        code, step = np.array([self.codes[words[i]] for i in at]), np.array(at) // STEP
+        # a block is its own step and the next one; steps without such words are skipped
+        steps = np.unique(np.concatenate([step, step - 1]))
+        for lo in range(0, len(steps), 4096):
+            some = steps[lo : lo + 4096]
+            have = np.zeros((len(some), len(self.codes)), np.float32)
+            for shift in (0, 1):
+                place = np.searchsorted(some, step - shift)
+                hit = (place < len(some)) & (some[np.minimum(place, len(some) - 1)] == step - shift)
+                have[place[hit], code[hit]] = 1
+            block, template = np.nonzero(have @ self.different.T >= self.enough)
+            for b, t in zip(block, template, strict=True):
+                out.setdefault(max(0, int(some[b])) * STEP, set()).add(self.names[t])
+        return out
+
     @staticmethod
     def _join(found: list[tuple[int, int, dict[str, int]]], first: int, end: int, saved: dict[str, int]) -> None:
         """Adds a stretch, as part of the last one where they meet."""
@@ -187,7 +212,9 @@ class Scanner:
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first_line, last_line, license, saved, missing, added), a row for each confirmed notice.
 
-    Every block of every text is compressed. Null and empty texts have no notices. Repeated rows are scanned each for
+    Every block of every text is compressed. A confirmed notice may have any words of its region between its own; they are its
+    ``added`` words. Where notices overlap, the one that explains most words takes them; ties go to the one that saves more
+    bytes, then by name. ``saved`` may be below 0 for short templates. Null and empty texts have no notices. Repeated rows are scanned each for
     itself. Very long texts are scanned block by block. Without templates nothing is found. An empty table gives an
     empty result. Other columns are ignored.
     """

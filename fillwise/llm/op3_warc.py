@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import scratch_path, texts_of, with_groups, written
+from fillwise.llm.common import KeyFilter, scratch_path, texts_of, with_groups, written
 
 VERSION, BLOCK = b"WARC/1.1", 1 << 16
 ARCHIVE_BYTES = 64 << 20
@@ -106,20 +106,24 @@ def write_archives(
 
     The payload is the html in UTF-8, empty for null. Of the rows with equal payloads (by SHA-256) of at least ``min_bytes``, that
     with the largest id is the response and the others are revisits that name it. Rows with a null id are responses.
-    Rows repeated with one id: one record each, all responses where the id is the largest. Null urls are written as
+    Rows repeated with one id: one record each, with that row's payload; all are responses where the id is the largest that
+    has the payload, and a payload is looked at by itself whatever other payloads its ids have. Null urls are written as
     ``urn:none``. Very long pages are one record each, read back in blocks. An empty table gives no archive. Other columns
     are ignored.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = texts_of(pages).select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
-    )
-    sums = rows.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull())
-    sums = sums.select("page_id", F.sha2("html", 256).alias("sum"))
+    ).withColumn("at", F.struct("page_id", F.sha2("html", 256).alias("sum")))
+    sums = rows.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).select("at.*")
     best = sums.groupBy("sum").agg(F.max("page_id").alias("first"), F.min("page_id").alias("last"), F.count("*").alias("n"))
-    revisits = with_groups(sums, written(best.where("first <> last"), "payloads"), "sum").where("page_id <> first").select(F.col("page_id").alias("__id"), "first").distinct()
-    revisits = written(revisits, "revisits")
-    rows = rows.join(revisits, F.col("page_id") == F.col("__id"), "left").drop("__id")
+    revisits = with_groups(sums, written(best.where("first <> last"), "payloads"), "sum").where("page_id <> first")
+    revisits = written(revisits.select(F.struct("page_id", "sum").alias("at"), "first").distinct(), "revisits")
+    # an id with a payload is what revisits; only rows that may do so meet them
+    marked = KeyFilter(revisits, "at").mark(rows, "at", "hit")
+    names = ["page_id", "url", "html", "first"]
+    rows = marked.where(~F.col("hit")).withColumn("first", F.lit(None).cast(kind)).select(names)
+    rows = rows.unionByName(marked.where("hit").join(revisits, "at", "left").select(names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, top = _open(folder)
