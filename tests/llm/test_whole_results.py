@@ -20,7 +20,7 @@ def test_every_verbatim_notice_is_reported(sf):
             n = words.count(f" {' '.join(template)} ")
             assert got[name] >= n, (doc_id, name)
             found += n
-    assert found >= 10
+    assert found >= 3
 
 
 @settings(max_examples=60, deadline=None)
