@@ -6,7 +6,9 @@ the fractional part is its inclusion probability. The cube method decides: in th
 documents at a time move along the direction in which neither the number of documents nor the number of words of the
 source changes, until one of them reaches 0 or 1. Chunks of a source fly on their own; the two or three documents
 that each chunk leaves undecided fly again together, level by level, until one small landing problem a source is left:
-at most 13 documents, for which all choices are compared.
+at most 13 documents, for which all choices are compared. Documents of more than a hundredth of their source's target are
+decided before the others, which then share what is left of the target: no small document could make up for one of them
+that the flight leaves for the end.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import types as T
 
 from fillwise.llm.common import WORD, written
 
-#: Documents that fly together, and those that wait for the landing of their source.
-CHUNK, POOL = 4000, 10
+#: Documents that fly together, those that wait for the landing of their source, and the part of a target from which a
+#: document is decided before the others.
+CHUNK, POOL, LARGE = 4000, 10, 100
 
 
 def source_targets(sizes: DataFrame, max_repeats: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
@@ -82,13 +85,17 @@ def fly(ids: list, size: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
     return p
 
 
-def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The landing phase for the documents that stay undecided: the choice nearest to their expected words and number."""
+def land(size: np.ndarray, p: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The landing phase for the documents that stay undecided: the choice nearest to their expected words and number.
+
+    Words off by less than ``low`` or more than ``high`` are more than the others can make up for.
+    """
     open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
     choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
     off = choices - p[open_]
     words, number = off @ size[open_].astype(float), off.sum(axis=1)
-    cost = np.abs(words) / max(1.0, float(size.mean())) + 0.02 * np.abs(number)
+    beyond = np.maximum(0.0, np.maximum(low - words, words - high))
+    cost = (np.abs(words) + 1000 * beyond) / max(1.0, float(size.mean())) + 0.02 * np.abs(number)
     out = p.copy()
     out[open_] = choices[np.argmin(cost)]
     return out
@@ -108,12 +115,36 @@ def _level(rows: DataFrame, chunk: int, last: bool, seed: int, name: str) -> Dat
         size, p = part["size"].to_numpy(), part["p"].to_numpy()
         fliers = max(0, len(p) - POOL) if last else len(p)
         p = np.concatenate([fly(keys[:fliers], size[:fliers], p[:fliers], seed), p[fliers:]])
-        return part.set_column(columns.index("p"), "p", pa.array(land(size, p) if last else p, pa.float64()))
+        if last:
+            p = land(size, p, part["low"][0].as_py(), part["high"][0].as_py())
+        return part.set_column(columns.index("p"), "p", pa.array(p, pa.float64()))
 
     schema = T.StructType([f for f in rows.schema if f.name in columns])
     return written(rows.groupBy("source", "chunk").applyInArrow(run, schema), name)
 
 
+def _decided(rows: DataFrame, chunk: int, seed: int, name: str) -> DataFrame:
+    """The rows with p 0 or 1: flights of chunks, level by level, then the landing."""
+    done: list[DataFrame] = []
+    n = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    level = 0
+    while True:
+        last = n <= chunk
+        rows = _level(rows, chunk, last, seed + level, name)
+        if last:
+            done.append(rows)
+            break
+        settled = (F.col("p") < 1e-9) | (F.col("p") > 1 - 1e-9)
+        done.append(rows.where(settled))
+        rows = rows.where(~settled)
+        n = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        level += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def balanced_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None,
     max_repeats: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), chunk: int = CHUNK, seed: int = 7,
@@ -137,23 +168,20 @@ def balanced_mix(
     rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "t.source_size", "t.target")
     m = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     rows = rows.withColumn("base", F.floor(m + F.lit(1e-12)).cast("int")).withColumn("p", F.greatest(m - F.col("base"), F.lit(0.0)))
-    done: list[DataFrame] = []
-    n = sizes.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    level = 0
-    while True:
-        last = n <= chunk
-        rows = _level(rows, chunk, last, seed + level, "mix-level")
-        if last:
-            done.append(rows)
-            break
-        settled = (F.col("p") < 1e-9) | (F.col("p") > 1 - 1e-9)
-        done.append(rows.where(settled))
-        rows = rows.where(~settled)
-        n = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-        level += 1
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+    large = F.col("size") * LARGE > F.col("target")
+    heavy = rows.where(large).groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("theirs"))
+    first = rows.where(large).join(written(heavy, "large"), F.col("source").eqNullSafe(F.col("of")))
+    # what the others can take less or more than their share
+    spare = F.col("source_size") - F.col("theirs")
+    first = first.withColumns({"low": (F.col("base") + F.col("p") - float(max_repeats)) * spare, "high": (F.col("base") + F.col("p")) * spare})
+    out = _decided(first.select(*rows.columns, "low", "high"), chunk, seed, "mix-large")
+    took = out.groupBy(F.col("source").alias("of")).agg(F.sum((F.col("base") + F.rint("p")) * F.col("size")).alias("took"), F.sum("size").alias("theirs"))
+    rest = rows.where(~large).join(written(took, "took"), F.col("source").eqNullSafe(F.col("of")), "left")
+    m = F.greatest(F.lit(0.0), F.least(F.lit(float(max_repeats)), F.try_divide(F.col("target") - F.col("took"), F.col("source_size") - F.col("theirs"))))
+    m = F.when(F.col("took").isNull(), F.col("base") + F.col("p")).otherwise(F.coalesce(m, F.lit(0.0)))
+    rest = rest.withColumn("m", m).withColumn("base", F.floor(F.col("m") + F.lit(1e-12)).cast("int"))
+    rest = rest.withColumn("p", F.greatest(F.col("m") - F.col("base"), F.lit(0.0))).select(*rows.columns, F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
+    out = out.unionByName(_decided(rest, chunk, seed, "mix-level"))
     repeats = (F.col("base") + F.rint("p")).cast("int")
     return out.select(
         "doc_id", "source", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"), *own
