@@ -31,13 +31,24 @@ def ridge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rounded(out.select("station_id", F.col("datum").cast("string").alias("datum"), "block", "ridge"))
 
 
-register("ridge_blocks", ridge_blocks, with_fixtures("fx_series", _OOF + """,
-r AS (SELECT b.station_id, b.datum, b.block, x1, ln(1 + bap) AS y, 1 / (bap + 0.5) AS w FROM b),
+#: Out-of-fold ridge on x1, in sums by fold; FOLD stands for the fold's expression.
+_RIDGE = """,
+r AS (SELECT b.station_id, b.datum, FOLD AS block, x1, ln(1 + bap) AS y, 1 / (bap + 0.5) AS w FROM b),
 f AS (SELECT block, count(*) AS n, sum(x1) AS x, sum(x1 * x1) AS xx, sum(w) AS w, sum(w * x1) AS wx, sum(w * x1 * x1) AS wxx, sum(w * y) AS wy, sum(w * x1 * y) AS wxy FROM r GROUP BY block),
 a AS (SELECT sum(n) AS n, sum(x) AS x, sum(xx) AS xx, sum(w) AS w, sum(wx) AS wx, sum(wxx) AS wxx, sum(wy) AS wy, sum(wxy) AS wxy FROM f),
 t AS (SELECT f.block, a.n - f.n AS n, a.x - f.x AS x, a.xx - f.xx AS xx, a.w - f.w AS w, a.wx - f.wx AS wx, a.wxx - f.wxx AS wxx, a.wy - f.wy AS wy, a.wxy - f.wxy AS wxy FROM f, a),
 c AS (SELECT block, wx / w AS xm, wy / w AS ym, (wxy - wx * wy / w) / sqrt(xx / n - x / n * x / n) / ((wxx - wx * wx / w) / (xx / n - x / n * x / n) + 1) / sqrt(xx / n - x / n * x / n) AS slope FROM t)
-SELECT station_id, CAST(datum AS VARCHAR) AS datum, r.block, round(greatest(0, exp(ym + slope * (x1 - xm)) - 1), 6) AS ridge FROM r JOIN c ON r.block = c.block"""))
+SELECT station_id, CAST(datum AS VARCHAR) AS datum, r.block, round(greatest(0, exp(ym + slope * (x1 - xm)) - 1), 6) AS ridge FROM r JOIN c ON r.block = c.block"""
+register("ridge_blocks", ridge_blocks, with_fixtures("fx_series", _OOF + _RIDGE.replace("FOLD", "b.block")))
+
+
+def ridge_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for each station by ridge on one feature of all the others."""
+    out = linear.ridge_oof(rows(spark, sf_dir), ["x1"], "station_id")
+    return metrics.rounded(out.select("station_id", F.col("datum").cast("string").alias("datum"), F.col("station_id").alias("block"), "ridge"))
+
+
+register("ridge_stations", ridge_stations, with_fixtures("fx_series", _OOF + _RIDGE.replace("FOLD", "b.station_id")))
 
 
 def ridge_loso(spark: SparkSession, sf_dir: str) -> DataFrame:

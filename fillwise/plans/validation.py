@@ -96,6 +96,32 @@ register("boosted_loso", boosted_loso, with_fixtures("fx_series", _OOF + ",\n" +
 SELECT station_id, CAST(datum AS VARCHAR) AS datum, round(greatest(0, exp(m) - 1), 6) AS boosted FROM r JOIN m3 ON r.k = m3.k AND r.v = m3.v"""))
 
 
+def kfold_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by fold of two stumps, under five folds that a rule deals."""
+    fold = F.pmod(F.col("station_id") * 31 + F.dayofyear("datum"), F.lit(5)).cast("int")
+    out = boost.boosted_oof(stored(rows(spark, sf_dir).withColumn("fold", fold), "rows"), ["level"], "fold", directions={}, trees=2, depth=1)
+    return metrics.rounded(metrics.metrics_by(out.select("fold", F.col("bap").alias("y"), F.col("boosted").alias("pred")), "fold"))
+
+
+register("kfold_stumps", kfold_stumps, with_fixtures("fx_series", _OOF + ",\n" + _stumps_sql("CAST((station_id * 31 + dayofyear(datum)) % 5 AS INT)", 2) + """,
+scored AS (SELECT r.k, bap AS y, greatest(0, exp(m) - 1) AS p FROM r JOIN m2 ON r.k = m2.k AND r.v = m2.v)
+SELECT k AS fold, count(*) AS n, round(pow(corr(y, p), 2), 6) AS r2, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae,
+  round(avg(p - y), 6) + 0 AS mbe, round(avg(y), 6) AS obs_mean, round(avg(p), 6) AS pred_mean FROM scored GROUP BY k"""))
+
+
+def stump_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of the gains and number of splits of two stumps of all rows."""
+    model = boost.fit_monotone(stored(rows(spark, sf_dir), "rows"), ["level"], directions={}, trees=2, depth=1)
+    return metrics.rounded(spark.createDataFrame([(c, float(model.gains[c]), model.splits[c]) for c in model.gains], "feature string, gain double, splits int"), 4)
+
+
+_GAIN = "gl * gl / (hl + 1.2) + gr * gr / (hr + 1.2) - (gl + gr) * (gl + gr) / (hl + hr + 1.2)"
+register("stump_importance", stump_importance, with_fixtures("fx_series", _OOF + ",\n" + _stumps_sql("1", 2).replace(
+    "tot.w - coalesce(h.w, 0) AS w, tot.wy - coalesce(h.wy, 0) AS wy", "tot.w, tot.wy") + f"""
+SELECT 'level' AS feature, round(sum(g), 4) AS gain, CAST(count(*) AS INT) AS splits
+FROM (SELECT {_GAIN} AS g FROM s1 WHERE place = 1 UNION ALL SELECT {_GAIN} FROM s2 WHERE place = 1)"""))
+
+
 def stump_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the station level adds to each prediction of three stumps of all rows, with the mean that it is added to."""
     data = stored(rows(spark, sf_dir), "rows")
@@ -238,7 +264,7 @@ def boosted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     features, parts = scenarios.ladder(data.columns)["M4"], []
     for scheme, fold in (("kfold", "fold"), ("stations", "station_id")):
         for offset in WEIGHT_OFFSETS:
-            models = boost.fit_binned(boost.binned(data, features, fold, offset=offset), **SMALL)
+            models = boost.fit_binned(boost.binned(data, features, fold, offset=offset), trees=2, depth=2)
             out = boost.predict_folds(data, models, fold)
             parts.append(out.select("station_id", F.lit(scheme).alias("scheme"), F.lit("none" if offset is None else str(offset)).alias("offset"), F.col("bap").alias("y"), "pred"))
     predictions = stored(union(parts), "weighted")
