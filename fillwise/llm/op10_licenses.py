@@ -106,7 +106,7 @@ class Scanner:
         self.coded = {k: np.array([self.codes[w] for w in t]) for k, t in self.words.items()}
         self.counts = {k: np.bincount(c, minlength=len(self.codes)) for k, c in self.coded.items()}
         self.names = list(self.words)
-        self.different = np.array([self.counts[k] > 0 for k in self.names], np.float32).reshape(len(self.names), -1)
+        self.different = np.array([self.counts[k] > 0 for k in self.names], np.float32).reshape(len(self.names), len(self.codes))
         self.enough = np.array([len(set(w)) - int(MAX_MISSING * len(w)) for w in self.words.values()], np.float32)
         self.alone = zstandard.ZstdCompressor(level=3, **_FRAME)
         content = {k: " ".join(w).encode("utf-8", "surrogatepass") for k, w in self.words.items()}
