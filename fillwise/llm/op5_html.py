@@ -3,10 +3,12 @@
 A page becomes a tree of block-level nodes in one pass of a tag scanner. Each node has features of its tag, attribute
 tokens, depth, subtree density and siblings. Gradient-boosted trees (MLlib) learn from pages that tell where their
 article is without naming it: the headline is the block that agrees with the page's title, and the article is the
-smallest part around it that holds half of the page's prose. In a third of these pages the tag and attribute features are
-blanked, so that density, links, depth and siblings are learned as well; some invented layouts are always among the
-training pages. Nodes weigh as much as the text below them, as in decoding. The fitted trees travel to the tasks as plain tables, so that a page's nodes never leave the task that
-parsed it. Decoding picks the best labels under one rule: nothing below a rejected node is kept.
+smallest part around it that holds half of the page's prose. What has a name of advertising or the like inside that part
+teaches nothing. In a third of these pages the tag and attribute features are blanked, so that density, links, depth and
+siblings are learned as well. Invented layouts, whose parts are known (adverts, footers and share bars inside articles
+too), are always among the training pages. Nodes weigh as much as the text below them, as in decoding. The fitted trees
+travel to the tasks as plain tables, so that a page's nodes never leave the task that parsed it. Decoding picks the best
+labels under one rule: nothing below a rejected node is kept.
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea template noscript iframe svg math title".split())
 #: Raw elements that may hold others of their name; svg and math may close themselves, which other raw elements cannot.
 NESTED = frozenset("svg math template".split())
+#: Elements that end svg and math when they start inside them, but for those parts of svg and math that hold HTML.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
@@ -44,23 +52,27 @@ NEGATIVE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "popup modal overlay newsletter subscribe subscription sidebar side widget widgets related recommended recommendations share "
     "sharing social menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottom copyright comment "
-    "comments reply replies respond disqus login signin signup register search pagination pager hidden toolbar skip".split()
+    "comments reply replies respond disqus login signin signup register search pagination pager hidden toolbar skip branding brand "
+    "logo tagline colophon legal credits outbrain taboola alert disclaimer crumbs discussion feedback form".split()
 )
 POSITIVE = frozenset("article articlebody content maincontent main post posts entry story text body".split())
 NAMES = ("class", "id", "role", "itemprop")
 
 #: A tag with its quotes closed; else, where a quote stays open, up to the next ``>``.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+|[^<>]*+)>", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*+)>", re.DOTALL
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
+#: What invented pages say of a part: 1 is main text, 0 is not. Other pages cannot say it.
+MARK = re.compile(r"data-part=\"([01])\"")
 
 FEATURES = (
     "boiler_tag", "article_tag", "prose_tag", "list_tag", "table_tag", "negative", "positive", "negative_above", "positive_above", "depth",
     "log_subtree", "log_own", "link_density", "text_density", "sibling_place", "log_siblings", "sibling_share",
-    "page_place", "page_share", "punctuation", "log_block_words", "names_in_page",
+    "page_place", "page_share", "punctuation", "log_block_words", "headline", "prose_share", "prose_around", "prose_alike",
+    "names_in_page",
 )
 #: Features that come from names: the first ones and the last; blanked in a third of the training pages.
 NAMED = [*range(9), -1]
@@ -71,10 +83,12 @@ MAX_PAGES, TREES, DEPTH = 1200, 25, 5
 class Page:
     """The block-level nodes of a page in document order, and its text blocks as (node, text)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, marked: bool = False):
+        """``marked``: the page is an invented one, its marks count."""
         self.parent, self.tag, self.negative, self.positive = [-1], ["html"], [0], [0]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters inside links
-        self.title, self.main = "", -1
+        self.title, self.marked = "", marked
+        self.marks: dict[int, int] = {}
         self._parse(source)
 
     def _parse(self, source: str) -> None:
@@ -152,10 +166,19 @@ class Page:
 
     @staticmethod
     def _end(source: str, name: str, at: int) -> int:
-        """Where the element that is open at ``at`` ends, elements of the same name inside it counted."""
-        depth = 1
+        """Where the element that is open at ``at`` ends, elements of the same name inside it counted.
+
+        Elements of HTML end svg and math where they start, as in browsers, unless a part that may hold HTML is open.
+        """
+        depth, html_inside = 1, 0
         for m in TAG.finditer(source, at):
-            if (m[2] or "").lower() == name:
+            other = (m[2] or "").lower()
+            if name != "template" and other != name:
+                if other in HOLDS_HTML and not m[3].endswith("/"):
+                    html_inside = max(0, html_inside + (-1 if m[1] else 1))
+                elif not html_inside and (other in BREAKOUT and not m[1] or other in ("p", "br") and m[1]):
+                    return m.start()
+            if other == name:
                 if m[1]:
                     depth -= 1
                 elif name == "template" or not m[3].endswith("/"):
@@ -165,8 +188,8 @@ class Page:
         return len(source)
 
     def _words(self, node: int, attributes: str) -> None:
-        if "data-main" in attributes:
-            self.main = node
+        if self.marked and (mark := MARK.search(attributes)):
+            self.marks[node] = int(mark[1])
         if "=" not in attributes and "hidden" not in attributes:
             return
         words = [
@@ -204,6 +227,13 @@ class Page:
         around = np.maximum(siblings[parent], 1)
         flag = lambda names: np.array([t in names for t in self.tag], float)
         whole = max(sub[0], 1.0)
+        headline, at = np.zeros(n), self.headline()
+        while at >= 0:
+            headline[at], at = 1, self.parent[at]
+        prose = self.prose()
+        alike = Counter()
+        for k in range(1, n):
+            alike[self.parent[k], self.tag[k]] += prose[k]
         names = (flag(BOILER_TAGS - {"head"}) + flag(ARTICLE_TAGS) + self.negative + self.positive > 0).mean()
         return np.column_stack(
             [
@@ -211,7 +241,9 @@ class Page:
                 np.array(self.negative, float), np.array(self.positive, float), above, article, depth,
                 np.log1p(sub), np.log1p(own), sub_link / np.maximum(sub, 1), np.log1p(sub / nodes), place / around,
                 np.log1p(around), sub / np.maximum(sub[parent], 1), np.arange(n) / n, sub / whole,
-                sub_marks / np.maximum(sub, 1), np.log1p(sub_words / np.maximum(sub_runs, 1)), np.full(n, names),
+                sub_marks / np.maximum(sub, 1), np.log1p(sub_words / np.maximum(sub_runs, 1)), headline,
+                prose / max(prose[0], 1.0), prose[parent] / max(prose[0], 1.0),
+                np.array([alike[x] for x in zip(self.parent, self.tag, strict=True)]) / max(prose[0], 1.0), np.full(n, names),
             ]
         )
 
@@ -224,24 +256,28 @@ class Page:
         )
         return best[2]
 
-    def article(self) -> int:
-        """The smallest node around the headline with half of the page's prose, -1 where that is the body or unknown.
-
-        Prose is blocks of ten words or more with a sentence mark, most of them outside of links. No name has a say.
-        """
-        at = self.headline()
+    def prose(self) -> np.ndarray:
+        """Characters of prose in and below each node: blocks of ten words or more with a sentence mark, most of them outside of links."""
         prose = np.zeros(len(self.tag))
         for node, text, links in self.blocks:
             if text.count(" ") >= 9 and any(c in text for c in ".!?") and 3 * links < len(text):
                 prose[node] += len(text)
         for k in range(len(self.tag) - 1, 0, -1):
             prose[self.parent[k]] += prose[k]
+        return prose
+
+    def article(self) -> int:
+        """The smallest node around the headline with half of the page's prose, -1 where that is the body or unknown. No name has a say."""
+        at, prose = self.headline(), self.prose()
         while at > 0 and 2 * prose[at] < prose[0]:
             at = self.parent[at]
         return at if at > 0 and self.tag[at] != "body" and prose[0] else -1
 
     def labels(self, article: int) -> list[int]:
-        """1 in the article, 0 elsewhere; -1 for the parts around it, nodes without text, and lists of links in it."""
+        """1 in the article, 0 elsewhere; -1 for the parts around it, nodes without text, and what of it may be no text.
+
+        These are lists of links, and parts of the article that have a name or an element of things around articles.
+        """
         n = len(self.tag)
         own, linked = np.zeros(n), np.zeros(n)
         for node, text, links in self.blocks:
@@ -250,7 +286,7 @@ class Page:
         for k in range(n - 1, 0, -1):
             own[self.parent[k]] += own[k]
             linked[self.parent[k]] += linked[k]
-        inside, out = [False] * n, [-1] * n
+        inside, doubt, out = [False] * n, [False] * n, [-1] * n
         around = set()
         up = article
         while up > 0:
@@ -258,10 +294,24 @@ class Page:
             around.add(up)
         for k in range(1, n):
             inside[k] = k == article or inside[self.parent[k]]
-            if own[k] and k not in around and not (inside[k] and 2 * linked[k] > own[k]):
+            named = k != article and (self.negative[k] > 0 or self.tag[k] in BOILER_TAGS)
+            doubt[k] = inside[k] and (doubt[self.parent[k]] or named)
+            if own[k] and k not in around and not doubt[k] and not (inside[k] and 2 * linked[k] > own[k]):
                 out[k] = int(inside[k])
         return out
 
+    def marked_labels(self) -> list[int]:
+        """What an invented page says of its nodes: the mark of the node or of the nearest one above; -1 without any."""
+        has = [False] * len(self.tag)
+        for node, _, _ in self.blocks:
+            has[node] = True
+        for k in range(len(self.tag) - 1, 0, -1):
+            has[self.parent[k]] |= has[k]
+        said = [-1]
+        for k in range(1, len(self.tag)):
+            said.append(self.marks.get(k, said[self.parent[k]]))
+        return [x if h else -1 for x, h in zip(said, has, strict=True)]
+
     def decode(self, p: np.ndarray) -> list[bool]:
         """Keeps or rejects each node: the most likely labels among those that keep nothing below a rejected node.
 
@@ -329,37 +379,85 @@ class Trees:
         return 1 / (1 + np.exp(-2 * margin))
 
 
-def invented_pages() -> list[str]:
-    """Pages of some usual layouts: named elements, named divisions, nameless divisions. The article has ``data-main``."""
+# Usual names of the parts of a page.
+PART_NAMES = {
+    "head": "site-header masthead top-bar site-branding logo-area page-header banner",
+    "menu": "menu main-nav navbar nav-links breadcrumbs",
+    "advert": "ad advert sponsored promo-box ad-slot advertisement",
+    "article": "post entry-content article-body content story main-content single-post",
+    "side": "sidebar widget-area related-posts recommended side-column",
+    "comments": "comments comment-list disqus-thread replies",
+    "foot": "footer site-footer copyright colophon bottom-bar",
+    "notice": "cookie-notice gdpr-consent newsletter-signup popup subscribe-box",
+    "share": "share-bar social-links post-footer share",
+}
+PART_TAGS = {"head": "header", "menu": "nav", "advert": "aside", "article": "article", "side": "aside", "comments": "section", "foot": "footer",
+             "notice": "dialog", "share": "footer"}
+LAYOUTS = ("elements", "named", "both", "nameless", "bare", "cells")
+
+
+def invented_pages(count: int = 360) -> list[str]:
+    """Pages of some usual layouts: elements, named divisions, both, nameless divisions, bare text, table cells. All parts are marked."""
     rng = random.Random(5)
     words = "an article has paragraphs of several sentences and they run on for some time before they stop with what it says".split()
 
     def prose(k: int) -> str:
-        return " ".join(w + "." * (rng.random() < 0.1) + "," * (rng.random() < 0.1) for w in rng.choices(words, k=k)) + "."
+        return " ".join(w + "." * (rng.random() < 0.1) + "," * (rng.random() < 0.1) for w in rng.choices(words, k=k)).capitalize() + "."
+
+    def few(k: int = 4) -> str:
+        return " ".join(rng.choices(words, k=rng.randint(1, k))).capitalize()
 
     def listed(k: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{" ".join(rng.choices(words, k=rng.randint(1, 3)))}</a></li>' for i in range(k)) + "</ul>"
-
-    def part(layout: int, tag: str, name: str, inner: str, mark: str = "") -> str:
-        tag, name = (tag, "") if layout == 0 else ("div", f' class="{name}"' if layout == 1 else "")
-        return f"<{tag}{name}{mark}>{inner}</{tag}>"
-
-    out = []
-    for n in range(90):
-        layout, some = n % 3, lambda: rng.random() < 0.6
-        title = " ".join(rng.choices(words, k=rng.randint(3, 10)))
-        paragraphs = lambda most, k: "".join(f"<p>{prose(rng.randint(4, most))}</p>" for _ in range(k))
-        article = f"<h1>{title}</h1>" + paragraphs(90, rng.randint(1, 9))
+        return "<ul>" + "".join(f'<li><a href="/{i}">{few(3)}</a></li>' for i in range(k)) + "</ul>"
+
+    def part(layout: str, kind: str, inner: str) -> str:
+        tag = PART_TAGS[kind] if layout in ("elements", "both") else "td" if layout == "cells" else "div"
+        name = f' class="{rng.choice(PART_NAMES[kind].split())}"' if layout in ("named", "both") else ""
+        return f'<{tag}{name} data-part="{int(kind == "article")}">{inner}</{tag}>'
+
+    def page(layout: str) -> str:
+        some = lambda share=0.5: rng.random() < share
+        title = few(10) + " " + few(3)
+        paragraphs = [f"<p>{prose(rng.choice([4, 8, 15, 40, 90]))}</p>" for _ in range(rng.randint(2, 9))]
+        if some(0.2):
+            paragraphs.insert(rng.randrange(len(paragraphs)), f"<h2>{few()}</h2>")
+        if some(0.15):
+            paragraphs.append(f"<ul><li>{prose(6)}</li><li>{prose(9)}</li></ul>")
+        if some(0.1):
+            paragraphs.append(f"<blockquote><p>{prose(12)}</p></blockquote>")
+        headline = f"<h1>{title}</h1>"
+        if layout in ("elements", "named", "both"):
+            headline = f"<header>{headline}</header>" if layout != "named" and some(0.3) else headline
+            if some():
+                inner = few(4) if some() else f"<p>{prose(rng.randint(3, 25))}</p>"
+                paragraphs.insert(rng.randrange(1, len(paragraphs) + 1), part(layout, "advert", inner))
+            if some(0.4):
+                paragraphs.append(part(layout, "share", few(5) if some() else listed(3)))
+        body = "".join(paragraphs)
+        if layout == "bare":
+            return f'<html><head><title>{title}</title></head><body data-part="1">{headline}{body}</body></html>'
+        outside = some(0.15) and layout != "cells"
+        article = part(layout, "article", ("" if outside else headline) + (f"<div>{body}</div>" if some(0.2) else body))
+        if outside:
+            article = headline.replace("<h1>", '<h1 data-part="1">') + article
+        if layout in ("elements", "both") and some(0.4):
+            article = f"<main>{article}</main>"
+        comments = "".join(f"<div>{few(2)}<p>{prose(rng.randint(4, 30))}</p></div>" if some() else f"<p>{prose(rng.randint(4, 30))}</p>" for _ in range(rng.randint(1, 5)))
         parts = [
-            part(layout, "header", "masthead", prose(3)), part(layout, "nav", "menu", listed(rng.randint(3, 9))),
-            part(layout, "aside", "ad", prose(rng.randint(3, 15))) if some() else "",
-            part(layout, "article", "post", article, ' data-main="1"'),
-            part(layout, "aside", "sidebar", listed(rng.randint(3, 9)) + prose(6)) if some() else "",
-            part(layout, "section", "comments", paragraphs(30, rng.randint(1, 4))) if some() else "",
-            part(layout, "footer", "footer", prose(rng.randint(3, 15))),
+            part(layout, "notice", f"<p>{prose(rng.randint(4, 20))}</p><button>{few(1)}</button>") if some(0.3) and layout != "nameless" else "",
+            part(layout, "head", few(4) if some() else f'<a href="/">{few(3)}</a><p>{few(6)}</p>') if some(0.8) else "",
+            part(layout, "menu", listed(rng.randint(3, 9))),
+            part(layout, "advert", prose(rng.randint(3, 15))) if some() and layout != "nameless" else "",
+            article,
+            part(layout, "side", listed(rng.randint(3, 9)) + (prose(6) if some() else "")) if some() else "",
+            part(layout, "comments", comments) if some() and layout not in ("nameless", "cells") else "",
+            part(layout, "foot", few(5) if some() else "&copy; " + prose(rng.randint(3, 15))),
         ]
-        out.append(f"<html><head><title>{title}</title></head><body>{''.join(parts)}</body></html>")
-    return out
+        inner = "".join(parts)
+        inner = f"<table><tr>{inner}</tr></table>" if layout == "cells" else f"<div>{inner}</div>" if some(0.3) else inner
+        return f"<html><head><title>{title + ' - ' + few(2) if some(0.4) else title}</title></head><body>{inner}</body></html>"
+
+    return [page(LAYOUTS[k % len(LAYOUTS)]) for k in range(count)]
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, trees: int = TREES, depth: int = DEPTH) -> Trees:
@@ -371,17 +469,18 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_p
     rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col, html_col).alias("key"), F.col(html_col).alias("html"))
     if n > max_pages:
         rows = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * max_pages / n))
-    invented = pages.sparkSession.createDataFrame([(k, h) for h in invented_pages() for k in (0, 1)], "key long, html string")
+    rows = rows.select("key", "html", F.lit(False).alias("invented"))
+    invented = pages.sparkSession.createDataFrame([(0, h, True) for h in invented_pages()], "key long, html string, invented boolean")
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x, y, w = [np.zeros((0, len(FEATURES)))], [], []
-            for key, source in zip(pdf["key"], pdf["html"], strict=True):
-                page = Page(source)
-                article = page.main if page.main > 0 else page.article()
-                if article < 0:
+            for key, source, marked in zip(pdf["key"], pdf["html"], pdf["invented"], strict=True):
+                page = Page(source, marked)
+                article = -1 if marked else page.article()
+                if article < 0 and not marked:
                     continue
-                own, features = np.array(page.labels(article)), page.features()
+                own, features = np.array(page.marked_labels() if marked else page.labels(article)), page.features()
                 if key % 3 == 1:
                     features[:, NAMED] = 0.0
                 weight = features[own >= 0, FEATURES.index("page_share")] + 0.01
