@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,28 +55,32 @@ def texts_of(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts its lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    _note(path)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_open_scopes: list[list[str]] = []
+#: Scopes of ``settled`` that are open, for each thread: what one thread writes is not another's to delete.
+_scopes = threading.local()
+
+
+def _note(path: str) -> None:
+    if open_scopes := getattr(_scopes, "open", None):
+        open_scopes[-1].append(path)
 
 
 def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``build`` returns, as a table; the scratch tables that it wrote on the way are deleted when that is complete."""
-    _open_scopes.append([])
+    _scopes.open = [*getattr(_scopes, "open", []), []]
     path = scratch_path(spark, name)
     try:
         out = build()
         out.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
-        for used in _open_scopes.pop():
+        for used in _scopes.open.pop():
             at = spark._jvm.org.apache.hadoop.fs.Path(used)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    _note(path)
     return spark.read.schema(out.schema).parquet(path)
 
 
@@ -150,8 +156,9 @@ class KeyFilter:
 
 
 # Hashes of words over whole blocks of text: a word's bytes are the digits of a number modulo 2^64, taken from one
-# running sum over the block, and are then mixed.
-_BASE, BLOCK = 0x9E3779B97F4A7C15, 1 << 18
+# running sum over the block, and are then mixed. Long words get a hash of their own: there are unlike words of some
+# thousand letters with equal numbers, whatever the base.
+_BASE, BLOCK, LONG_WORD = 0x9E3779B97F4A7C15, 1 << 18, 512
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[ord(c) for c in SEPARATORS]] = False
 _powers: dict[str, np.ndarray] = {}
@@ -195,7 +202,11 @@ def _block_hashes(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> t
     up, down = _power(max(n, BLOCK))
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(codes[data] * up[:n], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts]), np.diff(np.searchsorted(starts, offsets))
+    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        word = data[starts[k] : ends[k]].tobytes()
+        hashes[k] = xxhash.xxh3_64_intdigest(word.lower() if codes is FOLDED_CODES else word)
+    return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
 def word_hashes(texts: pa.Array, codes: np.ndarray = EXACT_CODES, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:

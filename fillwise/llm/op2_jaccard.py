@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import FOLDED_CODES, KeyFilter, components, mixed, settled, texts_of, word_hashes, written
+from fillwise.llm.common import FOLDED_CODES, KeyFilter, components, mixed, settled, texts_of, with_groups, word_hashes, written
 
 #: Tokens that are known as frequent: at most so many, each in so many documents among so many tokens. They only affect the order.
 MAX_FREQUENT, BATCH_MIN, BATCH_TOKENS = 100_000, 2, 2_000_000
@@ -275,7 +275,8 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = _sets(texts, _frequent(texts))
     usable = sets.where("n > 0 AND id IS NOT NULL")
     classes = written(usable.groupBy("sig1", "sig2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
-    members = usable.select("id", "sig1", "sig2", "n").join(classes, ["sig1", "sig2", "n"]).select("id", "rep").distinct()
+    signed = lambda df, *rest: df.select(F.struct("sig1", "sig2", "n").alias("signature"), *rest)
+    members = with_groups(signed(usable, "id"), signed(classes, "rep", "rows"), "signature", "rows").select("id", "rep").distinct()
     members = written(members, "members")
     marked = KeyFilter(members.where("id <> rep"), "id").mark(usable, "id", "hit")
     own = members.where("id = rep").select("id")
@@ -285,10 +286,11 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     several = written(several, "several")
 
     # groups of similar documents around the one with the fewest rare tokens
-    keys = reps.select("id", "n", "rare", F.posexplode("mh").alias("k", "mh"))
+    keys = reps.select("id", "n", "rare", F.posexplode("mh").alias("k", "mh")).withColumn("slot", F.struct("k", "mh"))
     keys = written(keys.join(several, "id", "left_anti"), "min-hashes")
-    leaders = keys.groupBy("k", "mh").agg(F.min(F.struct("rare", "id", "n")).alias("leader"), F.count("*").alias("m")).where("m > 1")
-    star = keys.join(leaders, ["k", "mh"]).where("4 * least(n, leader.n) >= 3 * greatest(n, leader.n)")
+    leaders = keys.groupBy("slot").agg(F.min(F.struct("rare", "id", "n")).alias("leader"), F.count("*").alias("m"))
+    leaders = written(leaders.where("m > 1"), "leaders")
+    star = with_groups(keys, leaders, "slot", "m").where("leader IS NOT NULL").where("4 * least(n, leader.n) >= 3 * greatest(n, leader.n)")
     star = star.select(F.col("id").alias("a"), F.col("leader.id").alias("b"))
     tried = _compared(star, texts, "prefix").where("linked")
     rare = keys.where("k = 0").groupBy(F.col("id").alias("b")).agg(F.min("rare").alias("rare"))
