@@ -281,7 +281,11 @@ def _segments(texts: DataFrame, shared: KeyFilter, width: int) -> DataFrame:
 
 
 def _matches(distinct: DataFrame, width: int) -> DataFrame:
-    """(seg, seg2, at, lows): for windows at, at + 1, ... of a segment the smallest document that has them."""
+    """(seg, seg2, at, lows): for windows at, at + 1, ... of a segment the smallest document that has them.
+
+    Segments of an anchor stand in one shard. Where an anchor has very many, their windows are dealt one by one, each
+    text once with its first and last document, so that no shard grows with the number of segments that share it.
+    """
     counts = distinct.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT_ANCHOR)
     hot = written(counts.select(F.col("anchor").alias("__hot")), "hot-anchors")
     rows = distinct.join(hot, F.col("anchor") == F.col("__hot"), "left")
@@ -289,9 +293,15 @@ def _matches(distinct: DataFrame, width: int) -> DataFrame:
     words = F.split("text", " ")
     places = F.sequence(F.lit(0), F.size(words) - width)
     windows = F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, width), " ").alias("text")))
-    single = rows.where("__hot IS NOT NULL").select("seg", "seg2", "lo", "hi", F.inline(windows))
-    single = single.select("seg", "seg2", "at", "text", "lo", "hi", F.xxhash64("text").alias("deal"))
-    todo = plain.unionByName(single)
+    single = rows.where("__hot IS NOT NULL").select("seg", "seg2", "lo", "hi", F.explode(windows).alias("places"))
+    single = single.select("seg", "seg2", F.col("places.at").alias("at"), F.col("places.text").alias("window"), "lo", "hi")
+    shared = single.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    shared = written(shared.withColumn("number", F.monotonically_increasing_id()), "hot-windows")
+    alone = shared.select(
+        F.col("number").alias("seg"), F.lit(0).cast("long").alias("seg2"), F.lit(-1).alias("at"), F.col("window").alias("text"),
+        "lo", "hi", F.xxhash64("window").alias("deal"),
+    )
+    todo = plain.unionByName(alone)
     shards = max(1, -(-(todo.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -307,7 +317,10 @@ def _matches(distinct: DataFrame, width: int) -> DataFrame:
 
     dealt = todo.withColumn("shard", F.pmod("deal", F.lit(shards)))
     found = dealt.groupBy("shard").applyInPandas(run, "seg long, seg2 long, at int, lows array<long>")
-    return written(found, "matches")
+    found = written(found, "matches")
+    lows = found.where("at < 0").select(F.col("seg").alias("number"), "lows").join(shared.select("number", "window", "n"), "number")
+    back = with_groups(single.select("seg", "seg2", "at", "window").distinct(), written(lows.drop("number"), "hot-lows"), "window")
+    return found.where("at >= 0").unionByName(back.where("lows IS NOT NULL").select("seg", "seg2", "at", "lows"))
 
 
 def _row_key(text_col: str) -> Column:
