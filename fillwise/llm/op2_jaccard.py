@@ -199,7 +199,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, wanted: str) -> DataFrame:
         pairs.where("a <> b").groupBy("a", "b").agg(F.max("open").alias("open")) if wanted == "whole"
         else pairs.where("a <> b").select("a", "b").distinct().withColumn("open", F.lit(False)), "pairs"
     )
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     some = written(KeyFilter(involved, "id").mark(texts, "id", "hit").where("hit").select("id", "text"), "texts")
     left = some.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = some.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
