@@ -6,20 +6,22 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fillwise.operators import grid
+from fillwise.operators import grid, reports
+from fillwise.plans import registry
+from tests.oracle import SF
 
 DAY = dt.date(2024, 1, 1)
 
 
-def most_rows(df) -> int:
-    """The largest number of rows that any node of the frame's plan has put out."""
+def most_rows(df, of: str = "numOutputRows") -> int:
+    """The largest number of rows that any node of the frame's plan has put out, or written to a shuffle."""
     df.collect()
 
     def walk(node):
         for inner in ("executedPlan", "plan"):
             if inner == "executedPlan" and "AdaptiveSparkPlan" in node.nodeName() or inner == "plan" and "QueryStage" in node.nodeName():
                 return walk(getattr(node, inner)())
-        metric = node.metrics().get("numOutputRows")
+        metric = node.metrics().get(of)
         children = node.children()
         return max([metric.get().value() if metric.isDefined() else 0, *[walk(children.apply(k)) for k in range(children.size())]])
 
@@ -68,3 +70,28 @@ def test_days_and_sources_make_no_pairs(spark):
     stations = spark.createDataFrame([(0, 1000.0, 1000.0), (1, 1500.0, 500.0)], "station_id long, x double, y double")
     sources = spark.range(200).select((F.col("id") * 37 % 9000).cast("double").alias("sx"), (F.col("id") * 91 % 7000).cast("double").alias("sy"), F.lit(1.0).alias("bap"))
     assert most_rows(grid.directional_emission(days, stations, sources)) < 50_000  # 400,000 pairs of days and sources
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["filled_series", "boosted_fill"])
+def test_fills_shuffle_no_row_for_each_day(spark, no_broadcasts, name):
+    out = registry.queries()[name](spark, SF)
+    assert most_rows(out, "shuffleRecordsWritten") < 30_000 < out.count() / 10
+
+
+def test_fills_keep_repeated_rows_and_stations(spark):
+    day = lambda k: dt.date(2024, k, 1)
+    series = spark.createDataFrame([(1, day(1), 1.0), (1, day(2), 4.0), (1, day(2), 6.0), (2, day(1), None), (None, day(3), 7.0)], "station_id long, datum date, bap double")
+    stations = spark.createDataFrame([(1,), (2,), (3,), (3,)], "station_id long")
+    got = sorted((r["station_id"], r["datum"], r["bap"] or 0.0, r["bap_predicted"], r["bap_filled"], r["is_observed"]) for r in reports.fill_with_climatology(series, stations).collect())
+    overall = {1: 1.0, 2: 5.0, 3: 7.0}
+    one = [(1, day(1), 1.0, 1.0, 1.0, 1), (1, day(2), 4.0, 5.0, 4.0, 1), (1, day(2), 6.0, 5.0, 6.0, 1), (1, day(3), 0.0, pytest.approx(11 / 3), pytest.approx(11 / 3), 0)]
+    others = [(s, day(k), 0.0, overall[k], overall[k], 0) for s in (2, 3, 3) for k in (1, 2, 3)]
+    assert got == one + sorted(others)
