@@ -2,12 +2,14 @@
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fillwise.operators import grid, reports
 from fillwise.plans import registry
+from fillwise.sources import tables
 from tests.oracle import SF
 
 DAY = dt.date(2024, 1, 1)
@@ -95,3 +97,48 @@ def test_fills_keep_repeated_rows_and_stations(spark):
     one = [(1, day(1), 1.0, 1.0, 1.0, 1), (1, day(2), 4.0, 5.0, 4.0, 1), (1, day(2), 6.0, 5.0, 6.0, 1), (1, day(3), 0.0, pytest.approx(11 / 3), pytest.approx(11 / 3), 0)]
     others = [(s, day(k), 0.0, overall[k], overall[k], 0) for s in (2, 3, 3) for k in (1, 2, 3)]
     assert got == one + sorted(others)
+
+
+def test_chunks_are_opened_once_for_each_node(spark):
+    """Many stations at one node: its chunk's arrays meet the node, not each station."""
+    long = spark.createDataFrame([("meteo_20240101.nc", None, h, 1, 1, float(h)) for h in range(24)], "file string, base string, h int, y int, x int, t double")
+    stations = spark.range(300).select("id", F.lit(1).alias("x"), F.lit(1).alias("y"))
+    out = tables.read_chunks(tables.chunked_cube(long, ["file", "base"], ["t"]), stations, ["t"], key="id")
+    got = out.collect()
+    assert len(got) == 7200 and {(r["time"].hour, r["t"]) for r in got} == {(h, float(h)) for h in range(24)}
+    assert opened(out) == 24
+
+
+def opened(df) -> int:
+    """Rows that the innermost array of the plan is laid out to: hours of chunks."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if "AdaptiveSparkPlan" in name:
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if "Generate" in name:
+            found.append(node.metrics().get("numOutputRows").get().value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(plan)
+    return min(found)
+
+
+def test_registry_stations_are_told_once(spark, tmp_path):
+    """Codes of five digits repeat above 99,999 stations: equal rows are one row, as in SQL."""
+    for name in ("nation", "customer", "orders"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        shift = {"customer": ["c_custkey"], "orders": ["o_custkey"]}.get(name)
+        df = df.withColumns({c: F.when(F.col(c) % 2 == 0, F.col(c) + 100_000).otherwise(F.col(c)) for c in shift}) if shift else df
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("nation", "customer", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(registry.oracle_sql()["registry_stations"]).fetchall())
+    got = sorted(tuple(r) for r in registry.queries()["registry_stations"](spark, str(tmp_path)).collect())
+    assert got == want and len({g[0] for g in got}) < len(got)
