@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fillwise.operators import grid, reports
+from fillwise.operators import boost, grid, reports
 from fillwise.plans import registry
 from fillwise.sources import tables
 from tests.oracle import SF
@@ -142,3 +142,44 @@ def test_registry_stations_are_told_once(spark, tmp_path):
     want = sorted(con.execute(registry.oracle_sql()["registry_stations"]).fetchall())
     got = sorted(tuple(r) for r in registry.queries()["registry_stations"](spark, str(tmp_path)).collect())
     assert got == want and len({g[0] for g in got}) < len(got)
+
+
+def many_folds(spark, n=3000):
+    rng = np.random.default_rng(2)
+    data = [(k % 40 if k % 41 else None, *[float(v) if rng.random() > 0.1 else None for v in x], float(np.exp(x[0] / 2 + rng.normal() / 5 + x[1] * x[2] / 10))) for k, x in enumerate(rng.normal(size=(n, 3)))]
+    return spark.createDataFrame(data, "station_id long, a double, b double, c double, bap double")
+
+
+@pytest.mark.parametrize("options", [{"trees": 3, "depth": 2, "directions": {"a": 1}}, {"trees": 2, "depth": 3, "directions": {}, "l1": 0.1}])
+def test_models_by_structure_equal_models_one_by_one(spark, monkeypatch, options):
+    """Folds that a task holds whole, and folds in pieces; few structures are added up, and in small groups."""
+    df, added, keep = many_folds(spark), [], boost._Shared._totals
+    monkeypatch.setattr(boost, "MIN_SHARED", 1 << 30)
+    alone = boost.fit_folds(df, ["a", "b", "c"], "station_id", **options)
+    monkeypatch.setattr(boost, "MIN_SHARED", 16)
+    monkeypatch.setattr(boost._Shared, "_totals", lambda self, t, level, packed, leaves: added.append(len(leaves)) or keep(self, t, level, packed, leaves))
+    for rows_each, most in ((100_000, 500_000), (20, 4_000)):
+        monkeypatch.setattr(boost, "ROWS_EACH", rows_each)
+        monkeypatch.setattr(boost, "MAX_SUMS", most)
+        monkeypatch.setattr(boost, "CHOSEN_EACH", 7)
+        together = boost.fit_folds(df, ["a", "b", "c"], "station_id", **options)
+        assert isinstance(together, boost.Forest) and list(together) == list(alone) and len(alone) == 40
+        for fold, one in alone.items():
+            other = together[fold]
+            assert other.base == one.base and other.splits == one.splits and other.gains == pytest.approx(one.gains)
+            for x, y, c, d in zip(one.trees, other.trees, one.covers, other.covers, strict=True):
+                assert {n: t[:3] for n, t in x.items()} == {n: t[:3] for n, t in y.items()} and c == d
+                assert [t[3] for t in x.values()] == pytest.approx([t[3] for t in y.values()], abs=1e-7)
+        key = lambda m: {r["a"]: r["pred"] for r in boost.predict_folds(df, m, "station_id").where("a IS NOT NULL").collect()}
+        assert key(together) == pytest.approx(key(dict(alone)), abs=1e-6)
+    assert sum(added) < 40 * options["trees"] * options["depth"]  # a sum for each model and level before
+
+
+def test_rows_of_a_leaf_higher_up_are_in_no_lower_node(spark):
+    """Where one side of the root is a leaf and the other splits twice, the leaf's rows are in no sum below."""
+    data = [(float(a), float(b), float(c), 99.0 if not a else 1.0 + 9 * b + 20 * b * c + 4 * c) for a in (0, 1) for b in (0, 1) for c in (0, 1) for _ in range(40)]
+    df = spark.createDataFrame(data, "a double, b double, c double, bap double")
+    model = boost.fit_monotone(df, ["a", "b", "c"], directions={}, trees=1, depth=3, offset=None)
+    tree, cover = model.trees[0], model.covers[0]
+    assert {n for n, t in tree.items() if t[0] < 0} == {2, 12, 13, 14, 15} and cover[2] == cover[3] == 160
+    assert all(cover[n] == cover[2 * n] + cover[2 * n + 1] for n, t in tree.items() if t[0] >= 0)
