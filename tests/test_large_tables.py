@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fillwise.operators import boost, grid, reports
+from fillwise.operators import boost, daily, grid, metrics, reports
 from fillwise.plans import registry
+from fillwise.plans.fixtures import fixture
 from fillwise.sources import tables
 from tests.oracle import SF
 
@@ -183,3 +184,28 @@ def test_rows_of_a_leaf_higher_up_are_in_no_lower_node(spark):
     tree, cover = model.trees[0], model.covers[0]
     assert {n for n, t in tree.items() if t[0] < 0} == {2, 12, 13, 14, 15} and cover[2] == cover[3] == 160
     assert all(cover[n] == cover[2 * n] + cover[2 * n + 1] for n, t in tree.items() if t[0] >= 0)
+
+
+def test_observed_days_equal_days_joined_with_observations(spark, no_broadcasts):
+    """History comes from all days, repeated observations repeat the day; and the days are shuffled for their history only."""
+    hourly, proxies = (fixture(spark, SF, name).drop("datum") for name in ("fx_hourly", "fx_proxy_hourly"))
+    obs = fixture(spark, SF, "fx_obs")
+    obs = obs.unionByName(obs.where("station_id % 3 = 0").withColumn("bap", F.col("bap") + 1)).unionByName(obs.where("station_id % 5 = 1").withColumn("bap", F.lit(None).cast("double")))
+    got, want = daily.observed_days(daily.daily_features(hourly), proxies, obs), daily.training_view(daily.station_days(hourly, proxies), obs)
+    rows = lambda df: sorted(str(r) for r in metrics.rounded(df.select(*sorted(want.columns))).collect())
+    assert set(got.columns) == set(want.columns) and rows(got) == rows(want)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hash")
+    assert shuffles(got) < shuffles(want)
+
+
+#: Queries that leave each station out alone.
+STATIONS_OUT = ["ablation_ladder", "boosted_loso", "boosted_weights", "rural_yearly_means", "emission_focus"]
+
+
+@pytest.mark.parametrize("name", STATIONS_OUT)
+def test_no_model_of_many_folds_reads_all_rows_alone(spark, monkeypatch, name):
+    """Rows are not visited once for each station's model."""
+    few, keep = [], boost._Group.__init__
+    monkeypatch.setattr(boost._Group, "__init__", lambda self, rows, models, *rest: few.append(len(models)) or keep(self, rows, models, *rest))
+    assert registry.queries()[name](spark, SF).count() > 0
+    assert max(few, default=0) < boost.MIN_SHARED
